@@ -5,12 +5,32 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts, token_files
+from . import decontamination, html_text, mixing, ngram_join, token_counts, token_files, topk_search
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -20,8 +40,49 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
+    "op2_html_text": op2_html_text,
+    "op3_ngram_join": op3_ngram_join,
+    "op5_mixing": op5_mixing,
+    "op6_decontamination": op6_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+            FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op5_mixing": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
+        ), s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source
+        ), c AS (
+            SELECT source, source_size, ([5.0, 2.0, 1.0])[1 + (place - 1) % 3]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s
+        ), f AS (
+            SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS words, sum(weight) OVER () AS all_weight,
+                coalesce(sum(cap) OVER b, 0) AS used, coalesce(sum(weight) OVER b, 0) AS gone
+            FROM c WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), l AS (SELECT *, (words - used) / (all_weight - gone) AS level FROM f
+        ), t AS (
+            SELECT source, source_size, CASE WHEN level * weight >= cap THEN cap ELSE
+                least(cap, weight * max(CASE WHEN level * weight < cap THEN level END) OVER ()) END AS target FROM l
+        ), p AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
+        ), o AS (SELECT *, target - whole * source_size AS open, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM p
+        ), u AS (
+            SELECT d.*, o.source_size, o.target, o.whole, o.open, o.p,
+                (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+            FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source
+        ), q AS (SELECT *, CASE WHEN p > 0 THEN u / (1 - u) * (1 - p) / p END AS q FROM u
+        ), r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM q)
+        SELECT doc_id, size::BIGINT AS size, source_size, target,
+            (size * (whole + CASE WHEN p > 0 AND (upto <= open OR open > upto - size AND upto - open < open - (upto - size)) THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM r""",
+}
