@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, mixing, ngram_join, token_counts, token_files, topk_search
+from . import decontamination, html_text, mixing, ngram_join, quality, token_counts, token_files, topk_search, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -43,8 +51,10 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_html_text": op2_html_text,
     "op3_ngram_join": op3_ngram_join,
+    "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
 }
