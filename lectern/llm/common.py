@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -47,6 +48,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of queries that are over; it acts when the driver's JVM has collected garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing lazy reads it any more."""
     spark = df.sparkSession

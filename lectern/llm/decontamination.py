@@ -11,8 +11,8 @@ benchmark of any size works, at a pass over a batch for each chunk."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +159,11 @@ def _chunks(bench: DataFrame, text: str, key: str, chunk_bytes: int) -> Iterator
         yield held
 
 
+def broadcast_items(bench: DataFrame, text: str = "text", key: str = "item_id", chunk_bytes: int = CHUNK_BYTES) -> list:
+    """The items with an id and a text, as broadcasts of about chunk_bytes each."""
+    return [bench.sparkSession.sparkContext.broadcast(c) for c in _chunks(bench, text, key, chunk_bytes)]
+
+
 def occurrences(docs: DataFrame, bench: DataFrame, window: int = 10, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, n_hit, items (ids as strings, sorted), contaminated.
 
@@ -167,13 +172,8 @@ def occurrences(docs: DataFrame, bench: DataFrame, window: int = 10, text: str =
     in whole texts. n_hit: words inside any occurrence. Null texts have no words; items with a null id or text
     take no part; items that repeat an id count once; repeated rows of docs are repeated. Columns besides those
     named are ignored. Empty tables give empty results, or no hits. One narrow map: nothing is shuffled."""
-    sc = docs.sparkSession.sparkContext
-    chunks = [sc.broadcast(c) for c in _chunks(bench, item_text, item_key, chunk_bytes)]
-
-    def task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        return _task(chunks, window)
-
-    out = arrow_map(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")), task, "doc_id long, n_words long, n_hit long, items array<string>")
+    chunks = broadcast_items(bench, item_text, item_key, chunk_bytes)
+    out = arrow_map(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")), partial(_task, chunks, window), "doc_id long, n_words long, n_hit long, items array<string>")
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -182,6 +182,3 @@ def contamination_digest(docs: DataFrame, bench: DataFrame, **options) -> DataFr
     joined = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
     return occurrences(docs, bench, **options).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), joined.alias("items_sha256"), "contaminated")
 
-
-def empty_digest() -> str:
-    return hashlib.sha256(b"").hexdigest()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, mixing, ngram_join, quality, token_counts, token_files, topk_search, toxicity
+from . import decontamination, html_text, line_dedup, mixing, ngram_join, quality, token_counts, token_files, topk_search, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_html_text": op2_html_text,
@@ -57,6 +61,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +100,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size::BIGINT AS size, source_size, target,
             (size * (whole + CASE WHEN p > 0 AND (upto <= open OR open > upto - size AND upto - open < open - (upto - size)) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM r""",
+    "op6_decontamination": """
+        WITH i AS (
+            SELECT DISTINCT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+        ), s AS (SELECT item, w, least(10, len(w)) AS m FROM i WHERE len(w) > 0
+        ), p AS (SELECT DISTINCT item, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS k FROM s)
+        ), d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents
+        ), g AS (
+            SELECT r, m, k, array_to_string(list_slice(w, k, k + m - 1), ' ') AS g
+            FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m)
+        ), o AS (SELECT g.r, g.m, g.k, p.item FROM g JOIN p ON g.m = p.m AND g.g = p.g
+        ), h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(k, k + m)) AS x FROM o) GROUP BY r
+        ), t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM o) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+            sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
 }
