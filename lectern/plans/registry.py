@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import record_queries, text_queries
 
-
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+QUERIES = {**text_queries.QUERIES, **record_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL, **record_queries.ORACLE_SQL}
+FLAGSHIP = text_queries.sections
