@@ -195,6 +195,25 @@ def table_like(words_: DataFrame, keys: tuple[str, ...] = (*PAGE, "region_id"))
     return facts.join(starts, list(keys), "left").select(*keys, ((F.col("words") >= 6) & (F.col("rows") >= 3) & (F.col("multi") >= 0.6 * F.col("rows")) & (F.coalesce("repeated", F.lit(0)) >= 2)).alias("table_like"))
 
 
+def figure_words(words_: DataFrame, body: float, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """words (line_no, region_id, kind of the region, text, size, fontname, top, bottom) with label: words of figures and tables, not of the text.
+
+    Lines that are captions, large (1.3 of the body) or short and bold stay text. A region's words are labels if under half of them stand in rows of six
+    or more, and they are 12 at most or 0.4 of them numbers on an image, or half of them numbers and 400 at most in a graphic."""
+    line = Window.partitionBy(*keys, "line_no")
+    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text")).over(line)), lambda w: w["text"]), " ")
+    bold = (F.avg(text.is_bold("fontname").cast("double")).over(line) > 0.5) & (F.count("*").over(line) <= 8)
+    x = words_.withColumn("_kept", text_of.rlike(r"(?i)^\W*(?:fig(?:ure)?|tab(?:le)?)\.?\s*\d") | (F.max("size").over(line) >= 1.3 * body) | bold)
+    inside_ = x.where(F.col("region_id").isNotNull() & ~F.col("_kept"))
+    row = Window.partitionBy(*keys, "region_id", F.round((F.col("top") + F.col("bottom")) / 2 / F.greatest(F.lit(0.8 * body), F.lit(1.0))))
+    facts = inside_.withColumns({"_prose": (F.count("*").over(row) >= 6).cast("double"), "_number": text.is_numeric_token("text").cast("double")}).groupBy(*keys, "region_id", "kind").agg(F.count("*").alias("n"), F.avg("_prose").alias("prose"), F.avg("_number").alias("numbers"))
+    image = (F.col("kind") == "image") & ((F.col("n") <= 12) | (F.col("numbers") >= 0.4))
+    graphic = (F.col("kind") != "image") & (F.col("numbers") >= 0.5) & (F.col("n") <= 400)
+    labels = facts.where((F.col("prose") <= 0.5) & (image | graphic)).select(*keys, "region_id").withColumn("_label", F.lit(True))
+    out = x.join(labels, [*keys, "region_id"], "left")
+    return out.withColumn("label", F.coalesce(F.col("_label") & ~F.col("_kept"), F.lit(False))).drop("_kept", "_label")
+
+
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.least(a1, b1) - F.greatest(a0, b0), F.lit(0.0))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import layout, pages, people, records, registry
+from lectern.operators import copying, layout, pages, people, records, registry
 from lectern.sources import files
 
 from . import document, inputs
@@ -78,6 +78,15 @@ def creators_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.to_json("c").alias("creators"))
 
 
+def numbered_affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inputs.documents(spark, sf_dir, "concat('## Rivers', chr(10), 'Jane Doe¹, Max Roe¹,²', CASE WHEN doc_id % 3 = 0 THEN ', Ana Lima' ELSE '' END, chr(10), '1 University of Alder; 2 Institute of Birch', chr(10), '## Abstract', chr(10), text) AS text", "CASE WHEN doc_id % 3 = 0 THEN array('Doe', 'Roe', 'Lima') ELSE array('Doe', 'Roe') END AS families")
+    x = docs.select("doc_id", people.numbered_affiliations("families", "text").alias("a"))
+    return x.select("doc_id", F.array_join(F.transform("a", lambda p: F.array_join(p, " / ")), "; ").alias("affiliations"))
+
+
+NUMBERED = "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'University of Alder; University of Alder / Institute of Birch' END AS affiliations FROM documents"
+
+
 def joined_creators(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.documents(spark, sf_dir, "CASE doc_id % 4 WHEN 0 THEN 'Hahn, Oliver & Lemke, Steffen' WHEN 1 THEN 'Ann Lee and Bo Chan' WHEN 2 THEN 'Institute of Boats and Nets' ELSE 'Solo Name' END AS name")
     return docs.select("doc_id", F.posexplode(people.split_joined(F.col("name"))).alias("pos", "name")).select("doc_id", F.col("pos").cast("long").alias("pos"), "name")
@@ -377,7 +386,23 @@ def better_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ATTEMPTS = "SELECT doc_id, CASE WHEN doc_id % 3 <= doc_id % 2 THEN 1::BIGINT ELSE 2 END AS attempt, least(doc_id % 3, doc_id % 2)::DOUBLE AS score FROM documents"
 
+def copied_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbatim strings of responses against their texts; every third one invents its end."""
+    docs = inputs.documents(spark, sf_dir, "text", "to_json(named_struct('title', concat(split(text, ' ')[0], CASE WHEN doc_id % 3 = 0 THEN ' quite-invented' ELSE '' END), 'note', 'free')) AS response")
+    return copying.invented(docs).select("doc_id", "key", F.round("share", 6).alias("share"))
+
+
+COPIED = r"""
+    SELECT doc_id, 'title' AS key, CASE WHEN doc_id % 3 = 0 THEN round(length(w)::DOUBLE / (length(w) + 15), 6) ELSE 1.0::DOUBLE END AS share FROM (SELECT doc_id, split_part(text, ' ', 1) AS w FROM documents)"""
+
+
+def figure_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = inputs.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS doc_id", "1 AS page", "l_partkey AS line_no", "l_linenumber AS word_no", "CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 7 END AS region_id", "CASE WHEN l_partkey % 7 % 2 = 0 THEN 'image' ELSE 'graphic' END AS kind", "CASE WHEN l_linenumber % 3 < 2 THEN CAST(l_partkey AS STRING) ELSE 'word' END AS text", "CASE WHEN l_partkey % 11 = 0 THEN 14.0D ELSE 10.0D END AS size", "'Sans' AS fontname", "CAST(l_partkey AS DOUBLE) AS top", "CAST(l_partkey + 10 AS DOUBLE) AS bottom")
+    return layout.figure_words(words, 10.0).groupBy("doc_id").agg(F.sum(F.col("label").cast("long")).alias("n_labels"), F.count("*").alias("n_words"))
+
+
 QUERIES = {
+    "numbered_affiliations": numbered_affiliations, "copied_strings": copied_strings, "figure_words": figure_words,
     "organisations": organisations, "persons": persons, "funders": funders, "headers": headers, "creators_grounded": creators_grounded, "joined_creators": joined_creators, "marker_runs": marker_runs, "json_repairs": json_repairs, "captions_normalised": captions_normalised,
     "affiliations_coerced": affiliations_coerced, "funding_normalised": funding_normalised, "subjects_normalised": subjects_normalised, "sections_kept": sections_kept, "validations": validations, "file_kinds": file_kinds, "text_sources": text_sources, "mode_sizes": mode_sizes,
     "glyph_stats": glyph_stats, "page_gaps": page_gaps, "weighted_medians": weighted_medians, "body_sizes": body_sizes, "baselines": baselines, "page_words": page_words, "page_blocks": page_blocks, "page_reading": page_reading, "partitions": partitions, "column_cuts": column_cuts,
@@ -385,6 +410,7 @@ QUERIES = {
     "record_json": record_json, "better_attempts": better_attempts,
 }
 ORACLE_SQL = {
+    "numbered_affiliations": NUMBERED, "copied_strings": COPIED,
     "organisations": ORGANISATIONS, "persons": PERSONS, "funders": FUNDERS, "headers": HEADERS, "joined_creators": JOINED, "json_repairs": REPAIRS, "captions_normalised": CAPTION_ROWS, "affiliations_coerced": AFFILIATIONS, "funding_normalised": FUNDING,
     "subjects_normalised": SUBJECTS, "sections_kept": KEPT, "validations": VALIDATIONS, "file_kinds": KINDS, "text_sources": SOURCES, "mode_sizes": MODES, "glyph_stats": STATS, "page_gaps": GAPS, "weighted_medians": MEDIANS, "body_sizes": BODY, "baselines": BASELINES,
     "column_cuts": COLUMNS, "region_words": INSIDE, "phantom_blanks": PHANTOMS, "record_json": JSON, "better_attempts": ATTEMPTS,
