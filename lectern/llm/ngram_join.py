@@ -10,25 +10,25 @@ t_i = 1 is chosen for each group by cost (allocation()). Segments that are empty
 have enough others; a set that has not emits all, so the guarantee holds for every pair.
 
 Sets that agree in a signature are candidates. Equal sets are one class before that, so copies are
-never paired. Groups of near copies share many signatures; first each is compared with the smallest class
-of each of its signatures only, and the links found are joined to components; then pairs of
-different components that share a signature are compared, all of them. So no link between different texts is lost,
+never paired. Groups of near copies share many signatures; linking.connected() compares each with one
+other first, and all pairs of components that are then still apart. So no link between different texts is lost,
 but links within what is connected already are not looked for again. Every link is verified on whole
 sets. Elements are 64-bit hashes of shingles: the chance that any of 10**9 shingles of one comparison
 collide is under 0.03, that a set of 10**4 has a collision under 10**-11."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, rows_in, stored
-from .components import components
+from .linking import connected, shared_buckets
 from .textnum import U, Words, buffers, distinct_sorted, lists, mix, shingles, slices, sums_by
 
 #: Chance that a shingle of one set is also in an unrelated set of its group, for the allocation of segments.
@@ -36,6 +36,7 @@ SHARED = 0.05
 #: Cost of comparing a candidate against writing a signature, for the same.
 COMPARE = 4.0
 SEEN = 1_000_000
+CELLS = 64
 
 
 def band_bounds(longest: int, percent: int) -> list[int]:
@@ -159,31 +160,71 @@ def _signature_task(k: int, bounds: list[int], plan: dict[int, tuple[int, int, i
     return run
 
 
-def _content_task(k: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+def _texts_task(k: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     seen: set[int] = set()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, _, h, _, at in _sets(batch, k):
-            cls = _classes(h, at)
-            for i in np.flatnonzero(np.diff(at)).tolist():
+        data, offs = buffers(batch.column(1))
+        for lo, _, h, _, at in _sets(batch, k):
+            cls, texts, n = _classes(h, at), [], np.diff(at)
+            new = []
+            for i in np.flatnonzero(n).tolist():
                 if (c := int(cls[i])) not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(c)
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.ListArray.from_arrays(pa.array([0, at[i + 1] - at[i]], pa.int32()), pa.array(h[at[i] : at[i + 1]].astype(np.int64)))], ["class", "elements"])
+                    new.append(i)
+                    texts.append(zlib.compress(data[offs[lo + i] : offs[lo + i + 1]].tobytes(), 1))
+            row = np.repeat(np.arange(len(n)), n)
+            cells = np.bincount(row * CELLS + (mix(h ^ U(0xA24BAED4963EE407)) >> U(58)).astype(np.int64), minlength=len(n) * CELLS).reshape(-1, CELLS)
+            sketch = [x.tobytes() for x in np.minimum(cells[new], 0xFFFF).astype("<u2")]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array(n[new].astype(np.int64)), pa.array(sketch, pa.binary()), pa.array(texts, pa.binary())], ["class", "n", "sketch", "packed"])
+
+    return run
+
+
+def _possible_task(percent: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n, m = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), "<u2").reshape(-1, CELLS).astype(np.int32) for c in (4, 5))
+        differ = np.abs(x - y).sum(1)
+        ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs a, b those that reach the threshold; sizes first, then the intersection of the whole sets."""
-    x = sets.select(F.col("class").alias("a"), F.col("elements").alias("ea"))
-    y = sets.select(F.col("class").alias("b"), F.col("elements").alias("eb"))
-    sizes = sets.select("class", F.size("elements").alias("n"))
-    sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    shared = F.size(F.array_intersect("ea", "eb"))
-    return sized.join(x, "a").join(y, "b").where((100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+def _verify_task(k: int, percent: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            a, b = np.asarray(part.column(0)), np.asarray(part.column(1))
+            packed = dict(zip(a.tolist(), part.column(2), strict=True)) | dict(zip(b.tolist(), part.column(3), strict=True))
+            place = {c: i for i, c in enumerate(packed)}
+            texts = pa.array([zlib.decompress(x.as_py()) for x in packed.values()], pa.binary()).cast(pa.string())
+            sets: list[np.ndarray] = []
+            for _, _, h, _, at in _sets(pa.RecordBatch.from_arrays([texts, texts], ["", "text"]), k):
+                sets += np.split(h, at[1:-1])
+            keep = []
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                s, t = sets[place[x]], sets[place[y]]
+                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of candidate pairs a, b those that reach the threshold: by bounds first, then by the whole sets, made again from the texts.
+
+    The bounds are exact: sizes, and how many elements each set has in CELLS parts of the universe, whose differences sum to no more
+    than the sets'. They drop nearly all pairs that have only some segment in common. Texts travel compressed, a fraction of their sets."""
+    few = texts.select("class", "n", "sketch")
+    sized = pairs.join(few.toDF("a", "na", "sa"), "a").join(few.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    sized = arrow_map(sized, partial(_possible_task, percent), "a long, b long")
+    x, y = texts.select(F.col("class").alias("a"), F.col("packed").alias("x")), texts.select(F.col("class").alias("b"), F.col("packed").alias("y"))
+    return arrow_map(sized.join(x, "a").join(y, "b").select("a", "b", "x", "y"), partial(_verify_task, k, percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -213,30 +254,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, text: str
             plan[g] = (*allocation(h, bounds[g], n), h + 1)
     spread = arrow_map(rows, partial(_signature_task, k, bounds, plan), "class long, sigs array<long>")
     spread = spread.select("class", F.explode("sigs").alias("sig"))
-    by_sig = Window.partitionBy("sig").orderBy("class")
-    spread = spread.withColumns({"before": F.lag("class").over(by_sig), "after": F.lead("class").over(by_sig), "first": F.first("class").over(by_sig)})
-    buckets = stored(spread.where((F.col("before").isNotNull() | F.col("after").isNotNull()) & ~F.col("class").eqNullSafe(F.col("before"))).select("sig", "class", "first"), "buckets")
-
+    buckets = stored(shared_buckets(spread), "buckets")
     in_buckets = buckets.select("class").distinct()
     speakers = members.join(in_buckets, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(arrow_map(rows_in(rows, speakers, "doc_id").select("doc_id", "text"), partial(_content_task, k), "class long, elements array<long>").join(speakers.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
-
-    tried = stored(buckets.where("first != class").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
-    links = stored(_verified(tried, sets, percent), "found")
-    reached = stored(components(links), "reached")
-
-    marked = buckets.select("sig", "class").join(reached.toDF("class", "component"), "class", "left").select("sig", "class", F.coalesce("component", "class").alias("mark"))
-    mixed = marked.groupBy("sig").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low != high").select("sig")
-    open_ = stored(marked.join(mixed, "sig"), "open")
-    p, q = open_.alias("p"), open_.alias("q")
-    rest = p.join(q, F.col("p.sig") == F.col("q.sig")).where("p.class < q.class and p.mark != q.mark").select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    more = stored(_verified(rest, sets, percent), "found")
-    if more.limit(1).count():
-        reached = stored(components(links.unionAll(more)), "reached")
+    texts = arrow_map(rows_in(rows, speakers, "doc_id").select("doc_id", "text"), partial(_texts_task, k), "class long, n long, sketch binary, packed binary")
+    texts = stored(texts.join(in_buckets, "class", "left_semi").dropDuplicates(["class"]), "texts")
+    reached = connected(buckets, lambda pairs: _verified(pairs, texts, k, percent))
 
     of_class = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
-    of_class = of_class.join(reached.toDF("class", "component"), "class", "left").select("class", "low", F.coalesce("component", "class").alias("component"))
+    of_class = of_class.join(reached, "class", "left").select("class", "low", F.coalesce("component", "class").alias("component"))
     lowest = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
     of_class = of_class.join(lowest, "component").select("class", "component_id")
     return members.join(of_class, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
