@@ -32,6 +32,12 @@ HIDDEN = 8
 WORD_BUCKETS, GRAM_BUCKETS, EVIDENCE_BUCKETS = 1 << 14, 1 << 13, 1 << 18
 WORD_WIDTH, GRAM_WIDTH = 8, 6
 ROUNDS, PASSES, BATCH, RATE = 4, 3, 256, 0.01
+#: Steps of a round at least, so that a few labelled rows are gone over more often.
+LEAST_STEPS = 40
+#: Embeddings learn by this part of the rate, so that few labelled rows aren't learnt by heart.
+SLOW = 0.1
+#: Standard errors by which evidence is lowered.
+Z = 2.0
 SLICE = 1 << 20
 f32 = np.float32
 
@@ -62,7 +68,9 @@ class Inputs:
     def __init__(self, w: Words):
         h = w.hashes()
         self.hash, first, self.word = np.unique(h, return_index=True, return_inverse=True)
-        self.three, self.five, self.at = _grams(w.data, w.start[first], w.end[first])
+        three, five, self.at = _grams(w.data, w.start[first], w.end[first])
+        # Bucket numbers; the buckets of evidence are a multiple of those of embeddings, so one number has both.
+        self.three, self.five = (three % U(GRAM_BUCKETS)).astype(np.int32), (five % U(EVIDENCE_BUCKETS)).astype(np.int32)
         self.first, self.count, self.rows = w.first, w.count, w.rows
 
 
@@ -95,7 +103,7 @@ class Network:
     def fresh(cls, word_evidence: np.ndarray, gram_evidence: np.ndarray, seed: int = 11) -> Network:
         rng = np.random.default_rng(seed)
         width, h = WORD_WIDTH + GRAM_WIDTH + 2, HIDDEN
-        p = {"word": rng.normal(size=(WORD_BUCKETS, WORD_WIDTH)) * 0.1, "gram": rng.normal(size=(GRAM_BUCKETS, GRAM_WIDTH)) * 0.1, "attend": np.zeros(2 * h), "out": rng.normal(size=2 * h) * 0.3, "bias": np.zeros(1)}
+        p = {"word": rng.normal(size=(WORD_BUCKETS, WORD_WIDTH)) * 0.02, "gram": rng.normal(size=(GRAM_BUCKETS, GRAM_WIDTH)) * 0.02, "attend": np.zeros(2 * h), "out": rng.normal(size=2 * h) * 0.3, "bias": np.zeros(1)}
         for d in "fb":
             p |= {f"w{d}": rng.normal(size=(width, 3 * h)) / np.sqrt(width), f"u{d}": rng.normal(size=(h, 3 * h)) / np.sqrt(h), f"c{d}": np.zeros(3 * h)}
         return cls({k: v.astype(f32) for k, v in p.items()}, word_evidence, gram_evidence)
@@ -104,9 +112,9 @@ class Network:
         """A row for each distinct word."""
         word = self.p["word"][(x.hash % U(WORD_BUCKETS)).astype(np.int64)]
         gram = self.p["gram"]
-        g = _segment_mean(gram[(x.three % U(GRAM_BUCKETS)).astype(np.int64)] + gram[(x.five % U(GRAM_BUCKETS)).astype(np.int64)], x.at) if len(x.hash) else np.zeros((0, GRAM_WIDTH), f32)
+        g = _segment_mean(gram[x.three] + gram[x.five % GRAM_BUCKETS], x.at) if len(x.hash) else np.zeros((0, GRAM_WIDTH), f32)
         e = self.word_evidence[(x.hash % U(EVIDENCE_BUCKETS)).astype(np.int64)]
-        c = self.gram_evidence[(x.five % U(EVIDENCE_BUCKETS)).astype(np.int64)]
+        c = self.gram_evidence[x.five]
         c = np.maximum.reduceat(c, x.at[:-1]) if len(x.hash) else c[:0]
         return np.concatenate([word, g, e[:, None], c[:, None]], 1).astype(f32)
 
@@ -175,8 +183,8 @@ class Network:
         np.add.at(d_word, (x.hash % U(WORD_BUCKETS)).astype(np.int64), d_v[:, :WORD_WIDTH])
         size = np.diff(x.at)
         share = np.repeat(d_v[:, WORD_WIDTH : WORD_WIDTH + GRAM_WIDTH] / size[:, None], size, 0)
-        for grams in (x.three, x.five):
-            np.add.at(d_gram, (grams % U(GRAM_BUCKETS)).astype(np.int64), share)
+        for grams in (x.three, x.five % GRAM_BUCKETS):
+            np.add.at(d_gram, grams, share)
         return out | {"word": d_word, "gram": d_gram}
 
     def logits(self, x: Inputs) -> np.ndarray:
@@ -214,7 +222,7 @@ def evidence(hits: np.ndarray, rows: np.ndarray) -> np.ndarray:
     total = np.maximum(rows, 1)[:, None]
     odds = np.log((hits[1] + 0.5) / (total[1] + 1)) - np.log((hits[0] + 0.5) / (total[0] + 1))
     error = np.sqrt(1 / (hits[1] + 0.5) + 1 / (hits[0] + 0.5))
-    return (np.sign(odds) * np.maximum(np.abs(odds) - 2 * error, 0)).astype(f32)
+    return (np.sign(odds) * np.maximum(np.abs(odds) - Z * error, 0)).astype(f32)
 
 
 def trained(texts: list[str], labels: list[int]) -> Network:
@@ -237,8 +245,8 @@ def trained(texts: list[str], labels: list[int]) -> Network:
         if fit[n]:
             own = np.unique(x.word[x.first[r] : x.first[r + 1]])
             grams = [x.five[x.at[k] : x.at[k + 1]] for k in own.tolist()]
-            for kind, keys in enumerate((x.hash[own], np.concatenate(grams) if grams else x.five[:0])):
-                hits[half[n], kind, int(y[n]), np.unique(keys % U(EVIDENCE_BUCKETS)).astype(np.int64)] += 1
+            for kind, keys in enumerate(((x.hash[own] % U(EVIDENCE_BUCKETS)).astype(np.int64), np.concatenate(grams) if grams else x.five[:0])):
+                hits[half[n], kind, int(y[n]), np.unique(keys)] += 1
     rows_of = np.array([[(fit & (half == k) & (y == v)).sum() for v in (0, 1)] for k in (0, 1)])
     nets = [tuple(evidence(hits[k, kind], rows_of[k]) for kind in (0, 1)) for k in (0, 1)]
     nets.append(tuple(evidence(hits[0, kind] + hits[1, kind], rows_of.sum(0)) for kind in (0, 1)))
@@ -272,7 +280,8 @@ def trained(texts: list[str], labels: list[int]) -> Network:
                         some = order[j + rng.integers(np.searchsorted(row, r + 1) - np.searchsorted(row, r))]
                         chosen.append((i, start[some], size[some], n, 0.0, side))
         share = sum(c[4] for c in chosen) / len(chosen)
-        for _ in range(PASSES):
+        steps = sum(-(-n // BATCH) for n in np.bincount([2 * c[0] + c[5] for c in chosen]).tolist())
+        for _ in range(max(PASSES, -(-LEAST_STEPS // steps))):
             by_part: dict[tuple[int, int], list] = {}
             for c in chosen:
                 by_part.setdefault((c[0], c[5]), []).append(c)
@@ -300,7 +309,7 @@ def trained(texts: list[str], labels: list[int]) -> Network:
                     m, s = adam[k]
                     m += 0.1 * (g - m)
                     s += 0.001 * (g * g - s)
-                    net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(f32)
+                    net.p[k] -= (rate * (SLOW if k in ("word", "gram") else 1) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(f32)
     net.word_evidence, net.gram_evidence = nets[2]
     z = np.concatenate([net.logits(x) for x in parts]).astype(np.float64)
     a, b = 1.0, 0.0
