@@ -214,27 +214,27 @@ def is_rotated(upright: Column, matrix: Column) -> Column:
 
 def is_numeric_token(c: Column | str) -> Column:
     letters = F.length(F.regexp_replace(col(c), r"\P{L}", ""))
-    return col(c).rlike(r"\d") & (letters <= 2)
+    return col(c).rlike(r"\d") & (letters <= F.greatest(F.lit(1), F.floor(F.length(col(c)) / 3)))
 
 
 def is_bold(font: Column | str) -> Column:
-    return F.coalesce(F.lower(col(font)).rlike("bold|black|heavy|semibold|demi"), F.lit(False))
+    return F.coalesce(F.lower(col(font)).rlike("bold|black|heavy|-[^-]*(?:bd|demi)[^-]*$"), F.lit(False))
 
 
 def is_italic(font: Column | str) -> Column:
-    return F.coalesce(F.lower(col(font)).rlike("italic|oblique"), F.lit(False))
+    return F.coalesce(F.lower(col(font)).rlike("italic|oblique|-[^-]*it[^-]*$"), F.lit(False))
 
 
 # --- labels of captions -----------------------------------------------------------------------
 
-LABEL = r"(?i)^\s*(fig(?:ure)?s?|tab(?:le)?s?)\.?\s*([0-9]+[a-z]?|[IVX]+)\s*([.:|)\-–—]?)\s*"
+LABEL = r"(?i)^[^\p{L}\p{N}_]*(fig(?:ure)?s?|tab(?:le)?s?)\.?\s*(?:(S?\d+[A-Za-z]?|[IVX]{1,4})\b(\s*[.:|–—-])?|(\s*[.:|]))"
 
 
 def caption_label(c: Column | str) -> Column:
     """kind, num, has_sep and end (characters of the label) of a leading "Figure 2." or "Table 1 |"; null without one."""
     t = F.coalesce(col(c), F.lit(""))
     word = F.lower(F.regexp_extract(t, LABEL, 1))
-    got = F.struct(F.when(word.startswith("tab"), "table").otherwise("figure").alias("kind"), F.regexp_extract(t, LABEL, 2).alias("num"), (F.regexp_extract(t, LABEL, 3) != "").alias("has_sep"), F.length(F.regexp_extract(t, LABEL, 0)).alias("end"))
+    got = F.struct(F.when(word.startswith("tab"), "table").otherwise("figure").alias("kind"), F.nullif(F.regexp_extract(t, LABEL, 2), F.lit("")).alias("num"), ((F.regexp_extract(t, LABEL, 3) != "") | (F.regexp_extract(t, LABEL, 4) != "")).alias("has_sep"), F.length(F.regexp_extract(t, LABEL, 0)).alias("end"))
     return F.when(word != "", got)
 
 

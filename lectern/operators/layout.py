@@ -106,15 +106,15 @@ def blocks(lines_: DataFrame, order: str = "line_no", keys: tuple[str, ...] = PA
 
 def continues(before: Column, now: Column) -> Column:
     """now goes on with the sentence before: begins in lower case after three words without an end."""
-    return now.rlike(r"^\s*\p{Ll}") & (F.size(text.words(before)) >= 3) & ~F.rtrim(before).rlike(r"[.!?:;][\"')\]]*$")
+    return now.rlike(r"^\s*\p{Ll}") & (F.size(text.words(before)) >= 3) & ~F.rtrim(before).rlike("[.!?:;…)\\]\"”]$")
 
 
 def joined(lines_: Column, vocabulary: Column) -> Column:
     """Lines as one text. A hyphen at a line's end goes if the joined word is on the page and the hyphenated is not; else it stays, without a blank."""
 
     def add(acc: Column, line: Column) -> Column:
-        left = F.lower(F.regexp_extract(acc, r"(\p{L}+)-$", 1))
-        right = F.lower(F.regexp_extract(line, r"^(\p{Ll}\p{L}*)", 1))
+        left = F.lower(F.regexp_extract(acc, r"(\p{L}{2,})-$", 1))
+        right = F.lower(F.regexp_extract(line, "^([a-zß-ÿ]+)", 1))
         cut = (left != "") & (right != "") & ~acc.endswith("--")
         drop = F.array_contains(vocabulary, F.concat(left, right)) & ~F.array_contains(vocabulary, F.concat(left, F.lit("-"), right))
         return F.when(acc == "", line).when(cut & drop, F.concat(F.regexp_replace(acc, "-$", ""), line)).when(cut, F.concat(acc, line)).otherwise(F.concat(acc, F.lit(" "), line))
@@ -198,8 +198,8 @@ def table_like(words_: DataFrame, keys: tuple[str, ...] = (*PAGE, "region_id"))
 def figure_words(words_: DataFrame, body: float, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """words (line_no, region_id, kind of the region, text, size, fontname, top, bottom) with label: words of figures and tables, not of the text.
 
-    Lines that are captions, large (1.3 of the body) or short and bold stay text. A region's words are labels if under half of them stand in rows of six
-    or more, and they are 12 at most or 0.4 of them numbers on an image, or half of them numbers and 400 at most in a graphic."""
+    Lines that are captions, large (1.3 of the body) or short and bold stay text. A region's words are labels if 0.2 of them at most stand in rows of six
+    or more, and they are 12 at most or 0.4 of them numbers on an image, or 0.3 of them numbers and 400 at most in a graphic."""
     line = Window.partitionBy(*keys, "line_no")
     text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text")).over(line)), lambda w: w["text"]), " ")
     bold = (F.avg(text.is_bold("fontname").cast("double")).over(line) > 0.5) & (F.count("*").over(line) <= 8)
@@ -208,8 +208,8 @@ def figure_words(words_: DataFrame, body: float, keys: tuple[str, ...] = PAGE) -
     row = Window.partitionBy(*keys, "region_id", F.round((F.col("top") + F.col("bottom")) / 2 / F.greatest(F.lit(0.8 * body), F.lit(1.0))))
     facts = inside_.withColumns({"_prose": (F.count("*").over(row) >= 6).cast("double"), "_number": text.is_numeric_token("text").cast("double")}).groupBy(*keys, "region_id", "kind").agg(F.count("*").alias("n"), F.avg("_prose").alias("prose"), F.avg("_number").alias("numbers"))
     image = (F.col("kind") == "image") & ((F.col("n") <= 12) | (F.col("numbers") >= 0.4))
-    graphic = (F.col("kind") != "image") & (F.col("numbers") >= 0.5) & (F.col("n") <= 400)
-    labels = facts.where((F.col("prose") <= 0.5) & (image | graphic)).select(*keys, "region_id").withColumn("_label", F.lit(True))
+    graphic = (F.col("kind") != "image") & (F.col("numbers") >= 0.3) & (F.col("n") <= 400)
+    labels = facts.where((F.col("prose") <= 0.2) & (image | graphic)).select(*keys, "region_id").withColumn("_label", F.lit(True))
     out = x.join(labels, [*keys, "region_id"], "left")
     return out.withColumn("label", F.coalesce(F.col("_label") & ~F.col("_kept"), F.lit(False))).drop("_kept", "_label")
 
@@ -270,12 +270,17 @@ def label_after(labels: DataFrame, body: DataFrame, keys: tuple[str, ...] = PAGE
 
 
 def title_candidate(lines_: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Text and size of the topmost run of lines in the largest sizes (0.8 of the largest), 3 to 40 words; no addresses, no author lines."""
+    """Text and size of the topmost run of lines in the largest sizes (0.6 of the largest), 3 to 40 words; no addresses, no author lines.
+
+    A run goes on while sizes stay within a quarter and gaps within the size; an event's name in its first line is left out."""
     x = lines_.where((F.btrim("text") != "") & ~F.col("text").rlike(r"(?i)(https?://|www\.|\.(com|org|edu|net|gov|io)\b|@)") & ~text.is_author_line("text"))
-    x = x.withColumn("big", F.col("size") >= 0.8 * F.max("size").over(Window.partitionBy(*keys)))
+    x = x.withColumn("big", F.col("size") >= 0.6 * F.max("size").over(Window.partitionBy(*keys)))
     w = Window.partitionBy(*keys).orderBy("top", "line_no")
-    x = x.where("big").withColumn("_new", (F.col("top") - F.lag("bottom").over(w) > 1.2 * F.col("size")).cast("int"))
+    x = x.where("big").withColumn("_new", ((F.col("top") - F.lag("bottom").over(w) > F.col("size")) | (F.abs(F.col("size") / F.lag("size").over(w) - 1) > 0.25)).cast("int"))
     x = x.withColumn("run", F.coalesce(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "line_no", "text"))), lambda t: F.btrim(t["text"])), " ")
+    held = F.transform(F.array_sort(F.collect_list(F.struct("top", "line_no", "text"))), lambda t: F.btrim(t["text"]))
+    venue = r"(?i)\b(conference|symposium|congress|workshop|annual meeting|proceedings|summit)\b"
+    held = F.filter(held, lambda t, i: (i > 0) | (F.size(held) == 1) | ~t.rlike(venue))
+    parts = F.regexp_replace(F.array_join(held, " "), r"(\p{L})- (?=\p{Ll})", "$1")
     runs = x.groupBy(*keys, "run").agg(parts.alias("candidate"), F.max("size").alias("size")).withColumn("n", F.size(text.words("candidate"))).where("n between 3 and 40")
     return runs.groupBy(*keys).agg(F.min_by(F.struct("candidate", "size"), "run").alias("t")).select(*keys, "t.candidate", "t.size")

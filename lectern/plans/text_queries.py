@@ -143,8 +143,8 @@ def caption_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CAPTIONS = rf"""
-    WITH d AS (SELECT doc_id, {inputs.SHORT} AS s FROM documents), m AS (SELECT doc_id, s, regexp_extract(s, '{text.LABEL}', ['w', 'num', 'sep']) AS m, regexp_extract(s, '{text.LABEL}', 0) AS whole FROM d)
-    SELECT doc_id, CASE WHEN lower(m.w) LIKE 'tab%' THEN 'table' ELSE 'figure' END AS kind, m.num AS num, m.sep <> '' AS has_sep, trim(CASE WHEN m.sep <> '' THEN substr(s, length(whole) + 1) ELSE s END) AS rest FROM m WHERE m.w <> ''"""
+    WITH d AS (SELECT doc_id, {inputs.SHORT} AS s FROM documents), m AS (SELECT doc_id, s, regexp_extract(s, '{text.LABEL}', ['w', 'num', 'sep', 'sep2']) AS m, regexp_extract(s, '{text.LABEL}', 0) AS whole FROM d)
+    SELECT doc_id, CASE WHEN lower(m.w) LIKE 'tab%' THEN 'table' ELSE 'figure' END AS kind, nullif(m.num, '') AS num, m.sep <> '' OR m.sep2 <> '' AS has_sep, trim(CASE WHEN m.sep <> '' OR m.sep2 <> '' THEN substr(s, length(whole) + 1) ELSE s END) AS rest FROM m WHERE m.w <> ''"""
 
 
 def merged_captions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_markers(spark):
 
 
 def test_caption_labels(spark):
-    assert one(spark, "Table IV | Boats", text.caption_label).asDict() == {"kind": "table", "num": "IV", "has_sep": True, "end": 11}
+    assert one(spark, "Table IV | Boats", text.caption_label).asDict() == {"kind": "table", "num": "IV", "has_sep": True, "end": 10}
     assert one(spark, "Figures show", text.caption_label) is None
     assert one(spark, "Fig. 2: Depth", text.without_label) == "Depth"
 
