@@ -78,6 +78,8 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
             if batch.num_rows:
                 for out in g(batch):
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+                del batch
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, rows_in, stored
-from .linking import connected, shared_buckets
-from .textnum import U, buffers, lists, mix, slices, span_hashes
+from .linking import connected, possible, shared_buckets, sketches
+from .textnum import U, buffers, distinct_sorted, lists, mix, slices, span_hashes
 
 GRAM = 8
 BANDS, ROWS = 14, 5
@@ -146,6 +146,19 @@ def _texts_task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     return run
 
 
+def _sketch_task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offs = buffers(batch.column(1))
+        for lo, hi in slices(offs):
+            x = Lines(data, offs, lo, hi)
+            h, bounds = characters(x, np.arange(hi - lo))
+            h, row, at = distinct_sorted(h, np.repeat(np.arange(hi - lo), np.diff(bounds)), hi - lo)
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.maximum(np.diff(at), 1)), pa.array(sketches(h, row, hi - lo), pa.binary()), part.column(1)], ["class", "n", "sketch", "line"])
+
+    return run
+
+
 def similar(a: set[str], b: set[str], percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -181,13 +194,12 @@ def line_components(docs: DataFrame, percent: int = 80, n_bands: int = BANDS, n_
     spread = arrow_map(rows.select("text"), partial(_bands_task, n_bands, n_rows), "class long, sigs array<long>").select("class", F.explode("sigs").alias("sig"))
     buckets = stored(shared_buckets(spread), "buckets")
     texts = arrow_map(rows.select("text"), _texts_task, "class long, line string")
-    texts = stored(rows_in(texts, buckets, "class").dropDuplicates(["class"]), "lines")
+    texts = rows_in(texts, buckets, "class").dropDuplicates(["class"]).select("class", "line")
+    texts = stored(arrow_map(texts, _sketch_task, "class long, n long, sketch binary, line string"), "lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        size = F.length("line")
         x, y = texts.select(F.col("class").alias("a"), F.col("line").alias("x")), texts.select(F.col("class").alias("b"), F.col("line").alias("y"))
-        sized = texts.select("class", size.alias("n"))
-        near = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").select("a", "b")
+        near = possible(pairs, texts, percent)
         return arrow_map(near.join(x, "a").join(y, "b").select("a", "b", "x", "y"), partial(_verify_task, percent), "a long, b long")
 
     reached = connected(buckets, verified)

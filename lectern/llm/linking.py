@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import arrow_map, released, stored
 from .components import components
+from .textnum import U, mix
+
+#: Parts of the universe in a sketch; 64, as a part is six bits of a hash.
+CELLS = 64
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -18,6 +25,32 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("before").isNotNull() | F.col("after").isNotNull()) & ~F.col("class").eqNullSafe(F.col("before"))).select("sig", "class", "first")
 
 
+def sketches(h: np.ndarray, row: np.ndarray, rows: int) -> list[bytes]:
+    """How many elements of each set (hashes h of their rows, distinct in a row) fall into each of CELLS parts of the universe."""
+    cell = (mix(h ^ U(0xA24BAED4963EE407)) >> U(58)).astype(np.int64)
+    count = np.bincount(row * CELLS + cell, minlength=rows * CELLS).reshape(-1, CELLS)
+    return [x.tobytes() for x in np.minimum(count, 0xFFFF).astype("<u2")]
+
+
+def _possible_task(percent: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n, m = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), "<u2").reshape(-1, CELLS).astype(np.int32) for c in (4, 5))
+        differ = np.abs(x - y).sum(1)
+        ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b whose sets (class, n, sketch) may reach the threshold, by exact bounds: the sizes, and the differences in each part of the
+    universe, which sum to no more than the sets differ. They drop nearly all pairs that have only a bucket in common."""
+    few = sets.select("class", "n", "sketch")
+    both = pairs.join(few.toDF("a", "na", "sa"), "a").join(few.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return arrow_map(both, partial(_possible_task, percent), "a long, b long")
+
+
 def connected(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """class, component for all classes with a verified link to another. buckets: of shared_buckets(), stored.
 

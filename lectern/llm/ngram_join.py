@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, rows_in, stored
-from .linking import connected, shared_buckets
+from .linking import connected, possible, shared_buckets, sketches
 from .textnum import U, Words, buffers, distinct_sorted, lists, mix, shingles, slices, sums_by
 
 #: Chance that a shingle of one set is also in an unrelated set of its group, for the allocation of segments.
@@ -36,7 +36,6 @@ SHARED = 0.05
 #: Cost of comparing a candidate against writing a signature, for the same.
 COMPARE = 4.0
 SEEN = 1_000_000
-CELLS = 64
 
 
 def band_bounds(longest: int, percent: int) -> list[int]:
@@ -175,21 +174,8 @@ def _texts_task(k: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
                     seen.add(c)
                     new.append(i)
                     texts.append(zlib.compress(data[offs[lo + i] : offs[lo + i + 1]].tobytes(), 1))
-            row = np.repeat(np.arange(len(n)), n)
-            cells = np.bincount(row * CELLS + (mix(h ^ U(0xA24BAED4963EE407)) >> U(58)).astype(np.int64), minlength=len(n) * CELLS).reshape(-1, CELLS)
-            sketch = [x.tobytes() for x in np.minimum(cells[new], 0xFFFF).astype("<u2")]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array(n[new].astype(np.int64)), pa.array(sketch, pa.binary()), pa.array(texts, pa.binary())], ["class", "n", "sketch", "packed"])
-
-    return run
-
-
-def _possible_task(percent: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, m = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), "<u2").reshape(-1, CELLS).astype(np.int32) for c in (4, 5))
-        differ = np.abs(x - y).sum(1)
-        ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
-        yield batch.select(["a", "b"]).filter(pa.array(ok))
+            sketch = sketches(h, np.repeat(np.arange(len(n)), n), len(n))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array(n[new].astype(np.int64)), pa.array([sketch[i] for i in new], pa.binary()), pa.array(texts, pa.binary())], ["class", "n", "sketch", "packed"])
 
     return run
 
@@ -218,11 +204,8 @@ def _verify_task(k: int, percent: int) -> Callable[[pa.RecordBatch], Iterator[pa
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of candidate pairs a, b those that reach the threshold: by bounds first, then by the whole sets, made again from the texts.
 
-    The bounds are exact: sizes, and how many elements each set has in CELLS parts of the universe, whose differences sum to no more
-    than the sets'. They drop nearly all pairs that have only some segment in common. Texts travel compressed, a fraction of their sets."""
-    few = texts.select("class", "n", "sketch")
-    sized = pairs.join(few.toDF("a", "na", "sa"), "a").join(few.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    sized = arrow_map(sized, partial(_possible_task, percent), "a long, b long")
+    Texts travel compressed, a fraction of their sets."""
+    sized = possible(pairs, texts, percent)
     x, y = texts.select(F.col("class").alias("a"), F.col("packed").alias("x")), texts.select(F.col("class").alias("b"), F.col("packed").alias("y"))
     return arrow_map(sized.join(x, "a").join(y, "b").select("a", "b", "x", "y"), partial(_verify_task, k, percent), "a long, b long")
 

@@ -1,6 +1,6 @@
 """Whole texts as numpy arrays: words, their hashes and shingles of many texts at once.
 
-Texts stay in Arrow's own buffers. A slice holds whole texts, a few megabytes together; a longer
+Texts stay in Arrow's own buffers. A slice holds whole texts, half a megabyte together; a longer
 text is a slice of its own. Hashes are of 64 bits: polynomial over the bytes, then finalised."""
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _powers = [np.ones(1, U), np.ones(1, U)]
