@@ -48,6 +48,17 @@ def test_ngram_join_with_deletions(spark, monkeypatch):
     assert got == brute.ngram_join(rows, 4, 85)
 
 
+def test_ngram_join_with_popular_signatures(spark, monkeypatch):
+    """Sets that leave popular signatures out still meet their partners."""
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = texts() + [(300 + i, " ".join([f"q{rng.randrange(900)}" for _ in range(rng.choice([5, 60, 120]))] + passage)) for i in range(40)]
+    rows += [(400 + i, rows[-1 - i][1] + " tail") for i in range(20)]
+    got = sorted(map(tuple, ngram_join.jaccard_components(frame(spark, rows), 4, 85).collect()))
+    assert got == brute.ngram_join(rows, 4, 85)
+
+
 def test_allocation_keeps_the_guarantee():
     for h in range(1, 300):
         for sets in (2, 1000, 10**9):
