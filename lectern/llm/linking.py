@@ -14,28 +14,28 @@ from .common import arrow_map, released, stored
 from .components import components
 from .textnum import U, mix
 
-#: Parts of the universe in a sketch; 64, as a part is six bits of a hash.
-CELLS = 64
+#: Parts of the universe in a sketch; 256, as a part is eight bits of a hash.
+CELLS = 256
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Of rows sig, class those whose sig several classes have, once each, with the sig's smallest class as first."""
+    """Of rows sig, class those whose sig several classes have, once each, with the sig's smallest class as first and its rows as n."""
     by_sig = Window.partitionBy("sig").orderBy("class")
-    rows = rows.withColumns({"before": F.lag("class").over(by_sig), "after": F.lead("class").over(by_sig), "first": F.first("class").over(by_sig)})
-    return rows.where((F.col("before").isNotNull() | F.col("after").isNotNull()) & ~F.col("class").eqNullSafe(F.col("before"))).select("sig", "class", "first")
+    rows = rows.withColumns({"before": F.lag("class").over(by_sig), "after": F.lead("class").over(by_sig), "first": F.first("class").over(by_sig), "n": F.count("class").over(Window.partitionBy("sig"))})
+    return rows.where((F.col("before").isNotNull() | F.col("after").isNotNull()) & ~F.col("class").eqNullSafe(F.col("before"))).select("sig", "class", "first", "n")
 
 
 def sketches(h: np.ndarray, row: np.ndarray, rows: int) -> list[bytes]:
     """How many elements of each set (hashes h of their rows, distinct in a row) fall into each of CELLS parts of the universe."""
-    cell = (mix(h ^ U(0xA24BAED4963EE407)) >> U(58)).astype(np.int64)
+    cell = (mix(h ^ U(0xA24BAED4963EE407)) >> U(56)).astype(np.int64)
     count = np.bincount(row * CELLS + cell, minlength=rows * CELLS).reshape(-1, CELLS)
-    return [x.tobytes() for x in np.minimum(count, 0xFFFF).astype("<u2")]
+    return [x.tobytes() for x in np.minimum(count, 0xFF).astype(np.uint8)]
 
 
 def _possible_task(percent: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, m = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), "<u2").reshape(-1, CELLS).astype(np.int32) for c in (4, 5))
+        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), np.uint8).reshape(-1, CELLS).astype(np.int32) for c in (4, 5))
         differ = np.abs(x - y).sum(1)
         ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
         yield batch.select(["a", "b"]).filter(pa.array(ok))

@@ -36,6 +36,9 @@ SHARED = 0.05
 #: Cost of comparing a candidate against writing a signature, for the same.
 COMPARE = 4.0
 SEEN = 1_000_000
+#: Segments beyond those needed, in a hundred; and sets that share a signature before it is left out where that is possible.
+SPARE = 15
+HOT = 16
 
 
 def band_bounds(longest: int, percent: int) -> list[int]:
@@ -61,7 +64,7 @@ def allocation(differences: int, least: int, sets: int) -> tuple[int, int]:
     near = np.arange(differences // 2 + 2)
     needed = np.maximum(differences + 1 - 2 * near, 0) + near
     for spare in range(0, 12):
-        m = needed + spare
+        m = needed + spare + -(-needed * SPARE // 100)
         empty = m * (1 - 1 / m) ** least
         term = np.exp(-empty)
         rest = 1 - term
@@ -119,10 +122,12 @@ def signatures(h: np.ndarray, row: np.ndarray, at: np.ndarray, which: np.ndarray
     room = np.bincount(of, (count > 0) + (twice & (count > 1)), minlength=len(which))
     scarce = room < need
     full = (count > 0) | scarce[of]
-    sig, set_of = mix(sums + salt)[full], of[full]
+    # The lowest bit is the group's parity: a set is in two groups that follow one another.
+    parity = (group & 1).astype(U)
+    sig, set_of = (mix(sums + salt) & ~U(1) | parity[of])[full], of[full]
     less = np.flatnonzero(twice[flat] & ((count[flat] > 1) | scarce[own]))
     if len(less):
-        sig = np.concatenate([sig, mix(sums[flat[less]] - z[less] + salt[flat[less]])])
+        sig = np.concatenate([sig, mix(sums[flat[less]] - z[less] + salt[flat[less]]) & ~U(1) | parity[own[less]]])
         set_of = np.concatenate([set_of, own[less]])
         order = np.argsort(set_of, kind="stable")
         sig, set_of = sig[order], set_of[order]
@@ -159,6 +164,31 @@ def _signature_task(k: int, bounds: list[int], plan: dict[int, tuple[int, int, i
     return run
 
 
+def _spare_task(k: int, bounds: list[int], plan: dict[int, tuple[int, int, int]]) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """Of packed texts, for each of their groups: its parity, and how many whole segments a set has beyond those that the guarantee needs."""
+    bands = np.array(bounds)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            texts = pa.array([zlib.decompress(x.as_py()) for x in part.column(1)], pa.binary()).cast(pa.string())
+            rows: tuple[list, list, list] = ([], [], [])
+            for a, _, h, _, at in _sets(pa.RecordBatch.from_arrays([texts, texts], ["", "text"]), k):
+                size = np.diff(at)
+                band = np.searchsorted(bands, size, "right") - 1
+                for i in range(len(size)):
+                    for g in (int(band[i]), int(band[i]) - 1):
+                        if g in plan:
+                            m, _, need = plan[g]
+                            segment = (mix(h[at[i] : at[i + 1]] + U(0x2545F4914F6CDD1D)) >> U(32)) * U(m) >> U(32)
+                            rows[0].append(part.column(0)[a + i].as_py())
+                            rows[1].append(g & 1)
+                            rows[2].append(len(np.unique(segment)) - need)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], ["class", "parity", "spare"])
+
+    return run
+
+
 def _texts_task(k: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     seen: set[int] = set()
 
@@ -242,6 +272,13 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, text: str
     speakers = members.join(in_buckets, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     texts = arrow_map(rows_in(rows, speakers, "doc_id").select("doc_id", "text"), partial(_texts_task, k), "class long, n long, sketch binary, packed binary")
     texts = stored(texts.join(in_buckets, "class", "left_semi").dropDuplicates(["class"]), "texts")
+    # A signature that many sets have costs most and is left out by sets that have enough others: if one of two partners has, after that,
+    # as many segments as the guarantee needs, they meet in one of these. Sets that have not stay, and meet in the popular ones.
+    hot = buckets.where(F.col("n") > HOT).withColumn("parity", F.col("sig").bitwiseAND(F.lit(1)))
+    spare = arrow_map(texts.select("class", "packed"), partial(_spare_task, k, bounds, plan), "class long, parity long, spare long")
+    rich = hot.groupBy("class", "parity").agg(F.count(F.lit(1)).alias("hot")).join(spare, ["class", "parity"]).where("hot <= spare").select("class", "parity")
+    poor = hot.join(rich, ["class", "parity"], "left_anti").select("sig", "class")
+    buckets = stored(shared_buckets(buckets.where(F.col("n") <= HOT).select("sig", "class").unionAll(poor)), "buckets")
     reached = connected(buckets, lambda pairs: _verified(pairs, texts, k, percent))
 
     of_class = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
