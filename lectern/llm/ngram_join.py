@@ -33,8 +33,8 @@ from .textnum import U, Words, buffers, distinct_sorted, lists, mix, shingles, s
 
 #: Chance that a shingle of one set is also in an unrelated set of its group, for the allocation of segments.
 SHARED = 0.05
-#: Cost of comparing a candidate against writing a signature, for the same.
-COMPARE = 4.0
+#: Cost of comparing a candidate (by bounds, which drop nearly all) against writing a signature, for the same.
+COMPARE = 0.5
 SEEN = 1_000_000
 #: Segments beyond those needed, in a hundred; and sets that share a signature before it is left out where that is possible.
 SPARE = 15
@@ -68,9 +68,9 @@ def allocation(differences: int, least: int, sets: int) -> tuple[int, int]:
         empty = m * (1 - 1 / m) ** least
         term = np.exp(-empty)
         rest = 1 - term
-        for j in range(1, spare + 1):
+        for j in range(1, int((m - needed).max()) + 1):
             term = term * empty / j
-            rest = rest - term
+            rest = rest - np.where(j <= m - needed, term, 0)
         n, chance = least / m, sets * COMPARE
         cost = (m - near) * (1 + chance * SHARED**n) + near * (1 + n) * (1 + chance * SHARED ** np.maximum(n - 1, 0)) + m * chance * np.maximum(rest, 0) ** 2
         i = int(np.argmin(cost))

@@ -64,7 +64,7 @@ def test_allocation_keeps_the_guarantee():
         for sets in (2, 1000, 10**9):
             m, near = ngram_join.allocation(h, 6 * h, sets)
             assert m + near >= h + 1 and near <= m
-    assert ngram_join.allocation(1, 6, 10**9)[1] > 0  # cost moves it to deletions
+    assert ngram_join.allocation(10, 60, 1000)[1] == 0 and ngram_join.allocation(10, 60, 10**9)[1] > 0  # cost moves it to deletions
 
 
 def test_null_ids(spark):
