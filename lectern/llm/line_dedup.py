@@ -4,8 +4,9 @@ A line is what stands between line ends; lines of white space only are kept and
 Equal lines are one class. A class is its set of shingles of GRAM characters (a shorter line is one shingle); two
 classes are linked when their sets' Jaccard similarity is at least 0.8. Candidates share a band of ROWS
 minimum hashes; with 14 bands of 5 a pair at 0.8 is a candidate with probability 0.996, at 0.85 with 0.9999.
-Lines of 96 shingles or more take their minima over the quarter of shingles with hashes divisible by 4, lines of under 128
-over all (those between do both, so both sides of a pair have a signature in common). Every candidate
+Lines of 96 distinct shingles or more take their minima over the quarter of shingles with hashes divisible by 4, lines of
+under 128 over all (those between do both, so both sides of a pair have a signature in common; so do longer ones with under
+SMALL shingles in the quarter, so none is without bands). Repeats within a line count once. Every candidate
 is verified on the whole lines' sets of characters. Of each component the first line in order of
 documents stays, in all its documents but the first equal lines go too."""
 
@@ -26,6 +27,8 @@ from .textnum import U, buffers, distinct_sorted, lists, mix, slices, span_hashe
 GRAM = 8
 BANDS, ROWS = 14, 5
 SEEN = 1_000_000
+#: A long line with fewer distinct shingles than this in the quarter takes its minima over all shingles, too.
+SMALL = 8
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(9, 14)]] = True
 
@@ -96,6 +99,13 @@ def _places_task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     return run
 
 
+def _runs(h: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the lines `own`, and their bounds."""
+    size = bounds[own + 1] - bounds[own]
+    at = np.concatenate([[0], np.cumsum(size)])
+    return h[np.arange(int(at[-1])) + np.repeat(bounds[own] - at[:-1], size)], at
+
+
 def _bands_task(n_bands: int, n_rows: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     seen: set[int] = set()
 
@@ -113,20 +123,21 @@ def _bands_task(n_bands: int, n_rows: int) -> Callable[[pa.RecordBatch], Iterato
             which = np.array(new, np.int64)
             h, bounds = characters(x, which)
             size = np.diff(bounds)
-            for salt, ok in ((1, (size > 0) & (size < 128)), (2, size >= 96)):
+            n, parts = size.copy(), np.zeros(len(size), np.int64)
+            long = np.flatnonzero(size >= 96)
+            if len(long):  # only these can have 96 distinct shingles
+                g, at = _runs(h, bounds, long)
+                g, row, at = distinct_sorted(g, np.repeat(np.arange(len(long)), np.diff(at)), len(long))
+                n[long], parts[long] = np.diff(at), np.bincount(row[(g & U(3)) == 0], minlength=len(long))
+            # A long line with a small quarter emits both, so it shares a salt with each line near its scale.
+            for salt, ok in ((1, (n > 0) & ((n < 128) | (parts < SMALL))), (2, (n >= 96) & (parts > 0))):
                 own = np.flatnonzero(ok)
                 if not len(own):
                     continue
-                pick = np.arange(int(size[own].sum())) + np.repeat(bounds[own] - (np.cumsum(size[own]) - size[own]), size[own])
-                g, at = h[pick], np.concatenate([[0], np.cumsum(size[own])])
+                g, at = _runs(h, bounds, own)
                 if salt == 2:
                     part = (g & U(3)) == 0
-                    total = np.concatenate([[0], np.cumsum(part)])
-                    g, at = g[part], total[at]
-                    full = np.diff(at) > 0  # a line without any such shingle is found by none; 96 or more all missing it is one in 10**12
-                    own, at = own[full], np.concatenate([at[:-1][full], at[-1:]])
-                    if not len(own):
-                        continue
+                    g, at = g[part], np.concatenate([[0], np.cumsum(part)])[at]
                 sig = bands(g, at, salt, n_bands, n_rows)
                 yield pa.RecordBatch.from_arrays([pa.array(x.hash[which[own]].astype(np.int64)), lists(pa.array(sig.ravel().astype(np.int64)), np.arange(len(own) + 1) * n_bands)], ["class", "sigs"])
 

@@ -205,6 +205,20 @@ def test_line_dedup(spark):
     assert line_dedup.line_digest(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_with_repetitive_lines(spark):
+    """Lines with the same few shingles are found at any lengths: rulers, and phrases repeated."""
+    rng = random.Random(8)
+    pool = [c * n for c in "-=_*~#+.ox" for n in (20, 100, 130, 200, 900)]
+    for i in range(12):
+        phrase = "".join(rng.choices("abcdefghij ", k=rng.choice([3, 15, 40]))) + str(i)
+        pool += [(phrase * 100)[:n] for n in (90, 120, 180, 600)]
+    pool += ["".join(rng.choices("klmnop", k=n)) + "z" * n for n in (95, 103, 127, 140)]
+    pool += [x[:-3] for x in pool[-4:]]
+    rows = [(i, f"head {i} of it\n{x}") for i, x in enumerate(pool)]
+    got = line_dedup.deduped_lines(frame(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in got} == brute.lines_kept(rows)
+
+
 def test_quality_and_toxicity(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     for digest, label, least in ((quality.quality_digest, "quality", 0.93), (toxicity.toxicity_digest, "toxic", 0.85)):
