@@ -325,14 +325,23 @@ def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("cap_no").cast("long").alias("cap_no"), "kind", "label", "source", F.size("blocks").cast("long").alias("n_blocks"))
 
 
-def region_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words inside regions, by an equi-join on grid rows, and which regions look like tables."""
-    words = inputs.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 200 AS doc_id", "1 AS page", "l_partkey AS word", "l_linenumber AS n", "l_quantity * 10 AS x0", "(l_partkey * 17) % 700 + 0.5D AS y", "l_quantity * 10 + 20 AS x1", "(l_partkey * 17) % 700 - 4.5D AS top", "(l_partkey * 17) % 700 + 5.5D AS bottom", "10.0D AS size")
-    regions = inputs.table(spark, sf_dir, "part").where("p_partkey <= 600").selectExpr("p_partkey % 200 AS doc_id", "1 AS page", "CAST(p_partkey AS INT) AS region_id", "CAST(p_size * 4 AS DOUBLE) AS x0", "CAST(p_size * 4 + 200 AS DOUBLE) AS x1", "CAST((p_partkey * 7) % 500 AS DOUBLE) AS top", "CAST((p_partkey * 7) % 500 + 160 AS DOUBLE) AS bottom")
+def _region_words(spark: SparkSession, sf_dir: str, of_word: str, of_region: str, parts: str) -> DataFrame:
+    words = inputs.table(spark, sf_dir, "lineitem").selectExpr(f"{of_word} AS doc_id", "1 AS page", "l_partkey AS word", "l_linenumber AS n", "l_quantity * 10 AS x0", "(l_partkey * 17) % 700 + 0.5D AS y", "l_quantity * 10 + 20 AS x1", "(l_partkey * 17) % 700 - 4.5D AS top", "(l_partkey * 17) % 700 + 5.5D AS bottom", "10.0D AS size")
+    regions = inputs.table(spark, sf_dir, "part").where(parts).selectExpr(f"{of_region} AS doc_id", "1 AS page", "CAST(p_partkey AS INT) AS region_id", "CAST(p_size * 4 AS DOUBLE) AS x0", "CAST(p_size * 4 + 200 AS DOUBLE) AS x1", "CAST((p_partkey * 7) % 500 AS DOUBLE) AS top", "CAST((p_partkey * 7) % 500 + 160 AS DOUBLE) AS bottom")
     held = layout.inside(words.distinct(), regions, "x0", "y").where("region_id is not null")
     return layout.table_like(held).join(held.groupBy("doc_id", "page", "region_id").agg(F.count("*").alias("n_words")), ["doc_id", "page", "region_id"]).select("doc_id", F.col("region_id").cast("long").alias("region_id"), "n_words", "table_like")
 
 
+def region_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words inside the regions of the first 600 parts, by an equi-join on grid rows, and which regions look like tables."""
+    return _region_words(spark, sf_dir, "l_orderkey % 200", "p_partkey % 200", "p_partkey <= 600")
+
+
+def region_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region_words() over all parts; pages grow in number with the tables and hold three regions each."""
+    return _region_words(spark, sf_dir, "l_orderkey * 2 div 45", "p_partkey div 3", "true")
+
+
 INSIDE = """
     WITH w AS (SELECT DISTINCT l_orderkey % 200 AS doc_id, l_partkey AS word, l_linenumber AS n, l_quantity * 10 AS x0, ((l_partkey * 17) % 700)::DOUBLE + 0.5 AS y FROM lineitem),
     r AS (SELECT p_partkey % 200 AS doc_id, p_partkey AS region_id, p_size * 4 AS a, p_size * 4 + 200 AS b, (p_partkey * 7) % 500 AS t, (p_partkey * 7) % 500 + 160 AS u FROM part WHERE p_partkey <= 600),
@@ -341,6 +350,7 @@ INSIDE = """
     rw AS (SELECT doc_id, region_id, row, count(*) AS n FROM g GROUP BY ALL), f AS (SELECT doc_id, region_id, sum(n) AS words, count(*) AS rows_, sum((n >= 2)::INT) AS multi FROM rw GROUP BY ALL),
     s AS (SELECT doc_id, region_id, count(*) AS repeated FROM (SELECT g.doc_id, g.region_id, g.col, count(DISTINCT g.row) AS k, any_value(f.multi) AS multi FROM g JOIN rw ON g.doc_id = rw.doc_id AND g.region_id = rw.region_id AND g.row = rw.row AND rw.n >= 2 JOIN f ON f.doc_id = g.doc_id AND f.region_id = g.region_id GROUP BY 1, 2, 3) WHERE k >= 0.6 * multi GROUP BY 1, 2)
     SELECT f.doc_id, f.region_id, words::BIGINT AS n_words, words >= 6 AND rows_ >= 3 AND multi >= 0.6 * rows_ AND coalesce(repeated, 0) >= 2 AS table_like FROM f LEFT JOIN s ON f.doc_id = s.doc_id AND f.region_id = s.region_id"""
+INSIDE_WHOLE = INSIDE.replace("l_orderkey % 200", "l_orderkey * 2 // 45").replace("p_partkey % 200", "p_partkey // 3").replace(" WHERE p_partkey <= 600", "")
 
 
 def interleaved_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,12 +416,12 @@ QUERIES = {
     "organisations": organisations, "persons": persons, "funders": funders, "headers": headers, "creators_grounded": creators_grounded, "joined_creators": joined_creators, "marker_runs": marker_runs, "json_repairs": json_repairs, "captions_normalised": captions_normalised,
     "affiliations_coerced": affiliations_coerced, "funding_normalised": funding_normalised, "subjects_normalised": subjects_normalised, "sections_kept": sections_kept, "validations": validations, "file_kinds": file_kinds, "text_sources": text_sources, "mode_sizes": mode_sizes,
     "glyph_stats": glyph_stats, "page_gaps": page_gaps, "weighted_medians": weighted_medians, "body_sizes": body_sizes, "baselines": baselines, "page_words": page_words, "page_blocks": page_blocks, "page_reading": page_reading, "partitions": partitions, "column_cuts": column_cuts,
-    "reading_bands": reading_bands, "side_labels": side_labels, "figure_captions": figure_captions, "region_words": region_words, "interleaved_lanes": interleaved_lanes, "title_candidates": title_candidates, "phantom_blanks": phantom_blanks, "metadata_records": metadata_records,
+    "reading_bands": reading_bands, "side_labels": side_labels, "figure_captions": figure_captions, "region_words": region_words, "region_words_whole": region_words_whole, "interleaved_lanes": interleaved_lanes, "title_candidates": title_candidates, "phantom_blanks": phantom_blanks, "metadata_records": metadata_records,
     "record_json": record_json, "better_attempts": better_attempts,
 }
 ORACLE_SQL = {
     "numbered_affiliations": NUMBERED, "copied_strings": COPIED,
     "organisations": ORGANISATIONS, "persons": PERSONS, "funders": FUNDERS, "headers": HEADERS, "joined_creators": JOINED, "json_repairs": REPAIRS, "captions_normalised": CAPTION_ROWS, "affiliations_coerced": AFFILIATIONS, "funding_normalised": FUNDING,
     "subjects_normalised": SUBJECTS, "sections_kept": KEPT, "validations": VALIDATIONS, "file_kinds": KINDS, "text_sources": SOURCES, "mode_sizes": MODES, "glyph_stats": STATS, "page_gaps": GAPS, "weighted_medians": MEDIANS, "body_sizes": BODY, "baselines": BASELINES,
-    "column_cuts": COLUMNS, "region_words": INSIDE, "phantom_blanks": PHANTOMS, "record_json": JSON, "better_attempts": ATTEMPTS,
+    "column_cuts": COLUMNS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "better_attempts": ATTEMPTS,
 }

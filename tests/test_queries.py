@@ -40,6 +40,16 @@ def test_query(spark, db, name):
     assert rows(df.columns, got) == rows(columns, want.fetchall())
 
 
+def test_region_words_of_all_parts(spark):
+    """At sf0.01 there are 2,000 parts: all are regions, as in the SQL."""
+    big = D.replace("0.001", "0.01")
+    got = registry.QUERIES["region_words_whole"](spark, big)
+    want = duckdb.sql(registry.ORACLE_SQL["region_words_whole"].replace("FROM lineitem", f"FROM '{big}/lineitem.parquet'").replace("FROM part", f"FROM '{big}/part.parquet'"))
+    found = got.collect()
+    assert rows(got.columns, found) == rows(want.columns, want.fetchall())
+    assert max(r.region_id for r in found) > 1900 and any(r.table_like for r in found)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
