@@ -1,5 +1,7 @@
 """Each query with SQL against DuckDB on the smallest tables; the others run."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -50,6 +52,41 @@ def test_region_words_of_all_parts(spark):
     assert max(r.region_id for r in found) > 1900 and any(r.table_like for r in found)
 
 
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above = 0
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], above + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_lcs_in_blocks(monkeypatch):
+    from lectern.operators import lines
+
+    rng = random.Random(5)
+    for bits in (1, 3, 64, 4096):
+        monkeypatch.setattr(lines, "LCS_BITS", bits)
+        for _ in range(150):
+            a, b = (rng.choices("abcde"[: rng.randint(1, 5)], k=rng.randrange(40)) for _ in "ab")
+            assert lines.lcs(a, b) == plain_lcs(a, b)
+    a, b = (rng.choices([f"w{i}" for i in range(300)], k=20_000) for _ in "ab")
+    assert 0 < lines.lcs(a, b) == lines.lcs(b, a)
+
+
+def test_rouge_reads_whole_texts(spark, tmp_path):
+    """A text far longer than 400 characters, against a plain LCS."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choices(["river", "depth", "the", "boat", "x1", "Été"], k=n))) for i, n in enumerate([0, 1, 30, 700])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in registry.QUERIES["rouge"](spark, str(tmp_path)).collect():
+        a = docs[r.doc_id][1].lower().split()
+        kept = [w for i, w in enumerate(docs[r.doc_id][1].split(" ")) if i % 7 != 3]
+        b = " ".join("other" if i % 11 == 5 else w for i, w in enumerate(kept)).lower().split()
+        want = 2 * plain_lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
+        assert abs(r.rouge_l - want) < 1e-6
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
