@@ -285,7 +285,8 @@ BLOCKS = ("doc_id % 100 AS doc_id", "1 AS page", "CAST(doc_id AS INT) AS seq", "
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.table(spark, sf_dir, "documents").selectExpr(*BLOCKS)
+    """BLOCKS with the whole texts."""
+    return inputs.table(spark, sf_dir, "documents").selectExpr(*["text" if b.endswith(" AS text") else b for b in BLOCKS])
 
 
 def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +360,8 @@ def interleaved_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = inputs.table(spark, sf_dir, "documents").selectExpr("doc_id % 200 AS doc_id", "CAST(doc_id AS INT) AS line_no", "substr(text, 1, 40) AS text", "CAST(doc_id AS DOUBLE) AS top", "CAST(doc_id + 10 AS DOUBLE) AS bottom", "CAST(10 + doc_id % 7 AS DOUBLE) AS size")
+    """Every line of a text is a line of its page; sizes change each third line."""
+    lines = inputs.table(spark, sf_dir, "documents").selectExpr("doc_id", "posexplode(split(text, chr(10))) AS (line_no, text)").selectExpr("doc_id", "line_no", "text", "line_no * 12.0D AS top", "line_no * 12.0D + 10 AS bottom", "CAST(10 + (doc_id + line_no div 3) % 7 AS DOUBLE) AS size")
     return layout.title_candidate(lines)
 
 

@@ -53,7 +53,7 @@ def ocr_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inline_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.documents(spark, sf_dir, "concat(substr(text, 1, 80), '. REFERENCES: 1. Doe FUNDING: none. TWINS — Our second sample') AS a", "concat('Figure 1: Depth. See Table 9: not here. Figure 2: Boats ', CAST(doc_id AS STRING)) AS b")
+    docs = inputs.documents(spark, sf_dir, "concat(text, '. REFERENCES: 1. Doe FUNDING: none. TWINS — Our second sample') AS a", "concat('Figure 1: Depth. See Table 9: not here. Figure 2: Boats ', CAST(doc_id AS STRING)) AS b")
     return docs.select("doc_id", F.size(F.split(lines.inline_split(F.col("a")), "\n## ")).alias("n_parts"), lines.inline_captions(F.col("b")).alias("captions"))
 
 
@@ -110,9 +110,12 @@ def uncaptured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every predicate over short strings."""
+    return _predicates(inputs.documents(spark, sf_dir, f"{inputs.SHORT} AS s"), "doc_id")
+
+
+def _predicates(rows: DataFrame, key: str) -> DataFrame:
     s = F.col("s")
-    docs = inputs.documents(spark, sf_dir, f"{inputs.SHORT} AS s")
-    return docs.select("doc_id", text.is_placeholder(s).alias("placeholder"), text.is_section_label(s).alias("section_label"), text.is_section_keyword(s).alias("keyword"), text.is_bare_label(s).alias("bare_label"), text.looks_like_header(s).alias("header"), text.looks_like_sentence(s).alias("sentence"), text.is_author_line(s).alias("author_line"), text.is_rights_junk(s).alias("junk"), text.ran_into_body(s).alias("body"))
+    return rows.select(key, text.is_placeholder(s).alias("placeholder"), text.is_section_label(s).alias("section_label"), text.is_section_keyword(s).alias("keyword"), text.is_bare_label(s).alias("bare_label"), text.looks_like_header(s).alias("header"), text.looks_like_sentence(s).alias("sentence"), text.is_author_line(s).alias("author_line"), text.is_rights_junk(s).alias("junk"), text.ran_into_body(s).alias("body"))
 
 
 PREDICATES = rf"""
@@ -137,9 +140,33 @@ PREDICATES = rf"""
     FROM x"""
 
 
-def caption_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.lines_of(inputs.documents(spark, sf_dir, "text"))
+    return rows.select(F.concat_ws(":", "doc_id", "pos").alias("line_id"), F.col("line").alias("s"))
+
+
+def _of_lines(sql: str) -> str:
+    """SQL over the short strings, over all lines instead."""
+    of_line = sql.replace("SELECT doc_id, ", "SELECT line_id, ").replace("SELECT doc_id,\n", "SELECT line_id,\n")
+    return of_line.replace(f"SELECT line_id, {inputs.SHORT} AS s FROM documents", f"SELECT concat(doc_id, ':', pos) AS line_id, line AS s FROM ({LINES % 'text'})")
+
+
+def predicates_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every predicate over every line of every text."""
+    return _predicates(_line_rows(spark, sf_dir), "line_id")
+
+
+def caption_labels_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _caption_labels(_line_rows(spark, sf_dir), "line_id")
+
+
+def _caption_labels(rows: DataFrame, key: str) -> DataFrame:
     lab = text.caption_label("s")
-    return inputs.documents(spark, sf_dir, f"{inputs.SHORT} AS s").where(lab.isNotNull()).select("doc_id", lab["kind"].alias("kind"), lab["num"].alias("num"), lab["has_sep"].alias("has_sep"), text.without_label("s").alias("rest"))
+    return rows.where(lab.isNotNull()).select(key, lab["kind"].alias("kind"), lab["num"].alias("num"), lab["has_sep"].alias("has_sep"), text.without_label("s").alias("rest"))
+
+
+def caption_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _caption_labels(inputs.documents(spark, sf_dir, f"{inputs.SHORT} AS s"), "doc_id")
 
 
 CAPTIONS = rf"""
@@ -148,7 +175,8 @@ CAPTIONS = rf"""
 
 
 def merged_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.documents(spark, sf_dir, "array(substr(text, 1, 60)) AS found", "array(substr(text, 5, 50), 'words that are not there at all', substr(text, 100, 60)) AS model", "text")
+    """Of the whole lines of a text the first is found; the model has the last, one that is not there, and one of which some words are."""
+    docs = inputs.documents(spark, sf_dir, "array(split(text, chr(10))[0]) AS found", "array(element_at(split(text, chr(10)), -1), 'words that are not there at all', concat('words ', element_at(split(text, chr(10)), -1)), split(text, chr(10))[0]) AS model", "text")
     merged = docs.select("doc_id", lines.merged_captions(F.col("found"), F.col("model"), F.col("text")).alias("c"))
     return merged.select("doc_id", F.size("c").alias("n_captions"))
 
@@ -284,11 +312,18 @@ def unicode_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[F.md5(f("t").cast("binary")).alias(n) for n, f in (("normalized", text.normalized), ("cleaned", text.cleaned), ("for_model", text.for_model), ("marked", text.right_to_left_marked), ("valid", text.valid_utf8))])
 
 
-def plain_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.documents(spark, sf_dir, "concat('# **', substr(text, 1, 20), '** __x__, Spain') AS t")
+def _plain_forms(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alphanumeric("t").alias("alphanumeric"), text.without_markdown("t").alias("plain"), text.without_country("t").alias("place"), text.alnum_key("t").alias("key"))
 
 
+def plain_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_forms(inputs.documents(spark, sf_dir, "concat('# **', substr(text, 1, 20), '** __x__, Spain') AS t"))
+
+
+def plain_forms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_forms(inputs.documents(spark, sf_dir, "concat('# **', text, '** __x__, Spain') AS t"))
+
+
 FORMS = r"""
     WITH d AS (SELECT doc_id, concat('# **', substr(text, 1, 20), '** __x__, Spain') AS t FROM documents)
     SELECT doc_id, lower(trim(regexp_replace(regexp_replace(t, '[^a-zA-Z0-9\s]', '', 'g'), '\s+', ' ', 'g'))) AS alphanumeric,
@@ -308,13 +343,18 @@ RUNAWAY = """
     SELECT doc_id, array_to_string(list_filter([CASE WHEN failed THEN 'error' END, CASE WHEN capped THEN 'capped' END, CASE WHEN one THEN 'one section' END, CASE WHEN more THEN 'longer than text' END], lambda x: x IS NOT NULL), ',') AS reasons,
         round(CASE WHEN failed THEN 10.0::DOUBLE ELSE 0 END + CASE WHEN capped THEN 2 ELSE 0 END + CASE WHEN one THEN share ELSE 0 END + CASE WHEN more THEN ratio ELSE 0 END, 6) AS score FROM f"""
 
+FORMS_WHOLE = FORMS.replace("substr(text, 1, 20)", "text")
+PREDICATES_OF_LINES, CAPTIONS_OF_LINES = _of_lines(PREDICATES), _of_lines(CAPTIONS)
+
 QUERIES = {
+    "plain_forms_whole": plain_forms_whole, "predicates_of_lines": predicates_of_lines, "caption_labels_of_lines": caption_labels_of_lines,
     "sections": sections, "line_runs": line_runs, "collapsed_repeats": collapsed_repeats, "ocr_headers": ocr_headers, "inline_splits": inline_splits, "normalised_duplicates": normalised_duplicates, "numerals": numerals, "tokens": tokens,
     "shingle_coverage": shingle_coverage, "uncaptured_lines": uncaptured_lines, "predicates": predicates, "caption_labels": caption_labels, "merged_captions": merged_captions, "caption_spans": caption_spans, "identifiers_found": identifiers_found,
     "identifier_schemes": identifier_schemes, "identifiers_placed": identifiers_placed, "link_annotations": link_annotations, "license_matches": license_matches, "rights_lists": rights_lists, "titles_grounded": titles_grounded, "languages": languages,
     "language_gates": language_gates, "capture_metrics": capture_metrics, "rouge": rouge, "unicode_forms": unicode_forms, "plain_forms": plain_forms, "runaway_scores": runaway_scores,
 }
 ORACLE_SQL = {
+    "plain_forms_whole": FORMS_WHOLE, "predicates_of_lines": PREDICATES_OF_LINES, "caption_labels_of_lines": CAPTIONS_OF_LINES,
     "sections": SECTIONS, "line_runs": LINE_RUNS, "normalised_duplicates": DUPLICATES, "numerals": NUMERALS, "tokens": TOKENS, "shingle_coverage": COVERAGE, "predicates": PREDICATES, "caption_labels": CAPTIONS, "identifiers_found": IDENTIFIERS,
     "identifier_schemes": SCHEMES, "link_annotations": LINKS, "license_matches": LICENSES, "language_gates": GATES, "capture_metrics": METRICS, "plain_forms": FORMS, "runaway_scores": RUNAWAY,
 }

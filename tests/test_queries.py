@@ -87,6 +87,26 @@ def test_rouge_reads_whole_texts(spark, tmp_path):
         assert abs(r.rouge_l - want) < 1e-6
 
 
+def test_what_comes_late_in_a_text_is_read(spark, tmp_path):
+    """Heads, captions, markdown and long lines beyond the characters that the queries once read."""
+    long = "the depth of the river was measured " * 20
+    docs = [(0, f"{long}\n{long}. FUNDING: none. TWINS — Our second sample"), (1, f"{long}\nFigure 4. Boats and more boats"), (2, f"{long}\n**bold** at the end\n" + "Boats of the Lower River")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def run(name):
+        return registry.QUERIES[name](spark, str(tmp_path))
+
+    assert {r.doc_id: r.n_parts for r in run("inline_splits").collect()} == {0: 6, 1: 4, 2: 4}
+    assert [(r.line_id, r.kind, r.num) for r in run("caption_labels_of_lines").collect()] == [("1:1", "figure", "4")]
+    assert [r.line_id for r in run("predicates_of_lines").where("header").collect()] == ["2:2"]
+    assert all(len(r.alphanumeric) > 700 for r in run("plain_forms_whole").collect())
+    assert {r.doc_id: r.n_captions for r in run("merged_captions").collect()} == {0: 1, 1: 2, 2: 2}
+    assert {r.doc_id: r.candidate for r in run("title_candidates").collect()}.get(0) is None
+    from lectern.plans import record_queries
+
+    assert {r.block_no: r.text for r in record_queries._blocks(spark, str(tmp_path)).collect()} == dict(docs)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
