@@ -270,7 +270,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, text: str
     buckets = stored(shared_buckets(spread), "buckets")
     in_buckets = buckets.select("class").distinct()
     speakers = members.join(in_buckets, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    texts = arrow_map(rows_in(rows, speakers, "doc_id").select("doc_id", "text"), partial(_texts_task, k), "class long, n long, sketch binary, packed binary")
+    # No id finds a class that only rows without id have: all of these are read.
+    speaking = rows_in(rows, speakers, "doc_id").select("doc_id", "text").unionAll(rows.where("doc_id is null"))
+    texts = arrow_map(speaking, partial(_texts_task, k), "class long, n long, sketch binary, packed binary")
     texts = stored(texts.join(in_buckets, "class", "left_semi").dropDuplicates(["class"]), "texts")
     # A signature that many sets have costs most and is left out by sets that have enough others: if one of two partners has, after that,
     # as many segments as the guarantee needs, they meet in one of these. Sets that have not stay, and meet in the popular ones.

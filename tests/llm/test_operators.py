@@ -73,6 +73,16 @@ def test_null_ids(spark):
     assert sorted((r.doc_id is None, r.component_id) for r in got if r.n_shingles) == [(False, 4), (True, 4)]
 
 
+def test_near_copies_with_null_ids(spark):
+    """Texts that only rows without id have are linked as others."""
+    rng = random.Random(9)
+    a, b = ([f"w{rng.randrange(500)}" for _ in range(120)] for _ in "ab")
+    near_a, near_b = [*a[:-1], "other"], [*b[:-1], "other"]
+    rows = [(4, a), (None, near_a), (None, b), (None, near_b), (6, ["alone"] * 9), (None, ["apart"] * 9)]
+    got = ngram_join.jaccard_components(frame(spark, [(i, " ".join(t)) for i, t in rows])).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles > 9, r.component_id or 0) for r in got) == [(0, False, 0), (0, True, 0), (0, True, 0), (0, True, 4), (4, True, 4), (6, False, 6)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 5), (7, 7)]
