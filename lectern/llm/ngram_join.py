@@ -79,6 +79,19 @@ def allocation(differences: int, least: int, sets: int) -> tuple[int, int]:
     return best
 
 
+def group_plan(bounds: list[int], held: dict, percent: int) -> dict[int, tuple[int, int, int]]:
+    """By group: segments, with deletions, H + 1. held: by band n (about how many classes, for the cost alone), low and high (the least and the greatest).
+
+    A group is left out only if its first band is empty (the next group has the rest) or it is a single class."""
+    plan = {}
+    for g in range(len(bounds) - 1):
+        h = most_differences(bounds[g + 1] - 1, percent)
+        own = [held[b] for b in (g, g + 1) if b in held]
+        if h and g in held and min(x.low for x in own) < max(x.high for x in own):
+            plan[g] = (*allocation(h, bounds[g], max(2, sum(x.n for x in own))), h + 1)
+    return plan
+
+
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     data, offs = buffers(batch.column(1))
     for lo, hi in slices(offs):
@@ -251,20 +264,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, text: str
     table gives an empty result. Working tables are in the shared folder."""
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     members = stored(arrow_map(rows, partial(_members_task, k), "doc_id long, n_shingles long, class long"), "members")
-    sizes = members.groupBy("n_shingles").agg(F.approx_count_distinct("class").alias("n"))
+    sizes = members.groupBy("n_shingles").agg(F.approx_count_distinct("class").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
     longest = members.agg(F.max("n_shingles")).first()[0] or 0
     bounds = band_bounds(longest, percent)
     # One number for each band; bands are as many as the logarithm of the longest text.
     band = F.lit(len(bounds) - 1)
     for i in reversed(range(1, len(bounds))):
         band = F.when(F.col("n_shingles") < bounds[i], i - 1).otherwise(band)
-    held = dict(sizes.where("n_shingles > 0").groupBy(band.alias("band")).agg(F.sum("n")).collect())
-    plan = {}
-    for g in range(len(bounds) - 1):
-        h = most_differences(bounds[g + 1] - 1, percent)
-        n = held.get(g, 0) + held.get(g + 1, 0)
-        if h and n > 1 and held.get(g, 0):
-            plan[g] = (*allocation(h, bounds[g], n), h + 1)
+    held = {r.band: r for r in sizes.where("n_shingles > 0").groupBy(band.alias("band")).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+    plan = group_plan(bounds, held, percent)
     spread = arrow_map(rows, partial(_signature_task, k, bounds, plan), "class long, sigs array<long>")
     spread = spread.select("class", F.explode("sigs").alias("sig"))
     buckets = stored(shared_buckets(spread), "buckets")

@@ -83,6 +83,15 @@ def test_near_copies_with_null_ids(spark):
     assert sorted((r.doc_id or 0, r.n_shingles > 9, r.component_id or 0) for r in got) == [(0, False, 0), (0, True, 0), (0, True, 0), (0, True, 4), (4, True, 4), (6, False, 6)]
 
 
+def test_ngram_join_where_counts_are_too_low(spark, monkeypatch):
+    """An approximate count of one class skips no group: it is for the cost alone."""
+    monkeypatch.setattr(ngram_join.F, "approx_count_distinct", lambda c: F.count_distinct(c) * 0 + 1)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "a b c d e f g h"), (4, "a b c d e f g x")]
+    got = sorted(map(tuple, ngram_join.jaccard_components(frame(spark, rows), 4, 85).collect()))
+    assert got == brute.ngram_join(rows, 4, 85) and got[1][2] == 1
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 5), (7, 7)]
