@@ -22,7 +22,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: one document of each component of documents whose sets of five-word shingles have similarity 0.8 or more."""
-    return one_of_each(docs, ngram_join.jaccard_components(docs, k=5, percent=80))
+    return one_of_each(docs, ngram_join.jaccard_members(docs, k=5, percent=80))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, rows_in, stored
 from .linking import connected, possible, shared_buckets, sketches
+from .rows import mark_of
 from .textnum import U, Words, buffers, distinct_sorted, lists, mix, shingles, slices, sums_by
 
 #: Chance that a shingle of one set is also in an unrelated set of its group, for the allocation of segments.
@@ -108,7 +109,7 @@ def _members_task(k: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi, h, _, at in _sets(batch, k):
             n = np.diff(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n.astype(np.int64)), pa.array(_classes(h, at), mask=n == 0)], ["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(n.astype(np.int64)), pa.array(_classes(h, at), mask=n == 0)], ["doc_id", "mark", "n_shingles", "class"])
 
     return run
 
@@ -262,8 +263,13 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, text: str
     component_id: the smallest doc_id that links reach (null ids count as none, unless a component has no
     other). Repeated rows are repeated in the result. Columns besides key and text are ignored. An empty
     table gives an empty result. Working tables are in the shared folder."""
+    return jaccard_members(docs, k, percent, text, key).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_members(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """jaccard_components() with what tells rows and components apart where ids repeat or are null: mark (of rows.mark_of()), and component (a number; null without words)."""
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    members = stored(arrow_map(rows, partial(_members_task, k), "doc_id long, n_shingles long, class long"), "members")
+    members = stored(arrow_map(rows.withColumn("mark", mark_of()), partial(_members_task, k), "doc_id long, mark long, n_shingles long, class long"), "members")
     sizes = members.groupBy("n_shingles").agg(F.approx_count_distinct("class").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
     longest = members.agg(F.max("n_shingles")).first()[0] or 0
     bounds = band_bounds(longest, percent)
@@ -294,5 +300,5 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, text: str
     of_class = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
     of_class = of_class.join(reached, "class", "left").select("class", "low", F.coalesce("component", "class").alias("component"))
     lowest = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_class = of_class.join(lowest, "component").select("class", "component_id")
-    return members.join(of_class, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_class = of_class.join(lowest, "component").select("class", "component", "component_id")
+    return members.join(of_class, "class", "left").select("doc_id", "mark", "n_shingles", "component", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -47,19 +47,25 @@ def id_of(key: str = "doc_id") -> Column:
     return F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
 
 
-def one_of_each(docs: DataFrame, components: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is its component's id: one document of each component. components: doc_id, component_id.
-
-    Rows that repeat an id stay or go together, and of equal ones (id and text) one stays. The ids that go are
-    broadcast up to a bound, else joined by a shuffle."""
-    heads = components.select(id_of().alias("_k"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_head"), (F.col("n_shingles") > 0).alias("_some"))
-    by_id = heads.groupBy("_k").agg(F.max("_head").alias("_head"), F.sum(F.col("_some").cast("int")).alias("_n"))
-    gone = by_id.where("not _head").select("_k")
-    twice = by_id.where("_head and _n > 1").select("_k")
+def mark_of(text: str = "text", key: str = "doc_id") -> Column:
+    """Tells rows with one id apart by their texts, and a null id from the id that stands for it."""
+    return F.xxhash64(F.col(key).isNull(), F.col(text))
+
+
+def one_of_each(docs: DataFrame, members: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of docs for each component: that with the component's id, of several the one with the least mark, of equal ones any.
+
+    members: doc_id, mark (of mark_of()), component, component_id, a row for each of docs. Rows without component stay, all of
+    them. The rows that go are broadcast by id and mark up to a bound, else joined by a shuffle."""
+    some = members.where("component is not null").select(id_of().alias("_k"), F.col("mark").alias("_m"), "component", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_head"))
+    heads = some.where("_head")
+    several = heads.groupBy("component").agg(F.min("_m").alias("low"), F.max("_m").alias("high")).where("low != high").select("component", "low")
+    gone = some.where("not _head").select("_k", "_m").unionAll(heads.join(several, "component").where("_m != low").select("_k", "_m")).distinct()
+    twice = heads.groupBy("_k", "_m").count().where("count > 1").select("_k", "_m")
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.withColumn("_k", id_of(key)).join(gone, "_k", "left_anti")
+    kept = docs.withColumns({"_k": id_of(key), "_m": mark_of(text, key)}).join(gone, ["_k", "_m"], "left_anti")
     if twice.limit(1).count():
-        once = kept.join(twice, "_k", "left_semi").dropDuplicates(["_k", text])
-        kept = kept.join(twice, "_k", "left_anti").unionByName(once)
+        once = kept.join(twice, ["_k", "_m"], "left_semi").dropDuplicates(["_k", "_m"])
+        kept = kept.join(twice, ["_k", "_m"], "left_anti").unionByName(once)
     return kept.select(*docs.columns)

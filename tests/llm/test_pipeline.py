@@ -51,6 +51,18 @@ def test_stages_against_brute_force(spark):
     assert sorted(map(tuple, after), key=repr) == brute.token_digest([(i, t) for i, t, _ in before], tok)
 
 
+def test_one_row_of_each_component(spark):
+    """Also where ids repeat or are null; rows without words stay."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(120)) for x in "abc")
+    near = a + " other"
+    rows = [(3, a), (7, near), (7, b), (8, c), (8, c + " other"), (8, c), (None, a + " more"), (None, "x y z"), (None, "x y z"), (None, "p q r s t u"), (9, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, D).collect()]
+    assert sum(i == 8 for i, _ in got) == 1 and {t for i, t in got if i == 8} <= {c, c + " other"}
+    want = [(3, a), (7, b), (None, "x y z"), (None, "p q r s t u"), (9, ""), (9, None)]
+    assert sorted((x for x in got if x[0] != 8), key=repr) == sorted(want, key=repr)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, D)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
