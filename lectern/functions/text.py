@@ -107,10 +107,11 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(col(c), r"(?U)\s+"), lambda w: w != "")
 
 
-def grams(toks: Column, n: int) -> Column:
-    """Distinct n-grams of tokens, joined by blanks; none if there are fewer."""
+def gram_keys(toks: Column, n: int) -> Column:
+    """A 64-bit key of each n-gram of tokens, in order and with repeats; none if there are fewer tokens. For comparisons within a document,
+    where two n-grams share a key with a chance of 1e-9 even at 200,000 words."""
     # The array of one element binds the tokens, so that they are made once and not for each n-gram.
-    one = lambda t: F.when(F.size(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
+    one = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.xxhash64(F.slice(t, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
     return F.flatten(F.transform(F.array(toks), one))
 
 

@@ -33,9 +33,8 @@ def documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
     x = got.join(per_doc, "doc_id", "left").join(first, "doc_id", "left")
     title = F.coalesce(F.get(F.col("r.titles"), 0)["title"], F.regexp_replace("first", r"^#+\s*", ""))
     model = F.transform(F.coalesce("r.creators", F.array().cast("array<struct<name:string,givenName:string,familyName:string,affiliation:array<string>>>")), lambda c: F.struct(c["givenName"].alias("given"), c["familyName"].alias("family"), c["name"].alias("name"), c["affiliation"].alias("affiliations")))
-    creators = people.grounded(model, F.col("text"), title) if options.ground_headers else model
-    found = identifiers.found(F.col("text"))
-    x = x.withColumns({"title": title, "creators": creators, "found": found, "language": lines.language(F.col("text"))})
+    x = x.withColumns({"title": title, "model": model, "found": identifiers.found(F.col("text")), "language": lines.language(F.col("text"))})
+    x = people.grounded(x, "model", out="creators") if options.ground_headers else x.withColumn("creators", F.col("model"))
     orcids = identifiers.placed_orcids(F.transform("creators", lambda c: F.array().cast("array<string>")), F.col("found")["orcid"])
     people_ = F.zip_with("creators", orcids, lambda c, o: F.struct(c["name"].alias("name"), c["given"].alias("givenName"), c["family"].alias("familyName"), people.name_type(c["given"], c["family"]).alias("nameType"), c["affiliations"].alias("affiliation"), o.alias("nameIdentifiers")))
     none = F.array().cast("array<struct<identifier:string,identifierType:string>>")

@@ -61,7 +61,7 @@ FUNDERS = """
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.documents(spark, sf_dir, f"{inputs.HEAD} AS text", "concat('Depth of the River ', CAST(doc_id AS STRING)) AS title")
-    h = docs.select("doc_id", people.header("text", "title").alias("h"))
+    h = people.headers(docs)
     names = F.array_join(F.transform("h.authors", lambda a: F.concat(a["name"], F.lit(" @ "), F.array_join(F.coalesce(a["affiliations"], F.array().cast("array<string>")), " / "))), "; ")
     return h.select("doc_id", names.alias("authors"), F.cardinality("h.entries").alias("n_entries"), "h.confident", "h.reason")
 
@@ -69,12 +69,12 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEADERS = """
     WITH d AS (SELECT doc_id, doc_id % 4 = 0 AS three, doc_id % 8 = 0 AS listed FROM documents)
     SELECT doc_id, CASE WHEN three AND NOT listed THEN 'Doe, Jane Q. @ ; van Dam, Max @ ; Lima, Ana @ ' ELSE concat('Doe, Jane Q. @ University of Alder, Alder; van Dam, Max @ University of Alder, Alder / Institute of Boats, Birch', CASE WHEN three THEN '; Lima, Ana @ Hospital of Cedar' ELSE '' END) END AS authors,
-        CASE WHEN listed THEN 3 ELSE 2 END AS n_entries, NOT (three AND NOT listed) AS confident, CASE WHEN three AND NOT listed THEN 'marker ''3'' has no affiliation entry' ELSE 'markers resolve' END AS reason FROM d"""
+        CASE WHEN listed THEN 3 ELSE 2 END AS n_entries, NOT (three AND NOT listed) AS confident, CASE WHEN three AND NOT listed THEN 'no entry for mark 3' ELSE 'marks and list agree' END AS reason FROM d"""
 
 
 def creators_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.documents(spark, sf_dir, f"{inputs.HEAD} AS text", "concat('Depth of the River ', CAST(doc_id AS STRING)) AS title", "array(named_struct('given', 'M.', 'family', 'van Dam', 'name', 'van Dam, M.', 'affiliations', array('Institute of Boats')), named_struct('given', 'Jane', 'family', 'Doe', 'name', 'Doe, Jane PhD', 'affiliations', array('University of Alder'))) AS model")
-    g = docs.select("doc_id", people.grounded("model", "text", "title").alias("c"))
+    g = people.grounded(docs, "model").withColumnRenamed("grounded", "c")
     return g.select("doc_id", F.to_json("c").alias("creators"))
 
 
@@ -309,13 +309,32 @@ def reading_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.ordered(layout.bands(b)).select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("band").cast("long").alias("band"), F.col("place").cast("long").alias("place"))
 
 
+#: Of each document a label, the text that it may name (at various distances, heights and sizes), and for some a block below the label.
+SIDE = """
+    SELECT doc_id % 50 AS doc_id, 1 AS page, 3 * doc_id AS seq, 10.0D AS x0, floor(doc_id / 50) * 100.0D + doc_id % 4 AS y0, 40.0D AS x1, floor(doc_id / 50) * 100.0D + doc_id % 4 + 10 AS y1, 10.0D + doc_id % 3 AS size, doc_id % 2 = 0 AS bold, 10.0D AS line_h FROM documents
+    UNION ALL SELECT doc_id % 50, 1, 3 * doc_id + 1, 40.0D + (doc_id % 11) * 8, floor(doc_id / 50) * 100.0D, 60.0D + (doc_id % 11) * 8 + (doc_id % 7) * 20, floor(doc_id / 50) * 100.0D + 10 + (doc_id % 5) * 10, 10.0D, false, 10.0D FROM documents
+    UNION ALL SELECT doc_id % 50, 1, 3 * doc_id + 2, 12.0D, floor(doc_id / 50) * 100.0D + 25, 38.0D, floor(doc_id / 50) * 100.0D + 35, 10.0D, false, 10.0D FROM documents WHERE doc_id % 6 = 0"""
+
+
 def side_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _blocks(spark, sf_dir).selectExpr("doc_id", "page", "seq", "hpos AS x0", "vpos AS y0", "hpos + width AS x1", "vpos + height AS y1", "fontsize AS size", "bold", "fontsize AS line_h")
+    b = spark.sql(SIDE.replace("FROM documents", "FROM {documents}"), documents=inputs.table(spark, sf_dir, "documents"))
     labels = layout.side_labels(b)
     after = layout.label_after(labels, b.where("not bold"))
     return labels.join(after, ["doc_id", "page", "seq"]).select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("names").cast("long").alias("names"), F.col("after").cast("long").alias("after"))
 
 
+SIDE_LABELS = f"""
+    WITH b AS ({SIDE.replace("0D", "0::DOUBLE")}), p AS (
+        SELECT b.doc_id, b.seq, b.x0, b.x1, b.y0, b.y1, r.seq AS names, row_number() OVER (PARTITION BY b.doc_id, b.seq ORDER BY r.x0 - b.x1, r.seq) AS k FROM b JOIN b AS r ON b.doc_id = r.doc_id AND b.seq <> r.seq
+        WHERE r.x0 >= b.x1 AND r.x0 - b.x1 <= 6 * b.size AND r.y0 - 0.5 * b.line_h <= b.y0 AND b.y1 <= r.y1 + 0.5 * b.line_h AND r.y1 - r.y0 >= b.y1 - b.y0 AND (b.bold OR b.size > 1.1 * r.size) AND r.x1 - r.x0 > b.x1 - b.x0
+    ), l AS (
+        SELECT * FROM p WHERE k = 1 AND NOT EXISTS (
+            SELECT 1 FROM b AS q WHERE q.doc_id = p.doc_id AND q.seq <> p.seq AND q.y0 >= p.y1 - 1e-6 AND q.y0 - p.y1 <= 3 * (p.y1 - p.y0)
+            AND least(p.x1, q.x1) - greatest(p.x0, q.x0) >= 0.3 * least(p.x1 - p.x0, q.x1 - q.x0))
+    )
+    SELECT doc_id, seq, names, (SELECT max(q.seq) FROM b AS q WHERE q.doc_id = l.doc_id AND NOT q.bold AND q.seq <= l.seq) AS after FROM l"""
+
+
 def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks of shapes, panels taken out, captions beside what is left."""
     shapes = inputs.table(spark, sf_dir, "part").selectExpr("p_partkey % 100 AS doc_id", "1 AS page", "CASE WHEN p_size % 10 = 0 THEN 'image' ELSE 'rect' END AS kind", "CAST((p_partkey * 29) % 450 AS DOUBLE) AS x0", "CAST((p_partkey * 41) % 700 AS DOUBLE) AS top", "CAST((p_partkey * 29) % 450 + 10 + p_size * 2 AS DOUBLE) AS x1", "CAST((p_partkey * 41) % 700 + 10 + p_size AS DOUBLE) AS bottom")
@@ -425,5 +444,5 @@ ORACLE_SQL = {
     "numbered_affiliations": NUMBERED, "copied_strings": COPIED,
     "organisations": ORGANISATIONS, "persons": PERSONS, "funders": FUNDERS, "headers": HEADERS, "joined_creators": JOINED, "json_repairs": REPAIRS, "captions_normalised": CAPTION_ROWS, "affiliations_coerced": AFFILIATIONS, "funding_normalised": FUNDING,
     "subjects_normalised": SUBJECTS, "sections_kept": KEPT, "validations": VALIDATIONS, "file_kinds": KINDS, "text_sources": SOURCES, "mode_sizes": MODES, "glyph_stats": STATS, "page_gaps": GAPS, "weighted_medians": MEDIANS, "body_sizes": BODY, "baselines": BASELINES,
-    "column_cuts": COLUMNS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "better_attempts": ATTEMPTS,
+    "column_cuts": COLUMNS, "side_labels": SIDE_LABELS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "better_attempts": ATTEMPTS,
 }

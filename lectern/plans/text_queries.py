@@ -97,7 +97,7 @@ def shingle_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COVERAGE = rf"""
     WITH l AS ({LINES % "text"}), t AS (SELECT doc_id, pos, regexp_extract_all(lower(line), {T}) AS t FROM l),
-    g AS (SELECT DISTINCT doc_id, pos, array_to_string(list_slice(t, i, i + 2), ' ') AS g FROM (SELECT *, unnest(range(1, len(t) - 1)) AS i FROM t WHERE len(t) >= 3)),
+    g AS (SELECT doc_id, pos, array_to_string(list_slice(t, i, i + 2), ' ') AS g FROM (SELECT *, unnest(range(1, len(t) - 1)) AS i FROM t WHERE len(t) >= 3)),
     c AS (SELECT DISTINCT doc_id, g FROM g WHERE pos % 2 = 0)
     SELECT g.doc_id, g.pos::BIGINT AS pos, count(*) AS n_grams, count(c.g) AS n_hit FROM g LEFT JOIN c ON g.doc_id = c.doc_id AND g.g = c.g GROUP BY 1, 2"""
 

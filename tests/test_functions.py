@@ -91,31 +91,50 @@ def test_repeats_are_cut_to_three():
     assert lines.collapse("a\na\na") == "a\na\na" and lines.collapse("\n\n\n\n\n") == "\n\n\n\n\n" and lines.collapse(None) is None
 
 
-def test_header_marks_resolve():
-    h = people.parse_header("## A Study of Rivers\nJane Doe1, Max van Dam1,2\n1 University of Alder, 2 Institute of Birch\n## Abstract\ntext", "A Study of Rivers")
+def header(spark, raw, title=None):
+    return people.headers(spark.createDataFrame([(raw, title)], "text string, title string")).first().h
+
+
+def test_header_marks_resolve(spark):
+    h = header(spark, "## A Study of Rivers\nJane Doe1, Max van Dam1,2\n1 University of Alder, 2 Institute of Birch\n## Abstract\ntext", "A Study of Rivers")
     assert h["confident"] and [a["name"] for a in h["authors"]] == ["Doe, Jane", "van Dam, Max"]
     assert h["authors"][1]["affiliations"] == ["University of Alder", "Institute of Birch"]
 
 
-def test_header_without_entry_is_not_confident():
-    h = people.parse_header("Jane Doe1, Max Roe3\n1 University of Alder\ntext")
-    assert not h["confident"] and "no affiliation entry" in h["reason"]
-    assert people.parse_header(None)["reason"] == "no text"
+def test_header_without_entry_is_not_confident(spark):
+    h = header(spark, "Jane Doe1, Max Roe3\n1 University of Alder\ntext")
+    assert not h["confident"] and h["reason"] == "no entry for mark 3" and all(a["affiliations"] is None for a in h["authors"])
+    assert header(spark, None)["reason"] == "no text" and header(spark, "## Abstract\nonly text")["reason"] == "no author line"
+
+
+def test_header_outcomes(spark):
+    """Each way in which marks and list can disagree; and the one author and the one entry that are left."""
+    listed = "\n1 University of Alder, 2 Institute of Birch\n"
+    assert header(spark, "Jane Doe, Max Roe" + listed)["reason"] == "a list, but no marks"
+    assert header(spark, "Jane Doe1, Max Roe1" + listed)["reason"] == "entries without a mark"
+    assert header(spark, "Jane Doe1, Max Roe2\nbody")["reason"] == "marks without a list"
+    assert header(spark, "Jane Doe, Max Roe\nbody")["reason"] == "no affiliation"
+    assert header(spark, "Jane Doe, Max Roe\nUniversity of Alder\nInstitute of Birch")["reason"] == "affiliations without marks"
+    assert header(spark, "Jane Doe1, Max Roe, Ana Lima" + listed)["reason"] == "too many authors without marks"
+    h = header(spark, "Jane Doe1, Max Roe" + listed)
+    assert h["confident"] and [a["affiliations"] for a in h["authors"]] == [["University of Alder"], ["Institute of Birch"]]
 
 
-def test_shared_affiliation():
-    h = people.parse_header("Jane Doe, Max Roe\nUniversity of Alder\nbody")
+def test_shared_affiliation(spark):
+    h = header(spark, "Jane Doe, Max Roe\nUniversity of Alder\nbody")
     assert h["confident"] and all(a["affiliations"] == ["University of Alder"] for a in h["authors"])
 
 
 def test_same_person():
     assert people.same_person("J. Doe", "Jane Doe") and people.same_person("Doe Jane", "Jane Doe")
     assert not people.same_person("Jane Roe", "Jane Doe") and not people.same_person("", "Doe")
+    assert people.same_person("Jane Q. Doe", "Doe, J. Quinn") and people.same_person("Doe", "Doe, Ana") and not people.same_person("J. D.", "Jane Doe") and people.same_person("Doe, Jane Max", "Doe, Jane") and not people.same_person("Doe, Jane Max", "Doe, Ana")
 
 
-def test_creators_in_printed_order():
-    h = people.parse_header("Jane Doe1, Max Roe2\n1 University of Alder, 2 Institute of Birch\n")
-    got = people.ground([{"name": "Roe, Max", "given": "Max", "family": "Roe", "affiliations": ["Institute"]}], h)
+def test_creators_in_printed_order(spark):
+    model = [("Max", "Roe", "Roe, Max", ["Institute"])]
+    docs = spark.createDataFrame([("Jane Doe1, Max Roe2\n1 University of Alder, 2 Institute of Birch\n", "", model)], "text string, title string, m array<struct<given:string,family:string,name:string,affiliations:array<string>>>")
+    got = people.grounded(docs, "m").first().grounded
     assert [c["name"] for c in got] == ["Doe, Jane", "Roe, Max"] and got[1]["affiliations"] == ["Institute of Birch"]
 
 
