@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textnum import HashIndex, U, span_hashes
+from .textnum import HashIndex, span_hashes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
@@ -68,16 +68,25 @@ class Pieces:
         return self.data[self.at[row] : self.at[row + 1]].tobytes().decode("utf-8", "replace")
 
     def numbered(self, index: HashIndex) -> tuple[np.ndarray, list[str]]:
-        """Each piece's number in the index, and the strings of the numbers that this call added to it."""
-        h = span_hashes(self.data, self.start, self.end) | U(1)
+        """Each piece's number in the index, and the strings of the numbers that this call added to it.
+
+        Every piece is compared, byte for byte, with the string of its number; a text with a piece that only has the
+        key of another joins those that are left whole."""
+        h = span_hashes(self.data, self.start, self.end)
         found = index.find(h)
         miss = np.flatnonzero(found < 0)
-        if not len(miss):
-            return found, []
-        new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-        known = index.n
-        index.add(new)
-        found[miss] = known + back.astype(np.int32)
-        blob = self.data.tobytes()
-        at = miss[first]
-        return found, [blob[a:b].decode("utf-8", "replace") for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+        texts: list[str] = []
+        if len(miss):
+            new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            known, at = index.n, miss[first]
+            index.add(new, self.data, self.start[at], self.end[at])
+            found[miss] = known + back.astype(np.int32)
+            blob = self.data.tobytes()
+            texts = [blob[a:b].decode("utf-8", "replace") for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+        same = index.same(found, self.data, self.start, self.end)
+        if not same.all():
+            self.whole = np.union1d(self.whole, self.row[~same])
+            keep = ~np.isin(self.row, self.whole)
+            self.start, self.end, self.row, found = self.start[keep], self.end[keep], self.row[keep], found[keep]
+            self.count = np.bincount(self.row, minlength=self.rows)
+        return found, texts

@@ -1,7 +1,7 @@
 """Whole texts as numpy arrays: words, their hashes and shingles of many texts at once.
 
 Texts stay in Arrow's own buffers. A slice holds whole texts, half a megabyte together; a longer
-text is a slice of its own. Hashes are of 64 bits: polynomial over the bytes, then finalised."""
+text is a slice of its own. Hashes are of 64 bits."""
 
 from __future__ import annotations
 
@@ -11,21 +11,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 19
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_powers = [np.ones(1, U), np.ones(1, U)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+#: Spans up to this many bytes are hashed together, longer ones each on its own.
+_SHORT = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,17 +70,29 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = min(hi, n)
 
 
+def windows8(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place of data, and at its end, as one number; zeros follow the data."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", wide, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span."""
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    v = data.astype(U)
-    v += U(1)
-    v *= power[: len(v)]
-    np.cumsum(v, out=total[1:])
-    h = total[end] - total[start]
-    h *= inverse[start]
-    h += (end - start).astype(U) * U(0xD6E8FEB86659FD93)
+    """A hash of the bytes of each span: its size, then eight bytes at a time, each mixed in by a bijection of the state.
+
+    Nothing here is a polynomial of the bytes, so texts that agree in their sums of powers are told apart."""
+    size = end - start
+    eight = windows8(data)
+    h = size.astype(U) * U(0xD6E8FEB86659FD93)
+    live = np.flatnonzero((size > 0) & (size <= _SHORT))
+    at, left = start[live], size[live]
+    while len(live):
+        w = eight[at]
+        w &= _LOW[np.minimum(left, 8)]
+        h[live] = mix(h[live] ^ w) * U(0x9E3779B97F4A7C15)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], 29)
     return mix(h)
 
 
@@ -161,11 +165,12 @@ def sums_by(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class HashIndex:
-    """64-bit keys to the numbers 0, 1, ... in order of insertion, by open addressing over arrays of keys."""
+    """Byte strings to the numbers 0, 1, ... in order of insertion: 64-bit keys by open addressing, and the strings, to compare them."""
 
     def __init__(self, bits: int = 16):
         self.n, self.bits = 0, bits
         self.keys, self.vals = np.zeros(1 << bits, U), np.zeros(1 << bits, np.int32)
+        self.data, self.at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         out, todo = np.full(len(h), -1, np.int32), np.arange(len(h))
@@ -182,11 +187,15 @@ class HashIndex:
         """Numbers of the keys, -1 for unknown ones."""
         return self._find(np.where(h == 0, U(1), h))
 
-    def add(self, new: np.ndarray) -> None:
-        """Inserts distinct keys that are not there yet."""
+    def add(self, new: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Inserts distinct keys that are not there yet, with their strings, which are spans of data."""
         new = np.where(new == 0, U(1), new)
         vals = np.arange(self.n, self.n + len(new), dtype=np.int32)
         self.n += len(new)
+        size = end - start
+        ends = np.cumsum(size)
+        self.data = np.concatenate([self.data, data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)]])
+        self.at = np.concatenate([self.at, self.at[-1] + ends])
         if self.n * 2 > len(self.keys):
             old = self.keys != 0
             keys, nums = self.keys[old], self.vals[old]
@@ -205,6 +214,20 @@ class HashIndex:
             self.vals[pos[won]] = vals[won]
             keys, vals, pos = keys[~won], vals[~won], (pos[~won] + U(1)) & mask
 
+    def same(self, number: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the spans of data are, byte for byte, the strings of these numbers."""
+        ours, theirs = windows8(self.data), windows8(data)
+        left, a, b = end - start, self.at[number], start
+        out = self.at[number + 1] - a == left
+        live = np.flatnonzero(out & (left > 0))
+        a, b, left = a[live], b[live], left[live]
+        while len(live):
+            differ = (ours[a] ^ theirs[b]) & _LOW[np.minimum(left, 8)] != 0
+            out[live[differ]] = False
+            more = ~differ & (left > 8)
+            live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+        return out
+
 
 def lists(values: pa.Array, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)

@@ -98,41 +98,50 @@ class Encoder:
         self.reset()
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def reset(self) -> None:
-        self.index, self.flat, self.at = HashIndex(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.index, self.flat = HashIndex(), np.zeros(0, np.uint32)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, new: list[str]) -> None:
         """Appends the ids of new pieces. Pieces are joined so that a call to the library has many of them: those that
         begin with a blank as they are, for only their first id begins with one; others by line ends."""
-        got: list[np.ndarray] = [None] * len(new)  # type: ignore[list-item]
+        flat: list[np.ndarray] = []
+        at, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        end = len(self.flat)
+
+        def put(which: np.ndarray | list[int], ids: np.ndarray, first: np.ndarray | int, sizes: np.ndarray | int) -> None:
+            nonlocal end
+            at[which], size[which] = end + first, sizes
+            flat.append(ids)
+            end += len(ids)
+
         joined: dict[str, list[int]] = {" ": [], "\n": []}
         for i, p in enumerate(new):
             if p[0] == " " and len(p) > 1:
                 joined[" "].append(i)
-            elif len(self.line) == 1 and not any(c.isspace() for c in p):
+            elif len(self.line) == 1 and p.split() == [p]:
                 joined["\n"].append(i)
             else:
-                got[i] = self.ids(p)
+                ids = self.ids(p)
+                put([i], ids, 0, len(ids))
         for by, which in joined.items():
             for lo in range(0, len(which), 8192):
                 part = which[lo : lo + 8192]
-                ids = self.ids("".join(new[i] for i in part) if by == " " else by.join(new[i] for i in part))
+                ids = self.ids("".join([new[i] for i in part]) if by == " " else by.join([new[i] for i in part]))
                 cut = np.flatnonzero(self.blank[ids] if by == " " else ids == self.line[0])
                 if len(cut) != len(part) - (by == "\n") or by == " " and cut[0]:
                     for i in part:
-                        got[i] = self.ids(new[i])
+                        ids = self.ids(new[i])
+                        put([i], ids, 0, len(ids))
                 elif by == " ":
-                    for i, x in zip(part, np.split(ids, cut[1:]), strict=True):
-                        got[i] = x
+                    put(part, ids, cut, np.diff(cut, append=len(ids)))
                 else:
-                    a = 0
-                    for i, b in zip(part, [*cut.tolist(), len(ids)], strict=True):
-                        got[i] = ids[a:b]
-                        a = b + 1
-        self.flat = np.concatenate([self.flat, *got])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))])
+                    first = np.concatenate([[0], cut + 1])
+                    put(part, ids, first, np.append(cut, len(ids)) - first)
+        self.flat = np.concatenate([self.flat, *flat])
+        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
 
     def slice(self, data: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts lo..hi, one after the other, and how many each has."""
@@ -142,7 +151,7 @@ class Encoder:
         number, new = p.numbered(self.index)
         if new:
             self._learn(new)
-        size = self.at[number + 1] - self.at[number]
+        size = self.size[number]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.flat[np.arange(total) + np.repeat(self.at[number] - ends + size, size)]
