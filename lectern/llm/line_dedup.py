@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, rows_in, stored
-from .linking import connected, possible, shared_buckets, sketches
+from .linking import connected, parted, possible, shared_buckets, sketches, element_rows
 from .textnum import U, buffers, distinct_sorted, lists, mix, slices, span_hashes
 
 GRAM = 8
 BANDS, ROWS = 14, 5
 SEEN = 1_000_000
+#: Classes in a bucket beyond which those without a possible partner are sought first.
+HOT = 16
 #: A long line with fewer distinct shingles than this in the quarter takes its minima over all shingles, too.
 SMALL = 8
 _BLANK = np.zeros(256, bool)
@@ -170,6 +172,19 @@ def _sketch_task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     return run
 
 
+def _elements_task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cls = np.asarray(batch.column(0))
+        data, offs = buffers(batch.column(1))
+        for lo, hi in slices(offs):
+            x = Lines(data, offs, lo, hi)
+            h, bounds = characters(x, np.arange(hi - lo))
+            h, _, at = distinct_sorted(h, np.repeat(np.arange(hi - lo), np.diff(bounds)), hi - lo)
+            yield element_rows(h, at, cls[lo:hi])
+
+    return run
+
+
 def similar(a: set[str], b: set[str], percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -213,7 +228,10 @@ def line_components(docs: DataFrame, percent: int = 80, n_bands: int = BANDS, n_
         near = possible(pairs, texts, percent)
         return arrow_map(near.join(x, "a").join(y, "b").select("a", "b", "x", "y"), partial(_verify_task, percent), "a long, b long")
 
-    reached = connected(buckets, verified)
+    def elements(sets: DataFrame) -> DataFrame:
+        return arrow_map(sets.select("class", "line"), _elements_task, "element long, class long")
+
+    reached = connected(*parted(buckets, HOT), texts, elements, verified, percent)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark", "line")
     first = places.groupBy("class").agg(F.min(order).alias("first")).join(reached, "class", "left")
     first = first.select("class", "first", F.coalesce("component", "class").alias("component"))

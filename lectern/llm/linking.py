@@ -7,22 +7,61 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, released, stored
+from .common import BROADCAST_ROWS, arrow_map, dropped, released, stored
 from .components import components
 from .textnum import U, mix
 
 #: Parts of the universe in a sketch; 256, as a part is eight bits of a hash.
 CELLS = 256
+#: Classes that have an element, up to which they are compared by it.
+RARE = 8
+#: Buckets of a class that are listed, to compare a pair in one of its buckets only.
+FIRST = 8
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of sig and class, those whose sig several classes have, once each; place: its number in its bucket.
+
+    Of a bucket only the last row is held, so a bucket may be of any size."""
+    last, place = None, 0
+    for batch in batches:
+        s, c = (np.asarray(batch.column(i)) for i in (0, 1))
+        if last is not None:
+            s, c = np.concatenate([last[:1], s]), np.concatenate([last[1:], c])
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
+        s, c = s[new], c[new]
+        if not len(s):
+            continue
+        begins = np.ones(len(s), bool)
+        begins[1:] = s[1:] != s[:-1]
+        number = np.arange(len(s))
+        own = number - np.maximum.accumulate(np.where(begins, number, 0))
+        own[: int(np.argmax(begins[1:])) + 1 if begins[1:].any() else len(s)] += place
+        keep = own > 0
+        keep[:-1] |= ~begins[1:]
+        keep[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(c[keep]), pa.array(own[keep])], ["sig", "class", "place"])
+        last, place = np.array([s[-1], c[-1]]), int(own[-1])
+    if last is not None and place:
+        yield pa.RecordBatch.from_arrays([pa.array(last[:1]), pa.array(last[1:]), pa.array([place], pa.int64())], ["sig", "class", "place"])
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Of rows sig, class those whose sig several classes have, once each, with the sig's smallest class as first and its rows as n."""
-    by_sig = Window.partitionBy("sig").orderBy("class")
-    rows = rows.withColumns({"before": F.lag("class").over(by_sig), "after": F.lead("class").over(by_sig), "first": F.first("class").over(by_sig), "n": F.count("class").over(Window.partitionBy("sig"))})
-    return rows.where((F.col("before").isNotNull() | F.col("after").isNotNull()) & ~F.col("class").eqNullSafe(F.col("before"))).select("sig", "class", "first", "n")
+    """Of rows sig, class those whose sig several classes have, once each: sig, class, place (from 0, in order of class)."""
+    return rows.select("sig", "class").repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long, place long")
+
+
+def parted(buckets: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets of most classes or fewer, and rows of larger ones: sig, class."""
+    large = buckets.where(F.col("place") == most).select("sig")
+    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    rows = buckets.select("sig", "class")
+    return rows.join(large, "sig", "left_anti"), rows.join(large, "sig", "left_semi")
 
 
 def sketches(h: np.ndarray, row: np.ndarray, rows: int) -> list[bytes]:
@@ -51,33 +90,94 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both, partial(_possible_task, percent), "a long, b long")
 
 
-def connected(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """class, component for all classes with a verified link to another. buckets: of shared_buckets(), stored.
-
-    First each class is compared with one other: the smallest class of most of its buckets. What these links
-    connect is joined. Then, in buckets that hold several components, the smallest class of each is compared with the
-    bucket's smallest; and at last all pairs of different components that share a bucket are compared. So every two
+def element_rows(h: np.ndarray, at: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    """Rows element, class of sets: hashes h between the bounds at, distinct in a set, of the classes cls."""
+    return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.repeat(cls, np.diff(at)))], ["element", "class"])
+
+
+def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of element and class, those whose element at most RARE classes have: element, class, n (so many).
+
+    Of an element RARE + 1 rows are held at most."""
+    e = c = np.zeros(0, np.int64)
+    for batch in batches:
+        e, c = np.concatenate([e, np.asarray(batch.column(0))]), np.concatenate([c, np.asarray(batch.column(1))])
+        if not len(e):
+            continue
+        begin = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+        whole, n = begin[-1], np.diff(begin)
+        keep = np.repeat(n <= RARE, n)
+        yield pa.RecordBatch.from_arrays([pa.array(e[:whole][keep]), pa.array(c[:whole][keep]), pa.array(np.repeat(n, n)[keep])], ["element", "class", "n"])
+        e, c = e[whole : whole + RARE + 1], c[whole : whole + RARE + 1]
+    if 0 < len(e) <= RARE:
+        yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(c), pa.array(np.full(len(e), len(e), np.int64))], ["element", "class", "n"])
+
+
+def reachable(large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Rows sig, class, size, top, central that take the place of large buckets: every linked pair of these meets here too.
+
+    Two classes either have an element in common that at most RARE classes have: they meet in the small bucket of this
+    element. Or all that they have in common are other elements: then, for a link, the number of such elements must
+    reach the threshold against both sizes, so in large buckets only classes with enough of them stay, and top is the greatest size
+    of a partner that is possible by that count. central: how many large buckets the class has."""
+    central = large.groupBy("class").agg(F.count(F.lit(1)).alias("central"))
+    known = stored(sets.join(central, "class"), "known")
+    rare = stored(elements(known.select(*sets.columns)).repartition("element").sortWithinPartitions("element", "class").mapInArrow(_rare, "element long, class long, n long"), "rare")
+    counts = rare.groupBy("class").agg(F.count(F.lit(1)).alias("rare"), F.count(F.when(F.col("n") == 1, 1)).alias("own"))
+    rated = known.select("class", "central", F.col("n").alias("size")).join(counts, "class", "left")
+    held = {"by_all": F.col("size") - F.coalesce("own", F.lit(0)), "by_common": F.col("size") - F.coalesce("rare", F.lit(0))}
+    # The greatest size by a number of elements that can be in an intersection; none (0) if they don't reach the threshold against the class itself.
+    most = {k: F.when(v * 100 >= F.col("size") * percent, F.floor(v * (100 + percent) / percent + 1e-9).cast("long") - F.col("size")).otherwise(F.lit(0).cast("long")) for k, v in held.items()}
+    rated = stored(rated.select("class", "size", "central", *(v.alias(k) for k, v in most.items())), "reach")
+    common = large.join(rated.where("by_common > 0").select("class", "size", F.col("by_common").alias("top"), "central"), "class")
+    few = rare.where("n > 1").select(F.xxhash64("element").alias("sig"), "class").join(rated.where("by_all > 0").select("class", "size", F.col("by_all").alias("top"), "central"), "class")
+    columns = ("sig", "class", "size", "top", "central")
+    return common.select(*columns).unionAll(few.select(*columns))
+
+
+def connected(small: DataFrame, large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """class, component for all classes with a verified link to another.
+
+    small, large: rows sig, class of buckets of few classes and of many, of parted(). sets: class, n, and what elements() needs
+    to give element_rows() of each. First each class is compared with one other: the most central of most of its
+    buckets (that with the most large buckets: the text which the others are copies of, if it is there). What these links
+    connect is joined. Then, in buckets that hold several components, one of each is compared with the
+    bucket's most central; and at last pairs of different components that share a bucket are compared. In large buckets classes
+    and pairs are left out that cannot reach the threshold, by reachable(). So every two
     classes that share a bucket and are linked end in one component, but a group of n near copies costs about n
     comparisons, not n * n."""
-    released(buckets.sparkSession)
+    spark = small.sparkSession
+    released(spark)
+    none = F.lit(0).cast("long")
+    rows = small.select("sig", "class", none.alias("size"), none.alias("top"), none.alias("central")).unionAll(reachable(large, sets, elements, percent))
+    # Of equally central classes the smallest: the greatest complement.
+    rows = stored(rows, "rated")
+    most = rows.groupBy("sig").agg(F.max(F.struct("central", F.bitwise_not("class").alias("less"))).alias("most"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    buckets = stored(rows.drop("central").join(most.select("sig", F.bitwise_not("most.less").alias("first")), "sig"), "buckets")
+    dropped(rows)
     often = buckets.where("first != class").groupBy("class", "first").count()
-    often = often.groupBy("class").agg(F.max_by("first", F.struct("count", -F.col("first"))).alias("first"))
+    often = often.groupBy("class").agg(F.max_by("first", F.struct("count", F.bitwise_not("first"))).alias("first"))
     tried = stored(often.select(F.col("first").alias("a"), F.col("class").alias("b")), "pairs")
     links = stored(verified(tried), "found")
     reached = stored(components(links), "reached")
     for heads_only in (True, False):
-        marked = buckets.select("sig", "class").join(reached.toDF("class", "component"), "class", "left").select("sig", "class", F.coalesce("component", "class").alias("mark"))
-        mixed = marked.groupBy("sig").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low != high").select("sig")
+        marked = buckets.join(reached.toDF("class", "component"), "class", "left").withColumn("mark", F.coalesce("component", "class")).drop("component")
+        mixed = marked.groupBy("sig").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.max(F.when(F.col("class") == F.col("first"), F.col("mark"))).alias("its")).where("low != high").select("sig", "its")
         open_ = stored(marked.join(mixed, "sig"), "open")
         if heads_only:
-            heads = open_.groupBy("sig", "mark").agg(F.min("class").alias("class"))
-            lowest = heads.groupBy("sig").agg(F.min("class").alias("lowest"))
-            rest = heads.join(lowest, "sig").where("class != lowest").select(F.col("lowest").alias("a"), F.col("class").alias("b"))
+            heads = open_.where("mark != its").groupBy("sig", "mark").agg(F.min(F.struct("class", "first")).alias("x"))
+            rest = heads.select(F.col("x.first").alias("a"), F.col("x.class").alias("b"))
         else:
-            p, q = open_.alias("p"), open_.alias("q")
-            rest = p.join(q, F.col("p.sig") == F.col("q.sig")).where("p.class < q.class and p.mark != q.mark").select(F.col("p.class").alias("a"), F.col("q.class").alias("b"))
-        released(buckets.sparkSession)
-        rest = stored(rest.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            # A pair is left out where the lists of both classes' first buckets show an earlier one that they share.
+            lists_ = open_.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST).alias("early"))
+            listed = open_.join(lists_, "class")
+            p, q = listed.alias("p"), listed.alias("q")
+            fits = (F.col("p.class") < F.col("q.class")) & (F.col("p.mark") != F.col("q.mark")) & (F.col("p.size") <= F.col("q.top")) & (F.col("q.size") <= F.col("p.top"))
+            here = F.coalesce(F.array_min(F.array_intersect("p.early", "q.early")) >= F.col("p.sig"), F.lit(True))
+            rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & fits & here).select(F.col("p.class").alias("a"), F.col("q.class").alias("b"))
+        released(spark)
+        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = stored(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         more = stored(verified(rest), "found")
         tried = tried.unionAll(rest)
         if more.limit(1).count():

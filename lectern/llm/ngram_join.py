@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, rows_in, stored
-from .linking import connected, possible, shared_buckets, sketches
+from .linking import connected, parted, possible, shared_buckets, sketches, element_rows
 from .rows import mark_of
 from .textnum import U, Words, buffers, distinct_sorted, lists, mix, shingles, slices, sums_by
 
@@ -224,6 +224,22 @@ def _texts_task(k: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     return run
 
 
+def _elements_task(k: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            cls = np.asarray(part.column(0))
+            texts = pa.array([zlib.decompress(x.as_py()) for x in part.column(1)], pa.binary()).cast(pa.large_binary()).cast(pa.large_string())
+            for a, b, h, _, at in _sets(pa.RecordBatch.from_arrays([texts, texts], ["", "text"]), k):
+                yield element_rows(h, at, cls[a:b])
+
+    return run
+
+
+def _elements(k: int, sets: DataFrame) -> DataFrame:
+    return arrow_map(sets.select("class", "packed"), partial(_elements_task, k), "element long, class long")
+
+
 def _verify_task(k: int, percent: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 256):
@@ -290,12 +306,13 @@ def jaccard_members(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     texts = stored(texts.join(in_buckets, "class", "left_semi").dropDuplicates(["class"]), "texts")
     # A signature that many sets have costs most and is left out by sets that have enough others: if one of two partners has, after that,
     # as many segments as the guarantee needs, they meet in one of these. Sets that have not stay, and meet in the popular ones.
-    hot = buckets.where(F.col("n") > HOT).withColumn("parity", F.col("sig").bitwiseAND(F.lit(1)))
-    spare = arrow_map(texts.select("class", "packed"), partial(_spare_task, k, bounds, plan), "class long, parity long, spare long")
-    rich = hot.groupBy("class", "parity").agg(F.count(F.lit(1)).alias("hot")).join(spare, ["class", "parity"]).where("hot <= spare").select("class", "parity")
-    poor = hot.join(rich, ["class", "parity"], "left_anti").select("sig", "class")
-    buckets = stored(shared_buckets(buckets.where(F.col("n") <= HOT).select("sig", "class").unionAll(poor)), "buckets")
-    reached = connected(buckets, lambda pairs: _verified(pairs, texts, k, percent))
+    few, many = parted(buckets, HOT)
+    hot = stored(many.withColumn("parity", F.col("sig").bitwiseAND(F.lit(1))), "hot")
+    hot_of = hot.groupBy("class", "parity").agg(F.count(F.lit(1)).alias("hot"))
+    spare = arrow_map(texts.join(hot_of.select("class").distinct(), "class", "left_semi").select("class", "packed"), partial(_spare_task, k, bounds, plan), "class long, parity long, spare long")
+    rich = hot_of.join(spare, ["class", "parity"]).where("hot <= spare").select("class", "parity")
+    poor = stored(hot.join(rich, ["class", "parity"], "left_anti").select("sig", "class"), "poor")
+    reached = connected(few, poor, texts, partial(_elements, k), lambda pairs: _verified(pairs, texts, k, percent), percent)
 
     of_class = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
     of_class = of_class.join(reached, "class", "left").select("class", "low", F.coalesce("component", "class").alias("component"))

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, html_text, line_dedup, mixing, ngram_join, quality, textnum, token_counts, token_files, topk_search, toxicity
+from lectern.llm import decontamination, html_text, line_dedup, linking, mixing, ngram_join, quality, textnum, token_counts, token_files, topk_search, toxicity
 from lectern.llm.components import components
 
 from . import brute
@@ -59,6 +59,43 @@ def test_ngram_join_with_popular_signatures(spark, monkeypatch):
     assert got == brute.ngram_join(rows, 4, 85)
 
 
+@pytest.mark.parametrize(("hot", "rare"), [(2, 2), (1, 1), (3, 8)])
+def test_ngram_join_of_copies_around_a_text(spark, monkeypatch, hot, rare):
+    """Copies of one text with 0 to 30 words changed, some changes shared, and without the text itself; buckets and elements count as large or common early."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(linking, "RARE", rare)
+    monkeypatch.setattr(linking, "FIRST", hot)
+    rng = random.Random(hot)
+    rows = []
+    for base in range(3):
+        text = [f"b{base}w{i}" for i in range(rng.choice([90, 150]))]
+        for _ in range(45):
+            copy = text[:]
+            for _ in range(rng.choice([1, 2, 2, 3, 3, 4, 6, 30])):
+                at = rng.randrange(len(copy))
+                copy[at] = f"x{at % 7}" if rng.random() < 0.6 else f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy[: rng.choice([len(copy), len(copy), len(copy) - 8])])))
+    got = sorted(map(tuple, ngram_join.jaccard_components(frame(spark, rows), 4, 85).collect()))
+    assert got == brute.ngram_join(rows, 4, 85)
+
+
+def test_rare_elements_and_shared_buckets_in_batches():
+    """Runs that go over batches of any size are counted as wholes."""
+    rng = np.random.default_rng(3)
+    e = np.sort(rng.integers(0, 400, 3000) ** 2 // 300)
+    c = np.arange(3000)
+    counts = dict(zip(*np.unique(e, return_counts=True), strict=True))
+    for size in (1, 2, 7, 1000, 3000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(e[i : i + size]), pa.array(c[i : i + size])], ["a", "b"]) for i in range(0, 3000, size)]
+        got = [tuple(r.values()) for b in linking._rare(iter(batches)) for r in b.to_pylist()]
+        assert got == [(x, y, counts[x]) for x, y in zip(e.tolist(), c.tolist(), strict=True) if counts[x] <= linking.RARE]
+        twice = [pa.RecordBatch.from_arrays([pa.array(np.repeat(e, 2)[i : i + size]), pa.array(np.repeat(c // 2, 2)[i : i + size])], ["a", "b"]) for i in range(0, 6000, size)]
+        want = sorted(set(zip(e.tolist(), (c // 2).tolist(), strict=True)))
+        of = {x: [w for w in want if w[0] == x] for x in counts}
+        got = [tuple(r.values()) for b in linking._shared(iter(twice)) for r in b.to_pylist()]
+        assert got == [(x, y, of[x].index((x, y))) for x, y in want if len(of[x]) > 1]
+
+
 def test_allocation_keeps_the_guarantee():
     for h in range(1, 300):
         for sets in (2, 1000, 10**9):
@@ -269,19 +306,19 @@ def test_gradients_of_the_network():
     data, offs = textnum.buffers(pa.array(texts_))
     x = toxicity.Inputs(textnum.Words(data, offs, 0, 3, "alnum"))
     rng = np.random.default_rng(0)
-    net = toxicity.Network.fresh(np.zeros(toxicity.EVIDENCE_BUCKETS, np.float32), np.zeros(toxicity.EVIDENCE_BUCKETS, np.float32))
+    net = toxicity.Network.fresh(np.ones(toxicity.CELLS, bool), np.ones(toxicity.CELLS, bool))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     net.p["attend"] = rng.normal(size=net.p["attend"].shape)
     start, size, _ = toxicity.windows(x.count, x.first)
     index, mask = toxicity._places(x, start, size, len(x.hash))
-    y, w = np.array([0.0, 1.0, 0.0]), np.ones(3)
+    y, w = np.array([0.0, 1.0, 0.0]), np.full(3, 1 / 3)
 
     def loss():
         z = net.run(net.inputs(x), index, mask)[0].astype(np.float64)
         return float(np.mean(np.logaddexp(0, z) - y * z))
 
     grads = net.gradients(x, index, mask, y, w)
-    for k in ("uf", "wb", "cf", "attend", "out", "bias"):
+    for k in ("uf", "wb", "cf", "attend", "out", "bias", "word", "gram"):
         flat = net.p[k].reshape(-1)
         for i in rng.choice(flat.size, min(4, flat.size), replace=False):
             old = flat[i]
@@ -302,7 +339,67 @@ def test_hash_index():
         assert all(known.get(int(k), -1) == f for k, f in zip(keys, found, strict=True))
         new = keys[found < 0]
         known |= {int(k): index.n + i for i, k in enumerate(new)}
-        index.add(new)
+        data = b"".join(b"%d" % k for k in new)
+        ends = np.cumsum([len(b"%d" % k) for k in new])
+        start = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(new) else ends.astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        index.add(new, raw, start, ends.astype(np.int64))
+        if len(new):
+            number = index.find(new)
+            assert index.same(number, raw, start, ends).all()
+            other = raw.copy()
+            other[start[0]] ^= 1
+            assert index.same(number, other, start, ends).tolist() == [False] + [True] * (len(new) - 1)
+
+
+def thue_morse(n, a="a", b="b"):
+    x = y = ""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_hashes_are_no_polynomials():
+    for n in (3, 10, 14):
+        for a, b in ((("a", "b")), ("ab", "cd"), ("word1xyz", "word2xyz")):
+            x, y = thue_morse(n, a, b)
+            raw = np.frombuffer((x + y).encode(), np.uint8)
+            h = textnum.span_hashes(raw, np.array([0, len(x)]), np.array([len(x), len(x + y)]))
+            assert h[0] != h[1]
+
+
+def test_texts_whose_sums_of_powers_agree(spark):
+    """Thue-Morse words and their complements, as words, pieces, lines and whole texts."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(PATH)
+    rows = [(2 * i + j, t) for i, n in enumerate((10, 11, 6)) for j, t in enumerate(thue_morse(n))]
+    rows += [(20 + j, f"one two three {t} five six") for j, t in enumerate(thue_morse(10))] + [(30 + j, t) for j, t in enumerate(thue_morse(10, "x y ", "z w "))]
+    df = frame(spark, rows).coalesce(1)
+    n = token_counts.token_counts(df, PATH).collect()
+    assert {r.doc_id: r.n_tokens for r in n} == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    assert sorted(map(tuple, token_files.token_digest(df, PATH).collect()), key=repr) == brute.token_digest(rows, tok)
+    assert sorted(map(tuple, ngram_join.jaccard_components(df, 4, 85).collect())) == brute.ngram_join(rows, 4, 85)
+    got = line_dedup.deduped_lines(df).collect()
+    assert {r.doc_id: r.text for r in got} == brute.lines_kept(rows)
+
+
+def test_pieces_with_the_key_of_another(spark, monkeypatch):
+    """Where keys are equal and pieces differ, texts are tokenized whole."""
+    from lectern.llm import pieces
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(pieces, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64) + np.uint64(7))
+    rows = [t for _, t in texts() if t][:30] + ODD
+    data, offs = textnum.buffers(pa.array(rows))
+    encoder, counter = token_files.Encoder(PATH), token_counts._Counter(PATH)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in rows]
+    for _ in range(2):
+        flat, count = encoder.slice(data, offs, 0, len(rows))
+        assert count.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
+        assert counter.slice(data, offs, 0, len(rows)).tolist() == list(map(len, want))
 
 
 def test_words_of_slices():
