@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from functools import partial
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontamination, mixing, ngram_join, quality, token_files
 from lectern.llm.common import stored, table
+from lectern.llm.queries import vocabulary
 from lectern.llm.rows import kept_rows, none, one_of_each, positive
 
-VOCABULARY = "byte_bpe_50k.json"
-
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that the classifier predicts to be good; it learns from the same labelled rows as its query."""
@@ -38,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: token files of what is left, and their digest."""
-    return token_files.token_digest(docs, public_tokenizers.path(VOCABULARY))
+    return token_files.token_digest(docs, vocabulary())
 
 
 STAGES = [("quality", good_quality), ("near_copies", near_copies), ("benchmark", no_benchmark), ("mix", mix), ("tokens", tokens)]

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 from .textnum import U, Words, buffers, slices, span_hashes
 
-CHUNK_BYTES = 16 << 20
+#: Bytes of items in a broadcast. Compiled they take about sixty times as much, for every window is kept as text.
+CHUNK_BYTES = 4 << 20
 LANE = 256
 _A = U(0x9FB21C651E98DF25)
 
@@ -101,47 +102,61 @@ def compiled(items: list[tuple[str, str]], window: int) -> tuple[list[Patterns],
     return out, names
 
 
-_compiled: dict[int, tuple[list[Patterns], list[str]]] = {}
+#: Compiled chunks that a worker keeps. With more, they are taken in groups of so many, once for each batch of documents.
+RESIDENT = 2
+_compiled: dict[tuple, tuple[list[Patterns], list[str]]] = {}
 
 
-def _chunk(broadcast, window: int, of: int) -> tuple[list[Patterns], list[str]]:
+def _chunk(broadcast, window: int) -> tuple[list[Patterns], list[str]]:
     key = (broadcast._jbroadcast.id() if broadcast._jbroadcast is not None else broadcast._path, window)
     if key not in _compiled:
-        if len(_compiled) >= 1:
-            _compiled.clear()
+        while len(_compiled) >= RESIDENT:
+            del _compiled[next(iter(_compiled))]
         _compiled[key] = compiled(broadcast.value, window)
-        if of > 1:
-            broadcast.unpersist() if broadcast._jbroadcast is not None else None
+        if broadcast._jbroadcast is None:
+            del broadcast._value  # a worker's copy of the items, which it could read again from its file
     return _compiled[key]
 
 
+def _covered(spans: list[tuple[int, int]]) -> int:
+    """Places in any of the spans (both ends included)."""
+    total, upto = 0, -1
+    for a, b in sorted(spans):
+        total += max(0, b - max(a, upto + 1) + 1)
+        upto = max(upto, b)
+    return total
+
+
 def _task(chunks: list, window: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offs = buffers(batch.column(1))
-        for lo, hi in slices(offs):
-            w = Words(data, offs, lo, hi, "alnum")
-            h = w.hashes()
-            blob = None
-            edge = np.zeros(len(h) + 1, np.int64)
-            items: dict[int, set[str]] = {}
-            for c in chunks:
-                patterns, names = _chunk(c, window, len(chunks))
-                for p in patterns:
-                    if len(h) < p.m:
-                        continue
-                    at, which = p.search(h)
-                    inside = w.row[at] == w.row[at - p.m + 1]
-                    for last, k in zip(at[inside].tolist(), which[inside].tolist(), strict=True):
-                        if blob is None:
-                            blob = w.data.tobytes()
-                        first = last - p.m + 1
-                        if b" ".join([blob[s:e] for s, e in zip(w.start[first : last + 1].tolist(), w.end[first : last + 1].tolist(), strict=True)]) == p.texts[k]:
-                            edge[first] += 1
-                            edge[last + 1] -= 1
-                            items.setdefault(int(w.row[last]), set()).update([names[i] for i in p.items[k]])
-            hit = np.bincount(w.row[np.cumsum(edge[:-1]) > 0], minlength=hi - lo)
-            found = [sorted(items.get(i, ())) for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(w.count.astype(np.int64)), pa.array(hit.astype(np.int64)), pa.array(found, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
+        count = np.zeros(batch.num_rows, np.int64)
+        spans: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[str]] = {}
+        for group in range(0, max(1, len(chunks)), RESIDENT):
+            for lo, hi in slices(offs):
+                w = Words(data, offs, lo, hi, "alnum")
+                count[lo:hi] = w.count
+                h = w.hashes()
+                blob = None
+                for c in chunks[group : group + RESIDENT]:
+                    patterns, names = _chunk(c, window)
+                    for p in patterns:
+                        if len(h) < p.m:
+                            continue
+                        at, which = p.search(h)
+                        inside = w.row[at] == w.row[at - p.m + 1]
+                        for last, k in zip(at[inside].tolist(), which[inside].tolist(), strict=True):
+                            if blob is None:
+                                blob = w.data.tobytes()
+                            first = last - p.m + 1
+                            if b" ".join([blob[s:e] for s, e in zip(w.start[first : last + 1].tolist(), w.end[first : last + 1].tolist(), strict=True)]) == p.texts[k]:
+                                row = int(w.row[last])
+                                spans.setdefault(lo + row, []).append((first - int(w.first[row]), last - int(w.first[row])))
+                                items.setdefault(lo + row, set()).update([names[i] for i in p.items[k]])
+        hit = np.array([_covered(spans[i]) if i in spans else 0 for i in range(batch.num_rows)], np.int64)
+        found = [sorted(items.get(i, ())) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(hit), pa.array(found, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
 
     return run
 

@@ -43,6 +43,7 @@ class Cut:
         self.rows: list[tuple[int, float, int, int, int, int]] = []
         self._parts: list[str] = []
         self._linked = 0
+        self._stops: dict[str, tuple[int, int]] = {}
         stack: list[tuple[str, int, int, int]] = []  # name, furniture, main, furniture within main
         link = at = 0
         heading = 0
@@ -71,13 +72,7 @@ class Cut:
                         break
                 continue
             if name in HIDDEN and not (m[4] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, b)
-                if end:
-                    at = end.end()
-                    continue
-                if name in ("script", "style"):
-                    at = len(page)
-                    break
+                at = self._hidden_end(page, name, b, stack[-1][0] if stack else "")
                 continue
             if name == "a":
                 link = 1
@@ -108,6 +103,30 @@ class Cut:
             self._take(rest, link)
         self._flush(stack, heading)
 
+    def _hidden_end(self, page: str, name: str, at: int, parent: str) -> int:
+        """Where the hidden element ends whose content begins at `at`.
+
+        Scripts and styles end at their closing tag, or with the page. Others end there too, if it comes before another
+        opening tag of the name, the body and the end of what they stand in; else they were left open, and only the text up to the next tag is theirs."""
+        if name in ("script", "style"):
+            stops = (f"</{name}",)
+        else:
+            stops = (f"</{name}", f"<{name}", "<body", *((f"</{parent}",) if parent else ()))
+        first = min((self._next(page, stop, at), stop) for stop in stops)
+        if first[1] == stops[0] and first[0] < len(page):
+            end = page.find(">", first[0])
+            return end + 1 if end >= 0 else len(page)
+        return len(page) if len(stops) == 1 else max(at, min(page.find("<", at) % (len(page) + 1), len(page)))
+
+    def _next(self, page: str, stop: str, at: int) -> int:
+        """The place of the next tag that begins with stop, from `at` on; the page's length if there is none. Each stretch is searched once for each stop."""
+        low, found = self._stops.get(stop, (0, -1))
+        if found < at or low > at:
+            m = re.compile(re.escape(stop) + r"(?=[\s/>])", re.I).search(page, at)
+            low, found = at, m.start() if m else len(page)
+            self._stops[stop] = low, found
+        return found
+
     def _take(self, raw: str, link: int) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
@@ -223,7 +242,8 @@ def _task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """A row for each row of pages: page_id, url, text, n_chars (code points).
 
-    A null page counts as empty and has the empty text. Character references are decoded, white space inside a block
+    A null page counts as empty and has the empty text. A line break (br) ends a block, as a paragraph does. Blocks of which the tree's leaf
+    has as many of one kind as of the other are kept. Character references are decoded, white space inside a block
     (Unicode's) becomes one blank. Repeated rows are repeated; other columns are ignored; an empty table gives an empty
     result. One narrow map, without a shuffle; memory holds a batch of pages."""
     return arrow_map(pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), pages[page].alias("html")), _task, "page_id long, url string, text string, n_chars long")

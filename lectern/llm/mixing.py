@@ -74,7 +74,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
     size: words (runs of other than ASCII white space) of the text, 0 for null. Copies are whole, so no document
     takes more than ceil(most) times its size. A null source is a source, last in order. Null or repeated ids
-    are documents of their own; among equal ids the order is by size, then by mark (a hash of the text). A source without
+    are documents of their own (a null id draws its number by the text); among equal ids the order is by size, then by mark (a hash of the text). A source without
     words has target 0 and takes none. Columns besides those named are ignored; an empty table gives none."""
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), docs[text].alias("text"))
     sizes = stored(arrow_map(rows, _sizes_task, "doc_id long, source string, size long, mark long"), "sizes")
@@ -83,7 +83,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goal = goal.withColumn("open", F.col("target") - F.col("whole") * F.col("source_size"))
     goal = goal.withColumn("p", F.when(F.col("source_size") > 0, F.col("open") / F.col("source_size")).otherwise(0.0))
-    digits = F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 12)
+    digits = F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("mark").cast("string")))).cast("binary")), 1, 12)
     u = (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
     q = u / (1 - u) * (1 - F.col("p")) / F.col("p")
     rows = _by_source(sizes, goal, small).withColumn("q", F.when(F.col("p") > 0, q).otherwise(F.lit(float("inf"))))
@@ -118,21 +118,21 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     are shuffled once, by a hash of these, which both the numbering of equal rows and the join use."""
     text, key, source = options.get("text", "text"), options.get("key", "doc_id"), options.get("source", "source")
     of = F.xxhash64("doc_id", "source", "mark")
-    plan = mix_plan(docs, **options).groupBy(of.alias("_of")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n")).where("_copies > 0")
-    rows = _marked(docs, text, key, source).withColumn("_i", F.row_number().over(Window.partitionBy("_of").orderBy("_of")))
-    each = F.floor(F.col("_copies") / F.col("_n")) + (F.col("_i") <= F.col("_copies") % F.col("_n")).cast("int")
-    return rows.join(plan, "_of").withColumn("_each", each).where("_each > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select(*docs.columns)
+    plan = mix_plan(docs, **options).groupBy(of.alias("_lectern_of")).agg(F.sum("copies").alias("_lectern_copies"), F.count(F.lit(1)).alias("_lectern_n")).where("_lectern_copies > 0")
+    rows = _marked(docs, text, key, source).withColumn("_lectern_i", F.row_number().over(Window.partitionBy("_lectern_of").orderBy("_lectern_of")))
+    each = F.floor(F.col("_lectern_copies") / F.col("_lectern_n")) + (F.col("_lectern_i") <= F.col("_lectern_copies") % F.col("_lectern_n")).cast("int")
+    return rows.join(plan, "_lectern_of").withColumn("_lectern_each", each).where("_lectern_each > 0").withColumn("_lectern_copy", F.explode(F.sequence(F.lit(1), F.col("_lectern_each").cast("int")))).select(*docs.columns)
 
 
 def _marked(docs: DataFrame, text: str, key: str, source: str) -> DataFrame:
-    """docs with _of, a hash of doc_id, source and mark as mix_plan() has them."""
+    """docs with _lectern_of, a hash of doc_id, source and mark as mix_plan() has them."""
     at = docs.columns.index(text)
 
     def task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_marks(batch.column(at))[1])], [*batch.schema.names, "_mark"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_marks(batch.column(at))[1])], [*batch.schema.names, "_lectern_mark"])
 
         return run
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return arrow_map(docs, task, f"{schema}, _mark long").withColumn("_of", F.xxhash64(F.col(key).cast("long"), F.col(source).cast("string"), F.col("_mark"))).drop("_mark")
+    return arrow_map(docs, task, f"{schema}, _lectern_mark long").withColumn("_lectern_of", F.xxhash64(F.col(key).cast("long"), F.col(source).cast("string"), F.col("_lectern_mark"))).drop("_lectern_mark")

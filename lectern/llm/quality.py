@@ -139,13 +139,18 @@ class Model:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, features: int = FEATURES, most: int = MOST_LABELS, text: str = "text", key: str = "doc_id", label: str = "label") -> Model:
-    """A model of labels (key, label 0 or 1) on at most `most` labelled rows of docs.
+    """A model of labels (key, label 0 or 1) on at most `most` labelled rows of docs, those with the lowest hashes of their ids (rows that
+    repeat an id count each).
 
     Null keys and labels teach nothing. Without any labelled text every score is 0.5; if all have one label, that label's value."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(label).cast("double").alias("_y"))
     chosen = chosen.dropDuplicates().orderBy(F.xxhash64("_key"), "_key", "_y").limit(most)  # the bound of the broadcast
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").select((F.pmod(F.xxhash64(F.lit("fold"), "_key"), F.lit(FOLDS))).cast("int").alias("fold"), "_y", "_text")
-    x = stored(arrow_map(rows, partial(_statistics_task, 2, 2), "fold int, _y double, x array<double>").repartition(PARTS), "statistics")
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    rows = rows.select((F.pmod(F.xxhash64(F.lit("fold"), "_key"), F.lit(FOLDS))).cast("int").alias("fold"), "_y", "_key", F.xxhash64("_text").alias("_h"), "_text")
+    x = stored(arrow_map(rows, partial(_statistics_task, 4, 4), "fold int, _y double, _key long, _h long, x array<double>").repartition(PARTS), "statistics")
+    if x.count() > most:  # ids that repeat
+        x = stored(x.orderBy(F.xxhash64("_key"), "_key", "_y", "_h").limit(most).repartition(PARTS), "statistics")
+    x = x.select("fold", "_y", "x")
     d = len(STATISTICS)
     facts = x.agg(F.count("*"), F.avg("_y"), *[F.avg(F.col("x")[i]) for i in range(d)], *[F.stddev_pop(F.col("x")[i]) for i in range(d)]).first()
     if not facts[0] or facts[1] in (0.0, 1.0):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, html_text, line_dedup, mixing, ngram_join, quality, token_counts, token_files, topk_search, toxicity
@@ -11,6 +10,13 @@ from .common import table
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def vocabulary() -> str:
+    """The path of the vocabulary, which is installed beside the tokenizers' libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search_digest(table(spark, sf_dir, "embeddings"))
 
@@ -40,11 +46,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return token_files.token_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,15 +57,15 @@ def one_of_each(docs: DataFrame, members: DataFrame, text: str = "text", key: st
 
     members: doc_id, mark (of mark_of()), component, component_id, a row for each of docs. Rows without component stay, all of
     them. The rows that go are broadcast by id and mark up to a bound, else joined by a shuffle."""
-    some = members.where("component is not null").select(id_of().alias("_k"), F.col("mark").alias("_m"), "component", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_head"))
+    some = members.where("component is not null").select(id_of().alias("_lectern_k"), F.col("mark").alias("_lectern_m"), "component", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_head"))
     heads = some.where("_head")
-    several = heads.groupBy("component").agg(F.min("_m").alias("low"), F.max("_m").alias("high")).where("low != high").select("component", "low")
-    gone = some.where("not _head").select("_k", "_m").unionAll(heads.join(several, "component").where("_m != low").select("_k", "_m")).distinct()
-    twice = heads.groupBy("_k", "_m").count().where("count > 1").select("_k", "_m")
+    several = heads.groupBy("component").agg(F.min("_lectern_m").alias("low"), F.max("_lectern_m").alias("high")).where("low != high").select("component", "low")
+    gone = some.where("not _head").select("_lectern_k", "_lectern_m").unionAll(heads.join(several, "component").where("_lectern_m != low").select("_lectern_k", "_lectern_m")).distinct()
+    twice = heads.groupBy("_lectern_k", "_lectern_m").count().where("count > 1").select("_lectern_k", "_lectern_m")
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.withColumns({"_k": id_of(key), "_m": mark_of(text, key)}).join(gone, ["_k", "_m"], "left_anti")
+    kept = docs.withColumns({"_lectern_k": id_of(key), "_lectern_m": mark_of(text, key)}).join(gone, ["_lectern_k", "_lectern_m"], "left_anti")
     if twice.limit(1).count():
-        once = kept.join(twice, ["_k", "_m"], "left_semi").dropDuplicates(["_k", "_m"])
-        kept = kept.join(twice, ["_k", "_m"], "left_anti").unionByName(once)
+        once = kept.join(twice, ["_lectern_k", "_lectern_m"], "left_semi").dropDuplicates(["_lectern_k", "_lectern_m"])
+        kept = kept.join(twice, ["_lectern_k", "_lectern_m"], "left_anti").unionByName(once)
     return kept.select(*docs.columns)

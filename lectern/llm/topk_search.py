@@ -1,6 +1,6 @@
 """Exact top-k search (operator 1): Fagin's threshold algorithm over sorted lists, one for each dimension.
 
-Vectors are dealt by a hash of their id into blocks of about BLOCK_ROWS. In a block every dimension has a list
+Vectors are dealt by a hash of their row number into blocks of about BLOCK_ROWS. In a block every dimension has a list
 of the rows in order of its component. A query reads all lists in step (from the top where its own
 component is positive, from the bottom where negative), scores each row when it is first seen, and stops
 when the kth best score is above the threshold: the score of a row that had, in every dimension, the value last
@@ -101,20 +101,22 @@ def quantised(vectors: DataFrame, scale: int = 256, key: str = "vec_id", vector:
     """vec_id, v: floor(scale * x) of each component, in doubles. Vectors that are null or hold a null or non-finite component are left out."""
     finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     v = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale))
-    kept = vectors.where(F.col(vector).isNotNull() & finite & F.col(key).isNotNull())
-    return kept.groupBy(F.col(key).cast("long").alias("vec_id")).agg(F.min(v).alias("v"))
+    return vectors.where(F.col(vector).isNotNull() & finite & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def top_k(vectors: DataFrame, is_query: Callable[[], object], k: int = 5, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k best rows for each query by inner product: query_id, rank (from 1), vec_id, score.
 
-    vectors: vec_id, v (integers), ids distinct. A query's own row is no candidate. Missing components of shorter vectors count as 0.
+    vectors: vec_id, v (integers). Rows that repeat an id are rows of their own, as candidates and as queries (whose best rows meet under the
+    id); a query's own rows are those with its id, and no candidates. Missing components of shorter vectors count as 0.
     Fewer candidates than k: all of them; none: no row. An empty table gives an empty result."""
+    # Rows are dealt by their numbers, not by ids, which may repeat; stored, for a task that is run again must see the same numbers.
+    vectors = stored(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = vectors.count()
     queries = vectors.where(is_query)
     m = queries.count()
     blocks, groups = max(1, math.ceil(n / block_rows)), max(1, math.ceil(m / query_rows))
-    dealt = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    dealt = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     rows = vectors.withColumn("block", dealt(blocks)).withColumn("part", every(groups))
     asked = queries.withColumn("part", dealt(groups)).withColumn("block", every(blocks))
@@ -131,6 +133,5 @@ def top_k(vectors: DataFrame, is_query: Callable[[], object], k: int = 5, block_
 def search_digest(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256, **options) -> DataFrame:
     """top_k() of the rows whose vec_id is divisible by every, among all others.
 
-    Of rows that repeat a vec_id the one with the least vector stands; null ids take no part."""
-    rows = stored(quantised(table, scale), "vectors")
-    return top_k(rows, F.col("vec_id") % every == 0, k, **options)
+    Rows with a null id take no part."""
+    return top_k(quantised(table, scale), F.col("vec_id") % every == 0, k, **options)

@@ -1,14 +1,16 @@
 """Toxicity (operator 7): a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A text is its words (runs of letters and digits, A-Z lower-cased) in overlapping windows of WINDOW words, a
-half window apart, which cover it whole. A word's input has a word part (an embedding by its hash, and the
-evidence of its hash) and a character part (mean embeddings of its character trigrams and five-grams, and
-the strongest evidence among them). Evidence is a lower confidence bound of log odds over the fitting rows. Two
-gated recurrent layers read a window forwards and backwards; attention weighs their states; a linear unit
-scores the sum. A text's logit comes from its strongest window; calibration is by held-out fitting rows.
+half window apart, which cover it whole. A word's input has a word part (an embedding by its hash) and a
+character part (embeddings of its character trigrams and five-grams: their mean, and by component their
+greatest). Two gated recurrent layers read a window forwards and backwards; attention weighs their states; a
+linear unit scores the sum. A text's logit comes from its strongest window; calibration is by held-out fitting
+rows. All that the network knows of labels it has learnt by gradients through it.
 
-Fitting: which window makes a text toxic is not known, so each round scores all windows of the fitting texts,
-takes each text's strongest window (and one other of clean texts), and trains on these by Adam."""
+Fitting: which window makes a text toxic is not known. The first rounds train on windows of every fitting text drawn
+without regard to what is in them (up to DRAWN a text, so that no text counts by its length); what occurs in
+texts of both labels cancels out. Each round after them scores all windows of the fitting texts and trains on each text's
+strongest window, and on drawn ones of clean texts."""
 
 from __future__ import annotations
 
@@ -29,15 +31,18 @@ from .textnum import U, Words, buffers, mix, slices
 MOST_LABELS, MOST_BYTES = 6_000, 48 << 20
 WINDOW = 32
 HIDDEN = 8
-WORD_BUCKETS, GRAM_BUCKETS, EVIDENCE_BUCKETS = 1 << 14, 1 << 13, 1 << 18
-WORD_WIDTH, GRAM_WIDTH = 8, 6
-ROUNDS, PASSES, BATCH, RATE = 4, 3, 256, 0.01
+WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 15
+WORD_WIDTH, GRAM_WIDTH = 8, 8
+#: Words and grams that few fitting texts have are all the same unknown one: under these numbers, or the square root of the texts' number times these
+#: shares. They are counted by hash in so many cells.
+LEAST_TEXTS, LEAST_GRAM_TEXTS, CELLS = (3, 0.17), (8, 0.5), 1 << 20
+#: Rounds on drawn windows, rounds in all, passes of a round; windows drawn from a text.
+BLIND, ROUNDS, PASSES, DRAWN = 2, 6, 3, 12
+BATCH, RATE = 256, 0.01
 #: Steps of a round at least, so that a few labelled rows are gone over more often.
 LEAST_STEPS = 40
-#: Embeddings learn by this part of the rate, so that few labelled rows aren't learnt by heart.
-SLOW = 0.1
-#: Standard errors by which evidence is lowered.
-Z = 2.0
+#: Rate of the embeddings, whose steps are in proportion to their gradients: what few texts have moves little.
+EMBED_RATE, EMBED_DECAY = 60.0, 1e-4
 SLICE = 1 << 20
 f32 = np.float32
 
@@ -69,8 +74,8 @@ class Inputs:
         h = w.hashes()
         self.hash, first, self.word = np.unique(h, return_index=True, return_inverse=True)
         three, five, self.at = _grams(w.data, w.start[first], w.end[first])
-        # Bucket numbers; the buckets of evidence are a multiple of those of embeddings, so one number has both.
-        self.three, self.five = (three % U(GRAM_BUCKETS)).astype(np.int32), (five % U(EVIDENCE_BUCKETS)).astype(np.int32)
+        # Cells, of which buckets are the rests: the buckets' number divides theirs.
+        self.cell, self.three, self.five = ((x % U(CELLS)).astype(np.int32) for x in (self.hash, three, five))
         self.first, self.count, self.rows = w.first, w.count, w.rows
 
 
@@ -95,28 +100,35 @@ def _segment_mean(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
-    word_evidence: np.ndarray
-    gram_evidence: np.ndarray
+    known_words: np.ndarray
+    known_grams: np.ndarray
     calibration: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
-    def fresh(cls, word_evidence: np.ndarray, gram_evidence: np.ndarray, seed: int = 11) -> Network:
+    def fresh(cls, known_words: np.ndarray, known_grams: np.ndarray, seed: int = 11) -> Network:
+        """known_words, known_grams: by cell, whether its words (grams) have embeddings of their own."""
         rng = np.random.default_rng(seed)
-        width, h = WORD_WIDTH + GRAM_WIDTH + 2, HIDDEN
-        p = {"word": rng.normal(size=(WORD_BUCKETS, WORD_WIDTH)) * 0.02, "gram": rng.normal(size=(GRAM_BUCKETS, GRAM_WIDTH)) * 0.02, "attend": np.zeros(2 * h), "out": rng.normal(size=2 * h) * 0.3, "bias": np.zeros(1)}
+        width, h = WORD_WIDTH + 2 * GRAM_WIDTH, HIDDEN
+        p = {"word": rng.normal(size=(WORD_BUCKETS + 1, WORD_WIDTH)) * 0.02, "gram": rng.normal(size=(GRAM_BUCKETS + 1, GRAM_WIDTH)) * 0.02, "attend": np.zeros(2 * h), "out": rng.normal(size=2 * h) * 0.3, "bias": np.zeros(1)}
         for d in "fb":
             p |= {f"w{d}": rng.normal(size=(width, 3 * h)) / np.sqrt(width), f"u{d}": rng.normal(size=(h, 3 * h)) / np.sqrt(h), f"c{d}": np.zeros(3 * h)}
-        return cls({k: v.astype(f32) for k, v in p.items()}, word_evidence, gram_evidence)
-
-    def inputs(self, x: Inputs) -> np.ndarray:
-        """A row for each distinct word."""
-        word = self.p["word"][(x.hash % U(WORD_BUCKETS)).astype(np.int64)]
-        gram = self.p["gram"]
-        g = _segment_mean(gram[x.three] + gram[x.five % GRAM_BUCKETS], x.at) if len(x.hash) else np.zeros((0, GRAM_WIDTH), f32)
-        e = self.word_evidence[(x.hash % U(EVIDENCE_BUCKETS)).astype(np.int64)]
-        c = self.gram_evidence[x.five]
-        c = np.maximum.reduceat(c, x.at[:-1]) if len(x.hash) else c[:0]
-        return np.concatenate([word, g, e[:, None], c[:, None]], 1).astype(f32)
+        return cls({k: v.astype(f32) for k, v in p.items()}, known_words, known_grams)
+
+    def buckets(self, x: Inputs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the embeddings of words, trigrams and five-grams; the last row is that of unknown ones."""
+        word = np.where(self.known_words[x.cell], x.cell % WORD_BUCKETS, WORD_BUCKETS)
+        return word, *(np.where(self.known_grams[g], g % GRAM_BUCKETS, GRAM_BUCKETS) for g in (x.three, x.five))
+
+    def inputs(self, x: Inputs, keep: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row for each distinct word; keep: also the embeddings of its grams and which are the greatest."""
+        if not len(x.hash):
+            v = np.zeros((0, WORD_WIDTH + 2 * GRAM_WIDTH), f32)
+            return (v, v, v) if keep else v
+        word, three, five = self.buckets(x)
+        g = self.p["gram"][three] + self.p["gram"][five]
+        top = np.maximum.reduceat(g, x.at[:-1], axis=0)
+        v = np.concatenate([self.p["word"][word], _segment_mean(g, x.at), top], 1).astype(f32)
+        return (v, g, top) if keep else v
 
     def projected(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.concatenate([v @ self.p[f"w{d}"] + self.p[f"c{d}"], np.zeros((1, 3 * HIDDEN), f32)]) for d in "fb")
@@ -149,10 +161,10 @@ class Network:
         return logit, {"states": states, "weight": weight, "pooled": pooled, "memo": memo} if keep else {}
 
     def gradients(self, x: Inputs, index: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted cross-entropy of windows with labels y."""
-        v, h, (n, t) = self.inputs(x), HIDDEN, index.shape
+        """Of the sum of the weighted cross-entropies of windows with labels y."""
+        (v, grams, top), h, (n, t) = self.inputs(x, True), HIDDEN, index.shape
         logit, m = self.run(v, index, mask, True)
-        g = ((_sigmoid(logit) - y) * weight / weight.sum()).astype(f32)
+        g = ((_sigmoid(logit) - y) * weight).astype(f32)
         out = {"bias": np.array([g.sum()]), "out": m["pooled"].T @ g}
         d_pool = g[:, None] * self.p["out"]
         states, a = m["states"], m["weight"]
@@ -180,11 +192,14 @@ class Network:
             d_v[:-1] += own @ self.p[f"w{d}"].T
         d_v = d_v[:-1]
         d_word, d_gram = np.zeros_like(self.p["word"]), np.zeros_like(self.p["gram"])
-        np.add.at(d_word, (x.hash % U(WORD_BUCKETS)).astype(np.int64), d_v[:, :WORD_WIDTH])
+        word, three, five = self.buckets(x)
+        np.add.at(d_word, word, d_v[:, :WORD_WIDTH])
         size = np.diff(x.at)
-        share = np.repeat(d_v[:, WORD_WIDTH : WORD_WIDTH + GRAM_WIDTH] / size[:, None], size, 0)
-        for grams in (x.three, x.five % GRAM_BUCKETS):
-            np.add.at(d_gram, grams, share)
+        word_of = np.repeat(np.arange(len(size)), size)
+        mean, best = d_v[:, WORD_WIDTH : WORD_WIDTH + GRAM_WIDTH] / size[:, None], d_v[:, WORD_WIDTH + GRAM_WIDTH :]
+        d_g = mean[word_of] + best[word_of] * (grams == top[word_of]) if len(size) else np.zeros((0, GRAM_WIDTH), f32)
+        for which in (three, five):
+            np.add.at(d_gram, which, d_g)
         return out | {"word": d_word, "gram": d_gram}
 
     def logits(self, x: Inputs) -> np.ndarray:
@@ -215,22 +230,44 @@ def _places(x: Inputs, start: np.ndarray, size: np.ndarray, none: int) -> tuple[
     return np.where(mask, x.word[np.minimum(start[:, None] + k, len(x.word) - 1)], none), mask
 
 
-def evidence(hits: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """By bucket, how far the log odds of a label 1 are above or below the share of such rows, less two standard errors.
-
-    hits: rows with a key of the bucket, by label; rows: all rows, by label."""
-    total = np.maximum(rows, 1)[:, None]
-    odds = np.log((hits[1] + 0.5) / (total[1] + 1)) - np.log((hits[0] + 0.5) / (total[0] + 1))
-    error = np.sqrt(1 / (hits[1] + 0.5) + 1 / (hits[0] + 0.5))
-    return (np.sign(odds) * np.maximum(np.abs(odds) - Z * error, 0)).astype(f32)
+def _known(parts: list[Inputs], fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of words, and of grams, that enough of the fitting texts have. Labels are not looked at."""
+    words, grams = np.zeros(CELLS, np.int32), np.zeros(CELLS, np.int32)
+    for n, (x, r) in enumerate((x, r) for x in parts for r in range(x.rows)):
+        if fit[n]:
+            own = np.unique(x.word[x.first[r] : x.first[r + 1]])
+            words[np.unique(x.cell[own])] += 1
+            size = x.at[own + 1] - x.at[own]
+            ends = np.cumsum(size)
+            flat = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(x.at[own] - ends + size, size)
+            grams[np.unique(np.concatenate([x.three[flat], x.five[flat]]))] += 1
+    root = float(np.sqrt(fit.sum()))
+    return words >= max(LEAST_TEXTS[0], LEAST_TEXTS[1] * root), grams >= max(LEAST_GRAM_TEXTS[0], LEAST_GRAM_TEXTS[1] * root)
+
+
+def _chosen(net: Network, x: Inputs, spans: tuple[np.ndarray, ...], rows: np.ndarray, y: np.ndarray, blind: bool, rng: np.random.Generator) -> list[tuple[int, int, float, float]]:
+    """start, size, label and weight of the windows that a round trains on, of the rows of x."""
+    start, size, row = spans
+    out = []
+    z = None if blind else net.of_windows(x, start, size)
+    bounds = np.searchsorted(row, np.arange(x.rows + 1))
+    for r in rows.tolist():
+        a, b = int(bounds[r]), int(bounds[r + 1])
+        if z is not None:
+            top = a + int(np.argmax(z[a:b]))
+            out.append((start[top], size[top], y[r], 1.0))
+        if z is None or not y[r]:
+            n = min(DRAWN if z is None else 1, b - a)
+            some = a + rng.choice(b - a, n, replace=False)
+            out += [(start[k], size[k], y[r], 1.0 / n) for k in some.tolist()]
+    return out
 
 
 def trained(texts: list[str], labels: list[int]) -> Network:
     """A network fitted on texts; every fourth is kept for calibration."""
     y = np.array(labels, np.float64)
-    none = np.zeros(EVIDENCE_BUCKETS, f32)
     if not len(y) or y.min() == y.max():
-        net = Network.fresh(none, none)
+        net = Network.fresh(np.zeros(CELLS, bool), np.zeros(CELLS, bool))
         net.p["out"] *= 0
         p = 0.5 if not len(y) else float(np.clip(y[0], 0.01, 0.99))
         net.calibration = (0.0, float(np.log(p / (1 - p))))
@@ -238,79 +275,50 @@ def trained(texts: list[str], labels: list[int]) -> Network:
     data, offs = buffers(pa.array(texts, pa.string()))
     parts = [Inputs(Words(data, offs, lo, hi, "alnum")) for lo, hi in slices(offs, SLICE)]
     fit = np.arange(len(y)) % 4 != 3
-    # Evidence is from the other half of the fitting rows for each half while training, so that it is as strong as on new texts.
-    half = np.arange(len(y)) // 4 % 2
-    hits = np.zeros((2, 2, 2, EVIDENCE_BUCKETS), np.int32)  # half, words or five-grams, label
-    for n, (x, r) in enumerate((x, r) for x in parts for r in range(x.rows)):
-        if fit[n]:
-            own = np.unique(x.word[x.first[r] : x.first[r + 1]])
-            grams = [x.five[x.at[k] : x.at[k + 1]] for k in own.tolist()]
-            for kind, keys in enumerate(((x.hash[own] % U(EVIDENCE_BUCKETS)).astype(np.int64), np.concatenate(grams) if grams else x.five[:0])):
-                hits[half[n], kind, int(y[n]), np.unique(keys)] += 1
-    rows_of = np.array([[(fit & (half == k) & (y == v)).sum() for v in (0, 1)] for k in (0, 1)])
-    nets = [tuple(evidence(hits[k, kind], rows_of[k]) for kind in (0, 1)) for k in (0, 1)]
-    nets.append(tuple(evidence(hits[0, kind] + hits[1, kind], rows_of.sum(0)) for kind in (0, 1)))
-    net = Network.fresh(*nets[2])
+    net = Network.fresh(*_known(parts, fit))
     rng = np.random.default_rng(5)
-    adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in ("word", "gram")}
     step = 0
     begin = np.cumsum([0] + [x.rows for x in parts])
     spans = [windows(x.count, x.first) for x in parts]
     for turn in range(ROUNDS):
-        chosen: list[tuple[int, int, int, int, float, int]] = []  # part, start, size, row of all, label, half
-        for i, (x, (start, size, row)) in enumerate(zip(parts, spans, strict=True)):
-            for side in (0, 1):
-                net.word_evidence, net.gram_evidence = nets[1 - side]
-                rows = np.flatnonzero(fit[begin[i] : begin[i + 1]] & (half[begin[i] : begin[i + 1]] == side))
-                if not len(rows):
-                    continue
-                if turn:
-                    z = net.of_windows(x, start, size)
-                else:  # the first round goes by evidence alone
-                    v = net.inputs(x)[:, -2:].sum(1)
-                    index, mask = _places(x, start, size, len(v))
-                    z = (np.append(v, f32(0))[index] * mask).sum(1)
-                order = np.lexsort((-z, row))
-                lead = np.searchsorted(row[order], rows)
-                for r, j in zip(rows.tolist(), lead.tolist(), strict=True):
-                    n = begin[i] + r
-                    top = order[j]
-                    chosen.append((i, start[top], size[top], n, y[n], side))
-                    if not y[n]:
-                        some = order[j + rng.integers(np.searchsorted(row, r + 1) - np.searchsorted(row, r))]
-                        chosen.append((i, start[some], size[some], n, 0.0, side))
-        share = sum(c[4] for c in chosen) / len(chosen)
-        steps = sum(-(-n // BATCH) for n in np.bincount([2 * c[0] + c[5] for c in chosen]).tolist())
+        chosen = []
+        for i, x in enumerate(parts):
+            own = y[begin[i] : begin[i + 1]]
+            chosen.append(_chosen(net, x, spans[i], np.flatnonzero(fit[begin[i] : begin[i + 1]]), own, turn < BLIND, rng))
+        toxic = sum(w for c in chosen for _, _, v, w in c if v)
+        clean = sum(w for c in chosen for _, _, v, w in c if not v)
+        rows = sum(map(len, chosen))
+        steps = sum(-(-len(c) // BATCH) for c in chosen)
         for _ in range(max(PASSES, -(-LEAST_STEPS // steps))):
-            by_part: dict[tuple[int, int], list] = {}
-            for c in chosen:
-                by_part.setdefault((c[0], c[5]), []).append(c)
             batches = []
-            for (i, side), own in by_part.items():
+            for i, own in enumerate(chosen):
                 rng.shuffle(own)
-                batches += [(i, side, own[a : a + BATCH]) for a in range(0, len(own), BATCH)]
+                batches += [(i, own[a : a + BATCH]) for a in range(0, len(own), BATCH)]
             rng.shuffle(batches)
-            for i, side, own in batches:
-                net.word_evidence, net.gram_evidence = nets[1 - side]
+            for i, own in batches:
                 x = parts[i]
-                index, mask = _places(x, np.array([c[1] for c in own]), np.array([c[2] for c in own]), len(x.hash))
+                index, mask = _places(x, np.array([c[0] for c in own]), np.array([c[1] for c in own]), len(x.hash))
                 used, back = np.unique(index, return_inverse=True)
                 used = used[used < len(x.hash)]
                 back = back.reshape(index.shape)
                 sub = object.__new__(Inputs)
                 sizes = np.diff(x.at)[used]
                 flat = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(x.at[used], sizes)
-                sub.hash, sub.three, sub.five, sub.at = x.hash[used], x.three[flat], x.five[flat], np.concatenate([[0], np.cumsum(sizes)])
-                label = np.array([c[4] for c in own])
-                grads = net.gradients(sub, back, mask, label, np.where(label > 0, 0.5 / share, 0.5 / (1 - share)))
+                sub.hash, sub.cell, sub.three, sub.five, sub.at = x.hash[used], x.cell[used], x.three[flat], x.five[flat], np.concatenate([[0], np.cumsum(sizes)])
+                label = np.array([c[2] for c in own])
+                weight = np.array([c[3] for c in own]) * np.where(label > 0, 0.5 / toxic, 0.5 / clean)
+                grads = net.gradients(sub, back, mask, label, weight * rows / len(own))
                 step += 1
-                rate = RATE * min(1, step / 20) * (0.5 ** max(0, turn - 1))
+                rate = min(1, step / 20) * (0.5 ** max(0, turn - BLIND))
                 for k, g in grads.items():
+                    if k in ("word", "gram"):
+                        net.p[k] -= (rate * (EMBED_RATE * g + EMBED_DECAY * net.p[k])).astype(f32)
+                        continue
                     m, s = adam[k]
                     m += 0.1 * (g - m)
                     s += 0.001 * (g * g - s)
-                    net.p[k] -= (rate * (SLOW if k in ("word", "gram") else 1) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(f32)
-    net.word_evidence, net.gram_evidence = nets[2]
+                    net.p[k] -= (RATE * rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(f32)
     z = np.concatenate([net.logits(x) for x in parts]).astype(np.float64)
     a, b = 1.0, 0.0
     kept = ~fit
@@ -329,21 +337,25 @@ def trained(texts: list[str], labels: list[int]) -> Network:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS, most_bytes: int = MOST_BYTES, text: str = "text", key: str = "doc_id", label: str = "label") -> Network:
-    """A network of at most `most` labelled rows of docs, with most_bytes of whole texts at most, in the order of a hash of their ids.
+    """A network of at most `most` labelled rows of docs, with most_bytes of whole texts (UTF-8) at most, in the order of a hash of their ids.
 
-    Null keys and labels teach nothing; a null text is an empty one. With no labels every score is 0.5."""
+    A text that does not fit into what is left of most_bytes is passed over. Null keys and labels teach nothing; a null text is an empty
+    one; equal rows count once. With no labels every score is 0.5."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(label).cast("int").alias("_y"))
     chosen = chosen.dropDuplicates().orderBy(F.xxhash64("_key"), "_key", "_y").limit(most)  # the bound of the broadcast
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_key")
-    rows = rows.where(F.octet_length("_text") <= most_bytes // 16)
-    texts, y, size = [], [], 0
-    for r in rows.orderBy(F.xxhash64("_key"), "_key", "_y", "_text").toLocalIterator():
-        size += len(r._text)
-        if size > most_bytes:
-            break
-        texts.append(r._text)
-        y.append(r._y)
-    return trained(texts, y)
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_key").withColumn("_h", F.xxhash64("_text"))
+    order = (F.xxhash64("_key"), "_key", "_y", "_h")
+    held = rows.select("_key", "_y", "_h", F.octet_length("_text").alias("_n")).distinct().orderBy(*order).limit(most).collect()
+    taken, left = [], most_bytes
+    for r in held:
+        if r._n <= left:
+            left -= r._n
+            taken.append((r._key, r._y, r._h))
+    if not taken:
+        return trained([], [])
+    few = F.broadcast(docs.sparkSession.createDataFrame(taken, "_key long, _y int, _h long"))
+    texts = rows.join(few, ["_key", "_y", "_h"]).dropDuplicates(["_key", "_y", "_h"]).orderBy(*order).select("_text", "_y").collect()
+    return trained([r._text for r in texts], [r._y for r in texts])
 
 
 def _score_task(broadcast) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
