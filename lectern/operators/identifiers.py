@@ -112,8 +112,9 @@ def placed_orcids(per_creator: Column, orcids: Column) -> Column:
     return F.when((F.size(new) == 0) | (F.size(per_creator) == 0), per_creator).when(F.size(new) == F.size(per_creator), by_place).otherwise(to_first)
 
 
-def placed_funders(refs: Column, funder_ids: Column) -> Column:
-    """Funder ids of the text go in turn to references without one; ids left over get references of their own."""
+def placed_funders(refs: Column, funder_ids: Column, more: tuple[str, ...] = ()) -> Column:
+    """Funder ids of the text go in turn to references without one; ids left over get references of their own. more: the names of
+    further text fields of refs."""
     url = lambda x: F.concat(F.lit("https://doi.org/"), x)
     have = F.transform(F.filter(refs, lambda r: r["funderIdentifier"].isNotNull()), lambda r: F.lower(r["funderIdentifier"]))
     new = F.filter(funder_ids, lambda x: ~F.array_contains(have, F.lower(x)) & ~F.array_contains(have, F.lower(url(x))))
@@ -126,7 +127,7 @@ def placed_funders(refs: Column, funder_ids: Column) -> Column:
 
     n = F.size(F.filter(refs, open_))
     rest = F.when(F.size(new) > n, F.slice(new, n + 1, F.greatest(F.size(new) - n, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    made = F.transform(rest, lambda x: F.struct(F.lit("Unknown Funder").alias("funderName"), url(x).alias("funderIdentifier"), F.lit("Crossref Funder ID").alias("funderIdentifierType"), F.lit("https://doi.org/10.13039").alias("schemeUri")))
+    made = F.transform(rest, lambda x: F.struct(F.lit("Unknown Funder").alias("funderName"), url(x).alias("funderIdentifier"), F.lit("Crossref Funder ID").alias("funderIdentifierType"), F.lit("https://doi.org/10.13039").alias("schemeUri"), *[F.lit(None).cast("string").alias(k) for k in more]))
     return F.concat(F.transform(refs, one), made)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text
 from lectern.operators import copying, layout, pages, people, records, registry
 from lectern.sources import files
+from lectern.sources.adapters import Options
 
 from . import document, inputs
 
@@ -407,6 +408,22 @@ def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.json_records(docs, ["publisher", "year", "language"]).select("doc_id", "json")
 
 
+def records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step from a text and a response to a record and its report; responses are cut off, fenced or no JSON in turn."""
+    answer = """concat(CASE WHEN doc_id % 4 = 1 THEN '```json ' ELSE '' END, '{"titles":[{"title":"Depth of the River ', CAST(doc_id AS STRING), '"}],"creators":[{"name":"Doe, Jane","givenName":"Jane","familyName":"Doe","affiliation":"Alder"}],"subjects":["rivers","Rivers","boats"],"domain":"other",',
+        '"content":{"sections":[{"sectionTitle":"Methods","sectionContent":"We measured the depth of the river twice a day."}]},"fundingReferences":[{"funderName":"Agency","awardNumber":" x-', CAST(doc_id % 10 AS STRING), '. "}]', CASE WHEN doc_id % 4 = 2 THEN '' ELSE '}' END, CASE WHEN doc_id % 4 = 1 THEN ' ```' ELSE '' END)"""
+    docs = inputs.documents(spark, sf_dir, f"concat('Depth of the River ', CAST(doc_id AS STRING), chr(10), 'Jane Doe1, Max van Dam2', chr(10), '1 University of Alder, 2 Institute of Boats', chr(10), '## Methods', chr(10), 'We measured the depth of the river twice a day.', chr(10), '## Results', chr(10), 'The nets were dry all summer long in the village by the old road.') AS text", f"CASE WHEN doc_id % 4 = 3 THEN 'no answer' ELSE {answer} END AS response")
+    options = Options(structurer=lambda d: docs.select("doc_id", "response"))
+    made = document.record_texts(document.documents(docs, options), options)
+    return made.select("doc_id", "title", F.array_join(F.transform("creators", lambda c: F.concat(c["name"], F.lit(" @ "), F.array_join(c["affiliation"]["name"], " / "))), "; ").alias("creators"), F.array_join(F.transform("sections", lambda s: F.concat(F.coalesce(s["sectionTitle"], F.lit("")), F.lit(": "), s["sectionContent"])), " | ").alias("sections"), F.array_join("subjects", ", ").alias("subjects"), F.array_join(F.transform("funding", lambda f: f["awardNumber"]), ", ").alias("awards"), F.col("n_reclaimed").cast("long").alias("n_reclaimed"), F.col("report.valid").alias("valid"), F.array_join("report.field_issues", " | ").alias("issues"))
+
+
+RECORDS = """
+    SELECT doc_id, concat('Depth of the River ', doc_id) AS title, 'Doe, Jane @ University of Alder; van Dam, Max @ Institute of Boats' AS creators,
+        CASE WHEN doc_id % 4 = 3 THEN concat(': Depth of the River ', doc_id, chr(10), 'Jane Doe1, Max van Dam2', chr(10), '1 University of Alder, 2 Institute of Boats | ') ELSE '' END || 'Methods: We measured the depth of the river twice a day. | Results: The nets were dry all summer long in the village by the old road.' AS sections,
+        CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'rivers, boats' END AS subjects, CASE WHEN doc_id % 4 = 3 THEN '' ELSE concat('X-', doc_id % 10) END AS awards, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END::BIGINT AS n_reclaimed, true AS valid, 'Missing required fields: conference' AS issues FROM documents"""
+
+
 JSON = """SELECT doc_id, concat('{"publisher":null,"year":', doc_id % 3, ',"language":"', lang, '"}') AS json FROM documents"""
 
 
@@ -438,11 +455,11 @@ QUERIES = {
     "affiliations_coerced": affiliations_coerced, "funding_normalised": funding_normalised, "subjects_normalised": subjects_normalised, "sections_kept": sections_kept, "validations": validations, "file_kinds": file_kinds, "text_sources": text_sources, "mode_sizes": mode_sizes,
     "glyph_stats": glyph_stats, "page_gaps": page_gaps, "weighted_medians": weighted_medians, "body_sizes": body_sizes, "baselines": baselines, "page_words": page_words, "page_blocks": page_blocks, "page_reading": page_reading, "partitions": partitions, "column_cuts": column_cuts,
     "reading_bands": reading_bands, "side_labels": side_labels, "figure_captions": figure_captions, "region_words": region_words, "region_words_whole": region_words_whole, "interleaved_lanes": interleaved_lanes, "title_candidates": title_candidates, "phantom_blanks": phantom_blanks, "metadata_records": metadata_records,
-    "record_json": record_json, "better_attempts": better_attempts,
+    "record_json": record_json, "records_whole": records_whole, "better_attempts": better_attempts,
 }
 ORACLE_SQL = {
     "numbered_affiliations": NUMBERED, "copied_strings": COPIED,
     "organisations": ORGANISATIONS, "persons": PERSONS, "funders": FUNDERS, "headers": HEADERS, "joined_creators": JOINED, "json_repairs": REPAIRS, "captions_normalised": CAPTION_ROWS, "affiliations_coerced": AFFILIATIONS, "funding_normalised": FUNDING,
     "subjects_normalised": SUBJECTS, "sections_kept": KEPT, "validations": VALIDATIONS, "file_kinds": KINDS, "text_sources": SOURCES, "mode_sizes": MODES, "glyph_stats": STATS, "page_gaps": GAPS, "weighted_medians": MEDIANS, "body_sizes": BODY, "baselines": BASELINES,
-    "column_cuts": COLUMNS, "side_labels": SIDE_LABELS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "better_attempts": ATTEMPTS,
+    "column_cuts": COLUMNS, "side_labels": SIDE_LABELS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "records_whole": RECORDS, "better_attempts": ATTEMPTS,
 }

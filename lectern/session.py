@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import re
+import shutil
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cpus: int | str = 8, partitions: int | None = None, memory: str = "8g", name: str = "lectern") -> SparkSession:
@@ -12,3 +17,17 @@ def session(cpus: int | str = 8, partitions: int | None = None, memory: str = "8
         .config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder that spark.checkpoint.dir names, for plans that read it several times; a temporary folder in local mode only."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not found:
+            found = tempfile.mkdtemp(prefix="lectern-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        context.setCheckpointDir(found)
+    return df.checkpoint()

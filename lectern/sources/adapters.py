@@ -8,7 +8,7 @@ from __future__ import annotations
 import importlib.util
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -88,4 +88,4 @@ class Options:
     persons: DataFrame | None = None
     extract_identifiers: bool = False
     ground_headers: bool = True
-    extra: dict = field(default_factory=dict)
+    reclaim_lines: bool = True
