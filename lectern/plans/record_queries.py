@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import copying, layout, pages, people, records, registry
+from lectern.operators import copying, layout, pages, people, records, registry, stream
 from lectern.sources import files
 from lectern.sources.adapters import Options
 
@@ -290,6 +290,25 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "documents").selectExpr(*["text" if b.endswith(" AS text") else b for b in BLOCKS])
 
 
+#: Cells of two columns and two rows of each page, drawn row by row, some under a wide line that is drawn last: doc_id, drawn, x, y, text.
+CELLS = """
+    SELECT doc_id, 2 * r + c AS drawn, 20 + 300 * c + doc_id % 5 AS x, 100 + 80 * r + 25 * c + doc_id % 7 AS y, concat('c', CAST(c AS STRING), 'r', CAST(r AS STRING), ' n', CAST(doc_id % 1000 AS STRING)) AS text
+    FROM documents CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1) AS a CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1) AS b
+    UNION ALL SELECT doc_id, 4, 20, 50, 'one line of words that stands over both of the columns of its page, from left to right' FROM documents WHERE doc_id % 3 = 0"""
+
+
+def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of pages by the order of drawing, read column by column below what spans the columns."""
+    cells = spark.sql(CELLS.replace("FROM documents", "FROM {documents}"), documents=inputs.table(spark, sf_dir, "documents"))
+    drawn = cells.selectExpr("doc_id", "drawn", "x", "y", "posexplode(split(text, '')) AS (i, text)").where("text != ''")
+    glyphs = drawn.selectExpr("doc_id", "1 AS page", "1000 * drawn + i AS si", "text", "CAST(x + 5 * i AS DOUBLE) AS x0", "CAST(x + 5 * i + 5 AS DOUBLE) AS x1", "CAST(y - 8 AS DOUBLE) AS top", "CAST(y + 2 AS DOUBLE) AS bottom", "10.0D AS size", "'Serif' AS fontname")
+    return stream.read_stream(glyphs).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "text", "engine")
+
+
+STREAMED = f"""
+    WITH c AS ({CELLS}) SELECT doc_id, CASE WHEN drawn = 4 THEN 0 ELSE 2 * (drawn % 2) + drawn // 2 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END END::BIGINT AS block_no, text, 'stream' AS engine FROM c"""
+
+
 def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = layout.partition(_blocks(spark, sf_dir), 800.0, 10.0, 120.0, 650.0, 150.0)
     return placed.select("doc_id", F.col("seq").cast("long").alias("seq"), "kind", F.col("place").cast("long").alias("place"))
@@ -421,7 +440,8 @@ def records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDS = """
     SELECT doc_id, concat('Depth of the River ', doc_id) AS title, 'Doe, Jane @ University of Alder; van Dam, Max @ Institute of Boats' AS creators,
         CASE WHEN doc_id % 4 = 3 THEN concat(': Depth of the River ', doc_id, chr(10), 'Jane Doe1, Max van Dam2', chr(10), '1 University of Alder, 2 Institute of Boats | ') ELSE '' END || 'Methods: We measured the depth of the river twice a day. | Results: The nets were dry all summer long in the village by the old road.' AS sections,
-        CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'rivers, boats' END AS subjects, CASE WHEN doc_id % 4 = 3 THEN '' ELSE concat('X-', doc_id % 10) END AS awards, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END::BIGINT AS n_reclaimed, true AS valid, 'Missing required fields: conference' AS issues FROM documents"""
+        CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'rivers, boats' END AS subjects, CASE WHEN doc_id % 4 = 3 THEN '' ELSE concat('X-', doc_id % 10) END AS awards, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END::BIGINT AS n_reclaimed, true AS valid,
+        CASE WHEN doc_id % 4 = 3 THEN 'Missing required fields: conference | content.sections[0] missing ''sectionTitle''' ELSE 'Missing required fields: conference' END AS issues FROM documents"""
 
 
 JSON = """SELECT doc_id, concat('{"publisher":null,"year":', doc_id % 3, ',"language":"', lang, '"}') AS json FROM documents"""
@@ -455,11 +475,11 @@ QUERIES = {
     "affiliations_coerced": affiliations_coerced, "funding_normalised": funding_normalised, "subjects_normalised": subjects_normalised, "sections_kept": sections_kept, "validations": validations, "file_kinds": file_kinds, "text_sources": text_sources, "mode_sizes": mode_sizes,
     "glyph_stats": glyph_stats, "page_gaps": page_gaps, "weighted_medians": weighted_medians, "body_sizes": body_sizes, "baselines": baselines, "page_words": page_words, "page_blocks": page_blocks, "page_reading": page_reading, "partitions": partitions, "column_cuts": column_cuts,
     "reading_bands": reading_bands, "side_labels": side_labels, "figure_captions": figure_captions, "region_words": region_words, "region_words_whole": region_words_whole, "interleaved_lanes": interleaved_lanes, "title_candidates": title_candidates, "phantom_blanks": phantom_blanks, "metadata_records": metadata_records,
-    "record_json": record_json, "records_whole": records_whole, "better_attempts": better_attempts,
+    "record_json": record_json, "records_whole": records_whole, "stream_pages": stream_pages, "better_attempts": better_attempts,
 }
 ORACLE_SQL = {
     "numbered_affiliations": NUMBERED, "copied_strings": COPIED,
     "organisations": ORGANISATIONS, "persons": PERSONS, "funders": FUNDERS, "headers": HEADERS, "joined_creators": JOINED, "json_repairs": REPAIRS, "captions_normalised": CAPTION_ROWS, "affiliations_coerced": AFFILIATIONS, "funding_normalised": FUNDING,
     "subjects_normalised": SUBJECTS, "sections_kept": KEPT, "validations": VALIDATIONS, "file_kinds": KINDS, "text_sources": SOURCES, "mode_sizes": MODES, "glyph_stats": STATS, "page_gaps": GAPS, "weighted_medians": MEDIANS, "body_sizes": BODY, "baselines": BASELINES,
-    "column_cuts": COLUMNS, "side_labels": SIDE_LABELS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "records_whole": RECORDS, "better_attempts": ATTEMPTS,
+    "column_cuts": COLUMNS, "side_labels": SIDE_LABELS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "records_whole": RECORDS, "stream_pages": STREAMED, "better_attempts": ATTEMPTS,
 }
