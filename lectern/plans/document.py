@@ -162,7 +162,7 @@ def documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def record_texts(made: DataFrame, options: Options = Options()) -> DataFrame:
-    """made, of documents(), with json: the record's text, fields in the order below; and report, its validation()."""
+    """made, of documents(), with json: the record's text, fields in the order below; report, its validation(), and schema_errors."""
     year, publisher = F.lit(None).cast("int"), F.lit(None).cast("string")
     columns = {
         "$schema": F.lit(fixed.SCHEMA), "creators": F.col("creators"), "titles": F.filter(F.array(F.struct("title")), lambda t: t["title"] != ""), "publicationYear": year, "subjects": F.transform("subjects", lambda s: F.struct(s.alias("subject"))), "descriptions": F.col("descriptions"),
@@ -177,7 +177,7 @@ def record_texts(made: DataFrame, options: Options = Options()) -> DataFrame:
         made = made.withColumn(f"_json{i}", F.to_json(F.struct(c.alias(k))))
         parts.append(F.when(F.col(f"_json{i}") == "{}", F.lit(f'"{k}":null')).otherwise(F.col(f"_json{i}").substr(F.lit(2), F.length(f"_json{i}") - 2)))
     made = made.withColumn("json", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))).drop(*[f"_json{i}" for i in range(len(parts))])
-    return made.withColumn("report", records.validation(F.col("json")))
+    return made.withColumns({"report": records.validation(F.col("json")), "schema_errors": records.schema_errors(F.col("json"))})
 
 
 def with_organisations(records_: DataFrame, orgs: DataFrame) -> DataFrame:

@@ -444,6 +444,20 @@ RECORDS = """
         CASE WHEN doc_id % 4 = 3 THEN 'Missing required fields: conference | content.sections[0] missing ''sectionTitle''' ELSE 'Missing required fields: conference' END AS issues FROM documents"""
 
 
+def schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with one fault each, by the document's number."""
+    kinds = ['{"creators":[{"name":"Doe, J"}],"titles":[{"title":"A river"}],"language":"en"}', "{}", '{"creators":{},"titles":[]}', '{"creators":[{"name":""},{"x":1},"y"],"titles":[{"title":5}]}', '{"creators":[],"titles":[{"title":"T"}],"language":"English","formats":[1]}', "no json", '{"creators":[{"name":"D","nameType":"Robot","affiliation":["A",{"name":"B"},{}]}],"titles":[{"title":"T"}],"publicationYear":"2020"}']
+    case = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " END"
+    x = inputs.documents(spark, sf_dir, f"{case} AS json").withColumn("e", records.schema_errors(F.col("json")))
+    return x.select("doc_id", F.array_join(F.transform("e", lambda e: F.concat(e["path"], F.lit(" "), e["message"])), "; ").alias("errors"))
+
+
+SCHEMA_ERRORS = """
+    SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN '(root) has no creators; (root) has no titles' WHEN 2 THEN 'creators is not of type array; titles has fewer than 1 items'
+        WHEN 3 THEN 'creators.0.name is shorter than 1; creators.1 has no name; creators.2 is not of type object; titles.0.title is not of type string' WHEN 4 THEN 'language does not match ^[a-z]{2,3}(-[A-Za-z]+)?$; formats.0 is not of type string' WHEN 5 THEN '(root) is no JSON'
+        ELSE 'publicationYear is not of type integer or null; creators.0.nameType is none of Personal, Organizational; creators.0.affiliation.2 has no name' END AS errors FROM documents"""
+
+
 JSON = """SELECT doc_id, concat('{"publisher":null,"year":', doc_id % 3, ',"language":"', lang, '"}') AS json FROM documents"""
 
 
@@ -475,11 +489,11 @@ QUERIES = {
     "affiliations_coerced": affiliations_coerced, "funding_normalised": funding_normalised, "subjects_normalised": subjects_normalised, "sections_kept": sections_kept, "validations": validations, "file_kinds": file_kinds, "text_sources": text_sources, "mode_sizes": mode_sizes,
     "glyph_stats": glyph_stats, "page_gaps": page_gaps, "weighted_medians": weighted_medians, "body_sizes": body_sizes, "baselines": baselines, "page_words": page_words, "page_blocks": page_blocks, "page_reading": page_reading, "partitions": partitions, "column_cuts": column_cuts,
     "reading_bands": reading_bands, "side_labels": side_labels, "figure_captions": figure_captions, "region_words": region_words, "region_words_whole": region_words_whole, "interleaved_lanes": interleaved_lanes, "title_candidates": title_candidates, "phantom_blanks": phantom_blanks, "metadata_records": metadata_records,
-    "record_json": record_json, "records_whole": records_whole, "stream_pages": stream_pages, "better_attempts": better_attempts,
+    "record_json": record_json, "records_whole": records_whole, "stream_pages": stream_pages, "schema_errors": schema_errors, "better_attempts": better_attempts,
 }
 ORACLE_SQL = {
     "numbered_affiliations": NUMBERED, "copied_strings": COPIED,
     "organisations": ORGANISATIONS, "persons": PERSONS, "funders": FUNDERS, "headers": HEADERS, "joined_creators": JOINED, "json_repairs": REPAIRS, "captions_normalised": CAPTION_ROWS, "affiliations_coerced": AFFILIATIONS, "funding_normalised": FUNDING,
     "subjects_normalised": SUBJECTS, "sections_kept": KEPT, "validations": VALIDATIONS, "file_kinds": KINDS, "text_sources": SOURCES, "mode_sizes": MODES, "glyph_stats": STATS, "page_gaps": GAPS, "weighted_medians": MEDIANS, "body_sizes": BODY, "baselines": BASELINES,
-    "column_cuts": COLUMNS, "side_labels": SIDE_LABELS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "records_whole": RECORDS, "stream_pages": STREAMED, "better_attempts": ATTEMPTS,
+    "column_cuts": COLUMNS, "side_labels": SIDE_LABELS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "records_whole": RECORDS, "stream_pages": STREAMED, "schema_errors": SCHEMA_ERRORS, "better_attempts": ATTEMPTS,
 }

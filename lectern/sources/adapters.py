@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from lectern.operators import lines
 
-GLYPHS = "path string, page int, si int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string, upright boolean"
+GLYPHS = "path string, page int, si int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string, upright boolean, matrix array<double>, page_w double, page_h double, error string"
 Step = Callable[[DataFrame], DataFrame]
 
 
 def pdf_glyphs(files: DataFrame) -> DataFrame:
-    """Glyphs of PDF files (path, content); no rows where no PDF library is installed with the workers."""
+    """Glyphs of PDF files (path, content); a file that cannot be read is one row with its error; no rows where no PDF library is installed with the workers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in GLYPHS.split(", ")]
@@ -35,9 +35,13 @@ def pdf_glyphs(files: DataFrame) -> DataFrame:
 
         for batch in batches:
             for path, content in zip(batch.path, batch.content, strict=True):
-                with pdfplumber.open(io.BytesIO(content)) as pdf:
-                    for n, page in enumerate(pdf.pages, 1):
-                        yield pd.DataFrame([(path, n, i, c["text"], c["x0"], c["x1"], c["top"], c["bottom"], c["size"], c["fontname"], c["upright"]) for i, c in enumerate(page.chars)], columns=names)
+                try:
+                    with pdfplumber.open(io.BytesIO(content)) as pdf:
+                        for n, page in enumerate(pdf.pages, 1):
+                            rows = [(path, n, i, c["text"], c["x0"], c["x1"], c["top"], c["bottom"], c["size"], c["fontname"], c["upright"], list(c.get("matrix") or ()) or None, float(page.width), float(page.height), None) for i, c in enumerate(page.chars)]
+                            yield pd.DataFrame(rows, columns=names)
+                except Exception as e:  # a damaged file must not end the others
+                    yield pd.DataFrame([(path, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"[:300])], columns=names)
 
     return files.select("path", "content").mapInPandas(run, GLYPHS)
 

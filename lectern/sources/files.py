@@ -49,8 +49,8 @@ def json_records(df: DataFrame, fields: list[str], pretty: bool = False) -> Data
 
 
 def write_batch(df: DataFrame, folder: str, key: str = "path") -> None:
-    """One JSON text for each row under records, and file, success and error of each under results."""
-    df.select("json").write.mode("errorifexists").text(f"{folder}/records")
+    """One JSON text for each row that has one under records, and file, success and error of each under results."""
+    df.where("json is not null").select("json").write.mode("errorifexists").text(f"{folder}/records")
     df.select(F.col(key).alias("file"), F.col("error").isNull().alias("success"), "error").write.mode("errorifexists").json(f"{folder}/results")
 
 
