@@ -162,3 +162,22 @@ def test_affiliation_equals_an_organisation(spark):
     affs = spark.createDataFrame([("Université of Alder",), ("university of alder, Bay, CA",), ("Department of Ice, University of Alder",), ("UA",), (None,)], "name string")
     got = {r.name: r.org_id for r in registry.organisations(affs, orgs).collect()}
     assert got == {"Université of Alder": None, "university of alder, Bay, CA": "o1", "Department of Ice, University of Alder": None, "UA": "o1", None: None}
+
+
+SENTENCES = {
+    "en": "The water of the river was high in the spring and it is not known for how long this will last.", "de": "Das Wasser des Flusses ist im Frühling hoch und die Boote sind nicht mit den Netzen auf dem Land.", "fr": "Les eaux de la rivière sont hautes dans le printemps et les bateaux ne sont pas sur une rive.",
+    "es": "El agua del río es alta en la primavera y los barcos no se ven por las calles de una ciudad.", "it": "Il fiume è alto in primavera e le barche non sono con una rete della gente che va al mare.", "pt": "O rio não é alto na primavera e os barcos do porto com uma rede para as pessoas que moram no mar.",
+    "nl": "Het water van de rivier is in het voorjaar hoog en de boten zijn niet met een net op het land.", "cs": "Voda v řece je na jaře vysoká a lodě se podle lidí nebo také ryb, které jsou pro město.", "da": "Vandet blev højt af regnen, og han var ved båden, der ikke er fra byen, men også et net.",
+    "fi": "Vesi oli korkealla ja veneet ovat rannalla, mutta se ei ole niin kuin hän sanoi, että kun tämä.", "hu": "A víz magas volt és az emberek azt mondták, hogy nem csak a csónak van még meg, vagy már el.", "id": "Air sungai ini tidak dapat naik dan perahu yang telah ada di desa itu akan dengan jaring untuk orang dari kota.",
+    "nn": "Vatnet i elva vart høgt, og dei er ikkje med ein båt frå byen, som har eit garn på land.", "pl": "Woda w rzece jest wysoka i nie wiadomo, jak się to dla łodzi oraz sieci od wiosny po lato.", "ro": "Apa din râu este mare și nu sunt bărci pe care oamenii o să le ia cu ei în sat sau la mare.",
+    "sv": "Vattnet i floden är högt och båtarna har inte varit till sjöss från vid våren, som ett nät av för att.", "tr": "Nehrin suyu bu bahar çok yüksek ve bir tekne gibi olan ağ için daha sonra köye kadar var.", "vi": "Nước của sông này đã lên và những người trong làng không có thuyền để đến với các chợ khi một ngày.",
+    "ru": "Вода в реке была высокой, и лодки стояли на берегу, чтобы это был новый год.", "uk": "Вода в річці була високою, і човни стояли на березі її села.", "ja": "川の水は春に高くなり、村の人々は船を道まで運びました。", "zh": "春天河水很高村民把船移到山上的老路旁边一直等到水退去", "ko": "봄에는 강물이 높아져서 마을 사람들이 배를 옮겼다", "el": "Το νερό του ποταμού ήταν ψηλά την άνοιξη",
+    "he": "המים בנהר היו גבוהים באביב והסירות על החוף", "ar": "كان ماء النهر مرتفعا في الربيع والقوارب على الشاطئ", "hi": "वसंत में नदी का पानी ऊँचा था और नावें किनारे पर थीं", "bn": "বসন্তে নদীর জল উঁচু ছিল এবং নৌকাগুলি তীরে ছিল", "th": "น้ำในแม่น้ำสูงในฤดูใบไม้ผลิและเรืออยู่บนฝั่ง",
+}
+
+
+def test_languages(spark):
+    rows = [(k, (v + " ") * 5) for k, v in SENTENCES.items()] + [("short", "The water of the river"), ("ja", SENTENCES["ja"] * 5 + "University of Alder, Department of Rivers, email and address"), ("nothing", "xyz " * 90)]
+    got = spark.createDataFrame(rows, "want string, text string").withColumn("got", lines.language(F.col("text"))).collect()
+    assert {(r.want, r.got) for r in got if r.want not in ("short", "nothing") and r.want != r.got} == set()
+    assert {r.got for r in got if r.want in ("short", "nothing")} == {None}
