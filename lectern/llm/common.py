@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="lectern-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -35,6 +39,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what stored() wrote inside, but the tables that kept() hands on to what stands around it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            dropped(df)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table of stored() that outlives the scratch() around it."""
+    _scopes[-1] = [x for x in _scopes[-1] if x is not df]
+    if len(_scopes) > 1:
+        _scopes[-2].append(df)
+    return df
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage, outlives lost executors."""
     spark = df.sparkSession
@@ -45,13 +71,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of queries that are over; it acts when the driver's JVM has collected garbage."""
+    """Lets Spark's cleaner delete the shuffle files of queries that are over: it acts when the driver's JVM has collected their plans, which
+    events that listeners have not seen yet still hold."""
+    jvm = spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm.System.gc()
 
 
 def dropped(df: DataFrame) -> None:
@@ -69,6 +100,22 @@ def rows_in(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_ROWS
     return df.join(few, key, "left_semi")
 
 
+@lru_cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def trimmed() -> None:
+    """Gives memory that is free again back to the system, so that workers, which live on, don't keep what their largest task took."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table]], schema: str) -> DataFrame:
     """mapInArrow of f, which gets one record batch at a time; f() without arguments makes it, once for each task."""
 
@@ -79,7 +126,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
                 for out in g(batch):
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
                 del batch
-                pa.default_memory_pool().release_unused()
+                trimmed()
 
     return df.mapInArrow(run, schema)
 

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, rows_in, stored
-from .linking import connected, parted, possible, shared_buckets, sketches, element_rows
-from .textnum import U, buffers, distinct_sorted, lists, mix, slices, span_hashes
+from .linking import Packs, connected, element_rows, parts_for, possible, shared_buckets, sketches
+from .textnum import U, buffers, distinct_sorted, mix, slices, span_hashes
 
 GRAM = 8
 BANDS, ROWS = 14, 5
@@ -108,8 +108,9 @@ def _runs(h: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> tuple[np.ndarra
     return h[np.arange(int(at[-1])) + np.repeat(bounds[own] - at[:-1], size)], at
 
 
-def _bands_task(n_bands: int, n_rows: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+def _bands_task(n_bands: int, n_rows: int, parts: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     seen: set[int] = set()
+    packs = Packs(parts)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offs = buffers(batch.column(0))
@@ -141,7 +142,8 @@ def _bands_task(n_bands: int, n_rows: int) -> Callable[[pa.RecordBatch], Iterato
                     part = (g & U(3)) == 0
                     g, at = g[part], np.concatenate([[0], np.cumsum(part)])[at]
                 sig = bands(g, at, salt, n_bands, n_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(x.hash[which[own]].astype(np.int64)), lists(pa.array(sig.ravel().astype(np.int64)), np.arange(len(own) + 1) * n_bands)], ["class", "sigs"])
+                yield from packs.add(sig.ravel(), np.repeat(x.hash[which[own]], n_bands))
+        yield from packs.flush()
 
     return run
 
@@ -217,10 +219,12 @@ def line_components(docs: DataFrame, percent: int = 80, n_bands: int = BANDS, n_
     One line of each component is kept: that of the smallest doc_id (nulls last), then mark, then line."""
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     places = stored(arrow_map(rows, _places_task, "doc_id long, mark long, line int, class long"), "places")
-    spread = arrow_map(rows.select("text"), partial(_bands_task, n_bands, n_rows), "class long, sigs array<long>").select("class", F.explode("sigs").alias("sig"))
-    buckets = stored(shared_buckets(spread), "buckets")
+    parts = parts_for(docs.sparkSession, places.count() * n_bands)
+    packs = arrow_map(rows.select("text"), partial(_bands_task, n_bands, n_rows, parts), "part int, data binary")
+    near, large = shared_buckets(packs, parts, HOT)
+    in_buckets = stored(near.select(F.explode(F.array("a", "b")).alias("class")).unionAll(large.select("class")).distinct(), "classes")
     texts = arrow_map(rows.select("text"), _texts_task, "class long, line string")
-    texts = rows_in(texts, buckets, "class").dropDuplicates(["class"]).select("class", "line")
+    texts = rows_in(texts, in_buckets, "class").dropDuplicates(["class"]).select("class", "line")
     texts = stored(arrow_map(texts, _sketch_task, "class long, n long, sketch binary, line string"), "lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -231,7 +235,7 @@ def line_components(docs: DataFrame, percent: int = 80, n_bands: int = BANDS, n_
     def elements(sets: DataFrame) -> DataFrame:
         return arrow_map(sets.select("class", "line"), _elements_task, "element long, class long")
 
-    reached = connected(*parted(buckets, HOT), texts, elements, verified, percent)
+    reached = connected(near, large, texts, elements, verified, percent)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark", "line")
     first = places.groupBy("class").agg(F.min(order).alias("first")).join(reached, "class", "left")
     first = first.select("class", "first", F.coalesce("component", "class").alias("component"))

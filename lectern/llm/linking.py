@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_map, dropped, released, stored
+from .common import arrow_map, dropped, kept, released, scratch, stored, trimmed
 from .components import components
 from .textnum import U, mix
 
@@ -18,50 +20,128 @@ from .textnum import U, mix
 CELLS = 256
 #: Classes that have an element, up to which they are compared by it.
 RARE = 8
+#: Classes whose counts a task holds.
+OWN = 1_000_000
+#: Pairs of a signature and a class that a task packs at once, and those of a part.
+PACKED, PART_PAIRS = 300_000, 700_000
 #: Buckets of a class that are listed, to compare a pair in one of its buckets only.
 FIRST = 8
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of sig and class, those whose sig several classes have, once each; place: its number in its bucket.
-
-    Of a bucket only the last row is held, so a bucket may be of any size."""
-    last, place = None, 0
-    for batch in batches:
-        s, c = (np.asarray(batch.column(i)) for i in (0, 1))
-        if last is not None:
-            s, c = np.concatenate([last[:1], s]), np.concatenate([last[1:], c])
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-        s, c = s[new], c[new]
-        if not len(s):
-            continue
-        begins = np.ones(len(s), bool)
-        begins[1:] = s[1:] != s[:-1]
-        number = np.arange(len(s))
-        own = number - np.maximum.accumulate(np.where(begins, number, 0))
-        own[: int(np.argmax(begins[1:])) + 1 if begins[1:].any() else len(s)] += place
-        keep = own > 0
-        keep[:-1] |= ~begins[1:]
-        keep[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(c[keep]), pa.array(own[keep])], ["sig", "class", "place"])
-        last, place = np.array([s[-1], c[-1]]), int(own[-1])
-    if last is not None and place:
-        yield pa.RecordBatch.from_arrays([pa.array(last[:1]), pa.array(last[1:]), pa.array([place], pa.int64())], ["sig", "class", "place"])
-
-
-def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Of rows sig, class those whose sig several classes have, once each: sig, class, place (from 0, in order of class)."""
-    return rows.select("sig", "class").repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long, place long")
-
-
-def parted(buckets: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets of most classes or fewer, and rows of larger ones: sig, class."""
-    large = buckets.where(F.col("place") == most).select("sig")
-    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        large = F.broadcast(large)
-    rows = buckets.select("sig", "class")
-    return rows.join(large, "sig", "left_anti"), rows.join(large, "sig", "left_semi")
+class Packs:
+    """Pairs sig, class of a task, handed on in packs: for each part of the signatures' range a row part, data.
+
+    data: the numbers of pairs and classes; differences of the sorted signatures, byte by byte; the classes; the places of the
+    pairs' classes among them; compressed."""
+
+    def __init__(self, parts: int):
+        self.parts, self.held, self.n = parts, [], 0
+
+    def add(self, sig: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((sig.astype(U), cls.astype(np.int64)))
+        self.n += len(sig)
+        if self.n >= PACKED:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            sig, cls = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held, self.n = [], 0
+            order = np.argsort(sig)
+            sig = sig[order]
+            table, place = np.unique(cls, return_inverse=True)
+            place = place.astype(np.uint32)[order]
+            part = ((sig >> U(32)) * U(self.parts) >> U(32)).astype(np.int32)
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            data = [_packed(sig[a:b], place[a:b], table) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(data, pa.binary())], ["part", "data"])
+
+
+def _packed(sig: np.ndarray, place: np.ndarray, table: np.ndarray) -> bytes:
+    step = np.diff(sig, prepend=U(0)).astype("<u8")
+    few, at = np.unique(place, return_inverse=True)
+    at = at.astype("<u4")
+    raw = struct.pack("<II", len(sig), len(few)) + step.view(np.uint8).reshape(-1, 8).T.tobytes() + table[few].astype("<i8").tobytes() + at.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return struct.pack("<I", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data[4:], struct.unpack_from("<I", data)[0], codec="zstd", asbytes=True), np.uint8)
+    n, m = raw[:8].view("<u4").tolist()
+    step = np.ascontiguousarray(raw[8 : 8 + 8 * n].reshape(8, n).T).view("<u8").ravel()
+    table = raw[8 + 8 * n : 8 + 8 * (n + m)].copy().view("<i8")
+    at = np.ascontiguousarray(raw[8 + 8 * (n + m) :].reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(step, dtype=U).astype(np.int64), table[at]
+
+
+def _of_part(packs: list[bytes], most: int) -> pa.RecordBatch:
+    """Rows sig, a, b: for a bucket of `most` classes or fewer its pairs a < b (sig null; each once), for a larger one its classes as a (b null)."""
+    s, c = (np.concatenate(x) for x in zip(*map(_unpacked, packs), strict=True))
+    order = np.argsort(s, kind="stable")  # packs are in order, so this merges them
+    s = s[order]
+    same = s[1:] == s[:-1]
+    some = np.zeros(len(s), bool)
+    some[1:] = same
+    some[:-1] |= same
+    s, c = s[some], c[order[some]]
+    order = np.lexsort((c, s))
+    s, c = s[order], c[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
+    s, c = s[new], c[new]
+    begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(s)))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(size[(size > 1) & (size <= most)]).tolist():
+        at = begin[size == n]
+        for i in range(n):
+            for j in range(i + 1, n):
+                left.append(c[at + i])
+                right.append(c[at + j])
+    x, y = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    x, y = x[new], y[new]
+    large = np.repeat(size > most, size)
+    sig = pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(s[large])])
+    return pa.RecordBatch.from_arrays([sig, pa.array(np.concatenate([x, c[large]])), pa.concat_arrays([pa.array(y), pa.nulls(int(large.sum()), pa.int64())])], ["sig", "a", "b"])
+
+
+def _buckets(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of packs in order of their parts, what _of_part() has of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        now = None
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != now and held:
+                    yield _of_part(held, most)
+                    held = []
+                    trimmed()
+                now = part
+                held.append(data.as_py())
+        if held:
+            yield _of_part(held, most)
+        trimmed()
+
+    return run
+
+
+def parts_for(spark: SparkSession, pairs: int) -> int:
+    """Parts of the signatures' range for about so many pairs: as many as shuffle partitions, and PART_PAIRS in one at most, on average."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PART_PAIRS), 1)
+
+
+def shared_buckets(packs: DataFrame, parts: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs in Packs those whose sig several classes have: pairs a, b of classes in buckets of `most` or fewer (at most most / 2 for each of
+    their rows), and rows sig, class of larger buckets, once each.
+
+    A task holds the pairs of one part at a time, 16 bytes each and as much again to sort them."""
+    found = stored(packs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_buckets(most), "sig long, a long, b long"), "buckets")
+    return stored(found.where("sig is null").select("a", "b").distinct(), "near"), found.where("sig is not null").select("sig", F.col("a").alias("class"))
 
 
 def sketches(h: np.ndarray, row: np.ndarray, rows: int) -> list[bytes]:
@@ -96,68 +176,139 @@ def element_rows(h: np.ndarray, at: np.ndarray, cls: np.ndarray) -> pa.RecordBat
 
 
 def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of element and class, those whose element at most RARE classes have: element, class, n (so many).
+    """Of rows in order of element and class, those whose element n classes have, 2 to RARE: element, class, n, own 0; and for each class, with a null
+    element and n 0, how many elements only it has (own; a class may have several such rows, to be summed).
 
-    Of an element RARE + 1 rows are held at most."""
+    Of an element RARE + 1 rows are held at most, and counts of OWN classes."""
     e = c = np.zeros(0, np.int64)
-    for batch in batches:
-        e, c = np.concatenate([e, np.asarray(batch.column(0))]), np.concatenate([c, np.asarray(batch.column(1))])
-        if not len(e):
-            continue
-        begin = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-        whole, n = begin[-1], np.diff(begin)
-        keep = np.repeat(n <= RARE, n)
-        yield pa.RecordBatch.from_arrays([pa.array(e[:whole][keep]), pa.array(c[:whole][keep]), pa.array(np.repeat(n, n)[keep])], ["element", "class", "n"])
-        e, c = e[whole : whole + RARE + 1], c[whole : whole + RARE + 1]
-    if 0 < len(e) <= RARE:
-        yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(c), pa.array(np.full(len(e), len(e), np.int64))], ["element", "class", "n"])
+    own = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def counts() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(own[0]), pa.int64()), pa.array(own[0]), pa.array(np.zeros(len(own[0]), np.int64)), pa.array(own[1])], ["element", "class", "n", "own"])
+
+    held: list[np.ndarray] = []
+    for batch in chain(batches, (None,)):
+        if batch is not None:
+            e, c = np.concatenate([e, np.asarray(batch.column(0))]), np.concatenate([c, np.asarray(batch.column(1))])
+        if len(e):
+            begin = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+            whole = begin[-1] if batch is not None else len(e)
+            n = np.diff(begin) if batch is not None else np.diff(np.append(begin, len(e)))
+            n_of = np.repeat(n, n)
+            few = (n_of > 1) & (n_of <= RARE)
+            if few.any():
+                yield pa.RecordBatch.from_arrays([pa.array(e[:whole][few]), pa.array(c[:whole][few]), pa.array(n_of[few]), pa.array(np.zeros(int(few.sum()), np.int64))], ["element", "class", "n", "own"])
+            held.append(c[:whole][n_of == 1])
+            e, c = e[whole : whole + RARE + 1], c[whole : whole + RARE + 1]
+        if batch is None or sum(map(len, held)) >= OWN:
+            cls, back = np.unique(np.concatenate([own[0], *held]), return_inverse=True)
+            own = cls, np.bincount(back, np.concatenate([own[1], *(np.ones(len(x), np.int64) for x in held)]), minlength=len(cls)).astype(np.int64)
+            held = []
+            if len(cls) >= OWN:
+                yield counts()
+                own = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    yield counts()
+    trimmed()
+
+
+#: n of rows that tell, as own, a class's size and how many large buckets it has.
+_SIZE, _CENTRAL = -1, -2
+
+
+def _prefixes(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows of _rare() and those of sizes, in order of class, n and element: rows element, class, size, top, central, of reachable(). An element is null in
+    the row of a class that stays in large buckets. Of a class all rows are held, as many as it has elements at most."""
+
+    def of_runs(e: pa.Array, c: np.ndarray, n: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(c))))
+        size, central, alone = (np.add.reduceat(np.where(n == k, own, 0), begin) for k in (_SIZE, _CENTRAL, 0))
+        shared = n > 0
+        rare = np.add.reduceat(shared.astype(np.int64), begin)
+        first = np.full(len(begin), len(c))
+        np.minimum.at(first, run[shared], np.flatnonzero(shared))
+        # Elements in order of how many classes have them: a linked pair has its first common one among the first `prefix` of both.
+        prefix = size - -(-size * percent // 100) + 1
+
+        def most(held: np.ndarray) -> np.ndarray:
+            """The greatest size of a partner, when so many elements can be in an intersection; 0 if there is none."""
+            return np.where(held * 100 >= size * percent, held * (100 + percent) // percent - size, 0)
+
+        by_all, by_common = most(size - alone), most(size - alone - rare)
+        keep = shared & (by_all[run] > 0) & ((np.arange(len(c)) - first[run] < (prefix - alone)[run]) | (by_common[run] > 0))
+        at = np.flatnonzero(keep)
+        stay = np.flatnonzero(by_common > 0)
+        whose = np.concatenate([run[at], stay])
+        top = np.concatenate([by_all[run[at]], by_common[stay]])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([e.take(pa.array(at)), pa.nulls(len(stay), pa.int64())]), pa.array(c[begin][whose]), pa.array(size[whose]), pa.array(top), pa.array(central[whose])], ["element", "class", "size", "top", "central"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+            if not now:
+                continue
+            held = now[0]
+            c = np.asarray(held.column(1))
+            cut = int(np.searchsorted(c, c[-1]))
+            if cut:
+                part = held.slice(0, cut)
+                yield of_runs(part.column(0), c[:cut], *(np.asarray(part.column(i)) for i in (2, 3)))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield of_runs(held.column(0), *(np.asarray(held.column(i)) for i in (1, 2, 3)))
+
+    return run
 
 
 def reachable(large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Rows sig, class, size, top, central that take the place of large buckets: every linked pair of these meets here too.
 
-    Two classes either have an element in common that at most RARE classes have: they meet in the small bucket of this
-    element. Or all that they have in common are other elements: then, for a link, the number of such elements must
-    reach the threshold against both sizes, so in large buckets only classes with enough of them stay, and top is the greatest size
-    of a partner that is possible by that count. central: how many large buckets the class has."""
-    central = large.groupBy("class").agg(F.count(F.lit(1)).alias("central"))
-    known = stored(sets.join(central, "class"), "known")
-    rare = stored(elements(known.select(*sets.columns)).repartition("element").sortWithinPartitions("element", "class").mapInArrow(_rare, "element long, class long, n long"), "rare")
-    counts = rare.groupBy("class").agg(F.count(F.lit(1)).alias("rare"), F.count(F.when(F.col("n") == 1, 1)).alias("own"))
-    rated = known.select("class", "central", F.col("n").alias("size")).join(counts, "class", "left")
-    held = {"by_all": F.col("size") - F.coalesce("own", F.lit(0)), "by_common": F.col("size") - F.coalesce("rare", F.lit(0))}
-    # The greatest size by a number of elements that can be in an intersection; none (0) if they don't reach the threshold against the class itself.
-    most = {k: F.when(v * 100 >= F.col("size") * percent, F.floor(v * (100 + percent) / percent + 1e-9).cast("long") - F.col("size")).otherwise(F.lit(0).cast("long")) for k, v in held.items()}
-    rated = stored(rated.select("class", "size", "central", *(v.alias(k) for k, v in most.items())), "reach")
-    common = large.join(rated.where("by_common > 0").select("class", "size", F.col("by_common").alias("top"), "central"), "class")
-    few = rare.where("n > 1").select(F.xxhash64("element").alias("sig"), "class").join(rated.where("by_all > 0").select("class", "size", F.col("by_all").alias("top"), "central"), "class")
+    Let elements be in the order of how many classes of large buckets have them, those of one class first. A linked pair's first common element is
+    among the first of both (prefix filtering). If at most RARE classes have it, the pair meets in the small bucket of this element. If not, all
+    that the two have in common are such common elements: then their numbers must reach the threshold against both sizes, so in large buckets only
+    classes with enough of them stay, and top is the greatest size of a partner that is possible by that count. central: how many large buckets the class has."""
+    central = stored(large.groupBy("class").agg(F.count(F.lit(1)).alias("central")), "central")
+    rows = elements(sets.join(central, "class", "left_semi")).repartition("element").sortWithinPartitions("element", "class").mapInArrow(_rare, "element long, class long, n long, own long")
+    none = F.lit(None).cast("long").alias("element")
+    rows = rows.unionAll(central.select(none, "class", F.lit(_CENTRAL).cast("long"), "central")).unionAll(sets.join(central, "class", "left_semi").select(none, "class", F.lit(_SIZE).cast("long"), "n"))
+    rated = stored(rows.repartition("class").sortWithinPartitions("class", "n", "element").mapInArrow(_prefixes(percent), "element long, class long, size long, top long, central long"), "rated")
     columns = ("sig", "class", "size", "top", "central")
-    return common.select(*columns).unionAll(few.select(*columns))
+    common = large.join(rated.where("element is null").drop("element"), "class").select(*columns)
+    return common.unionAll(rated.where("element is not null").withColumn("sig", F.xxhash64("element")).select(*columns))
 
 
-def connected(small: DataFrame, large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def connected(near: DataFrame, large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """class, component for all classes with a verified link to another.
 
-    small, large: rows sig, class of buckets of few classes and of many, of parted(). sets: class, n, and what elements() needs
-    to give element_rows() of each. First each class is compared with one other: the most central of most of its
-    buckets (that with the most large buckets: the text which the others are copies of, if it is there). What these links
+    near, large: of shared_buckets(). sets: class, n, and what elements() needs to give element_rows() of each. First the pairs in small buckets
+    are compared, and each class of large ones with one other: the most central of most of its buckets (that with the most large
+    buckets: the text which the others are copies of, if it is there). What these links
     connect is joined. Then, in buckets that hold several components, one of each is compared with the
     bucket's most central; and at last pairs of different components that share a bucket are compared. In large buckets classes
     and pairs are left out that cannot reach the threshold, by reachable(). So every two
     classes that share a bucket and are linked end in one component, but a group of n near copies costs about n
     comparisons, not n * n."""
-    spark = small.sparkSession
+    with scratch():
+        return kept(_connected(near, large, sets, elements, verified, percent)).toDF("class", "component")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _connected(near: DataFrame, large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    spark = near.sparkSession
+    released(spark)
+    rows = stored(reachable(large, sets, elements, percent), "rows")
     released(spark)
-    none = F.lit(0).cast("long")
-    rows = small.select("sig", "class", none.alias("size"), none.alias("top"), none.alias("central")).unionAll(reachable(large, sets, elements, percent))
     # Of equally central classes the smallest: the greatest complement.
-    rows = stored(rows, "rated")
     most = rows.groupBy("sig").agg(F.max(F.struct("central", F.bitwise_not("class").alias("less"))).alias("most"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     buckets = stored(rows.drop("central").join(most.select("sig", F.bitwise_not("most.less").alias("first")), "sig"), "buckets")
     dropped(rows)
     often = buckets.where("first != class").groupBy("class", "first").count()
     often = often.groupBy("class").agg(F.max_by("first", F.struct("count", F.bitwise_not("first"))).alias("first"))
-    tried = stored(often.select(F.col("first").alias("a"), F.col("class").alias("b")), "pairs")
+    tried = stored(_ordered(near.unionAll(often.select("first", "class"))), "pairs")
     links = stored(verified(tried), "found")
     reached = stored(components(links), "reached")
     for heads_only in (True, False):
@@ -176,11 +327,11 @@ def connected(small: DataFrame, large: DataFrame, sets: DataFrame, elements: Cal
             here = F.coalesce(F.array_min(F.array_intersect("p.early", "q.early")) >= F.col("p.sig"), F.lit(True))
             rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & fits & here).select(F.col("p.class").alias("a"), F.col("q.class").alias("b"))
         released(spark)
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        rest = stored(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        rest = stored(_ordered(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        dropped(open_)
         more = stored(verified(rest), "found")
         tried = tried.unionAll(rest)
         if more.limit(1).count():
             links = links.unionAll(more)
             reached = stored(components(links), "reached")
-    return reached.toDF("class", "component")
+    return reached

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, rows_in, stored
-from .linking import connected, parted, possible, shared_buckets, sketches, element_rows
+from .common import arrow_map, kept, released, rows_in, scratch, stored
+from .linking import Packs, connected, element_rows, parts_for, possible, shared_buckets, sketches
 from .rows import mark_of
-from .textnum import U, Words, buffers, distinct_sorted, lists, mix, shingles, slices, sums_by
+from .textnum import U, Words, buffers, distinct_sorted, mix, shingles, slices, sums_by
 
 #: Chance that a shingle of one set is also in an unrelated set of its group, for the allocation of segments.
 SHARED = 0.05
@@ -148,12 +148,13 @@ def signatures(h: np.ndarray, row: np.ndarray, at: np.ndarray, which: np.ndarray
     return sig, np.searchsorted(set_of, np.arange(len(which) + 1))
 
 
-def _signature_task(k: int, bounds: list[int], plan: dict[int, tuple[int, int, int]]) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+def _signature_task(k: int, bounds: list[int], plan: dict[int, tuple[int, int, int]], parts: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     bands = np.array(bounds)
     table = np.zeros((len(bounds) + 1, 3), np.int64)  # by group + 1: segments, with deletions, H + 1
     for g, x in plan.items():
         table[g + 1] = x
     seen: set[int] = set()
+    packs = Packs(parts)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, _, h, row, at in _sets(batch, k):
@@ -173,13 +174,15 @@ def _signature_task(k: int, bounds: list[int], plan: dict[int, tuple[int, int, i
                 if ok.any():
                     m, near, need = table[group[ok] + 1].T
                     sig, to = signatures(h, row, at, which[ok], group[ok], m, near, need)
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[which[ok]]), lists(pa.array(sig.astype(np.int64)), to)], ["class", "sigs"])
+                    yield from packs.add(sig, np.repeat(cls[which[ok]], np.diff(to)))
+        yield from packs.flush()
 
     return run
 
 
-def _spare_task(k: int, bounds: list[int], plan: dict[int, tuple[int, int, int]]) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-    """Of packed texts, for each of their groups: its parity, and how many whole segments a set has beyond those that the guarantee needs."""
+def _spare_task(k: int, percent: int, bounds: list[int], plan: dict[int, tuple[int, int, int]]) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """Of packed texts, for each of their groups: its parity, and how many whole segments a set has beyond those in which it may differ from a partner
+    (at its own size, from the largest partner that the group pairs it with), and one."""
     bands = np.array(bounds)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -193,7 +196,9 @@ def _spare_task(k: int, bounds: list[int], plan: dict[int, tuple[int, int, int]]
                 for i in range(len(size)):
                     for g in (int(band[i]), int(band[i]) - 1):
                         if g in plan:
-                            m, _, need = plan[g]
+                            m, n = plan[g][0], int(size[i])
+                            partner = min(bounds[g + 2] - 1 if g == band[i] and g + 2 < len(bounds) else bounds[g + 1] - 1 if g != band[i] else n * 100 // percent, n * 100 // percent)
+                            need = (100 - percent) * (n + partner) // (100 + percent) + 1
                             segment = (mix(h[at[i] : at[i + 1]] + U(0x2545F4914F6CDD1D)) >> U(32)) * U(m) >> U(32)
                             rows[0].append(part.column(0)[a + i].as_py())
                             rows[1].append(g & 1)
@@ -284,35 +289,40 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, text: str
 
 def jaccard_members(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """jaccard_components() with what tells rows and components apart where ids repeat or are null: mark (of rows.mark_of()), and component (a number; null without words)."""
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
+    with scratch():
+        return kept(stored(_members(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")), k, percent), "linked"))
+
+
+def _members(rows: DataFrame, k: int, percent: int) -> DataFrame:
     members = stored(arrow_map(rows.withColumn("mark", mark_of()), partial(_members_task, k), "doc_id long, mark long, n_shingles long, class long"), "members")
-    sizes = members.groupBy("n_shingles").agg(F.approx_count_distinct("class").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    sizes = members.groupBy("n_shingles").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("class").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
     longest = members.agg(F.max("n_shingles")).first()[0] or 0
     bounds = band_bounds(longest, percent)
     # One number for each band; bands are as many as the logarithm of the longest text.
     band = F.lit(len(bounds) - 1)
     for i in reversed(range(1, len(bounds))):
         band = F.when(F.col("n_shingles") < bounds[i], i - 1).otherwise(band)
-    held = {r.band: r for r in sizes.where("n_shingles > 0").groupBy(band.alias("band")).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+    held = {r.band: r for r in sizes.where("n_shingles > 0").groupBy(band.alias("band")).agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}
     plan = group_plan(bounds, held, percent)
-    spread = arrow_map(rows, partial(_signature_task, k, bounds, plan), "class long, sigs array<long>")
-    spread = spread.select("class", F.explode("sigs").alias("sig"))
-    buckets = stored(shared_buckets(spread), "buckets")
-    in_buckets = buckets.select("class").distinct()
+    parts = parts_for(rows.sparkSession, sum(x.rows * sum(plan[g][0] for g in (b, b - 1) if g in plan) for b, x in held.items()))
+    packs = arrow_map(rows, partial(_signature_task, k, bounds, plan, parts), "part int, data binary")
+    near, large = shared_buckets(packs, parts, HOT)
+    released(rows.sparkSession)
+    in_buckets = stored(near.select(F.explode(F.array("a", "b")).alias("class")).unionAll(large.select("class")).distinct(), "classes")
     speakers = members.join(in_buckets, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     # No id finds a class that only rows without id have: all of these are read.
     speaking = rows_in(rows, speakers, "doc_id").select("doc_id", "text").unionAll(rows.where("doc_id is null"))
     texts = arrow_map(speaking, partial(_texts_task, k), "class long, n long, sketch binary, packed binary")
     texts = stored(texts.join(in_buckets, "class", "left_semi").dropDuplicates(["class"]), "texts")
+    released(rows.sparkSession)
     # A signature that many sets have costs most and is left out by sets that have enough others: if one of two partners has, after that,
     # as many segments as the guarantee needs, they meet in one of these. Sets that have not stay, and meet in the popular ones.
-    few, many = parted(buckets, HOT)
-    hot = stored(many.withColumn("parity", F.col("sig").bitwiseAND(F.lit(1))), "hot")
+    hot = large.withColumn("parity", F.col("sig").bitwiseAND(F.lit(1)))
     hot_of = hot.groupBy("class", "parity").agg(F.count(F.lit(1)).alias("hot"))
-    spare = arrow_map(texts.join(hot_of.select("class").distinct(), "class", "left_semi").select("class", "packed"), partial(_spare_task, k, bounds, plan), "class long, parity long, spare long")
+    spare = arrow_map(texts.join(hot_of.select("class").distinct(), "class", "left_semi").select("class", "packed"), partial(_spare_task, k, percent, bounds, plan), "class long, parity long, spare long")
     rich = hot_of.join(spare, ["class", "parity"]).where("hot <= spare").select("class", "parity")
     poor = stored(hot.join(rich, ["class", "parity"], "left_anti").select("sig", "class"), "poor")
-    reached = connected(few, poor, texts, partial(_elements, k), lambda pairs: _verified(pairs, texts, k, percent), percent)
+    reached = connected(near, poor, texts, partial(_elements, k), lambda pairs: _verified(pairs, texts, k, percent), percent)
 
     of_class = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
     of_class = of_class.join(reached, "class", "left").select("class", "low", F.coalesce("component", "class").alias("component"))

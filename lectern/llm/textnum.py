@@ -227,7 +227,3 @@ class HashIndex:
             more = ~differ & (left > 8)
             live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
         return out
-
-
-def lists(values: pa.Array, at: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shared_dir
+from .common import arrow_map, shared_dir, trimmed
 from .pieces import Pieces
 from .textnum import HashIndex, buffers, slices
 
@@ -203,7 +203,7 @@ def _write_task(path: str, end_id: int, block_ids: int) -> Callable[[pa.RecordBa
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, text: str = "text", key: str = "doc_id", end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
-    """Encodes docs in ascending key order (nulls first; ties by text) and writes the blocks under path.
+    """Encodes docs in ascending key order (nulls first; ties by a hash of the text, then by the text) and writes the blocks under path.
 
     Range partitions are sorted on their own; a block is cut at whole documents after block_ids ids, so memory
     is bounded by a block and the longest text. A null text is an empty one: its end_id alone."""
@@ -214,9 +214,13 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, text: str = "text"
         for batch in batches:
             if batch.num_rows:
                 yield from g(batch)
+            del batch
+            trimmed()
         yield from g(None)
 
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _PARQUET).write.parquet(path)
+    # The hash is in the range, so that a key of many rows is no single task's.
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(run, _PARQUET).write.parquet(path)
 
 
 def _read_task() -> Callable[[pa.RecordBatch], Iterator[pa.Table]]:
@@ -236,7 +240,10 @@ def _read_task() -> Callable[[pa.RecordBatch], Iterator[pa.Table]]:
 def read_tokens(spark, path: str) -> DataFrame:
     """A row for each document in the blocks under path: doc_id, start, n_tokens, ids_crc32."""
     blocks = spark.read.schema(_PARQUET).parquet(path)
-    starts = blocks.select("part", "seq", (F.sum("n_ids").over(Window.orderBy("part", "seq")) - F.col("n_ids")).alias("base"))
+    # Sums by part first: the one window over all has a row for each part.
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    inner = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    starts = blocks.select("part", "seq", inner.alias("inner")).join(parts, "part").select("part", "seq", (F.col("before") + F.col("inner")).alias("base"))
     rows = arrow_map(blocks.select("part", "seq", "block"), _read_task, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -257,7 +264,7 @@ def token_ids(spark, path: str) -> DataFrame:
 def token_digest(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", end_id: int = 0) -> DataFrame:
     """Writes docs as token blocks in the shared folder, reads them back: doc_id, start, n_tokens, ids_crc32.
 
-    start counts the ids of all documents before, in ascending doc_id order (nulls first; equal ids by text).
+    start counts the ids of all documents before, in ascending doc_id order (nulls first; equal ids as in write_tokens()).
     Repeated rows are separate documents. Other columns are ignored; an empty table gives an empty result."""
     import uuid
 

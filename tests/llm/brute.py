@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter
 
+import xxhash
+
 
 def ascii_lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -110,8 +112,9 @@ def lines_kept(rows, gram=8, percent=80):
 
 
 def token_digest(rows, tok):
+    key = lambda t: (xxhash.xxh64((t or "").encode(), seed=42).intdigest() + (1 << 63)) % (1 << 64)  # noqa: E731  in the order of signed numbers
     out, start = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, key(r[1]), r[1] is not None, r[1] or "")):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
         out.append((i, start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
         start += len(ids)

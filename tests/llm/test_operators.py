@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -79,21 +81,72 @@ def test_ngram_join_of_copies_around_a_text(spark, monkeypatch, hot, rare):
     assert got == brute.ngram_join(rows, 4, 85)
 
 
-def test_rare_elements_and_shared_buckets_in_batches():
+def test_rare_elements_in_batches(monkeypatch):
     """Runs that go over batches of any size are counted as wholes."""
     rng = np.random.default_rng(3)
     e = np.sort(rng.integers(0, 400, 3000) ** 2 // 300)
     c = np.arange(3000)
     counts = dict(zip(*np.unique(e, return_counts=True), strict=True))
+    assert [r for b in linking._rare(iter([])) for r in b.to_pylist()] == []
     for size in (1, 2, 7, 1000, 3000):
         batches = [pa.RecordBatch.from_arrays([pa.array(e[i : i + size]), pa.array(c[i : i + size])], ["a", "b"]) for i in range(0, 3000, size)]
-        got = [tuple(r.values()) for b in linking._rare(iter(batches)) for r in b.to_pylist()]
-        assert got == [(x, y, counts[x]) for x, y in zip(e.tolist(), c.tolist(), strict=True) if counts[x] <= linking.RARE]
-        twice = [pa.RecordBatch.from_arrays([pa.array(np.repeat(e, 2)[i : i + size]), pa.array(np.repeat(c // 2, 2)[i : i + size])], ["a", "b"]) for i in range(0, 6000, size)]
-        want = sorted(set(zip(e.tolist(), (c // 2).tolist(), strict=True)))
-        of = {x: [w for w in want if w[0] == x] for x in counts}
-        got = [tuple(r.values()) for b in linking._shared(iter(twice)) for r in b.to_pylist()]
-        assert got == [(x, y, of[x].index((x, y))) for x, y in want if len(of[x]) > 1]
+        for most in (10**6, 5):
+            monkeypatch.setattr(linking, "OWN", most)
+            got = [tuple(r.values()) for b in linking._rare(iter(batches)) for r in b.to_pylist()]
+            assert [x for x in got if x[0] is not None] == [(x, y, counts[x], 0) for x, y in zip(e.tolist(), c.tolist(), strict=True) if 1 < counts[x] <= linking.RARE]
+            assert sorted(x[1:] for x in got if x[0] is None) == [(y, 0, 1) for x, y in zip(e.tolist(), c.tolist(), strict=True) if counts[x] == 1]
+
+
+@pytest.mark.parametrize(("packed", "parts"), [(1, 1), (7, 3), (500, 40), (10**6, 5)])
+def test_packs_of_signatures(monkeypatch, packed, parts):
+    """Pairs come together again, once each, at any sizes of packs and numbers of parts."""
+    monkeypatch.setattr(linking, "PACKED", packed)
+    rng = np.random.default_rng(packed)
+    sig, cls = rng.integers(-50, 50, 800) ** 3, rng.integers(-9, 9, 800)
+    packs = linking.Packs(parts)
+    rows = [r for i in range(0, 800, 100) for b in packs.add(sig[i : i + 100].astype(np.uint64), cls[i : i + 100]) for r in b.to_pylist()] + [r for b in packs.flush() for r in b.to_pylist()]
+    rows.sort(key=lambda r: r["part"])
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 3], schema=pa.schema([("part", pa.int32()), ("data", pa.binary())])) for i in range(0, len(rows), 3)]
+    of = {}
+    for x, y in sorted(set(zip(sig.tolist(), cls.tolist(), strict=True))):
+        of.setdefault(x, []).append(y)
+    for most in (1, 3, 7, 50):
+        got = [tuple(r.values()) for b in linking._buckets(most)(iter(batches)) for r in b.to_pylist()]
+        assert {(a, b) for s, a, b in got if s is None} == {(a, b) for ys in of.values() if len(ys) <= most for a in ys for b in ys if a < b}
+        assert sorted((s, a) for s, a, _ in got if s is not None) == [(x, y) for x, ys in sorted(of.items()) if len(ys) > most for y in ys]
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 10_000])
+def test_prefixes_of_rare_elements(monkeypatch, size):
+    """Each linked pair has a kept element in common, or both stay in large buckets and fit by their counts of common elements."""
+    monkeypatch.setattr(linking, "RARE", 3)
+    rng = random.Random(size)
+    sets = []
+    for base in range(6):
+        text = [1000 * base + i for i in range(30)]
+        sets += [frozenset(text[: rng.choice([30, 30, 27])]) - {rng.choice(text)} | {10**6 + rng.randrange(40) for _ in range(rng.choice([0, 1, 3, 9]))} for _ in range(rng.choice([2, 5, 12]))]
+    sets = list(dict.fromkeys(sets))
+    count = {}
+    for s in sets:
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    rows = []
+    for c, s in enumerate(sets):
+        rows += [(None, c, linking._SIZE, len(s)), (None, c, linking._CENTRAL, 5), (None, c, 0, sum(count[x] == 1 for x in s))] + [(x, c, count[x], 0) for x in s if 1 < count[x] <= 3]
+    rows.sort(key=lambda r: (r[1], r[2], r[0] or 0))
+    schema = pa.schema([("element", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("own", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + size]], schema=schema) for i in range(0, len(rows), size)]
+    got = [r for b in linking._prefixes(80)(iter(batches)) for r in b.to_pylist()]
+    assert all(r["central"] == 5 and r["size"] == len(sets[r["class"]]) for r in got)
+    of = [({r["element"]: r["top"] for r in got if r["class"] == c and r["element"] is not None}, next((r["top"] for r in got if r["class"] == c and r["element"] is None), 0)) for c in range(len(sets))]
+    linked = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                linked += 1
+                fits = lambda x, y: len(a) <= y and len(b) <= x
+                assert any(fits(of[i][0][e], of[j][0][e]) for e in of[i][0].keys() & of[j][0].keys()) or fits(of[i][1], of[j][1])
+    assert linked > 20 and len(got) < sum(map(len, sets))
 
 
 def test_allocation_keeps_the_guarantee():
@@ -153,7 +206,7 @@ def test_decontamination(spark):
     rows = [*texts(), (90, "x, " + " ".join(f"W{i}" for i in range(4, 20)) + "! w1-w2.w3")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute.decontamination(rows, [x for x in items if x[0] is not None])
-    for chunk in (1 << 20, 20):
+    for chunk in (1 << 20, 20, 60):
         got = map(tuple, decontamination.contamination_digest(frame(spark, rows), bench, chunk_bytes=chunk).collect())
         assert brute.counted(got) == brute.counted(want)
     assert decontamination.contamination_digest(frame(spark, rows), bench.limit(0)).where("contaminated").count() == 0
@@ -186,6 +239,9 @@ def test_topk(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.search_digest(df, block_rows=64, query_rows=4).collect())
     exact = [(r.vec_id, r.embedding) for r in df.collect()]
     assert got == brute.top_k(exact)
+    again = spark.createDataFrame([(1, [0.5, 0.5]), (1, [0.9, 0.9]), (0, [1.0, 1.0]), (0, [-1.0, 0.0]), (2, [])], "vec_id long, embedding array<float>").withColumn("row", F.lit("clash"))
+    every = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.search_digest(again, k=3).orderBy("rank").collect()]
+    assert every[:2] == [(0, 1, 1, 2 * 230 * 256), (0, 2, 1, 2 * 128 * 256)] and len(every) == 3
     assert topk_search.search_digest(df.limit(0)).count() == 0
     assert topk_search.search_digest(df.where("vec_id in (0, 1, 2)")).count() == 2
 
@@ -208,6 +264,46 @@ def test_html():
     assert html_text.main_text("<article><p>" + "long " * 50_000 + "</p></article>").count("long") == 50_000
 
 
+def test_html_of_hidden_elements_left_open():
+    """Elements that are never closed hide their own text only; closed ones hide all of it."""
+    for tag in ("button", "select", "textarea", "noscript", "video", "object"):
+        page = f"<article><h1>Rivers rise in spring</h1><p>The village moved its boats up the hill.</p><{tag}>hidden words<p>They stayed until the water fell again.</p></article><div><{tag}>x</{tag}></div>"
+        assert html_text.main_text(page) == "Rivers rise in spring\n\nThe village moved its boats up the hill.\n\nThey stayed until the water fell again.", tag
+        closed = page.replace("hidden words", f"hidden <div>words</div></{tag}>")
+        assert html_text.main_text(closed) == html_text.main_text(page)
+    assert html_text.main_text("<article><p>A long first line of the text here.</p><script>var a = '<p>no</p>'") == "A long first line of the text here."
+    began = time.perf_counter()
+    html_text.main_text("<article>" + "<button>a<select>b" * 20_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_html_without_containers(spark):
+    """Where no container tells, words and link density of blocks and neighbours decide; without these the tree finds next to nothing."""
+    counts = {"all": [0, 0, 0], "bare": [0, 0, 0]}
+    for page in [r.html for r in spark.read.parquet(f"{D}/pages.parquet").collect() if r.html]:
+        plain = re.sub(r"<(/?)(article|nav|footer|aside|header|main|section)\b[^>]*>", r"<\1div>", page)
+        plain = re.sub(r'\s(class|id|role)="[^"]*"', "", plain)
+        a, b = html_text.Cut(page), html_text.Cut(plain)
+        assert a.texts == b.texts
+        want, x = html_text.tree().of(a.features()) >= 0.5, b.features()
+        bare = x.copy()
+        bare[:, :6] = 0
+        for name, z in (("all", x), ("bare", bare)):
+            got = html_text.tree().of(z) >= 0.5
+            counts[name] = [n + int(k.sum()) for n, k in zip(counts[name], (want & got, want & ~got, got & ~want), strict=True)]
+    hit, lost, more = counts["all"]
+    assert hit / (hit + lost) > 0.98 and hit / (hit + more) > 0.8
+    assert counts["bare"][0] / (hit + lost) < 0.3
+
+
+def test_html_of_odd_rows(spark):
+    rows = [(1, None, None, "t"), (None, "u", "<p>x", "t"), (1, "u", "", "t"), (2, "u", "<article><p>One.<br>Two words here.</p></article>", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extracted(pages).collect()), key=repr)
+    assert len(got) == 4 and (1, None, "", 0) in got and (2, "u", "One.\n\nTwo words here.", 21) in got
+    assert html_text.extracted(pages.limit(0)).count() == 0
+
+
 def test_html_of_pages(spark):
     pages = spark.read.parquet(f"{D}/pages.parquet").withColumn("text", F.lit("clash"))
     got = html_text.extracted(pages).collect()
@@ -301,6 +397,49 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     assert score(labels) == score(turned)
 
 
+def test_bounds_of_labelled_samples(spark, monkeypatch):
+    """At most so many rows and bytes teach, also where ids repeat; a text that doesn't fit is passed over, the others stay."""
+    rows = [(1, "é" * 30), (2, "b" * 20), (2, "c" * 20), (2, "c" * 20), (3, "d" * 30), (4, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, label int")
+    taught = []
+    monkeypatch.setattr(toxicity, "trained", lambda texts, y: taught.append((sorted(texts), len(y))))
+    for most, most_bytes in ((10, 1000), (10, 75), (3, 1000)):
+        toxicity.fitted(frame(spark, rows), labels, most, most_bytes)
+    assert taught[0] == (sorted(["é" * 30, "b" * 20, "c" * 20, "d" * 30, ""]), 5)
+    assert sum(len(t.encode()) for t in taught[1][0]) in (70, 60) and taught[2][1] <= 3
+    many = frame(spark, [(7, f"word {i} here") for i in range(50)] + [(8, "other words")])
+    quality.fitted(many, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, label int"), most=10)
+    seen = []
+    real = quality.pooled
+    monkeypatch.setattr(quality, "pooled", lambda s, y: (seen.append(len(y)), real(s, y))[1])
+    quality.fitted(many, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, label int"), most=60)
+    assert seen == [51]
+
+
+def test_toxicity_learns_through_the_network(spark):
+    """On held-out rows the network is no worse than the best single word by its label odds with the best cut in hindsight, and better than always answering clean."""
+    import zlib
+    from collections import Counter
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()}
+    labels = [(r.doc_id, int(r.toxic)) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if r.doc_id in docs and r.toxic is not None]
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    fit = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    net = toxicity.trained([docs[i] for i, _ in fit], [y for _, y in fit])
+    data, offs = textnum.buffers(pa.array([docs[i] for i, _ in held]))
+    score = np.concatenate([net.score(toxicity.Inputs(textnum.Words(data, offs, lo, hi, "alnum"))) for lo, hi in textnum.slices(offs)])
+    y = np.array([v for _, v in held])
+    accuracy = ((score >= 0.5) == y).mean()
+    words = {i: set(re.findall(r"\w+", docs[i].lower())) for i, _ in labels}
+    hits = (Counter(), Counter())
+    for i, v in fit:
+        hits[v].update(words[i])
+    odds = {w: np.log((n + 0.5) / (sum(v for _, v in fit) + 1)) - np.log((hits[0][w] + 0.5) / (len(fit) + 1)) - 2 * np.sqrt(1 / (n + 0.5) + 1 / (hits[0][w] + 0.5)) for w, n in hits[1].items()}
+    best = np.array([max((odds.get(w, -9.0) for w in words[i]), default=-9.0) for i, _ in held])
+    lookup = max(((best >= cut) == y).mean() for cut in np.unique(best))  # with the cut that is best on these very rows
+    assert accuracy >= lookup and accuracy > 0.97 > 1 - y.mean(), (accuracy, lookup, 1 - y.mean())
+
+
 def test_gradients_of_the_network():
     texts_ = ["good calm river", "you idiot clown go", ""]
     data, offs = textnum.buffers(pa.array(texts_))
