@@ -33,7 +33,7 @@ from .rows import mark_of
 from .textnum import U, Words, buffers, distinct_sorted, mix, shingles, slices, sums_by
 
 #: Chance that a shingle of one set is also in an unrelated set of its group, for the allocation of segments.
-SHARED = 0.05
+SHARED = 0.02
 #: Cost of comparing a candidate (by bounds, which drop nearly all) against writing a signature, for the same.
 COMPARE = 0.5
 SEEN = 1_000_000
@@ -181,8 +181,8 @@ def _signature_task(k: int, bounds: list[int], plan: dict[int, tuple[int, int, i
 
 
 def _spare_task(k: int, percent: int, bounds: list[int], plan: dict[int, tuple[int, int, int]]) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-    """Of packed texts, for each of their groups: its parity, and how many whole segments a set has beyond those in which it may differ from a partner
-    (at its own size, from the largest partner that the group pairs it with), and one."""
+    """Of packed texts, for each of their groups: its parity, and how many signatures a set may leave out: it has so many segments beyond those in which it may differ from
+    a partner (at its own size, from the largest partner that the group pairs it with), and one."""
     bands = np.array(bounds)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -196,13 +196,15 @@ def _spare_task(k: int, percent: int, bounds: list[int], plan: dict[int, tuple[i
                 for i in range(len(size)):
                     for g in (int(band[i]), int(band[i]) - 1):
                         if g in plan:
-                            m, n = plan[g][0], int(size[i])
+                            (m, near, _), n = plan[g], int(size[i])
                             partner = min(bounds[g + 2] - 1 if g == band[i] and g + 2 < len(bounds) else bounds[g + 1] - 1 if g != band[i] else n * 100 // percent, n * 100 // percent)
                             need = (100 - percent) * (n + partner) // (100 + percent) + 1
-                            segment = (mix(h[at[i] : at[i + 1]] + U(0x2545F4914F6CDD1D)) >> U(32)) * U(m) >> U(32)
+                            count = np.bincount(((mix(h[at[i] : at[i + 1]] + U(0x2545F4914F6CDD1D)) >> U(32)) * U(m) >> U(32)).astype(np.int64), minlength=m)
+                            # A segment with deletions counts twice; a signature that is left out takes both away.
+                            room = int((count > 0).sum() + (count[:near] > 1).sum())
                             rows[0].append(part.column(0)[a + i].as_py())
                             rows[1].append(g & 1)
-                            rows[2].append(len(np.unique(segment)) - need)
+                            rows[2].append((room - need) // (2 if near else 1))
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], ["class", "parity", "spare"])
 
     return run
