@@ -7,7 +7,7 @@ minimum hashes; with 14 bands of 5 a pair at 0.8 is a candidate with probability
 Lines of 96 distinct shingles or more take their minima over the quarter of shingles with hashes divisible by 4, lines of
 under 128 over all (those between do both, so both sides of a pair have a signature in common; so do longer ones with under
 SMALL shingles in the quarter, so none is without bands). Repeats within a line count once. Every candidate
-is verified on the whole lines' sets of characters. Of each component the first line in order of
+is verified on the whole lines' sets of shingles, by 64-bit hashes of these. Of each component the first line in order of
 documents stays, in all its documents but the first equal lines go too."""
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ BANDS, ROWS = 14, 5
 SEEN = 1_000_000
 #: Classes in a bucket beyond which those without a possible partner are sought first.
 HOT = 16
+#: Lines that have a shingle, up to which they are compared by it.
+RARE = 24
 #: A long line with fewer distinct shingles than this in the quarter takes its minima over all shingles, too.
 SMALL = 8
 _BLANK = np.zeros(256, bool)
@@ -187,28 +189,33 @@ def _elements_task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     return run
 
 
-def similar(a: set[str], b: set[str], percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def shingle_set(line: str) -> set[str]:
-    return {line[i : i + GRAM] for i in range(len(line) - GRAM + 1)} or {line}
+def _line_sets(column: pa.Array) -> list[np.ndarray]:
+    """Hashes of the shingles of each line, ascending; a line shorter than a shingle has the line's own."""
+    out: list[np.ndarray] = []
+    data, offs = buffers(column)
+    for lo, hi in slices(offs):
+        x = Lines(data, offs, lo, hi)
+        h, bounds = characters(x, np.arange(hi - lo))
+        h, _, at = distinct_sorted(h, np.repeat(np.arange(hi - lo), np.diff(bounds)), hi - lo)
+        out += [h[a:b] if b > a else x.hash[i : i + 1] for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
+    return out
 
 
 def _verify_task(percent: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-    last: list = [None, set()]
-
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if x != last[0]:
-                last[:] = [x, shingle_set(x)]
-            keep.append(similar(last[1], shingle_set(y), percent))
-        mask = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            a, b = np.asarray(part.column(0)), np.asarray(part.column(1))
+            # Each line of the part once.
+            cls, first = np.unique(np.concatenate([a, b]), return_index=True)
+            texts = pa.concat_arrays([part.column(2), part.column(3)]).take(pa.array(first))
+            sets = _line_sets(texts)
+            keep = []
+            for i, j in zip(np.searchsorted(cls, a).tolist(), np.searchsorted(cls, b).tolist(), strict=True):
+                s, t = sets[i], sets[j]
+                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            yield part.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -235,7 +242,7 @@ def line_components(docs: DataFrame, percent: int = 80, n_bands: int = BANDS, n_
     def elements(sets: DataFrame) -> DataFrame:
         return arrow_map(sets.select("class", "line"), _elements_task, "element long, class long")
 
-    reached = connected(near, large, texts, elements, verified, percent)
+    reached = connected(near, large, texts, elements, verified, percent, RARE)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark", "line")
     first = places.groupBy("class").agg(F.min(order).alias("first")).join(reached, "class", "left")
     first = first.select("class", "first", F.coalesce("component", "class").alias("component"))

@@ -175,40 +175,44 @@ def element_rows(h: np.ndarray, at: np.ndarray, cls: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.repeat(cls, np.diff(at)))], ["element", "class"])
 
 
-def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of element and class, those whose element n classes have, 2 to RARE: element, class, n, own 0; and for each class, with a null
+def _rare(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows in order of element and class, those whose element n classes have, 2 to `most`: element, class, n, own 0; and for each class, with a null
     element and n 0, how many elements only it has (own; a class may have several such rows, to be summed).
 
-    Of an element RARE + 1 rows are held at most, and counts of OWN classes."""
-    e = c = np.zeros(0, np.int64)
-    own = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def counts() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(own[0]), pa.int64()), pa.array(own[0]), pa.array(np.zeros(len(own[0]), np.int64)), pa.array(own[1])], ["element", "class", "n", "own"])
-
-    held: list[np.ndarray] = []
-    for batch in chain(batches, (None,)):
-        if batch is not None:
-            e, c = np.concatenate([e, np.asarray(batch.column(0))]), np.concatenate([c, np.asarray(batch.column(1))])
-        if len(e):
-            begin = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-            whole = begin[-1] if batch is not None else len(e)
-            n = np.diff(begin) if batch is not None else np.diff(np.append(begin, len(e)))
-            n_of = np.repeat(n, n)
-            few = (n_of > 1) & (n_of <= RARE)
-            if few.any():
-                yield pa.RecordBatch.from_arrays([pa.array(e[:whole][few]), pa.array(c[:whole][few]), pa.array(n_of[few]), pa.array(np.zeros(int(few.sum()), np.int64))], ["element", "class", "n", "own"])
-            held.append(c[:whole][n_of == 1])
-            e, c = e[whole : whole + RARE + 1], c[whole : whole + RARE + 1]
-        if batch is None or sum(map(len, held)) >= OWN:
-            cls, back = np.unique(np.concatenate([own[0], *held]), return_inverse=True)
-            own = cls, np.bincount(back, np.concatenate([own[1], *(np.ones(len(x), np.int64) for x in held)]), minlength=len(cls)).astype(np.int64)
-            held = []
-            if len(cls) >= OWN:
-                yield counts()
-                own = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    yield counts()
-    trimmed()
+    Of an element most + 1 rows are held at most, and counts of OWN classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = c = np.zeros(0, np.int64)
+        own = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def counts() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(own[0]), pa.int64()), pa.array(own[0]), pa.array(np.zeros(len(own[0]), np.int64)), pa.array(own[1])], ["element", "class", "n", "own"])
+
+        held: list[np.ndarray] = []
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                e, c = np.concatenate([e, np.asarray(batch.column(0))]), np.concatenate([c, np.asarray(batch.column(1))])
+            if len(e):
+                begin = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+                whole = begin[-1] if batch is not None else len(e)
+                n = np.diff(begin) if batch is not None else np.diff(np.append(begin, len(e)))
+                n_of = np.repeat(n, n)
+                few = (n_of > 1) & (n_of <= most)
+                if few.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(e[:whole][few]), pa.array(c[:whole][few]), pa.array(n_of[few]), pa.array(np.zeros(int(few.sum()), np.int64))], ["element", "class", "n", "own"])
+                held.append(c[:whole][n_of == 1])
+                e, c = e[whole : whole + most + 1], c[whole : whole + most + 1]
+            if batch is None or sum(map(len, held)) >= OWN:
+                cls, back = np.unique(np.concatenate([own[0], *held]), return_inverse=True)
+                own = cls, np.bincount(back, np.concatenate([own[1], *(np.ones(len(x), np.int64) for x in held)]), minlength=len(cls)).astype(np.int64)
+                held = []
+                if len(cls) >= OWN:
+                    yield counts()
+                    own = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield counts()
+        trimmed()
+
+    return run
 
 
 #: n of rows that tell, as own, a class's size and how many large buckets it has.
@@ -261,15 +265,15 @@ def _prefixes(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def reachable(large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def reachable(large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int, rare: int = RARE) -> DataFrame:
     """Rows sig, class, size, top, central that take the place of large buckets: every linked pair of these meets here too.
 
     Let elements be in the order of how many classes of large buckets have them, those of one class first. A linked pair's first common element is
-    among the first of both (prefix filtering). If at most RARE classes have it, the pair meets in the small bucket of this element. If not, all
+    among the first of both (prefix filtering). If at most `rare` classes have it, the pair meets in the small bucket of this element. If not, all
     that the two have in common are such common elements: then their numbers must reach the threshold against both sizes, so in large buckets only
     classes with enough of them stay, and top is the greatest size of a partner that is possible by that count. central: how many large buckets the class has."""
     central = stored(large.groupBy("class").agg(F.count(F.lit(1)).alias("central")), "central")
-    rows = elements(sets.join(central, "class", "left_semi")).repartition("element").sortWithinPartitions("element", "class").mapInArrow(_rare, "element long, class long, n long, own long")
+    rows = elements(sets.join(central, "class", "left_semi")).repartition("element").sortWithinPartitions("element", "class").mapInArrow(_rare(rare), "element long, class long, n long, own long")
     none = F.lit(None).cast("long").alias("element")
     rows = rows.unionAll(central.select(none, "class", F.lit(_CENTRAL).cast("long"), "central")).unionAll(sets.join(central, "class", "left_semi").select(none, "class", F.lit(_SIZE).cast("long"), "n"))
     rated = stored(rows.repartition("class").sortWithinPartitions("class", "n", "element").mapInArrow(_prefixes(percent), "element long, class long, size long, top long, central long"), "rated")
@@ -278,7 +282,7 @@ def reachable(large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame],
     return common.unionAll(rated.where("element is not null").withColumn("sig", F.xxhash64("element")).select(*columns))
 
 
-def connected(near: DataFrame, large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def connected(near: DataFrame, large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], percent: int, rare: int = RARE) -> DataFrame:
     """class, component for all classes with a verified link to another.
 
     near, large: of shared_buckets(). sets: class, n, and what elements() needs to give element_rows() of each. First the pairs in small buckets
@@ -290,17 +294,17 @@ def connected(near: DataFrame, large: DataFrame, sets: DataFrame, elements: Call
     classes that share a bucket and are linked end in one component, but a group of n near copies costs about n
     comparisons, not n * n."""
     with scratch():
-        return kept(_connected(near, large, sets, elements, verified, percent)).toDF("class", "component")
+        return kept(_connected(near, large, sets, elements, verified, percent, rare)).toDF("class", "component")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _connected(near: DataFrame, large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _connected(near: DataFrame, large: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], percent: int, rare: int) -> DataFrame:
     spark = near.sparkSession
     released(spark)
-    rows = stored(reachable(large, sets, elements, percent), "rows")
+    rows = stored(reachable(large, sets, elements, percent, rare), "rows")
     released(spark)
     # Of equally central classes the smallest: the greatest complement.
     most = rows.groupBy("sig").agg(F.max(F.struct("central", F.bitwise_not("class").alias("less"))).alias("most"), F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -65,7 +66,7 @@ def test_ngram_join_with_popular_signatures(spark, monkeypatch):
 def test_ngram_join_of_copies_around_a_text(spark, monkeypatch, hot, rare):
     """Copies of one text with 0 to 30 words changed, some changes shared, and without the text itself; buckets and elements count as large or common early."""
     monkeypatch.setattr(ngram_join, "HOT", hot)
-    monkeypatch.setattr(linking, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "connected", partial(linking.connected, rare=rare))
     monkeypatch.setattr(linking, "FIRST", hot)
     rng = random.Random(hot)
     rows = []
@@ -87,12 +88,12 @@ def test_rare_elements_in_batches(monkeypatch):
     e = np.sort(rng.integers(0, 400, 3000) ** 2 // 300)
     c = np.arange(3000)
     counts = dict(zip(*np.unique(e, return_counts=True), strict=True))
-    assert [r for b in linking._rare(iter([])) for r in b.to_pylist()] == []
+    assert [r for b in linking._rare(8)(iter([])) for r in b.to_pylist()] == []
     for size in (1, 2, 7, 1000, 3000):
         batches = [pa.RecordBatch.from_arrays([pa.array(e[i : i + size]), pa.array(c[i : i + size])], ["a", "b"]) for i in range(0, 3000, size)]
         for most in (10**6, 5):
             monkeypatch.setattr(linking, "OWN", most)
-            got = [tuple(r.values()) for b in linking._rare(iter(batches)) for r in b.to_pylist()]
+            got = [tuple(r.values()) for b in linking._rare(linking.RARE)(iter(batches)) for r in b.to_pylist()]
             assert [x for x in got if x[0] is not None] == [(x, y, counts[x], 0) for x, y in zip(e.tolist(), c.tolist(), strict=True) if 1 < counts[x] <= linking.RARE]
             assert sorted(x[1:] for x in got if x[0] is None) == [(y, 0, 1) for x, y in zip(e.tolist(), c.tolist(), strict=True) if counts[x] == 1]
 
@@ -119,7 +120,6 @@ def test_packs_of_signatures(monkeypatch, packed, parts):
 @pytest.mark.parametrize("size", [1, 3, 50, 10_000])
 def test_prefixes_of_rare_elements(monkeypatch, size):
     """Each linked pair has a kept element in common, or both stay in large buckets and fit by their counts of common elements."""
-    monkeypatch.setattr(linking, "RARE", 3)
     rng = random.Random(size)
     sets = []
     for base in range(6):
