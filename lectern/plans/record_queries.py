@@ -79,6 +79,12 @@ def creators_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.to_json("c").alias("creators"))
 
 
+GROUNDED = """
+    SELECT doc_id, CASE WHEN doc_id % 8 = 4 THEN '[{"given":"M.","family":"van Dam","name":"van Dam, M.","affiliations":["Institute of Boats, Birch"]},{"given":"Jane","family":"Doe","name":"Doe, Jane PhD","affiliations":["University of Alder, Alder"]}]'
+        ELSE concat('[{"given":"Jane Q.","family":"Doe","name":"Doe, Jane Q.","affiliations":["University of Alder, Alder"]},{"given":"M.","family":"van Dam","name":"van Dam, M.","affiliations":["University of Alder, Alder","Institute of Boats, Birch"]}',
+            CASE WHEN doc_id % 8 = 0 THEN ',{"given":"Ana","family":"Lima","name":"Lima, Ana","affiliations":["Hospital of Cedar"]}' ELSE '' END, ']') END AS creators FROM documents"""
+
+
 def numbered_affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.documents(spark, sf_dir, "concat('## Rivers', chr(10), 'Jane Doe¹, Max Roe¹,²', CASE WHEN doc_id % 3 = 0 THEN ', Ana Lima' ELSE '' END, chr(10), '1 University of Alder; 2 Institute of Birch', chr(10), '## Abstract', chr(10), text) AS text", "CASE WHEN doc_id % 3 = 0 THEN array('Doe', 'Roe', 'Lima') ELSE array('Doe', 'Roe') END AS families")
     x = docs.select("doc_id", people.numbered_affiliations("families", "text").alias("a"))
@@ -101,6 +107,9 @@ def marker_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(text.markers("m"), " ").alias("marks"), text.is_placeholder_person(F.col("name"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("placeholder"))
 
 
+MARKS = "SELECT doc_id, concat('1', doc_id % 9, ' ', doc_id % 9 + doc_id % 4, ' 30 60') AS marks, doc_id % 2 = 0 AS placeholder FROM documents"
+
+
 # --- records ------------------------------------------------------------------------------------------------------------------------
 
 RESPONSE = (
@@ -314,6 +323,16 @@ def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.col("seq").cast("long").alias("seq"), "kind", F.col("place").cast("long").alias("place"))
 
 
+PARTITIONS = f"""
+    WITH b AS (SELECT {", ".join("text" if b.endswith(" AS text") else b for b in BLOCKS)} FROM documents),
+    h AS (SELECT *, min(CASE WHEN fontsize >= 14 AND vpos + height <= 136 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS head, width > 150 AS wide, vpos + height <= 96 AS top FROM b),
+    r AS (SELECT *, CASE WHEN head = 1 THEN 'header' WHEN wide AND vpos > 650 THEN 'footer' WHEN NOT wide AND top AND regexp_matches(text, '@\\S+\\.\\S+|orcid\\.org|ORCID:\\s*\\d|^Authors?\\b') THEN 'meta' WHEN top THEN 'top' ELSE 'body' END AS raw FROM h),
+    l AS (SELECT *, last_value(CASE WHEN raw <> 'meta' THEN raw END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lead FROM r),
+    k AS (SELECT *, CASE WHEN raw = 'meta' AND lead = 'top' OR raw = 'top' THEN 'body' ELSE raw END AS kind FROM l)
+    SELECT doc_id, seq::BIGINT AS seq, kind, row_number() OVER (PARTITION BY doc_id ORDER BY CASE kind WHEN 'header' THEN 0 WHEN 'meta' THEN 1 WHEN 'body' THEN 2 ELSE 3 END,
+        CASE kind WHEN 'meta' THEN floor(vpos / 5) WHEN 'body' THEN 0 ELSE vpos END, CASE kind WHEN 'meta' THEN hpos WHEN 'body' THEN seq ELSE 0 END, seq) AS place FROM k"""
+
+
 def column_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.column_boundaries(_blocks(spark, sf_dir), 600.0).select("doc_id", "boundary")
 
@@ -495,5 +514,5 @@ ORACLE_SQL = {
     "numbered_affiliations": NUMBERED, "copied_strings": COPIED,
     "organisations": ORGANISATIONS, "persons": PERSONS, "funders": FUNDERS, "headers": HEADERS, "joined_creators": JOINED, "json_repairs": REPAIRS, "captions_normalised": CAPTION_ROWS, "affiliations_coerced": AFFILIATIONS, "funding_normalised": FUNDING,
     "subjects_normalised": SUBJECTS, "sections_kept": KEPT, "validations": VALIDATIONS, "file_kinds": KINDS, "text_sources": SOURCES, "mode_sizes": MODES, "glyph_stats": STATS, "page_gaps": GAPS, "weighted_medians": MEDIANS, "body_sizes": BODY, "baselines": BASELINES,
-    "column_cuts": COLUMNS, "side_labels": SIDE_LABELS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "records_whole": RECORDS, "stream_pages": STREAMED, "schema_errors": SCHEMA_ERRORS, "better_attempts": ATTEMPTS,
+    "column_cuts": COLUMNS, "side_labels": SIDE_LABELS, "creators_grounded": GROUNDED, "marker_runs": MARKS, "partitions": PARTITIONS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "records_whole": RECORDS, "stream_pages": STREAMED, "schema_errors": SCHEMA_ERRORS, "better_attempts": ATTEMPTS,
 }

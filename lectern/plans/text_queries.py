@@ -231,6 +231,12 @@ def identifiers_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.to_json(ids).alias("identifiers"), F.to_json(orcids).alias("orcids"), F.to_json(identifiers.typed_funding(refs)).alias("funding"))
 
 
+PLACED = """
+    SELECT doc_id, concat('[{"identifier":"10.5555/Z","identifierType":"DOI"},{"identifier":"10.', 1000 + doc_id % 9000, '/ab.', doc_id, '","identifierType":"DOI"},{"identifier":"arXiv:21', lpad((doc_id % 100)::VARCHAR, 2, '0'), '.', lpad((doc_id % 100000)::VARCHAR, 5, '0'), 'v2","identifierType":"arXiv"}]') AS identifiers,
+        concat('[[', CASE doc_id % 3 WHEN 0 THEN '"https://orcid.org/0000-0002-1825-0097"' WHEN 1 THEN '"https://orcid.org/0000-0002-1825-009X"' ELSE '' END, '],["https://orcid.org/0000-0001-5109-3700"]]') AS orcids,
+        concat('[{"funderName":"A"', CASE WHEN doc_id % 2 = 0 THEN ',"funderIdentifier":"https://doi.org/10.13039/100000001","funderIdentifierType":"Crossref Funder ID","schemeUri":"https://doi.org/10.13039"' ELSE '' END, '}]') AS funding FROM documents"""
+
+
 def link_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = inputs.table(spark, sf_dir, "pages").select("page_id", identifiers.page_links(F.col("html")).alias("links"))
     related = identifiers.related_links(F.col("links"), F.array(F.lit("/the")))
@@ -271,6 +277,14 @@ def rights_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.rights_entries(docs)
 
 
+RIGHTS_ROWS = """
+    WITH a(k, rights, id, uri, action) AS (VALUES (0, 'Creative Commons Attribution 4.0 International', 'CC-BY-4.0', 'https://creativecommons.org/licenses/by/4.0/', 'match'), (1, 'Apache License 2.0', 'Apache-2.0', 'https://www.apache.org/licenses/LICENSE-2.0', 'match'),
+        (2, 'MIT License', 'MIT', 'https://opensource.org/licenses/MIT', 'match'), (3, 'Creative Commons Attribution-NonCommercial 4.0 International', 'CC-BY-NC-4.0', 'https://creativecommons.org/licenses/by-nc/4.0/', 'match'), (4, 'GNU General Public License, version 3', NULL, NULL, 'keep'),
+        (5, 'Creative Commons Attribution 4.0 International', 'CC-BY-4.0', 'https://creativecommons.org/licenses/by/4.0/', 'match'), (6, 'BSD 3-Clause "New" or "Revised" License', 'BSD-3-Clause', 'https://opensource.org/licenses/BSD-3-Clause', 'match'), (7, 'Creative Commons Zero 1.0 Universal', 'CC0-1.0', 'https://creativecommons.org/publicdomain/zero/1.0/', 'match'),
+        (8, 'Creative Commons Attribution-ShareAlike 4.0 International', 'CC-BY-SA-4.0', 'https://creativecommons.org/licenses/by-sa/4.0/', 'url'), (9, 'All Rights Reserved', NULL, NULL, 'known'), (10, 'License', NULL, NULL, 'drop'), (11, 'house rules', NULL, NULL, 'keep'))
+    SELECT doc_id, 0 AS pos, rights, id AS "rightsIdentifier", CASE WHEN id IS NOT NULL THEN 'SPDX' END AS "rightsIdentifierScheme", CASE WHEN id IS NOT NULL THEN 'https://spdx.org/licenses/' END AS "schemeUri", uri AS "rightsUri", action FROM documents JOIN a ON doc_id % 12 = k"""
+
+
 def titles_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.documents(spark, sf_dir, "substr(split(text, chr(10))[0], 1, 60) AS title", "CASE doc_id % 3 WHEN 0 THEN upper(substr(split(text, chr(10))[0], 1, 90)) WHEN 1 THEN 'Quite Another Heading Here' ELSE 'Short' END AS candidate", "text")
     return lines.grounded_title(docs).select("doc_id", "action", "new_title")
@@ -354,6 +368,7 @@ QUERIES = {
     "language_gates": language_gates, "capture_metrics": capture_metrics, "rouge": rouge, "unicode_forms": unicode_forms, "plain_forms": plain_forms, "runaway_scores": runaway_scores,
 }
 ORACLE_SQL = {
+    "identifiers_placed": PLACED, "rights_lists": RIGHTS_ROWS,
     "plain_forms_whole": FORMS_WHOLE, "predicates_of_lines": PREDICATES_OF_LINES, "caption_labels_of_lines": CAPTIONS_OF_LINES,
     "sections": SECTIONS, "line_runs": LINE_RUNS, "normalised_duplicates": DUPLICATES, "numerals": NUMERALS, "tokens": TOKENS, "shingle_coverage": COVERAGE, "predicates": PREDICATES, "caption_labels": CAPTIONS, "identifiers_found": IDENTIFIERS,
     "identifier_schemes": SCHEMES, "link_annotations": LINKS, "license_matches": LICENSES, "language_gates": GATES, "capture_metrics": METRICS, "plain_forms": FORMS, "runaway_scores": RUNAWAY,
