@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, line_dedup, mixing, ngram_join, quality, token_counts, token_files, topk_search, toxicity
+from . import decontamination, hard_negatives, html_text, line_dedup, mixing, ngram_join, quality, spelling, token_counts, token_files, topk_search, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -57,6 +57,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.negatives_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_html_text": op2_html_text,
@@ -68,6 +76,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling": op12_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -124,4 +134,45 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
             sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id, list_inner_product(a.e, v.e)::BIGINT AS score
+            FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0
+        ), p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), n AS (
+            SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        )
+        SELECT * FROM n WHERE rank <= 10""",
+    "op12_spelling": """
+        WITH RECURSIVE t AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS crc
+        ), r AS (
+            SELECT coalesce(doc_id::VARCHAR, 'null') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+        ), d AS (SELECT id, run, count(*) AS k, hex(id || ':' || run) AS x FROM r GROUP BY id, run
+        ), h AS (
+            SELECT run, k, xor(4294967295, list_reduce(
+                list_prepend(4294967295, list_transform(range(len(x) // 2), lambda j: ('0x' || x[2 * j + 1 : 2 * j + 2])::BIGINT)),
+                lambda a, b: xor(a // 256, crc[1 + (xor(a, b) & 255)]))) AS h FROM d, t
+        ), w AS (
+            SELECT CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 : ] ELSE run END AS word, k FROM h
+        ), v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+        ), c AS (SELECT word, n, i, word[1 : i - 1] || word[i + 1 : ] AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+        ), p AS (
+            SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM c AS a JOIN c AS b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+            UNION SELECT c.word, c.n, v.word, v.n FROM c JOIN v ON c.cut = v.word
+            UNION SELECT v.word, v.n, c.word, c.n FROM c JOIN v ON c.cut = v.word
+        ), b AS (
+            SELECT word, n, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1
+        ), f AS (
+            SELECT v.word, v.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+            FROM v LEFT JOIN b ON v.word = b.word
+        ), s AS (
+            SELECT word, word AS root, form AS next FROM f
+            UNION ALL SELECT s.word, f.word, f.form FROM s JOIN f ON s.next = f.word
+        )
+        SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s ON f.word = s.word WHERE s.next IS NULL""",
 }
