@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, hard_negatives, html_text, line_dedup, mixing, ngram_join, quality, spelling, token_counts, token_files, topk_search, toxicity
+from . import decontamination, hard_negatives, html_text, license_scan, line_dedup, mixing, ngram_join, quality, spelling, token_counts, token_files, topk_search, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_html_text": op2_html_text,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_spelling": op12_spelling,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -175,4 +180,5 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT s.word, f.word, f.form FROM s JOIN f ON s.next = f.word
         )
         SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s ON f.word = s.word WHERE s.next IS NULL""",
+    "op13_license_scan": license_scan.oracle_sql(),
 }
