@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,10 +78,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of queries that are over: it acts when the driver's JVM has collected their plans, which
-    events that listeners have not seen yet still hold."""
+    """Lets Spark's cleaner delete the shuffle files of queries that are over: it acts when the driver's JVM has collected their plans. Where events that
+    listeners have not seen yet still hold some, these files stay until a later collection."""
     jvm = spark.sparkContext._jvm
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    try:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    except Py4JJavaError:  # the events of a large job are still queued: no reason to end it
+        pass
     gc.collect()
     jvm.System.gc()
 

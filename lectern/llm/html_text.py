@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -31,10 +32,69 @@ FURNITURE_NAMES = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert\w*|sponsor\w*|promo\w
 MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article\w*|post-?(?:body|content|text)?|entry\w*|content\w*|main\w*|story\w*|body-?text|text-?body)(?:$|[-_ ])", re.I)
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "main", "heading", "furniture_in_main")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Where a tag, a comment or a declaration begins; any other < is text.
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/><]*)")
+_INSIDE = re.compile(r"[<>\"']")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
+class Markup:
+    """Reads the tags of a page forwards, each character a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self._gone: set[str] = set()  # what no longer comes
+
+    def find(self, needle: str, at: int) -> int:
+        found = -1 if needle in self._gone else self.page.find(needle, at)
+        if found < 0:
+            self._gone.add(needle)
+        return found
+
+    def after(self, needle: str, at: int) -> int:
+        """The end of the next needle; the page's end if none comes."""
+        found = self.find(needle, at)
+        return found + len(needle) if found >= 0 else len(self.page)
+
+    def tag(self, at: int) -> tuple[int, str, str, str, str]:
+        """What begins with the < at `at`: its end, the text in it (of a marked section), / if it closes, name (empty for what is no element), attributes."""
+        page = self.page
+        if page.startswith("<!--", at):
+            return self.after("-->", at + 4), "", "", "", ""
+        if page.startswith("<![CDATA[", at) and (end := self.find("]]>", at)) >= 0:
+            return end + 3, page[at + 9 : end], "", "", ""
+        m = _NAME.match(page, at + 1)
+        if m is None:
+            return self.after(">", at), "", "", "", ""
+        end, inner = self._tag_end(m.end())
+        return end, "", m[1], m[2].lower(), page[m.end() : inner]
+
+    def _tag_end(self, at: int) -> tuple[int, int]:
+        """Where the tag ends whose attributes begin at `at`, and where these end.
+
+        A quote counts after an equals sign. One that is not closed, or whose closing quote is followed by neither blank, slash nor > while there is a > before
+        it, was forgotten: the tag ends at its first >. The next tag ends one that was left open."""
+        page = self.page
+        while m := _INSIDE.search(page, at):
+            i = m.start()
+            if m[0] == ">":
+                return i + 1, i
+            if m[0] == "<":
+                if _OPEN.match(page, i):
+                    return i, i
+            elif page[at:i].rstrip().endswith("="):
+                close = self.find(m[0], i + 1)
+                odd = close >= 0 and page[close + 1 : close + 2].strip(" \t\n\r\f/>") and page.find(">", i, close) >= 0
+                if close < 0 or odd:
+                    end = self.after(">", i)
+                    return end, end - 1
+                at = close + 1
+                continue
+            at = i + 1
+        return len(page), len(page)
+
+
 class Cut:
     """The flat blocks of a page, in order: text, words, linked words, and marks of their containers."""
 
@@ -44,47 +104,43 @@ class Cut:
         self._parts: list[str] = []
         self._linked = 0
         self._stops: dict[str, tuple[int, int]] = {}
+        markup = Markup(page)
         stack: list[tuple[str, int, int, int]] = []  # name, furniture, main, furniture within main
-        link = at = 0
-        heading = 0
-        for m in _TOKEN.finditer(page):
-            a, b = m.span()
-            if a < at:
-                continue  # inside a hidden element
-            if a > at:
-                self._take(page[at:a], link)
-            at = b
-            if m[1] is not None:
-                self._take(m[1], link)
-            name = (m[3] or "").lower()
+        open_: Counter[str] = Counter()  # names on the stack
+        link = at = heading = 0
+        while m := _OPEN.search(page, at):
+            self._take(page[at : m.start()], link)
+            at, marked, closes, name, attributes = markup.tag(m.start())
+            self._take(marked, link)
             if not name:
                 continue
             if name in BLOCKS:
                 self._flush(stack, heading)
                 link = link if name == "br" else 0
-                heading = int(len(name) == 2 and name[0] == "h" and name[1].isdigit() and not m[2])
-            if m[2]:
+                heading = int(len(name) == 2 and name[0] == "h" and name[1].isdigit() and not closes)
+            if closes:
                 if name == "a":
                     link = 0
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+                while open_[name]:
+                    last = stack.pop()[0]
+                    open_[last] -= 1
+                    if last == name:
                         break
                 continue
-            if name in HIDDEN and not (m[4] or "").endswith("/"):
-                at = self._hidden_end(page, name, b, stack[-1][0] if stack else "")
+            if name in HIDDEN and not attributes.endswith("/"):
+                at = self._hidden_end(page, name, at, stack[-1][0] if stack else "")
                 continue
             if name == "a":
                 link = 1
-            if name in VOID or (m[4] or "").endswith("/"):
+            if name in VOID or attributes.endswith("/"):
                 continue
             if name == "p":  # a paragraph ends an open one
                 while stack and stack[-1][0] == "p":
-                    stack.pop()
+                    open_[stack.pop()[0]] -= 1
             up = stack[-1] if stack else ("", 0, 0, 0)
             bad, good = name in FURNITURE, name in MAIN
-            if m[4] and name not in ("html", "body"):
-                for x in _ATTRIBUTE.finditer(m[4]):
+            if attributes and name not in ("html", "body"):
+                for x in _ATTRIBUTE.finditer(attributes):
                     kind, value = x[1].lower(), x[2] or x[3] or x[4] or ""
                     if kind == "role":
                         bad, good = bad or value.lower() in FURNITURE_ROLES, good or value.lower() == "main"
@@ -95,12 +151,8 @@ class Cut:
             if name in BLOCKS or bad:
                 good = good and not bad
                 stack.append((name, up[1] or int(bad), up[2] or int(good), up[3] or int(bad and up[2])))
-        if at < len(page):
-            rest = page[at:]
-            cut = rest.rfind("<")  # a tag that the end of the page cuts off is no text
-            if cut >= 0 and re.match(r"</?[a-zA-Z!]", rest[cut:]):
-                rest = rest[:cut]
-            self._take(rest, link)
+                open_[name] += 1
+        self._take(page[at:], link)
         self._flush(stack, heading)
 
     def _hidden_end(self, page: str, name: str, at: int, parent: str) -> int:
