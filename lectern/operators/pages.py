@@ -347,8 +347,13 @@ def page_lines(page: pd.DataFrame, page_w: float = 600.0, page_h: float = 800.0)
 
 
 def read_pages(glyphs: DataFrame) -> DataFrame:
-    """Lines of all pages. glyphs: doc_id, page, si, text, x0, x1, top, bottom, size, fontname, upright."""
-    return glyphs.groupBy("doc_id", "page").applyInPandas(lambda page: page_lines(page), LINES)
+    """Lines of all pages. glyphs: doc_id, page, si, text, x0, x1, top, bottom, size, fontname, upright; optional page_w, page_h."""
+    return glyphs.groupBy("doc_id", "page").applyInPandas(lambda page: page_lines(page, _first(page, "page_w", 600.0), _first(page, "page_h", 800.0)), LINES)
+
+
+def _first(page: pd.DataFrame, column: str, default: float) -> float:
+    """A value that is the same in all rows of a page; the default where the page does not say."""
+    return default if column not in page or pd.isna(page[column].iloc[0]) else float(page[column].iloc[0])
 
 
 def ordered(blocks: DataFrame) -> DataFrame:
@@ -363,24 +368,24 @@ def ordered(blocks: DataFrame) -> DataFrame:
 
 
 def mask_rows(shapes: DataFrame, page_w: float = 600.0, page_h: float = 800.0, body: float = 10.0) -> DataFrame:
-    """Masks of pages from shapes (kind image or other, x0, top, x1, bottom)."""
+    """Masks of pages from shapes (kind image or other, x0, top, x1, bottom; optional page_w, page_h, body)."""
 
     def one(page: pd.DataFrame) -> pd.DataFrame:
         boxes = {k: list(page[page.kind.eq("image") == k][["x0", "top", "x1", "bottom"]].itertuples(index=False, name=None)) for k in (True, False)}
-        got = masks(boxes[True], boxes[False], page_w, page_h, body)
+        got = masks(boxes[True], boxes[False], _first(page, "page_w", page_w), _first(page, "page_h", page_h), _first(page, "body", body))
         return pd.DataFrame([(page.doc_id.iloc[0], page.page.iloc[0], i, k, *b) for i, (k, b) in enumerate(got)], columns=["doc_id", "page", "region_id", "kind", "x0", "top", "x1", "bottom"])
 
     return shapes.groupBy("doc_id", "page").applyInPandas(one, "doc_id long, page int, region_id int, kind string, x0 double, top double, x1 double, bottom double")
 
 
 def captions(blocks: DataFrame, beside: DataFrame, body: float) -> DataFrame:
-    """Captions of pages from blocks (block_no, text, fontsize, hpos, vpos, height) and what regions they stand beside."""
+    """Captions of pages from blocks (block_no, text, fontsize, hpos, vpos, height; optional body) and what regions they stand beside."""
     both = blocks.join(beside.select("doc_id", "page", "block_no", "side", "gap"), ["doc_id", "page", "block_no"], "left")
 
     def one(page: pd.DataFrame) -> pd.DataFrame:
         rows = page.sort_values("block_no").to_dict("records")
         near = {r["block_no"]: (r["side"], r["gap"]) for r in rows if isinstance(r["side"], str)}
-        got = grown_captions(rows, near, body)
+        got = grown_captions(rows, near, _first(page, "body", body))
         return pd.DataFrame([(page.doc_id.iloc[0], page.page.iloc[0], i, c["kind"], c["label"], c["text"], c["source"], c["blocks"]) for i, c in enumerate(got)], columns=["doc_id", "page", "cap_no", "kind", "label", "text", "source", "blocks"])
 
     return both.groupBy("doc_id", "page").applyInPandas(one, "doc_id long, page int, cap_no int, kind string, label string, text string, source string, blocks array<int>")

@@ -114,6 +114,12 @@ def _with_registries(x: DataFrame, options: Options) -> DataFrame:
     return x
 
 
+def cleaned_text(c: Column | str) -> Column:
+    """A document's text as the plan reads it: without marks of captions taken out before, repeats of lines cut."""
+    c = F.col(c) if isinstance(c, str) else c
+    return lines.collapsed(F.regexp_replace(F.coalesce(c, F.lit("")), _MARKER, ""))
+
+
 def documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """A record for each document (doc_id, text; optional: candidate, the printed title; found_captions, array of kind and text; links; media).
 
@@ -121,7 +127,7 @@ def documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
     n_reclaimed. Repeats of lines are cut. Creators are the structurer's people, grounded in the printed author line; joined names are parted.
     ORCIDs of the text go to creators; other identifiers and links only if asked for. A document whose response cannot be read gets what the text alone gives."""
     optional = {"candidate": "string", "found_captions": "array<struct<kind:string,text:string>>", "links": _NAMES, "media": "string"}
-    docs = docs.select("doc_id", lines.collapsed(F.regexp_replace(F.coalesce("text", F.lit("")), _MARKER, "")).alias("text"), *[F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()])
+    docs = docs.select("doc_id", cleaned_text("text").alias("text"), *[F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()])
     docs = docs.withColumn("found_captions", F.coalesce("found_captions", _none(optional["found_captions"])))
     x = captions_of(docs.join(parsed(options.structurer(docs.select("doc_id", "text"))), "doc_id", "left"))
     first = F.regexp_extract("text", r"\A\s*(?:#+[ \t]*)?([^\n]*)", 1)

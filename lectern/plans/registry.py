@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import record_queries, text_queries
+from . import drawn_queries, record_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **record_queries.QUERIES}
-ORACLE_SQL = {**text_queries.ORACLE_SQL, **record_queries.ORACLE_SQL}
+QUERIES = {**text_queries.QUERIES, **record_queries.QUERIES, **drawn_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL, **record_queries.ORACLE_SQL, **drawn_queries.ORACLE_SQL}
 FLAGSHIP = text_queries.sections

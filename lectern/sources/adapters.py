@@ -46,6 +46,52 @@ def pdf_glyphs(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, GLYPHS)
 
 
+OBJECTS = "path string, page int, kind string, x0 double, top double, x1 double, bottom double, uri string"
+
+
+def _of_each(files: DataFrame, library: str, schema: str, rows: Callable[[object, str, bytes], list[tuple]]) -> DataFrame:
+    """rows(library, path, content) of each file; a file that cannot be read gives none (its glyphs name the error), as do all where the library is missing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        found = importlib.import_module(library) if importlib.util.find_spec(library) else None
+        for batch in batches:
+            for path, content in zip(batch.path, batch.content, strict=True):
+                try:
+                    got = rows(found, path, content) if found else []
+                except Exception:  # a damaged file must not end the others
+                    got = []
+                yield pd.DataFrame(got, columns=names)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def pdf_objects(files: DataFrame) -> DataFrame:
+    """Images, drawn shapes and links (with their addresses) of PDF files, page by page."""
+
+    def rows(library: object, path: str, content: bytes) -> list[tuple]:
+        import io
+
+        out = []
+        with library.open(io.BytesIO(content)) as pdf:
+            for n, page in enumerate(pdf.pages, 1):
+                for kind, items in (("image", page.images), ("rect", page.rects), ("line", page.lines), ("curve", page.curves), ("link", page.hyperlinks)):
+                    out += [(path, n, kind, float(o["x0"]), float(o["top"]), float(o["x1"]), float(o["bottom"]), o.get("uri")) for o in items]
+        return out
+
+    return _of_each(files, "pdfplumber", OBJECTS, rows)
+
+
+def pdf_plain(files: DataFrame) -> DataFrame:
+    """path, plain_text: the text of all pages as the file stores it."""
+
+    def rows(library: object, path: str, content: bytes) -> list[tuple]:
+        with library.open(stream=content, filetype="pdf") as pdf:
+            return [(path, "\n".join(page.get_text() for page in pdf))]
+
+    return _of_each(files, "fitz", "path string, plain_text string", rows)
+
+
 def no_ocr(files: DataFrame) -> DataFrame:
     return files.withColumn("ocr_text", F.lit(None).cast("string"))
 
@@ -88,8 +134,11 @@ class Options:
     structurer: Step = header_structurer
     ocr: Step = no_ocr
     glyphs: Step = pdf_glyphs
+    objects: Step = pdf_objects
+    plain: Step = pdf_plain
     orgs: DataFrame | None = None
     persons: DataFrame | None = None
     extract_identifiers: bool = False
     ground_headers: bool = True
     reclaim_lines: bool = True
+    layout_fallback: bool = True
