@@ -8,6 +8,8 @@ import statistics
 import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -268,24 +270,62 @@ def masks(images: list[tuple], shapes: list[tuple], page_w: float, page_h: float
     return out
 
 
-def reading_order(blocks: list[dict], most_hops: int = 512) -> list[dict]:
-    """Bands from the top; inside a band a block goes before blocks wholly to its right, but not before a wide one wholly above it."""
+# The bound on hops, the share of the text's width that a banner has, tops that count as equal (points, lines).
+HOPS, BANNER, EQUAL_TOP, EQUAL_LINE = 512, 0.3, 0.5, 0.1
+
+
+def rows_of(blocks: list[dict]) -> list[dict]:
+    """Blocks from the top. Tops that follow each other within half a point, or a tenth of a line, are equal: the order of drawing decides."""
+    out: list[list[dict]] = []
+    last: dict | None = None
+    for b in sorted(blocks, key=lambda b: (b["y0"], b["seq"])):
+        if last is None or b["y0"] - last["y0"] > max(EQUAL_TOP, EQUAL_LINE * last["line_h"]):
+            out.append([])
+        out[-1].append(b)
+        last = b
+    return [b for row in out for b in sorted(row, key=lambda b: b["seq"])]
+
+
+def bands_of(rows: list[dict]) -> list[int]:
+    """A band number for each of rows_of(): blocks that overlap in height, within a line, with one before or after share a band; others are bands of their own."""
+    top, end, line = (np.array([b[k] for b in rows], np.float64) for k in ("y0", "y1", "line_h"))
+    reach = np.maximum.accumulate(end + line)
+    later = np.minimum.accumulate((top - line)[::-1])[::-1]
+    joined = np.zeros(len(rows), bool)
+    joined[1:] |= (top[1:] <= reach[:-1]) | (top[1:] - top[:-1] <= line[1:])
+    joined[:-1] |= (top[1:] <= (end + line)[:-1]) | (later[1:] <= top[:-1])
+    new = np.ones(len(rows), bool)
+    new[1:] = ~(joined[1:] & joined[:-1])
+    return (np.cumsum(new) - 1).tolist()
+
+
+def is_banner(p: dict, band: list[dict], width: float) -> bool:
+    """A wide block over two or more columns that are side by side, none of which begins above it to its left or right."""
+    if p["x1"] - p["x0"] < BANNER * width:
+        return False
+    if any(q["y0"] < p["y0"] - 1e-6 and (q["x1"] <= p["x0"] or q["x0"] >= p["x1"]) for q in band):
+        return False
+    under = [q for q in band if q is not p and q["y0"] >= p["y1"] - 1e-6 and 0 < min(p["x1"], q["x1"]) - max(p["x0"], q["x0"]) >= 0.5 * (q["x1"] - q["x0"])]
+    return bool(under) and max(q["x0"] for q in under) >= min(under, key=lambda q: q["x0"])["x1"]
+
+
+def reading_order(blocks: list[dict], most_hops: int = HOPS) -> list[dict]:
+    """Blocks (x0, y0, x1, y1, line_h, seq) as they are read: band after band from the top. In a band each block is inserted before those at its end that
+    lie wholly to its right, at most so many; a banner wholly above it holds it, and none goes before the page's first block."""
+    if not blocks:
+        return []
+    rows = rows_of(blocks)
+    width = max(b["x1"] for b in rows) - min(b["x0"] for b in rows)
     out: list[dict] = []
-    wide = 0.3 * (max((b["x1"] for b in blocks), default=0) - min((b["x0"] for b in blocks), default=0))
-    for band in sorted({b["band"] for b in blocks}):
-        placed: list[dict] = []
-        own = sorted((b for b in blocks if b["band"] == band), key=lambda b: (b["y0"], b["seq"]))
-        for b in own:
-            at = len(placed)
-            while at and len(placed) - at < most_hops and placed[at - 1]["x0"] > b["x1"]:
-                p = placed[at - 1]
-                below = [q for q in own if q is not p and q["y0"] >= p["y1"] and min(p["x1"], q["x1"]) - max(p["x0"], q["x0"]) >= 0.5 * (q["x1"] - q["x0"])]
-                columns = len({round(q["x0"]) for q in below})
-                if p["y1"] <= b["y0"] and p["x1"] - p["x0"] >= wide and columns > 1:
-                    break
-                at -= 1
-            placed.insert(at, b)
-        out += placed
+    for n, group in groupby(zip(bands_of(rows), rows, strict=True), lambda x: x[0]):
+        band = [b for _, b in group]
+        banner = cache(lambda i, band=band: is_banner(band[i], band, width))
+        placed: list[int] = []
+        for i, b in enumerate(band):
+            lowest = max(int(n == 0), len(placed) - most_hops)
+            holds = (at for at in range(len(placed), lowest, -1) if band[placed[at - 1]]["x0"] <= b["x1"] or band[placed[at - 1]]["y1"] <= b["y0"] and banner(placed[at - 1]))
+            placed.insert(min(next(holds, lowest), len(placed)), i)
+        out += [band[i] for i in placed]
     return out
 
 
@@ -357,7 +397,7 @@ def _first(page: pd.DataFrame, column: str, default: float) -> float:
 
 
 def ordered(blocks: DataFrame) -> DataFrame:
-    """blocks (seq, x0, y0, x1, y1, band) with place, the order in which they are read."""
+    """blocks (seq, x0, y0, x1, y1, line_h) with place, the order in which they are read."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields)
 
     def one(page: pd.DataFrame) -> pd.DataFrame:

@@ -12,6 +12,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ ROW, STACK, FAR = 0.5, 0.1, 1.5  # one row; overlap of words on top of each othe
 SIZE_DIFFERS, LEADING, BULLET_LEADING, JUMP = 0.05, 1.5, 2.6, 0.3
 REACH, SCRIPT = 0.8, 0.97  # accents; a script is smaller than this
 HEADING_LINES, HEADING_BOLD, HEADING_NEXT = 3, 0.95, 3
-BANNER = 0.3  # share of the text's width from which a block over several columns parts the page
+CHAIN, PIECE, EVEN = 6, 2, 1.5  # letter-spaced text: pieces of a chain, characters of a piece, letter gaps against the typical one
 BESIDE, BELOW = 6.0, 3.0  # side labels
 CLOSERS = frozenset(",;.:)]}")
 CONTACT = re.compile(r"@\w|orcid|https?://|www\.", re.I)
@@ -55,6 +56,7 @@ class Glyph:
 class Word:
     glyphs: list[Glyph]
     spaced: bool  # a blank or a gap stands before it
+    gap: float = -1.0  # the gap alone that parts it from the word before on its line, in sizes
 
     @property
     def text(self) -> str:
@@ -202,11 +204,45 @@ def words(items: list[Glyph | None]) -> list[Word]:
                 out[-1].glyphs.append(g)
                 continue
             blank = same and step > GAP * size
-        out.append(Word([g], blank))
+            out.append(Word([g], blank, step / size if blank else -1.0))
+        else:
+            out.append(Word([g], blank))
         blank = False
+    return rejoined(out)
+
+
+def rejoined(found: list[Word]) -> list[Word]:
+    """Words whose letters are drawn apart, as words again.
+
+    In a chain of short pieces that only gaps part, the gaps between letters are near the typical small gap (the lower quartile), those between words clearly
+    larger. A chain of even gaps says nothing of words and stays as it is; so does what a blank parts."""
+    out: list[Word] = []
+    for _, chain in groupby(_chained(found), lambda x: x[0]):
+        pieces = [w for _, w in chain]
+        gaps = sorted(w.gap for w in pieces[1:])
+        most = EVEN * gaps[(len(gaps) - 1) // 4] if gaps else 0.0
+        if len(pieces) < CHAIN or most <= 0 or gaps[-1] <= most:
+            out += pieces
+            continue
+        for i, w in enumerate(pieces):
+            if i and w.gap <= most:
+                out[-1].glyphs.extend(w.glyphs)
+            else:
+                out.append(w)
     return out
 
 
+def _chained(found: list[Word]) -> Iterator[tuple[int, Word]]:
+    """Words with the number of their chain: short pieces of one direction, each parted from the one before by a gap."""
+    n, before = 0, None
+    for w in found:
+        short = len(w.text) <= PIECE
+        if before is None or not (short and len(before.text) <= PIECE and w.gap >= 0 and w.glyphs[0].angle == before.glyphs[0].angle):
+            n += 1
+        yield n, w
+        before = w
+
+
 def _raised_sign(sign: Glyph, other: Glyph) -> bool:
     """A plain accent that stands raised over the edge of a neighbour that takes no accent, as in a power."""
     return sign.text in PLAIN_ACCENTS and sign.angle == other.angle and abs(sign.base - other.base) <= REACH * other.size and min(sign.end, other.end) - max(sign.start, other.start) > 0
@@ -308,36 +344,9 @@ def _continues(b: Block, x: Line, split_headings: bool) -> bool:
 
 
 def ordered(found: list[Block]) -> list[Block]:
-    """Blocks as they are read: from the top, column by column between the wide blocks that stand over or under several columns."""
-    if len(found) < 2:
-        return found
-    left, right = min(b.box[0] for b in found), max(b.box[2] for b in found)
-    wide = [b for b in found if b.box[2] - b.box[0] >= BANNER * (right - left)]
-    slim = [b for b in found if b.box[2] - b.box[0] < BANNER * (right - left)]
-    columns = _columns(slim)
-    banners = [b for b in wide if sum(min(q[1], b.box[2]) - max(q[0], b.box[0]) >= 0.5 * (q[1] - q[0]) for q in columns) > 1]
-    marks = sorted((b.box[1], i) for i, b in enumerate(found) if any(b is q for q in banners))
-    out: list[Block] = []
-    rest = [b for b in found if not any(b is q for q in banners)]
-    for low, i in [*marks, (math.inf, -1)]:
-        above = [b for b in rest if b.box[1] < low]
-        rest = [b for b in rest if b.box[1] >= low]
-        for x0, x1 in _columns(above):
-            out += sorted((b for b in above if x0 <= b.box[0] and b.box[2] <= x1), key=lambda b: (b.box[1], b.box[0]))
-        if i >= 0:
-            out.append(found[i])
-    return _beside(out)
-
-
-def _columns(found: list[Block]) -> list[tuple[float, float]]:
-    """Joined spans of blocks across the page, from the left."""
-    out: list[tuple[float, float]] = []
-    for x0, x1 in sorted((b.box[0], b.box[2]) for b in found):
-        if out and x0 < out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], x1))
-        else:
-            out.append((x0, x1))
-    return out
+    """Blocks as they are read, by pages.reading_order(); then labels in the margin before what they name."""
+    boxes = [dict(zip(("x0", "y0", "x1", "y1"), b.box, strict=True)) | {"seq": i, "line_h": b.lines[0].size} for i, b in enumerate(found)]
+    return _beside([found[b["seq"]] for b in pages.reading_order(boxes)])
 
 
 def _beside(found: list[Block]) -> list[Block]:

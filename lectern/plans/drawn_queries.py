@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import attempts
+from lectern.operators import attempts, stream
 from lectern.plans import files, inputs
 from lectern.sources.adapters import GLYPHS, OBJECTS, Options
 
@@ -123,5 +123,27 @@ DRAWN = """
     SELECT conv_id, max(CASE WHEN turn = 0 THEN array_to_string(list_filter(w, lambda x: length(x) >= 4)[1:6], ' ') END) AS title,
         coalesce(string_agg(CASE WHEN role = 'assistant' THEN 'Figure ' || (turn + 1) || '. ' || array_to_string(w[1:8], ' ') END, '|' ORDER BY turn), '') AS captions, count(*)::BIGINT AS n_parts FROM t GROUP BY conv_id"""
 
-QUERIES = {"attempt_ladder": attempt_ladder, "layout_fallback": layout_fallback, "drawn_pages": drawn_pages}
-ORACLE_SQL = {"attempt_ladder": ATTEMPTS, "layout_fallback": FALLBACK, "drawn_pages": DRAWN}
\ No newline at end of file
+#: Letters 0.7 of a size apart, words 1.4.
+STEP, APART = 7.0, 14.0
+
+
+def spaced_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations drawn letter by letter, gaps between them and no blanks, and read back as words."""
+    talks = inputs.table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").select("conv_id", "turn", F.expr(PLAIN).alias("words"))
+    chars = talks.select("conv_id", "turn", F.posexplode("words").alias("w", "word")).select("conv_id", "turn", "w", F.posexplode(F.split("word", "")).alias("i", "text")).where("text != ''")
+    order = Window.partitionBy("conv_id", "turn").orderBy("w", "i")
+    x = F.lit(STEP) * (F.row_number().over(order) - 1) + F.lit(APART - STEP) * F.col("w")
+    glyphs = chars.withColumns({"x0": x.cast("double"), "si": F.row_number().over(order)}).selectExpr(
+        "conv_id AS doc_id", "CAST(turn AS INT) AS page", "si", "text", "x0", "x0 + 5 AS x1", "92.5D AS top", "102.5D AS bottom", "10.0D AS size", "'Serif' AS fontname", "1000000.0D AS page_w", "800.0D AS page_h"
+    )
+    return stream.read_stream(glyphs).select(F.col("doc_id").alias("conv_id"), F.col("page").cast("long").alias("turn"), "text", "engine")
+
+
+SPACED = """
+    WITH w AS (SELECT conv_id, turn::BIGINT AS turn, regexp_extract_all(lower(coalesce(text, '')), '[a-zà-öø-ÿ]+') AS w FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    n AS (SELECT *, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS c FROM w WHERE len(w) > 0)
+    SELECT conv_id, turn, 'stream' AS engine, CASE WHEN c >= 6 AND n > 1 AND n < c AND (c - 2) // 4 < c - n THEN array_to_string(w, ' ')
+        ELSE array_to_string(list_filter(string_split(array_to_string(w, ''), ''), lambda x: x <> ''), ' ') END AS text FROM n"""
+
+QUERIES = {"spaced_letters": spaced_letters, "attempt_ladder": attempt_ladder, "layout_fallback": layout_fallback, "drawn_pages": drawn_pages}
+ORACLE_SQL = {"spaced_letters": SPACED, "attempt_ladder": ATTEMPTS, "layout_fallback": FALLBACK, "drawn_pages": DRAWN}
\ No newline at end of file

@@ -1,12 +1,13 @@
 """Stream layout: words, lines, paragraphs and reading order of drawn glyphs."""
 
 import math
+import random
 import time
 
 import pandas as pd
 import pytest
 
-from lectern.operators import stream
+from lectern.operators import pages, stream
 
 W, H = 600.0, 800.0
 
@@ -167,3 +168,86 @@ def test_pages_of_a_table(spark):
     got = stream.read_stream(spark.createDataFrame(pd.DataFrame(rows, columns=columns)).withColumnRenamed("page", "page").selectExpr("doc_id", "CAST(page AS INT) AS page", *columns[2:])).orderBy("doc_id", "line_no").collect()
     assert [(r.doc_id, r.block_no, r.line_no, r.text[:6]) for r in got] == [(d, b, n, f"{c} row{n % 2}") for d in (1, 2) for n, (b, c) in enumerate(((0, "A"), (0, "A"), (1, "B"), (1, "B")))]
     assert {r.engine for r in got} == {"stream"}
+
+
+def spelled(gaps, size=10.0, letters="abcdefghijklmnop", blank_after=()):
+    """Letters half a size wide with these gaps between them, in sizes; blanks drawn after some."""
+    x, out = 50.0, []
+    for i, t in enumerate(letters[: len(gaps) + 1]):
+        out.append(glyph(t, x, 300, size))
+        if i in blank_after:
+            out.append(glyph(" ", x + 0.5 * size, 300, size))
+        x += 0.5 * size + (gaps[i] if i < len(gaps) else 0) * size
+    return out
+
+
+@pytest.mark.parametrize(
+    ("gaps", "more", "want"),
+    [
+        ([0.2, 0.2, 0.6, 0.2, 0.2, 0.2], {}, "abc defg"),
+        ([0.2, 0.25, 0.6, 0.2, 0.29, 0.2], {}, "abc defg"),  # uneven, but within one and a half of the typical gap
+        ([0.2, 0.31, 0.6, 0.2, 0.2, 0.2], {}, "ab c defg"),
+        ([0.2] * 6, {}, "a b c d e f g"),  # no larger gap marks a word
+        ([0.2, 0.2, 0.6, 0.2], {}, "a b c d e"),  # a short chain
+        ([0.2, 0.2, 0.6, 0.2, 0.2, 0.2], {"blank_after": (3,)}, "a b c d e f g"),  # a blank breaks the chain
+        ([0.05, 0.05, 0.6, 0.05, 0.05, 0.05], {}, "abc defg"),
+    ],
+)
+def test_letter_spaced_words(gaps, more, want):
+    assert texts(read(spelled(gaps, **more))) == [want]
+
+
+def plain_order(blocks):
+    """The band rule by definitions alone: any() over all blocks, a hop at a time."""
+    tops = sorted(blocks, key=lambda b: (b["y0"], b["seq"]))
+    row, rows = [], []
+    for b in tops:
+        if row and b["y0"] - row[-1]["y0"] > max(0.5, 0.1 * row[-1]["line_h"]):
+            rows += sorted(row, key=lambda b: b["seq"])
+            row = []
+        row.append(b)
+    rows += sorted(row, key=lambda b: b["seq"])
+    n = len(rows)
+    before = [k > 0 and (any(rows[k]["y0"] <= q["y1"] + q["line_h"] for q in rows[:k]) or rows[k]["y0"] - rows[k - 1]["y0"] <= rows[k]["line_h"]) for k in range(n)]
+    after = [k + 1 < n and (rows[k + 1]["y0"] <= rows[k]["y1"] + rows[k]["line_h"] or any(q["y0"] - q["line_h"] <= rows[k]["y0"] for q in rows[k + 1 :])) for k in range(n)]
+    width = max((b["x1"] for b in rows), default=0) - min((b["x0"] for b in rows), default=0)
+
+    def banner(p, band):
+        if p["x1"] - p["x0"] < 0.3 * width or any(q["y0"] < p["y0"] - 1e-6 and (q["x1"] <= p["x0"] or q["x0"] >= p["x1"]) for q in band if q is not p):
+            return False
+        under = sorted((q for q in band if q is not p and q["y0"] >= p["y1"] - 1e-6 and 0 < min(p["x1"], q["x1"]) - max(p["x0"], q["x0"]) >= 0.5 * (q["x1"] - q["x0"])), key=lambda q: q["x0"])
+        return any(q["x0"] >= under[0]["x1"] for q in under)
+
+    out, k = [], 0
+    while k < n:
+        j = k
+        while j < n and (before[j] or after[j]):
+            j += 1
+        band = rows[k : max(j, k + 1)]
+        placed = []
+        for b in band:
+            at = len(placed)
+            while at > (k == 0 and j > k) and placed[at - 1]["x0"] > b["x1"] and not (placed[at - 1]["y1"] <= b["y0"] and banner(placed[at - 1], band)):
+                at -= 1
+            placed.insert(at, b)
+        out += placed
+        k += len(band)
+    return [b["seq"] for b in out]
+
+
+def test_band_rule_on_random_pages():
+    rng = random.Random(8)
+    for _ in range(400):
+        blocks = []
+        for seq in range(rng.randrange(0, 14)):
+            x, y, w = rng.choice([20, 150, 280, 410, rng.randrange(500)]), rng.choice([rng.randrange(700), rng.randrange(0, 700, 60)]), rng.choice([100, 110, 240, 400, 560])
+            blocks.append({"x0": float(x), "y0": y + rng.choice([0, 0, 0.3]), "x1": float(x + w), "y1": float(y + rng.choice([10, 24, 60, 200])), "line_h": rng.choice([8.0, 10.0, 20.0]), "seq": seq})
+        rng.shuffle(blocks)
+        assert [b["seq"] for b in pages.reading_order(blocks)] == plain_order(blocks)
+
+
+def test_hops_are_bounded():
+    blocks = [{"x0": 300.0, "x1": 400.0, "y0": 5.0 * i, "y1": 5.0 * i + 4, "line_h": 10.0, "seq": i} for i in range(20)]
+    left = {"x0": 0.0, "x1": 100.0, "y0": 101.0, "y1": 110.0, "line_h": 10.0, "seq": 20}
+    assert [b["seq"] for b in pages.reading_order([*blocks, left])].index(20) == 1  # the first block of the page stays first
+    assert [b["seq"] for b in pages.reading_order([*blocks, left], 4)].index(20) == 16
