@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed, text
-from lectern.operators import identifiers, lines, people, records, registry
+from lectern.operators import identifiers, language, lines, people, records, registry
 from lectern.session import staged
 from lectern.sources.adapters import Options
 
@@ -137,7 +137,7 @@ def documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
     field = text.cleaned(F.col("r.researchField"))
     refs = F.coalesce(records.funding(F.col("r.fundingReferences")), _none(_FUNDING))
     x = x.withColumn("found", identifiers.found(F.col("text"))).withColumns({
-        "title": text.spaced(F.coalesce(F.nullif(F.get(F.col("r.titles"), 0)["title"], F.lit("")), first)), "language": lines.language(F.col("text")), "model": _split_joined(_model_creators(F.col("v"))), "given_ids": _given_identifiers(F.col("v")),
+        "title": text.spaced(F.coalesce(F.nullif(F.get(F.col("r.titles"), 0)["title"], F.lit("")), first)), "language": language.language(F.col("text")), "model": _split_joined(_model_creators(F.col("v"))), "given_ids": _given_identifiers(F.col("v")),
         "subjects": records.subjects(F.filter(words, lambda s: s.isNotNull() & ~text.is_placeholder(s))),
         "descriptions": records.descriptions(F.transform(F.coalesce(F.try_variant_get("r.descriptions", "$", "array<variant>"), F.when(F.col("r.descriptions").isNotNull(), F.array("r.descriptions")), _none("array<variant>")), of)),
         "research_field": F.when(~F.lower(F.btrim(field)).isin(*fixed.NO_FIELD), field), "own": F.coalesce(F.col("r.content.sections"), _none("array<struct<sectionTitle:string,sectionContent:string>>")),

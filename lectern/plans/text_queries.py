@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed, text
-from lectern.operators import identifiers, licenses, lines, metrics, records
+from lectern.operators import identifiers, language, licenses, lines, metrics, records
 
 from . import inputs
 
@@ -291,11 +291,11 @@ def titles_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.documents(spark, sf_dir, "text").select("doc_id", lines.language_gate(F.col("text")).alias("gate"), lines.language(F.col("text")).alias("language"))
+    return inputs.documents(spark, sf_dir, "text").select("doc_id", language.gate(F.col("text")).alias("gate"), language.language(F.col("text")).alias("language"))
 
 
 def language_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.documents(spark, sf_dir, "text").select("doc_id", lines.language_gate(F.col("text")).alias("gate"))
+    return inputs.documents(spark, sf_dir, "text").select("doc_id", language.gate(F.col("text")).alias("gate"))
 
 
 GATES = r"SELECT doc_id, length(text) >= 200 OR length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) >= 50 AS gate FROM documents"

@@ -1,7 +1,9 @@
+import math
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import identifiers, licenses, lines, metrics, people, records
+from lectern.operators import identifiers, language, licenses, lines, metrics, people, records
 
 
 def one(spark, value, f):
@@ -178,6 +180,19 @@ SENTENCES = {
 
 def test_languages(spark):
     rows = [(k, (v + " ") * 5) for k, v in SENTENCES.items()] + [("short", "The water of the river"), ("ja", SENTENCES["ja"] * 5 + "University of Alder, Department of Rivers, email and address"), ("nothing", "xyz " * 90)]
-    got = spark.createDataFrame(rows, "want string, text string").withColumn("got", lines.language(F.col("text"))).collect()
+    got = spark.createDataFrame(rows, "want string, text string").withColumn("got", language.language(F.col("text"))).collect()
     assert {(r.want, r.got) for r in got if r.want not in ("short", "nothing") and r.want != r.got} == set()
     assert {r.got for r in got if r.want in ("short", "nothing")} == {None}
+
+
+def test_languages_of_documents(spark):
+    """Rows that took no part in fitting (a written sample) nor in any choice of settings."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").withColumn("got", language.language(F.col("text"))).where(language.gate(F.col("text")))
+    right, told, every = docs.select(F.sum((F.col("got") == F.col("lang")).cast("int")), F.count("got"), F.count(F.lit(1))).first()
+    assert right >= 0.97 * every and told >= 0.97 * every > 0
+
+
+def test_language_profiles_fall_back():
+    p = language.Profiles({"aa": "banana band", "bb": "zebra zoo"})
+    total = sum(math.exp(p.logs("an" + c)[0]) for c in {*"abcdefghijklmnopqrstuvwxyz "})
+    assert 0.5 < total <= 1.0 and p.logs("ana")[0] > p.logs("ana")[1] and language.best("") is None and language.best("12 34") is None
