@@ -56,6 +56,7 @@ PRIOR = 5.0
 LEAD = 0.10
 #: Scripts by ranges of code points, each with about the number of its letters; anything else is one more.
 SCRIPTS = [("latin", 0x41, 0x24F, 60), ("latin", 0x1E00, 0x1EFF, 60), ("greek", 0x370, 0x3FF, 40), ("cyrillic", 0x400, 0x52F, 40), ("hebrew", 0x590, 0x5FF, 30), ("arabic", 0x600, 0x77F, 45), ("devanagari", 0x900, 0x97F, 70), ("bengali", 0x980, 0x9FF, 60), ("thai", 0xE00, 0xE7F, 70), ("kana", 0x3040, 0x30FF, 150), ("han", 0x3400, 0x9FFF, 4000), ("hangul", 0xAC00, 0xD7AF, 2000)]
+SHARED = ("latin", "cyrillic")
 #: What parts words: anything but letters, and the vowel signs and accents of scripts that write them apart.
 _BREAK = re.compile(r"(?:[^\w\u0591-\u05C7\u064B-\u0652\u0900-\u09FF\u0E00-\u0E7F]|[\d_])+")
 #: Trigrams whose probabilities a worker remembers.
@@ -124,12 +125,16 @@ def profiles() -> Profiles:
 
 
 def best(text: str | None) -> str | None:
-    """The likeliest language of a text; null without letters, where its lead in probability over the next is under LEAD, and where letters drawn at random from the
-    text's scripts would be likelier."""
+    """The likeliest language of a text; null without letters, where its lead in probability over the next is under LEAD, and where, in a script of several languages, letters
+    drawn at random would be likelier."""
     if not text:
         return None
     s = profiles().scores(text)
-    if s.max() <= sum(-k * math.log(script(c)[1]) for c, k in Counter(letters(text)).items() if c != " "):
+    found = Counter()
+    for c, k in Counter(letters(text)).items():
+        if c != " ":
+            found[script(c)] += k
+    if not found or max(found, key=found.get)[0] in SHARED and s.max() <= -sum(k * math.log(n) for (_, n), k in found.items()):
         return None
     p = np.exp(s - s.max())
     p /= p.sum()
