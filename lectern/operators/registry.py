@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text
@@ -36,12 +38,60 @@ def organisations(affiliations: DataFrame, orgs: DataFrame, name: str = "name")
     return affiliations.join(best, F.col(name) == F.col("_raw"), "left").drop("_raw")
 
 
-def persons(creators: DataFrame, registry: DataFrame, key: str = "creator_id") -> DataFrame:
-    """creators (given, family, affiliations) with orcid: of the only person with these names (accents and case aside) at one of the affiliations.
+#: Weights of name tokens are whole numbers, so that sums and comparisons are exact; the least similarity in percent.
+WEIGHT, ALIKE = 1000, 95
+
+
+def name_tokens(key: Column) -> Column:
+    return F.regexp_extract_all(key, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _weighted(entries: DataFrame, weights: DataFrame, most: int, *keys: str) -> DataFrame:
+    """keys, tokens (structs of weight and token, the heaviest, which is the rarest, first), total; entries: keys, words. A token without a weight has the most."""
+    flat = entries.select(*keys, F.explode(F.array_distinct("words")).alias("token")).join(weights, "token", "left").withColumn("w", F.coalesce("w", F.lit(most)))
+    own = F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("less"), "token")))
+    return flat.groupBy(*keys).agg(F.transform(own, lambda x: F.struct((-x["less"]).alias("w"), x["token"].alias("token"))).alias("tokens"), F.sum("w").alias("total"))
+
+
+def matches(asked: DataFrame, orgs: DataFrame, name: str = "name", alike: int = ALIKE) -> DataFrame:
+    """name, org_id, org_name, score, phrase: of each distinct name the registry's best match, exact or not; names without one are not there.
+
+    A registry name that stands in the text word for word is a match (the longest of them); else the one of highest similarity, which is the weight
+    of shared tokens over that of all, if it is alike percent at least. Ties go to the smaller id. A token weighs 1000 * ln(1 + names / names with it).
+    A registry name is only filed under its rarest tokens: those without which less than that share of its weight could be met. So no popular token is joined
+    on, but for names that have no other."""
+    entries = _names(orgs).withColumn("words", name_tokens(F.col("name"))).where(F.size("words") > 0)
+    n = entries.count()
+    df = entries.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").count()
+    weigh = lambda count: F.floor(WEIGHT * F.log(1 + F.lit(float(n)) / count)).cast("long")
+    weights = df.select("token", weigh(F.col("count")).alias("w"))
+    most = int(WEIGHT * math.log(1 + n))
+    known = _weighted(entries, weights, most, "org_id", "display_name", "name").withColumnsRenamed({"tokens": "own", "total": "own_total", "name": "own_name"})
+    before = lambda i: F.aggregate(F.slice("own", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    filed = known.withColumn("token", F.explode(F.transform(F.filter("own", lambda x, i: before(i) * 100 <= (100 - alike) * F.col("own_total")), lambda x: x["token"])))
+    keys = asked.select(F.col(name).alias("_raw")).where("_raw is not null").distinct().withColumn("key", text.match_key("_raw")).withColumn("words", name_tokens(F.col("key")))
+    asking = _weighted(keys.select("key", "words").distinct(), weights, most, "key")
+    tried = asking.withColumn("token", F.explode(F.transform("tokens", lambda x: x["token"]))).join(_small(filed), "token").drop("token").dropDuplicates(["key", "org_id", "own_name"])
+    shared = F.aggregate(F.filter("own", lambda x: F.array_contains(F.transform("tokens", lambda y: y["token"]), x["token"])), F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    spelled = lambda c: F.concat(F.lit(" "), F.array_join(name_tokens(F.col(c)), " "), F.lit(" "))
+    scored = tried.withColumns({"shared": shared, "phrase": F.contains(spelled("key"), spelled("own_name"))}).withColumn("all", F.col("total") + F.col("own_total") - F.col("shared"))
+    good = scored.where("phrase or shared * 100 >= " + f"{alike} * all").withColumn("score", F.col("shared") / F.col("all"))
+    order = Window.partitionBy("key").orderBy(F.desc("phrase"), F.when(F.col("phrase"), F.length("own_name")).desc_nulls_last(), F.desc("score"), "org_id")
+    best = good.withColumn("_i", F.row_number().over(order)).where("_i = 1").select("key", "org_id", F.col("display_name").alias("org_name"), "score", "phrase")
+    return keys.select(F.col("_raw").alias(name), "key").join(best, "key").drop("key")
+
+
+def persons(creators: DataFrame, registry: DataFrame, key: str = "creator_id", orgs: DataFrame | None = None) -> DataFrame:
+    """creators (given, family, affiliations) with orcid: of the only person with these names (accents and case aside) at one of the affiliations, or, with orgs, at one
+    that an affiliation is taken for, exact or not.
 
     Given name, family name and at least one affiliation are needed; two persons give none."""
     asked = creators.where((F.coalesce("given", F.lit("")) != "") & (F.coalesce("family", F.lit("")) != "") & (F.size("affiliations") > 0))
-    asked = asked.select(key, text.match_key("given").alias("g"), text.match_key("family").alias("f"), F.explode(F.transform("affiliations", lambda a: F.lower(F.btrim(a)))).alias("org"))
+    asked = asked.select(key, text.match_key("given").alias("g"), text.match_key("family").alias("f"), F.explode("affiliations").alias("org"))
+    if orgs is not None:
+        chosen = matches(asked.select("org"), orgs, "org").select("org", "org_name")
+        asked = asked.join(chosen, "org", "left").select(key, "g", "f", F.explode(F.array_compact(F.array("org", "org_name"))).alias("org"))
+    asked = asked.withColumn("org", F.lower(F.btrim("org")))
     known = registry.select("orcid", text.match_key("given").alias("g"), text.match_key("family").alias("f"), F.explode(F.transform("orgs", lambda a: F.lower(F.btrim(a)))).alias("org"))
     hits = asked.join(known, ["g", "f", "org"]).select(key, "orcid").distinct()
     one = hits.groupBy(key).agg(F.count("*").alias("n"), F.min("orcid").alias("orcid")).where("n = 1").select(key, "orcid")
@@ -49,11 +99,16 @@ def persons(creators: DataFrame, registry: DataFrame, key: str = "creator_id") -
 
 
 def funders(references: DataFrame, orgs: DataFrame, name: str = "funderName") -> DataFrame:
-    """references with the identifier of a funder of that name: its FundRef DOI, else its registry address; others as they are."""
-    funding = orgs.where(F.array_contains("types", "funder"))
-    names = _names(funding).join(funding.select("org_id", "fundref"), "org_id")
-    best = names.groupBy("name").agg(F.min(F.struct("org_id", "display_name", "fundref")).alias("o"))
-    keyed = references.withColumn("_key", text.match_key(name)).join(_small(best).withColumnRenamed("name", "_key"), "_key", "left")
+    """references with the identifier of the funder of that name, or that the name is taken for: its FundRef DOI, else its registry address; others as they are.
+
+    A name that is taken for an organisation which is no funder gets nothing."""
+    funding = orgs.where(F.array_contains("types", "funder")).select("org_id", "display_name", "fundref")
+    open_ = references.where((F.coalesce("funderIdentifier", F.lit("")) == "") & F.col(name).isNotNull()).select(F.col(name).alias("_raw")).distinct()
+    names = _names(orgs).join(funding.select("org_id", "fundref"), "org_id")
+    equal = names.groupBy("name").agg(F.min(F.struct("org_id", "display_name", "fundref")).alias("o"))
+    same = open_.withColumn("name", text.match_key("_raw")).join(_small(equal), "name").select("_raw", "o")
+    rest = matches(open_.join(same, "_raw", "left_anti"), orgs, "_raw").select("_raw", "org_id").join(funding, "org_id").select("_raw", F.struct("org_id", "display_name", "fundref").alias("o"))
+    keyed = references.join(same.unionByName(rest), F.col(name) == F.col("_raw"), "left").drop("_raw")
     new = (F.coalesce("funderIdentifier", F.lit("")) == "") & F.col("o").isNotNull()
     doi = F.col("o.fundref").isNotNull()
     return keyed.withColumns({
@@ -61,9 +116,4 @@ def funders(references: DataFrame, orgs: DataFrame, name: str = "funderName") ->
         "funderIdentifierType": F.when(new, F.when(doi, "Crossref Funder ID").otherwise("ROR")).otherwise(F.col("funderIdentifierType")),
         "schemeUri": F.when(new, F.coalesce("schemeUri", F.when(doi, "https://doi.org/10.13039").otherwise("https://ror.org"))).otherwise(F.col("schemeUri")),
         "funderIdentifier": F.when(new, F.when(doi, F.concat(F.lit("https://doi.org/10.13039/"), "o.fundref")).otherwise(F.col("o.org_id"))).otherwise(F.col("funderIdentifier")),
-    }).drop("_key", "o")
-
-
-def without_lookup(affiliations: DataFrame, name: str = "name", identifier: str = "org_id") -> DataFrame:
-    """Rows that still need a lookup: a name and no identifier."""
-    return affiliations.where((F.btrim(F.coalesce(name, F.lit(""))) != "") & (F.coalesce(identifier, F.lit("")) == ""))
+    }).drop("o")

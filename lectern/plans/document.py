@@ -101,7 +101,7 @@ def _with_registries(x: DataFrame, options: Options) -> DataFrame:
         x = x.withColumn("orgs", F.lit(None).cast("map<string,struct<org_id:string,org_name:string>>"))
     if options.persons is not None:
         asked = x.select("doc_id", F.posexplode("creators").alias("i", "c")).select(F.struct("doc_id", "i").alias("creator_id"), "c.given", "c.family", "c.affiliations")
-        hits = registry.persons(asked, options.persons).where("orcid is not null").select("creator_id.doc_id", F.col("creator_id.i").alias("i"), "orcid")
+        hits = registry.persons(asked, options.persons, orgs=options.orgs).where("orcid is not null").select("creator_id.doc_id", F.col("creator_id.i").alias("i"), "orcid")
         x = x.join(hits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "orcid"))).alias("orcids")), "doc_id", "left")
     else:
         x = x.withColumn("orcids", F.lit(None).cast("map<int,string>"))

@@ -60,6 +60,38 @@ FUNDERS = """
         CASE WHEN hit AND k % 4 = 0 THEN 'https://doi.org/10.13039' WHEN hit THEN 'https://ror.org' END AS schemeUri FROM s"""
 
 
+#: The first words of a text stand for an organisation's name; every third is asked for in another order, every fifth with one word changed, others as the whole first line.
+FIRST = "slice(regexp_extract_all(lower(translate(coalesce(text, ''), chr(10), ' ')), '[a-z0-9]+', 0), 1, 30)"
+
+
+def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all documents against a registry of the names of those with even ids, by shared weight of tokens or as phrases."""
+    docs = inputs.documents(spark, sf_dir, f"{FIRST} AS w").where("size(w) > 0")
+    orgs = docs.where("doc_id % 2 = 0").select(F.concat(F.lit("o"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("org_id"), F.array_join(F.slice("w", 1, 6), " ").alias("display_name"), F.array().cast("array<string>").alias("names"))
+    changed = F.concat(F.array(F.lit("the")), F.slice("w", 1, 6))
+    asked = docs.select("doc_id", F.array_join(F.when(F.col("doc_id") % 3 == 0, F.reverse(F.slice("w", 1, 6))).when(F.col("doc_id") % 5 == 0, changed).otherwise(F.col("w")), " ").alias("name"))
+    return asked.join(registry.matches(asked, orgs), "name", "left").select("doc_id", "org_id", F.round("score", 6).alias("score"), "phrase")
+
+
+NAME_MATCHES = """
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(translate(coalesce(text, ''), chr(10), ' ')), '[a-z0-9]+')[1:30] AS w FROM documents),
+    o AS (SELECT 'o' || lpad(doc_id::VARCHAR, 9, '0') AS org_id, w[1:6] AS w, list_distinct(w[1:6]) AS t FROM d WHERE doc_id % 2 = 0 AND len(w) > 0),
+    f AS (SELECT token, floor(1000 * ln(1 + (SELECT count(*) FROM o)::DOUBLE / count(*)))::BIGINT AS x FROM (SELECT unnest(t) AS token FROM o) GROUP BY token),
+    ow AS (SELECT org_id, sum(x) AS total FROM (SELECT org_id, unnest(t) AS token FROM o) JOIN f USING (token) GROUP BY org_id),
+    q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_reverse(w[1:6]) WHEN doc_id % 5 = 0 THEN list_prepend('the', w[1:6]) ELSE w END AS w FROM d WHERE len(w) > 0),
+    qt AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(w) AS token FROM q)),
+    qw AS (SELECT doc_id, sum(coalesce(x, floor(1000 * ln(1 + (SELECT count(*) FROM o)::DOUBLE))::BIGINT)) AS total FROM qt LEFT JOIN f USING (token) GROUP BY doc_id),
+    p AS (SELECT qt.doc_id, s.org_id, sum(f.x) AS shared FROM qt JOIN (SELECT org_id, unnest(t) AS token FROM o) AS s USING (token) JOIN f USING (token) GROUP BY ALL),
+    r AS (
+        SELECT p.doc_id, p.org_id, shared, qw.total + ow.total - shared AS whole, contains(' ' || array_to_string(q.w, ' ') || ' ', ' ' || array_to_string(o.w, ' ') || ' ') AS phrase, length(array_to_string(o.w, ' ')) AS long
+        FROM p JOIN qw USING (doc_id) JOIN ow USING (org_id) JOIN q USING (doc_id) JOIN o USING (org_id)
+    ), b AS (
+        SELECT doc_id, org_id, round(shared / whole::DOUBLE, 6) AS score, phrase FROM r WHERE phrase OR shared * 100 >= 95 * whole
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY phrase DESC, CASE WHEN phrase THEN long END DESC NULLS LAST, shared / whole::DOUBLE DESC, org_id) = 1
+    )
+    SELECT q.doc_id, b.org_id, b.score, b.phrase FROM q LEFT JOIN b USING (doc_id)"""
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.documents(spark, sf_dir, f"{inputs.HEAD} AS text", "concat('Depth of the River ', CAST(doc_id AS STRING)) AS title")
     h = people.headers(docs)
@@ -301,7 +333,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Cells of two columns and two rows of each page, drawn row by row, some under a wide line that is drawn last: doc_id, drawn, x, y, text.
 CELLS = """
-    SELECT doc_id, 2 * r + c AS drawn, 20 + 300 * c + doc_id % 5 AS x, 100 + 80 * r + 25 * c + doc_id % 7 AS y, concat('c', CAST(c AS STRING), 'r', CAST(r AS STRING), ' n', CAST(doc_id % 1000 AS STRING)) AS text
+    SELECT doc_id, 2 * r + c AS drawn, 20 + 300 * c + doc_id % 5 AS x, 100 + 18 * r + 8 * c + doc_id % 7 AS y, concat('c', CAST(c AS STRING), 'r', CAST(r AS STRING), ' n', CAST(doc_id % 1000 AS STRING)) AS text
     FROM documents CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1) AS a CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1) AS b
     UNION ALL SELECT doc_id, 4, 20, 50, 'one line of words that stands over both of the columns of its page, from left to right' FROM documents WHERE doc_id % 3 = 0"""
 
@@ -503,6 +535,7 @@ def figure_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "name_matches": name_matches,
     "numbered_affiliations": numbered_affiliations, "copied_strings": copied_strings, "figure_words": figure_words,
     "organisations": organisations, "persons": persons, "funders": funders, "headers": headers, "creators_grounded": creators_grounded, "joined_creators": joined_creators, "marker_runs": marker_runs, "json_repairs": json_repairs, "captions_normalised": captions_normalised,
     "affiliations_coerced": affiliations_coerced, "funding_normalised": funding_normalised, "subjects_normalised": subjects_normalised, "sections_kept": sections_kept, "validations": validations, "file_kinds": file_kinds, "text_sources": text_sources, "mode_sizes": mode_sizes,
@@ -511,6 +544,7 @@ QUERIES = {
     "record_json": record_json, "records_whole": records_whole, "stream_pages": stream_pages, "schema_errors": schema_errors, "better_attempts": better_attempts,
 }
 ORACLE_SQL = {
+    "name_matches": NAME_MATCHES,
     "numbered_affiliations": NUMBERED, "copied_strings": COPIED,
     "organisations": ORGANISATIONS, "persons": PERSONS, "funders": FUNDERS, "headers": HEADERS, "joined_creators": JOINED, "json_repairs": REPAIRS, "captions_normalised": CAPTION_ROWS, "affiliations_coerced": AFFILIATIONS, "funding_normalised": FUNDING,
     "subjects_normalised": SUBJECTS, "sections_kept": KEPT, "validations": VALIDATIONS, "file_kinds": KINDS, "text_sources": SOURCES, "mode_sizes": MODES, "glyph_stats": STATS, "page_gaps": GAPS, "weighted_medians": MEDIANS, "body_sizes": BODY, "baselines": BASELINES,
