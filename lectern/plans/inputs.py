@@ -14,12 +14,6 @@ CITED = (
     " CASE WHEN doc_id % 3 = 0 THEN 'https://orcid.org/0000-0002-1825-0097' WHEN doc_id % 3 = 1 THEN '0000-0002-1825-009X 0000-0001-5109-3700' ELSE 'nobody' END,"
     " ' at https://ror.org/03yrm5c', lpad(CAST(doc_id % 90 + 10 AS STRING), 2, '0'), ' https://isni.org/isni/000000012146438X https://grid.ac/grid.', CAST(doc_id % 500 AS STRING), '.a', CASE WHEN doc_id % 2 = 0 THEN ' funded by 10.13039/100000001' ELSE '' END)"
 )
-#: Short strings that predicates decide on.
-SHORT = (
-    "CASE doc_id % 16 WHEN 0 THEN 'Institution Name' WHEN 1 THEN 'keyword 3' WHEN 2 THEN 'Poster Title...' WHEN 3 THEN 'Methods' WHEN 4 THEN 'Introduction / Results:' WHEN 5 THEN 'Author Names and Affiliations:'"
-    " WHEN 6 THEN 'Materials and Methods' WHEN 7 THEN 'We measured the depth of the river twice a day.' WHEN 8 THEN 'A. Lee, B. Chan, C. Diaz & D. Roe' WHEN 9 THEN 'Open Access' WHEN 10 THEN 'supported by grant agreement 12'"
-    " WHEN 11 THEN 'Figure 2. Depth of the river' WHEN 12 THEN 'TABLE IV | Boats by town' WHEN 13 THEN 'see www.example.org for the full text of it' WHEN 14 THEN '' ELSE substr(text, 1, 50) END"
-)
 #: Rights statements: exact, inexact, by address, known, junk and unknown ones.
 RIGHTS = (
     "CASE doc_id % 12 WHEN 0 THEN 'CC-BY 4.0' WHEN 1 THEN 'Apache License, Version 2.0' WHEN 2 THEN 'MIT License' WHEN 3 THEN 'CC BY-NC 4.0' WHEN 4 THEN 'GNU General Public License, version 3' WHEN 5 THEN 'Creative Commons Atribution 4.0 International'"

@@ -245,6 +245,9 @@ SOURCES = """
     WITH s AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 AND length(text) BETWEEN 200 AND 30000 THEN 'layout' WHEN doc_id % 2 = 0 AND length(text) + 6 >= 200 THEN 'plain' WHEN doc_id % 2 = 1 AND doc_id % 3 = 0 AND length(text) > 500 THEN 'cached' ELSE 'ocr' END AS text_source FROM documents)
     SELECT doc_id, text_source, (CASE text_source WHEN 'layout' THEN length(text) WHEN 'plain' THEN length(text) + 6 WHEN 'cached' THEN length(text) ELSE 4 END)::BIGINT AS n_chars FROM s"""
 
+#: Pages of twenty documents each: they grow in number with the table.
+PAGE_OF = "CAST(floor(doc_id / 20) AS BIGINT)"
+
 # --- layout ---------------------------------------------------------------------------------------------------------------------------
 
 GLYPHS = "SELECT l_orderkey AS doc_id, 1 AS page, l_linenumber AS si, l_quantity * 10 AS x0, l_quantity * 10 + 6 AS x1, (l_partkey % 4) * 20.0::DOUBLE AS top, (l_partkey % 4) * 20.0::DOUBLE + 10 AS bottom, CASE WHEN l_suppkey % 3 = 0 THEN 12.0::DOUBLE ELSE 10.0::DOUBLE END AS size, CASE WHEN l_linenumber % 5 = 0 THEN ' ' ELSE 'x' END AS text FROM lineitem"
@@ -285,12 +288,12 @@ MEDIANS = """
 
 
 def body_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = inputs.documents(spark, sf_dir, "doc_id % 50 AS page", "text", "CAST(8 + doc_id % 5 AS DOUBLE) AS fontsize", "doc_id % 9 = 0 AS fig")
+    blocks = inputs.documents(spark, sf_dir, f"{PAGE_OF} AS page", "text", "CAST(8 + doc_id % 5 AS DOUBLE) AS fontsize", "doc_id % 9 = 0 AS fig")
     return layout.body_size(blocks, ("page",))
 
 
-BODY = """
-    WITH s AS (SELECT doc_id % 50 AS page, 8 + doc_id % 5 AS s, sum(length(trim(text))) AS w FROM documents WHERE length(trim(text)) >= 60 AND doc_id % 9 <> 0 GROUP BY 1, 2), u AS (SELECT *, sum(w) OVER (PARTITION BY page ORDER BY s ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY page) AS total FROM s)
+BODY = f"""
+    WITH s AS (SELECT {PAGE_OF} AS page, 8 + doc_id % 5 AS s, sum(length(trim(text))) AS w FROM documents WHERE length(trim(text)) >= 60 AND doc_id % 9 <> 0 GROUP BY 1, 2), u AS (SELECT *, sum(w) OVER (PARTITION BY page ORDER BY s ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY page) AS total FROM s)
     SELECT page, min(s)::DOUBLE AS body_size FROM u WHERE upto >= total / 2 GROUP BY page"""
 
 
@@ -319,11 +322,11 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = inputs.glyphs(spark, sf_dir).withColumns({"si": (F.col("doc_id") * 8 + F.col("si")).cast("int"), "doc_id": F.col("doc_id") % 300})
+    dense = inputs.glyphs(spark, sf_dir).withColumns({"si": (F.col("doc_id") * 8 + F.col("si")).cast("int"), "doc_id": F.expr("CAST(floor(doc_id / 50) AS BIGINT)")})
     return pages.read_pages(dense).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "region", "text", "x0", "top")
 
 
-BLOCKS = ("doc_id % 100 AS doc_id", "1 AS page", "CAST(doc_id AS INT) AS seq", "CAST(doc_id AS INT) AS block_no", "substr(text, 1, 200) AS text", "CAST((doc_id * 37) % 400 AS DOUBLE) AS hpos", "CAST((doc_id * 53) % 700 AS DOUBLE) AS vpos", "CAST(80 + doc_id % 120 AS DOUBLE) AS width", "CAST(20 + doc_id % 60 AS DOUBLE) AS height", "CAST(8 + doc_id % 12 AS DOUBLE) AS fontsize", "doc_id % 5 = 0 AS bold")
+BLOCKS = (f"{PAGE_OF} AS doc_id", "1 AS page", "CAST(doc_id AS INT) AS seq", "CAST(doc_id AS INT) AS block_no", "substr(text, 1, 200) AS text", "CAST((doc_id * 37) % 400 AS DOUBLE) AS hpos", "CAST((doc_id * 53) % 700 AS DOUBLE) AS vpos", "CAST(80 + doc_id % 120 AS DOUBLE) AS width", "CAST(20 + doc_id % 60 AS DOUBLE) AS height", "CAST(8 + doc_id % 12 AS DOUBLE) AS fontsize", "doc_id % 5 = 0 AS bold")
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,10 +384,10 @@ def reading_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Of each document a label, the text that it may name (at various distances, heights and sizes), and for some a block below the label.
-SIDE = """
-    SELECT doc_id % 50 AS doc_id, 1 AS page, 3 * doc_id AS seq, 10.0D AS x0, floor(doc_id / 50) * 100.0D + doc_id % 4 AS y0, 40.0D AS x1, floor(doc_id / 50) * 100.0D + doc_id % 4 + 10 AS y1, 10.0D + doc_id % 3 AS size, doc_id % 2 = 0 AS bold, 10.0D AS line_h FROM documents
-    UNION ALL SELECT doc_id % 50, 1, 3 * doc_id + 1, 40.0D + (doc_id % 11) * 8, floor(doc_id / 50) * 100.0D, 60.0D + (doc_id % 11) * 8 + (doc_id % 7) * 20, floor(doc_id / 50) * 100.0D + 10 + (doc_id % 5) * 10, 10.0D, false, 10.0D FROM documents
-    UNION ALL SELECT doc_id % 50, 1, 3 * doc_id + 2, 12.0D, floor(doc_id / 50) * 100.0D + 25, 38.0D, floor(doc_id / 50) * 100.0D + 35, 10.0D, false, 10.0D FROM documents WHERE doc_id % 6 = 0"""
+SIDE = f"""
+    SELECT {PAGE_OF} AS doc_id, 1 AS page, 3 * doc_id AS seq, 10.0D AS x0, (doc_id % 20) * 100.0D + doc_id % 4 AS y0, 40.0D AS x1, (doc_id % 20) * 100.0D + doc_id % 4 + 10 AS y1, 10.0D + doc_id % 3 AS size, doc_id % 2 = 0 AS bold, 10.0D AS line_h FROM documents
+    UNION ALL SELECT {PAGE_OF}, 1, 3 * doc_id + 1, 40.0D + (doc_id % 11) * 8, (doc_id % 20) * 100.0D, 60.0D + (doc_id % 11) * 8 + (doc_id % 7) * 20, (doc_id % 20) * 100.0D + 10 + (doc_id % 5) * 10, 10.0D, false, 10.0D FROM documents
+    UNION ALL SELECT {PAGE_OF}, 1, 3 * doc_id + 2, 12.0D, (doc_id % 20) * 100.0D + 25, 38.0D, (doc_id % 20) * 100.0D + 35, 10.0D, false, 10.0D FROM documents WHERE doc_id % 6 = 0"""
 
 
 def side_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +411,7 @@ SIDE_LABELS = f"""
 
 def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks of shapes, panels taken out, captions beside what is left."""
-    shapes = inputs.table(spark, sf_dir, "part").selectExpr("p_partkey % 100 AS doc_id", "1 AS page", "CASE WHEN p_size % 10 = 0 THEN 'image' ELSE 'rect' END AS kind", "CAST((p_partkey * 29) % 450 AS DOUBLE) AS x0", "CAST((p_partkey * 41) % 700 AS DOUBLE) AS top", "CAST((p_partkey * 29) % 450 + 10 + p_size * 2 AS DOUBLE) AS x1", "CAST((p_partkey * 41) % 700 + 10 + p_size AS DOUBLE) AS bottom")
+    shapes = inputs.table(spark, sf_dir, "part").selectExpr("CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id", "1 AS page", "CASE WHEN p_size % 10 = 0 THEN 'image' ELSE 'rect' END AS kind", "CAST((p_partkey * 29) % 450 AS DOUBLE) AS x0", "CAST((p_partkey * 41) % 700 AS DOUBLE) AS top", "CAST((p_partkey * 29) % 450 + 10 + p_size * 2 AS DOUBLE) AS x1", "CAST((p_partkey * 41) % 700 + 10 + p_size AS DOUBLE) AS bottom")
     blocks = _blocks(spark, sf_dir).withColumn("text", F.when(F.col("seq") % 7 == 0, F.concat(F.lit("Figure "), F.col("seq").cast("string"), F.lit(". "), "text")).otherwise(F.col("text")))
     regions = pages.mask_rows(shapes)
     regions = regions.join(layout.panels(regions, blocks, 10.0).select("doc_id", "page", "region_id"), ["doc_id", "page", "region_id"], "left_anti")
@@ -416,36 +419,26 @@ def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("cap_no").cast("long").alias("cap_no"), "kind", "label", "source", F.size("blocks").cast("long").alias("n_blocks"))
 
 
-def _region_words(spark: SparkSession, sf_dir: str, of_word: str, of_region: str, parts: str) -> DataFrame:
-    words = inputs.table(spark, sf_dir, "lineitem").selectExpr(f"{of_word} AS doc_id", "1 AS page", "l_partkey AS word", "l_linenumber AS n", "l_quantity * 10 AS x0", "(l_partkey * 17) % 700 + 0.5D AS y", "l_quantity * 10 + 20 AS x1", "(l_partkey * 17) % 700 - 4.5D AS top", "(l_partkey * 17) % 700 + 5.5D AS bottom", "10.0D AS size")
-    regions = inputs.table(spark, sf_dir, "part").where(parts).selectExpr(f"{of_region} AS doc_id", "1 AS page", "CAST(p_partkey AS INT) AS region_id", "CAST(p_size * 4 AS DOUBLE) AS x0", "CAST(p_size * 4 + 200 AS DOUBLE) AS x1", "CAST((p_partkey * 7) % 500 AS DOUBLE) AS top", "CAST((p_partkey * 7) % 500 + 160 AS DOUBLE) AS bottom")
+def region_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words inside the regions of all parts, by an equi-join on grid rows, and which regions look like tables; pages grow in number with the tables and hold three regions each."""
+    words = inputs.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 2 div 45 AS doc_id", "1 AS page", "l_partkey AS word", "l_linenumber AS n", "l_quantity * 10 AS x0", "(l_partkey * 17) % 700 + 0.5D AS y", "l_quantity * 10 + 20 AS x1", "(l_partkey * 17) % 700 - 4.5D AS top", "(l_partkey * 17) % 700 + 5.5D AS bottom", "10.0D AS size")
+    regions = inputs.table(spark, sf_dir, "part").selectExpr("p_partkey div 3 AS doc_id", "1 AS page", "CAST(p_partkey AS INT) AS region_id", "CAST(p_size * 4 AS DOUBLE) AS x0", "CAST(p_size * 4 + 200 AS DOUBLE) AS x1", "CAST((p_partkey * 7) % 500 AS DOUBLE) AS top", "CAST((p_partkey * 7) % 500 + 160 AS DOUBLE) AS bottom")
     held = layout.inside(words.distinct(), regions, "x0", "y").where("region_id is not null")
     return layout.table_like(held).join(held.groupBy("doc_id", "page", "region_id").agg(F.count("*").alias("n_words")), ["doc_id", "page", "region_id"]).select("doc_id", F.col("region_id").cast("long").alias("region_id"), "n_words", "table_like")
 
 
-def region_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words inside the regions of the first 600 parts, by an equi-join on grid rows, and which regions look like tables."""
-    return _region_words(spark, sf_dir, "l_orderkey % 200", "p_partkey % 200", "p_partkey <= 600")
-
-
-def region_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """region_words() over all parts; pages grow in number with the tables and hold three regions each."""
-    return _region_words(spark, sf_dir, "l_orderkey * 2 div 45", "p_partkey div 3", "true")
-
-
 INSIDE = """
-    WITH w AS (SELECT DISTINCT l_orderkey % 200 AS doc_id, l_partkey AS word, l_linenumber AS n, l_quantity * 10 AS x0, ((l_partkey * 17) % 700)::DOUBLE + 0.5 AS y FROM lineitem),
-    r AS (SELECT p_partkey % 200 AS doc_id, p_partkey AS region_id, p_size * 4 AS a, p_size * 4 + 200 AS b, (p_partkey * 7) % 500 AS t, (p_partkey * 7) % 500 + 160 AS u FROM part WHERE p_partkey <= 600),
+    WITH w AS (SELECT DISTINCT l_orderkey * 2 // 45 AS doc_id, l_partkey AS word, l_linenumber AS n, l_quantity * 10 AS x0, ((l_partkey * 17) % 700)::DOUBLE + 0.5 AS y FROM lineitem),
+    r AS (SELECT p_partkey // 3 AS doc_id, p_partkey AS region_id, p_size * 4 AS a, p_size * 4 + 200 AS b, (p_partkey * 7) % 500 AS t, (p_partkey * 7) % 500 + 160 AS u FROM part),
     h AS (SELECT w.doc_id, w.word, w.n, w.x0, w.y, min(region_id) AS region_id FROM w JOIN r ON w.doc_id = r.doc_id AND x0 BETWEEN a AND b AND y BETWEEN t AND u GROUP BY ALL),
     g AS (SELECT doc_id, region_id, round_even(0, 0) AS z, floor(y / 8.0 + 0.5) AS row, floor(x0 / 15.0 + 0.5) AS col FROM h),
     rw AS (SELECT doc_id, region_id, row, count(*) AS n FROM g GROUP BY ALL), f AS (SELECT doc_id, region_id, sum(n) AS words, count(*) AS rows_, sum((n >= 2)::INT) AS multi FROM rw GROUP BY ALL),
     s AS (SELECT doc_id, region_id, count(*) AS repeated FROM (SELECT g.doc_id, g.region_id, g.col, count(DISTINCT g.row) AS k, any_value(f.multi) AS multi FROM g JOIN rw ON g.doc_id = rw.doc_id AND g.region_id = rw.region_id AND g.row = rw.row AND rw.n >= 2 JOIN f ON f.doc_id = g.doc_id AND f.region_id = g.region_id GROUP BY 1, 2, 3) WHERE k >= 0.6 * multi GROUP BY 1, 2)
     SELECT f.doc_id, f.region_id, words::BIGINT AS n_words, words >= 6 AND rows_ >= 3 AND multi >= 0.6 * rows_ AND coalesce(repeated, 0) >= 2 AS table_like FROM f LEFT JOIN s ON f.doc_id = s.doc_id AND f.region_id = s.region_id"""
-INSIDE_WHOLE = INSIDE.replace("l_orderkey % 200", "l_orderkey * 2 // 45").replace("p_partkey % 200", "p_partkey // 3").replace(" WHERE p_partkey <= 600", "")
 
 
 def interleaved_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = inputs.table(spark, sf_dir, "documents").selectExpr("doc_id % 20 AS doc_id", "1 AS page", "CAST(doc_id AS INT) AS line_no", "CAST(doc_id div 20 % 2 * 300 AS DOUBLE) AS x0", "CAST(doc_id div 20 % 2 * 300 + 200 AS DOUBLE) AS x1", "CAST(doc_id div 40 * 12 AS DOUBLE) AS bottom", "10.0D AS size")
+    lines = inputs.table(spark, sf_dir, "documents").selectExpr(f"{PAGE_OF} AS doc_id", "1 AS page", "CAST(doc_id AS INT) AS line_no", "CAST(doc_id % 2 * 300 AS DOUBLE) AS x0", "CAST(doc_id % 2 * 300 + 200 AS DOUBLE) AS x1", "CAST(doc_id % 20 div 2 * 12 AS DOUBLE) AS bottom", "10.0D AS size")
     return pages.lane_rows(lines).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("lane").cast("long").alias("lane"))
 
 
@@ -540,7 +533,7 @@ QUERIES = {
     "organisations": organisations, "persons": persons, "funders": funders, "headers": headers, "creators_grounded": creators_grounded, "joined_creators": joined_creators, "marker_runs": marker_runs, "json_repairs": json_repairs, "captions_normalised": captions_normalised,
     "affiliations_coerced": affiliations_coerced, "funding_normalised": funding_normalised, "subjects_normalised": subjects_normalised, "sections_kept": sections_kept, "validations": validations, "file_kinds": file_kinds, "text_sources": text_sources, "mode_sizes": mode_sizes,
     "glyph_stats": glyph_stats, "page_gaps": page_gaps, "weighted_medians": weighted_medians, "body_sizes": body_sizes, "baselines": baselines, "page_words": page_words, "page_blocks": page_blocks, "page_reading": page_reading, "partitions": partitions, "column_cuts": column_cuts,
-    "reading_bands": reading_bands, "side_labels": side_labels, "figure_captions": figure_captions, "region_words": region_words, "region_words_whole": region_words_whole, "interleaved_lanes": interleaved_lanes, "title_candidates": title_candidates, "phantom_blanks": phantom_blanks, "metadata_records": metadata_records,
+    "reading_bands": reading_bands, "side_labels": side_labels, "figure_captions": figure_captions, "region_words": region_words, "interleaved_lanes": interleaved_lanes, "title_candidates": title_candidates, "phantom_blanks": phantom_blanks, "metadata_records": metadata_records,
     "record_json": record_json, "records_whole": records_whole, "stream_pages": stream_pages, "schema_errors": schema_errors, "better_attempts": better_attempts,
 }
 ORACLE_SQL = {
@@ -548,5 +541,5 @@ ORACLE_SQL = {
     "numbered_affiliations": NUMBERED, "copied_strings": COPIED,
     "organisations": ORGANISATIONS, "persons": PERSONS, "funders": FUNDERS, "headers": HEADERS, "joined_creators": JOINED, "json_repairs": REPAIRS, "captions_normalised": CAPTION_ROWS, "affiliations_coerced": AFFILIATIONS, "funding_normalised": FUNDING,
     "subjects_normalised": SUBJECTS, "sections_kept": KEPT, "validations": VALIDATIONS, "file_kinds": KINDS, "text_sources": SOURCES, "mode_sizes": MODES, "glyph_stats": STATS, "page_gaps": GAPS, "weighted_medians": MEDIANS, "body_sizes": BODY, "baselines": BASELINES,
-    "column_cuts": COLUMNS, "side_labels": SIDE_LABELS, "creators_grounded": GROUNDED, "marker_runs": MARKS, "partitions": PARTITIONS, "region_words": INSIDE, "region_words_whole": INSIDE_WHOLE, "phantom_blanks": PHANTOMS, "record_json": JSON, "records_whole": RECORDS, "stream_pages": STREAMED, "schema_errors": SCHEMA_ERRORS, "better_attempts": ATTEMPTS,
+    "column_cuts": COLUMNS, "side_labels": SIDE_LABELS, "creators_grounded": GROUNDED, "marker_runs": MARKS, "partitions": PARTITIONS, "region_words": INSIDE, "phantom_blanks": PHANTOMS, "record_json": JSON, "records_whole": RECORDS, "stream_pages": STREAMED, "schema_errors": SCHEMA_ERRORS, "better_attempts": ATTEMPTS,
 }

@@ -108,25 +108,32 @@ def uncaptured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "uncaptured")
 
 
-def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every predicate over short strings."""
-    return _predicates(inputs.documents(spark, sf_dir, f"{inputs.SHORT} AS s"), "doc_id")
+def _line_rows(spark: SparkSession, sf_dir: str, s: str) -> DataFrame:
+    """line_id and s, an expression of pos and line, of every line of every text."""
+    rows = lines.lines_of(inputs.documents(spark, sf_dir, "text"))
+    return rows.select(F.concat_ws(":", "doc_id", "pos").alias("line_id"), F.expr(s).alias("s"))
+
 
+def _sql_rows(s: str) -> str:
+    return f"SELECT concat(doc_id, ':', pos) AS line_id, {s} AS s FROM ({LINES % 'text'})"
 
-def _predicates(rows: DataFrame, key: str) -> DataFrame:
+
+def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every predicate over every line of every text; every seventh line in capitals, every eighth without its last mark, every ninth as a label."""
     s = F.col("s")
-    return rows.select(key, text.is_placeholder(s).alias("placeholder"), text.is_section_label(s).alias("section_label"), text.is_section_keyword(s).alias("keyword"), text.is_bare_label(s).alias("bare_label"), text.looks_like_header(s).alias("header"), text.looks_like_sentence(s).alias("sentence"), text.is_author_line(s).alias("author_line"), text.is_rights_junk(s).alias("junk"), text.ran_into_body(s).alias("body"))
+    return _line_rows(spark, sf_dir, SHAPED).select("line_id", text.is_placeholder(s).alias("placeholder"), text.is_section_label(s).alias("section_label"), text.is_section_keyword(s).alias("keyword"), text.is_bare_label(s).alias("bare_label"), text.looks_like_header(s).alias("header"), text.looks_like_sentence(s).alias("sentence"), text.is_author_line(s).alias("author_line"), text.is_rights_junk(s).alias("junk"), text.ran_into_body(s).alias("body"))
 
 
+SHAPED = "CASE WHEN pos % 7 = 6 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN pos % 8 = 7 THEN rtrim('.', line) WHEN pos % 9 = 8 THEN concat('Methods ', pos % 3, ':') ELSE line END"
 PREDICATES = rf"""
-    WITH d AS (SELECT doc_id, {inputs.SHORT} AS s FROM documents), w AS (
-        SELECT doc_id, s, list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '') AS w, regexp_extract_all(s, '\p{{L}}{{2,}}') AS a,
+    WITH d AS ({_sql_rows(SHAPED.replace("rtrim('.', line)", "rtrim(line, '.')"))}), w AS (
+        SELECT line_id, s, list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '') AS w, regexp_extract_all(s, '\p{{L}}{{2,}}') AS a,
             lower(trim(regexp_replace(s, '[#*•:/\\\-–—]', ' ', 'g'))) AS t, length(s) - length(replace(s, ',', '')) AS c FROM d
     ), x AS (
         SELECT *, len(w)::DOUBLE AS n, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS tw,
             len(list_filter(w, lambda x: regexp_matches(x, '\d|^[*†‡§¶,]+$'))) AS dg, len(list_filter(w, lambda x: x IN (',', '&', 'and', ';'))) AS sp, len(list_filter(w, lambda x: regexp_matches(x, '^(?:[A-Z]\.)+,?$'))) AS ini FROM w
     )
-    SELECT doc_id,
+    SELECT line_id,
         trim(regexp_replace(lower(trim(s)), '[.…]+$', '')) IN {_list(fixed.PLACEHOLDERS)} OR regexp_matches(trim(regexp_replace(lower(trim(s)), '[.…]+$', '')), '^keyword\s*\d*$') AS placeholder,
         length(t) <= 45 AND len(tw) > 0 AND len(list_filter(tw, lambda x: x NOT IN {_list(fixed.SECTION_LABELS)})) = 0 AS section_label,
         lower(trim(regexp_replace(trim(s), '[:.\s]+$', ''))) IN {_list(fixed.SECTION_KEYWORDS)} AS keyword,
@@ -140,38 +147,20 @@ PREDICATES = rf"""
     FROM x"""
 
 
-def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.lines_of(inputs.documents(spark, sf_dir, "text"))
-    return rows.select(F.concat_ws(":", "doc_id", "pos").alias("line_id"), F.col("line").alias("s"))
-
-
-def _of_lines(sql: str) -> str:
-    """SQL over the short strings, over all lines instead."""
-    of_line = sql.replace("SELECT doc_id, ", "SELECT line_id, ").replace("SELECT doc_id,\n", "SELECT line_id,\n")
-    return of_line.replace(f"SELECT line_id, {inputs.SHORT} AS s FROM documents", f"SELECT concat(doc_id, ':', pos) AS line_id, line AS s FROM ({LINES % 'text'})")
-
-
-def predicates_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every predicate over every line of every text."""
-    return _predicates(_line_rows(spark, sf_dir), "line_id")
-
-
-def caption_labels_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _caption_labels(_line_rows(spark, sf_dir), "line_id")
-
-
-def _caption_labels(rows: DataFrame, key: str) -> DataFrame:
-    lab = text.caption_label("s")
-    return rows.where(lab.isNotNull()).select(key, lab["kind"].alias("kind"), lab["num"].alias("num"), lab["has_sep"].alias("has_sep"), text.without_label("s").alias("rest"))
+#: Lines with labels of captions before them, and lines as they are.
+LABELLED = "CASE pos % 5 WHEN 0 THEN concat('Figure ', pos, '. ', line) WHEN 1 THEN concat('TABLE IV | ', line) WHEN 2 THEN concat('Fig S', pos, 'a ', line) WHEN 3 THEN concat('the figure ', line) ELSE line END"
 
 
 def caption_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _caption_labels(inputs.documents(spark, sf_dir, f"{inputs.SHORT} AS s"), "doc_id")
+    """Labels of captions at the beginning of every line of every text."""
+    lab = text.caption_label("s")
+    rows = _line_rows(spark, sf_dir, LABELLED).where(lab.isNotNull())
+    return rows.select("line_id", lab["kind"].alias("kind"), lab["num"].alias("num"), lab["has_sep"].alias("has_sep"), text.without_label("s").alias("rest"))
 
 
 CAPTIONS = rf"""
-    WITH d AS (SELECT doc_id, {inputs.SHORT} AS s FROM documents), m AS (SELECT doc_id, s, regexp_extract(s, '{text.LABEL}', ['w', 'num', 'sep', 'sep2']) AS m, regexp_extract(s, '{text.LABEL}', 0) AS whole FROM d)
-    SELECT doc_id, CASE WHEN lower(m.w) LIKE 'tab%' THEN 'table' ELSE 'figure' END AS kind, nullif(m.num, '') AS num, m.sep <> '' OR m.sep2 <> '' AS has_sep, trim(CASE WHEN m.sep <> '' OR m.sep2 <> '' THEN substr(s, length(whole) + 1) ELSE s END) AS rest FROM m WHERE m.w <> ''"""
+    WITH d AS ({_sql_rows(LABELLED)}), m AS (SELECT line_id, s, regexp_extract(s, '{text.LABEL}', ['w', 'num', 'sep', 'sep2']) AS m, regexp_extract(s, '{text.LABEL}', 0) AS whole FROM d)
+    SELECT line_id, CASE WHEN lower(m.w) LIKE 'tab%' THEN 'table' ELSE 'figure' END AS kind, nullif(m.num, '') AS num, m.sep <> '' OR m.sep2 <> '' AS has_sep, trim(CASE WHEN m.sep <> '' OR m.sep2 <> '' THEN substr(s, length(whole) + 1) ELSE s END) AS rest FROM m WHERE m.w <> ''"""
 
 
 def merged_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,20 +315,13 @@ def unicode_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[F.md5(f("t").cast("binary")).alias(n) for n, f in (("normalized", text.normalized), ("cleaned", text.cleaned), ("for_model", text.for_model), ("marked", text.right_to_left_marked), ("valid", text.valid_utf8))])
 
 
-def _plain_forms(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", text.alphanumeric("t").alias("alphanumeric"), text.without_markdown("t").alias("plain"), text.without_country("t").alias("place"), text.alnum_key("t").alias("key"))
-
-
 def plain_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain_forms(inputs.documents(spark, sf_dir, "concat('# **', substr(text, 1, 20), '** __x__, Spain') AS t"))
-
-
-def plain_forms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain_forms(inputs.documents(spark, sf_dir, "concat('# **', text, '** __x__, Spain') AS t"))
+    docs = inputs.documents(spark, sf_dir, "concat('# **', text, '** __x__, Spain') AS t")
+    return docs.select("doc_id", text.alphanumeric("t").alias("alphanumeric"), text.without_markdown("t").alias("plain"), text.without_country("t").alias("place"), text.alnum_key("t").alias("key"))
 
 
 FORMS = r"""
-    WITH d AS (SELECT doc_id, concat('# **', substr(text, 1, 20), '** __x__, Spain') AS t FROM documents)
+    WITH d AS (SELECT doc_id, concat('# **', text, '** __x__, Spain') AS t FROM documents)
     SELECT doc_id, lower(trim(regexp_replace(regexp_replace(t, '[^a-zA-Z0-9\s]', '', 'g'), '\s+', ' ', 'g'))) AS alphanumeric,
         trim(regexp_replace(regexp_replace(regexp_replace(t, '\*\*([^*]+)\*\*', '\1', 'g'), '__([^_]+)__', '\1', 'g'), '(?m)^\s{0,3}#{1,6}\s+', '', 'g'), chr(10) || chr(9) || chr(13) || ' ') AS plain,
         trim(regexp_replace(t, ',[^,]*$', '')) AS place, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS key FROM d"""
@@ -357,11 +339,7 @@ RUNAWAY = """
     SELECT doc_id, array_to_string(list_filter([CASE WHEN failed THEN 'error' END, CASE WHEN capped THEN 'capped' END, CASE WHEN one THEN 'one section' END, CASE WHEN more THEN 'longer than text' END], lambda x: x IS NOT NULL), ',') AS reasons,
         round(CASE WHEN failed THEN 10.0::DOUBLE ELSE 0 END + CASE WHEN capped THEN 2 ELSE 0 END + CASE WHEN one THEN share ELSE 0 END + CASE WHEN more THEN ratio ELSE 0 END, 6) AS score FROM f"""
 
-FORMS_WHOLE = FORMS.replace("substr(text, 1, 20)", "text")
-PREDICATES_OF_LINES, CAPTIONS_OF_LINES = _of_lines(PREDICATES), _of_lines(CAPTIONS)
-
 QUERIES = {
-    "plain_forms_whole": plain_forms_whole, "predicates_of_lines": predicates_of_lines, "caption_labels_of_lines": caption_labels_of_lines,
     "sections": sections, "line_runs": line_runs, "collapsed_repeats": collapsed_repeats, "ocr_headers": ocr_headers, "inline_splits": inline_splits, "normalised_duplicates": normalised_duplicates, "numerals": numerals, "tokens": tokens,
     "shingle_coverage": shingle_coverage, "uncaptured_lines": uncaptured_lines, "predicates": predicates, "caption_labels": caption_labels, "merged_captions": merged_captions, "caption_spans": caption_spans, "identifiers_found": identifiers_found,
     "identifier_schemes": identifier_schemes, "identifiers_placed": identifiers_placed, "link_annotations": link_annotations, "license_matches": license_matches, "rights_lists": rights_lists, "titles_grounded": titles_grounded, "languages": languages,
@@ -369,7 +347,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "identifiers_placed": PLACED, "rights_lists": RIGHTS_ROWS,
-    "plain_forms_whole": FORMS_WHOLE, "predicates_of_lines": PREDICATES_OF_LINES, "caption_labels_of_lines": CAPTIONS_OF_LINES,
     "sections": SECTIONS, "line_runs": LINE_RUNS, "normalised_duplicates": DUPLICATES, "numerals": NUMERALS, "tokens": TOKENS, "shingle_coverage": COVERAGE, "predicates": PREDICATES, "caption_labels": CAPTIONS, "identifiers_found": IDENTIFIERS,
     "identifier_schemes": SCHEMES, "link_annotations": LINKS, "license_matches": LICENSES, "language_gates": GATES, "capture_metrics": METRICS, "plain_forms": FORMS, "runaway_scores": RUNAWAY,
 }
