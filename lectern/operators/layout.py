@@ -218,18 +218,63 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.least(a1, b1) - F.greatest(a0, b0), F.lit(0.0))
 
 
+#: Most rows and columns of cells that a page is dealt into.
+MOST_CELLS = 64
+
+
+def box(x0: Column | str, y0: Column | str, x1: Column | str, y1: Column | str) -> Column:
+    return F.struct(*((c if isinstance(c, Column) else F.col(c)).cast("double").alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1), strict=True)))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, left_box: Column, right_box: Column, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """Pairs of left and right rows of a page whose boxes (of box()) meet, each once; other columns must have different names.
+
+    Both sides are dealt to the cells of a grid that their boxes lie in, about as many cells as there are boxes on the page; a pair is met in
+    every cell that both lie in, and kept in the one where their intersection begins. So the work follows the overlaps, not the square of a page's
+    boxes. Boxes without a place are in no pair."""
+    pairs, meet = _in_cells(left, right, left_box, right_box, keys)
+    return pairs.where(meet).drop("_l", "_r", "_i", "_j", "_x", "_y", "_w", "_h")
+
+
+def _in_cells(left: DataFrame, right: DataFrame, left_box: Column, right_box: Column, keys: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """Pairs that share a cell, and whether it is the one that keeps them."""
+    a, b = left.withColumn("_l", left_box), right.withColumn("_r", right_box)
+    edges = a.select(*keys, F.col("_l").alias("e")).unionAll(b.select(*keys, F.col("_r").alias("e")))
+    grid = edges.groupBy(*keys).agg(F.min("e.x0").alias("_x"), F.min("e.y0").alias("_y"), F.max("e.x1").alias("_xx"), F.max("e.y1").alias("_yy"), F.least(F.lit(MOST_CELLS), F.ceil(F.sqrt(F.count(F.lit(1))))).alias("_n"))
+    size = lambda low, high: F.greatest((F.col(high) - F.col(low)) / F.col("_n"), F.lit(1e-9))
+    grid = grid.select(*keys, "_x", "_y", size("_x", "_xx").alias("_w"), size("_y", "_yy").alias("_h"))
+    across = lambda x: F.floor((x - F.col("_x")) / F.col("_w"))
+    down = lambda y: F.floor((y - F.col("_y")) / F.col("_h"))
+
+    def dealt(df: DataFrame, name: str) -> DataFrame:
+        e = F.col(name)
+        there = e["x0"].isNotNull() & e["y0"].isNotNull() & (e["x0"] <= e["x1"]) & (e["y0"] <= e["y1"])
+        spread = df.where(there).join(grid, list(keys)).withColumn("_i", F.explode(F.sequence(across(e["x0"]), across(e["x1"]))))
+        return spread.withColumn("_j", F.explode(F.sequence(down(e["y0"]), down(e["y1"]))))
+
+    pairs = dealt(a, "_l").join(dealt(b, "_r").drop("_x", "_y", "_w", "_h"), [*keys, "_i", "_j"])
+    l, r = F.col("_l"), F.col("_r")
+    begins_x, begins_y = F.greatest(l["x0"], r["x0"]), F.greatest(l["y0"], r["y0"])
+    meet = (begins_x <= F.least(l["x1"], r["x1"])) & (begins_y <= F.least(l["y1"], r["y1"])) & (F.col("_i") == across(begins_x)) & (F.col("_j") == down(begins_y))
+    return pairs, meet
+
+
 def panels(regions: DataFrame, blocks_: DataFrame, body: float, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Regions that are boxes around running text: they cover 0.8 of a block of 25 words in body size."""
     b = blocks_.where((F.size(text.letter_words("text")) >= 25) & (F.col("fontsize") >= 0.9 * body)).select(*keys, "hpos", "vpos", "width", "height")
-    area = overlap(F.col("x0"), F.col("x1"), F.col("hpos"), F.col("hpos") + F.col("width")) * overlap(F.col("top"), F.col("bottom"), F.col("vpos"), F.col("vpos") + F.col("height"))
-    return regions.join(b, list(keys)).where(area >= 0.8 * F.greatest(F.col("width") * F.col("height"), F.lit(1e-6))).select(*regions.columns).distinct()
+    right, bottom = F.col("hpos") + F.col("width"), F.col("vpos") + F.col("height")
+    area = overlap(F.col("x0"), F.col("x1"), F.col("hpos"), right) * overlap(F.col("top"), F.col("bottom"), F.col("vpos"), bottom)
+    pairs = near_pairs(regions, b, box("x0", "top", "x1", "bottom"), box("hpos", "vpos", right, bottom), keys)
+    return pairs.where(area >= 0.8 * F.greatest(F.col("width") * F.col("height"), F.lit(1e-6))).select(*regions.columns).distinct()
 
 
 def beside(blocks_: DataFrame, regions: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Blocks (block_no) with the nearest region they may be the caption of: side and gap, bounded by the block's size."""
-    x = blocks_.join(regions, list(keys))
     fs = F.greatest("fontsize", F.lit(1.0))
     right, bottom = F.col("hpos") + F.col("width"), F.col("vpos") + F.col("height")
+    reach = box(F.col("hpos") - 2.5 * fs, F.col("vpos") - 2.5 * fs, right + 2.5 * fs, bottom + 2.5 * fs)
+    own = blocks_.select(*keys, "block_no", "fontsize", "hpos", "vpos", "width", "height")
+    x = near_pairs(own, regions.select(*keys, "region_id", "x0", "x1", "top", "bottom"), reach, box("x0", "top", "x1", "bottom"), keys)
     over = overlap(F.col("hpos"), right, F.col("x0"), F.col("x1")) / F.greatest(F.least(F.col("width"), F.col("x1") - F.col("x0")), F.lit(1e-6))
     along = overlap(F.col("vpos"), bottom, F.col("top"), F.col("bottom")) / F.greatest(F.least(F.col("height"), F.col("bottom") - F.col("top")), F.lit(1e-6))
     below, above, at_right, at_left = F.col("vpos") - F.col("bottom"), F.col("top") - bottom, F.col("hpos") - F.col("x1"), F.col("x0") - right
@@ -256,9 +301,14 @@ def side_labels(blocks_: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """seq of short bold or large blocks that stand left of a text they name, with the seq of that text (names)."""
     b = blocks_.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("seq", "x0", "y0", "x1", "y1", "size", "bold", "line_h")])
     r = blocks_.select(*keys, *[F.col(c).alias(f"r_{c}") for c in ("seq", "x0", "y0", "x1", "y1", "size")])
-    pair = b.join(r, list(keys)).where("b_seq != r_seq and r_x0 >= b_x1 and r_x0 - b_x1 <= 6 * b_size and r_y0 - 0.5 * b_line_h <= b_y0 and b_y1 <= r_y1 + 0.5 * b_line_h and r_y1 - r_y0 >= b_y1 - b_y0 and (b_bold or b_size > 1.1 * r_size) and r_x1 - r_x0 > b_x1 - b_x0")
+    tall = 0.5 * F.col("b_line_h")
+    pair = near_pairs(b, r, box("b_x1", F.col("b_y0") - tall, F.col("b_x1") + 6 * F.col("b_size"), F.col("b_y1") + tall), box("r_x0", "r_y0", "r_x1", "r_y1"), keys)
+    pair = pair.where("b_seq != r_seq and r_x0 >= b_x1 and r_x0 - b_x1 <= 6 * b_size and r_y0 - 0.5 * b_line_h <= b_y0 and b_y1 <= r_y1 + 0.5 * b_line_h and r_y1 - r_y0 >= b_y1 - b_y0")
+    pair = pair.where("(b_bold or b_size > 1.1 * r_size) and r_x1 - r_x0 > b_x1 - b_x0")
     best = pair.groupBy(*keys, "b_seq", "b_x0", "b_x1", "b_y0", "b_y1").agg(F.min_by("r_seq", F.struct(F.col("r_x0") - F.col("b_x1"), "r_seq")).alias("names"))
-    own = r.alias("q").join(best.alias("p"), list(keys)).where("r_seq != b_seq and r_y0 >= b_y1 - 1e-6 and r_y0 - b_y1 <= 3 * (b_y1 - b_y0)").where(overlap(F.col("b_x0"), F.col("b_x1"), F.col("r_x0"), F.col("r_x1")) >= 0.3 * F.least(F.col("b_x1") - F.col("b_x0"), F.col("r_x1") - F.col("r_x0"))).select(*keys, "b_seq").distinct()
+    under = box("b_x0", F.col("b_y1") - 1e-6, "b_x1", F.col("b_y1") + 3 * (F.col("b_y1") - F.col("b_y0")))
+    own = near_pairs(best, r, under, box("r_x0", "r_y0", "r_x1", "r_y1"), keys).where("r_seq != b_seq and r_y0 >= b_y1 - 1e-6 and r_y0 - b_y1 <= 3 * (b_y1 - b_y0)")
+    own = own.where(overlap(F.col("b_x0"), F.col("b_x1"), F.col("r_x0"), F.col("r_x1")) >= 0.3 * F.least(F.col("b_x1") - F.col("b_x0"), F.col("r_x1") - F.col("r_x0"))).select(*keys, "b_seq").distinct()
     return best.join(own, [*keys, "b_seq"], "left_anti").select(*keys, F.col("b_seq").alias("seq"), "names")
 
 

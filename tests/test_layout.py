@@ -1,4 +1,7 @@
+import random
+
 import pandas as pd
+from pyspark.sql import functions as F
 
 from lectern.operators import layout, pages
 
@@ -67,3 +70,64 @@ def test_clusters_of_shapes_are_masks():
 def test_accents_and_right_to_left():
     assert pages.composed("´ecole") == "école"
     assert pages.logical(["םלוע", "םולש"]) == ["שלום", "עולם"]
+
+
+def random_boxes(rng, n, most):
+    out = []
+    for i in range(n):
+        x, y = rng.choice([0.0, 100.0, rng.uniform(0, 600)]), rng.choice([0.0, 50.0, rng.uniform(0, 800)])
+        out.append((rng.randrange(3), 1, i, x, y, x + rng.choice([0.0, rng.uniform(0, most)]), y + rng.choice([0.0, 5.0, rng.uniform(0, most)])))
+    return [*out, (0, 1, n, None, 1.0, 2.0, 3.0), (9, 1, n + 1, 0.0, 0.0, 1.0, 1.0)]
+
+
+def test_near_pairs_equal_all_pairs(spark):
+    rng = random.Random(31)
+    for most in (20, 700):
+        a, b = random_boxes(rng, 60, most), random_boxes(rng, 80, most)
+        names = "doc_id int, page int, {0} int, {0}x0 double, {0}y0 double, {0}x1 double, {0}y1 double"
+        left, right = spark.createDataFrame(a, names.format("a")), spark.createDataFrame(b, names.format("b"))
+        got = layout.near_pairs(left, right, layout.box("ax0", "ay0", "ax1", "ay1"), layout.box("bx0", "by0", "bx1", "by1"))
+        want = sorted((p[0], p[2], q[2]) for p in a for q in b if p[0] == q[0] and None not in (*p, *q) and max(p[3], q[3]) <= min(p[5], q[5]) and max(p[4], q[4]) <= min(p[6], q[6]))
+        assert sorted(map(tuple, got.select("doc_id", "a", "b").collect())) == want
+        assert layout.near_pairs(left.limit(0), right, layout.box("ax0", "ay0", "ax1", "ay1"), layout.box("bx0", "by0", "bx1", "by1")).count() == 0
+
+
+def test_pairs_in_cells_follow_the_overlaps(spark):
+    """Boxes side by side: four times as many make about four times as many meetings, not sixteen times."""
+    met = []
+    for side in (12, 24, 48):
+        n = side * side
+        rows = spark.range(n).selectExpr("1 AS doc_id", "1 AS page", f"CAST(id % {side} * 10 AS DOUBLE) AS x", f"CAST(id div {side} * 10 AS DOUBLE) AS y")
+        left, right = rows.selectExpr("doc_id", "page", "x AS ax", "y AS ay"), rows.selectExpr("doc_id", "page", "x AS bx", "y AS by")
+        pairs, meet = layout._in_cells(left, right, layout.box("ax", "ay", F.col("ax") + 8, F.col("ay") + 8), layout.box("bx", "by", F.col("bx") + 8, F.col("by") + 8), ("doc_id", "page"))
+        assert pairs.where(meet).count() == n
+        met.append(pairs.count() / n)
+    assert met[2] < 2 * met[0]
+
+
+def test_captions_beside_and_panels_equal_all_pairs(spark):
+    rng = random.Random(32)
+    blocks = [(i % 2, 1, i, rng.choice(["word " * 30, "a short one"]), rng.uniform(0, 500), rng.uniform(0, 700), rng.uniform(20, 300), rng.uniform(8, 90), rng.choice([8.0, 10.0, 14.0])) for i in range(60)]
+    regions = [(i % 2, 1, i, x := rng.uniform(0, 400), y := rng.uniform(0, 600), x + rng.uniform(20, 300), y + rng.uniform(20, 300)) for i in range(40)]
+    b = spark.createDataFrame(blocks, "doc_id int, page int, block_no int, text string, hpos double, vpos double, width double, height double, fontsize double")
+    r = spark.createDataFrame(regions, "doc_id int, page int, region_id int, x0 double, top double, x1 double, bottom double")
+
+    def over(a0, a1, b0, b1):
+        return max(0.0, min(a1, b1) - max(a0, b0))
+
+    want_panels = sorted({(d, i) for d, _, i, x0, y0, x1, y1 in regions for e, _, _, t, x, y, w, h, s in blocks if d == e and len(t.split()) >= 25 and s >= 9 and over(x0, x1, x, x + w) * over(y0, y1, y, y + h) >= 0.8 * w * h})
+    assert sorted((p.doc_id, p.region_id) for p in layout.panels(r, b, 10.0).collect()) == want_panels and want_panels
+    want = {}
+    for e, _, k, _, x, y, w, h, s in blocks:
+        found = []
+        for d, _, i, x0, y0, x1, y1 in regions:
+            if d != e:
+                continue
+            wide, tall = over(x, x + w, x0, x1) / min(w, x1 - x0), over(y, y + h, y0, y1) / min(h, y1 - y0)
+            gaps = [("below", y - y1, 2.5, wide >= 0.5), ("above", y0 - y - h, 2.5, wide >= 0.5), ("right", x - x1, 2.0, tall >= 0.6), ("left", x0 - x - w, 2.0, tall >= 0.6)]
+            hit = next(((g, i, side) for side, g, most, ok in gaps if ok and -0.5 * s <= g <= most * s), None)
+            found += [hit] if hit else []
+        if found:
+            g, i, side = min(found)
+            want[k] = (i, side, round(g, 6))
+    assert {p.block_no: (p.region_id, p.side, round(p.gap, 6)) for p in layout.beside(b, r).collect()} == want and want
