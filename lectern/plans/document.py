@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -90,7 +91,12 @@ def sections_of(x: DataFrame, options: Options) -> DataFrame:
 
 
 def _with_registries(x: DataFrame, options: Options) -> DataFrame:
-    """x with creators' organisations and ORCIDs, and funders, of the registries that the options name; each distinct name is looked up once."""
+    """x with creators' organisations and ORCIDs, and funders, of the registries that the options name; each distinct name is looked up once. Without a registry of
+    organisations, one is made by the options' lookups of the names that have no identifier."""
+    if options.orgs is None and options.lookups is not None:
+        open_ = F.filter("funding", lambda f: F.coalesce(f["funderIdentifier"], F.lit("")) == "")
+        names = x.select(F.explode(F.concat(F.flatten(F.transform("creators", lambda c: c["affiliations"])), F.transform(open_, lambda f: f["funderName"]))).alias("name"))
+        options = replace(options, orgs=options.lookups(names.where("btrim(name) != ''").distinct()))
     if options.orgs is not None:
         names = x.select(F.explode(F.flatten(F.transform("creators", lambda c: c["affiliations"]))).alias("name")).distinct()
         known = registry.organisations(names, options.orgs).where("org_id is not null")

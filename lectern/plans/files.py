@@ -32,7 +32,9 @@ def stream_blocks(lines: DataFrame) -> DataFrame:
 
 
 def cut_blocks(glyphs: DataFrame) -> DataFrame:
-    """The same by the recursive cut."""
+    """The same by the recursive cut; turned glyphs are told by their matrix, too."""
+    if "matrix" in glyphs.columns:
+        glyphs = glyphs.withColumn("upright", ~text.is_rotated(F.col("upright"), F.col("matrix")))
     found = layout.blocks(pages.read_pages(glyphs)).withColumnRenamed("lines", "rows").withColumn("text", F.array_join("rows", " "))
     return found.select(*PAGE, "block_no", "rows", "hpos", "vpos", "width", "height", "fontsize", "bold", "text")
 

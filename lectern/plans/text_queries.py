@@ -121,7 +121,7 @@ def _sql_rows(s: str) -> str:
 def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every predicate over every line of every text; every seventh line in capitals, every eighth without its last mark, every ninth as a label."""
     s = F.col("s")
-    return _line_rows(spark, sf_dir, SHAPED).select("line_id", text.is_placeholder(s).alias("placeholder"), text.is_section_label(s).alias("section_label"), text.is_section_keyword(s).alias("keyword"), text.is_bare_label(s).alias("bare_label"), text.looks_like_header(s).alias("header"), text.looks_like_sentence(s).alias("sentence"), text.is_author_line(s).alias("author_line"), text.is_rights_junk(s).alias("junk"), text.ran_into_body(s).alias("body"))
+    return _line_rows(spark, sf_dir, SHAPED).select("line_id", text.is_placeholder(s).alias("placeholder"), text.is_section_label(s).alias("section_label"), text.is_section_keyword(s).alias("keyword"), text.is_bare_label(s).alias("bare_label"), text.looks_like_header(s).alias("header"), text.looks_like_sentence(s).alias("sentence"), text.is_author_line(s).alias("author_line"), text.is_rights_junk(s).alias("junk"), text.ran_into_body(s).alias("body"), text.affiliation_like(s).alias("affiliation"))
 
 
 SHAPED = "CASE WHEN pos % 7 = 6 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN pos % 8 = 7 THEN rtrim('.', line) WHEN pos % 9 = 8 THEN concat('Methods ', pos % 3, ':') ELSE line END"
@@ -143,7 +143,8 @@ PREDICATES = rf"""
         CASE WHEN n = 0 THEN true ELSE dg / n > 0.25 OR (c >= 3 AND c / n > 0.3) OR (ini >= 2 AND (ini + sp) / n >= 0.3)
             OR (c >= 2 AND c / n >= 0.15 AND len(list_filter(w, lambda x: NOT (regexp_matches(x, '^(?:\p{{Lu}}|\P{{L}})') OR x = 'and'))) = 0) END AS author_line,
         trim(s) = '' OR length(trim(s)) > 200 OR regexp_matches(trim(s), '(?i){"|".join(f"(?:{p})" for p in fixed.RIGHTS_JUNK if "(?!" not in p)}') OR regexp_matches(trim(s), '(?i)^https?://') AS junk,
-        length(s) > 180 OR regexp_matches(s, '(?:^|[^\p{{L}}\p{{N}}_])[a-zà-ÿ]{{2,}}(?:\s+[a-zà-ÿ]{{2,}}){{4,}}(?:[^\p{{L}}\p{{N}}_]|$)') OR regexp_matches(s, '(?:^|[^\p{{L}}\p{{N}}_])[A-Z]{{2,}}(?:\s+[A-Z]{{2,}}){{4,}}(?:[^\p{{L}}\p{{N}}_]|$)') AS body
+        length(s) > 180 OR regexp_matches(s, '(?:^|[^\p{{L}}\p{{N}}_])[a-zà-ÿ]{{2,}}(?:\s+[a-zà-ÿ]{{2,}}){{4,}}(?:[^\p{{L}}\p{{N}}_]|$)') OR regexp_matches(s, '(?:^|[^\p{{L}}\p{{N}}_])[A-Z]{{2,}}(?:\s+[A-Z]{{2,}}){{4,}}(?:[^\p{{L}}\p{{N}}_]|$)') AS body,
+        NOT regexp_matches(s, '^[•▪●◦*"“–-]') AND n <= 24 AND NOT regexp_matches(s, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:we|our|this|these|was|were|is|are|have|has|that|which)(?:[^\p{{L}}\p{{N}}_]|$)') AS affiliation
     FROM x"""
 
 

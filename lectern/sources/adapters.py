@@ -104,27 +104,37 @@ def header_structurer(docs: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.to_json(F.struct(F.struct("sections").alias("content"))).alias("response"))
 
 
+@dataclass
+class Budget:
+    """Seconds of waiting that several lookups share."""
+
+    seconds: float
+
+
 @dataclass(frozen=True)
 class Retry:
-    """Attempts and waits for a web lookup in one task; a budget of seconds for all lookups of a document."""
+    """Attempts and waits for a web lookup in one task; a budget of seconds for all waits."""
 
     attempts: int = 3
     waits: tuple[float, ...] = (1.0, 2.0)
     budget: float = 30.0
-    again: frozenset[int] = frozenset((408, 429, 500, 502, 503, 504))
+    again: frozenset[int] = frozenset((0, 408, 429, 500, 502, 503, 504))
 
-    def get(self, call: Callable[[], tuple[int, object]], spent: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> object | None:
-        """The answer of call() -> (status, answer); None after a refusal, or once attempts or budget are used up."""
+    def run(self, call: Callable[[], tuple[int, object]], budget: Budget, sleep: Callable[[float], None] = time.sleep) -> tuple[int, object]:
+        """The last status and answer of call() -> (status, answer): after a refusal, or once attempts or budget are used up, that of the failure."""
         for i in range(self.attempts):
             status, answer = call()
-            if status == 200:
-                return answer
             wait = self.waits[min(i, len(self.waits) - 1)]
-            if status not in self.again or i == self.attempts - 1 or spent + wait > self.budget:
-                return None
+            if status == 200 or status not in self.again or i == self.attempts - 1 or wait > budget.seconds:
+                break
             sleep(wait)
-            spent += wait
-        return None
+            budget.seconds -= wait
+        return status, answer
+
+    def get(self, call: Callable[[], tuple[int, object]], spent: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> object | None:
+        """The answer of run() with what is left of the budget; None if it failed."""
+        status, answer = self.run(call, Budget(self.budget - spent), sleep)
+        return answer if status == 200 else None
 
 
 @dataclass(frozen=True)
@@ -138,6 +148,7 @@ class Options:
     plain: Step = pdf_plain
     orgs: DataFrame | None = None
     persons: DataFrame | None = None
+    lookups: Step | None = None  # from names of affiliations and funders (name) to a registry, where orgs is not given
     extract_identifiers: bool = False
     ground_headers: bool = True
     reclaim_lines: bool = True

@@ -57,11 +57,3 @@ def write_batch(df: DataFrame, folder: str, key: str = "path") -> None:
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """path and json of whole JSON files."""
     return spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("json"))
-
-
-def cached(df: DataFrame, cache: DataFrame, value: str, compute, key_of=F.md5) -> DataFrame:
-    """df with value's result: from cache (key, result) where it is known; each other distinct value is computed once. compute: DataFrame of key, value to key, result."""
-    keyed = df.withColumn("_key", key_of(F.col(value).cast("binary")))
-    new = keyed.select(F.col("_key").alias("key"), F.col(value)).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
-    known = cache.select("key", "result").unionByName(compute(new).select("key", "result"))
-    return keyed.join(known.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
