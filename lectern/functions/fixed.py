@@ -128,5 +128,4 @@ SINGLE_QUOTES = "‘’‛′‹›‚"
 DOUBLE_QUOTES = "“”„‟«»〝〞〟＂"
 DASHES = "‐‑‒–—―−"
 REQUIRED_FIELDS = ("creators", "titles", "publicationYear", "subjects", "descriptions", "conference", "formats")
-SCHEMA = "https://posters.science/schema/v0.2/poster_schema.json"
 NO_FIELD = ("", "other", "unknown", "n/a", "na", "none", "research field", "domain", "field")

@@ -6,7 +6,7 @@ import math
 import re
 import statistics
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from functools import cache
 from itertools import groupby
@@ -354,13 +354,74 @@ def grown_captions(blocks: list[dict], beside: dict[int, tuple[str, float]], bod
     return sorted(out, key=lambda c: c["blocks"][0])
 
 
+class Repeats:
+    """Tells which words repeat an earlier one on top of it: the same text, and at least half of the narrower and of the lower box in common.
+
+    Kept boxes of a text are sorted by their left edges, so that a word is compared with those that begin within the widest one's reach."""
+
+    def __init__(self):
+        self.kept: dict[str, list[tuple[float, float, float, float]]] = defaultdict(list)
+        self.widest: dict[str, float] = defaultdict(float)
+
+    def repeats(self, text: str, x0: float, x1: float, top: float, bottom: float) -> bool:
+        """Whether the word repeats a kept one; else it is kept."""
+        kept = self.kept[text]
+        i = bisect_left(kept, (x0 - self.widest[text],))
+        while i < len(kept) and kept[i][0] <= x1:
+            a0, a1, t, b = kept[i]
+            if min(a1, x1) - max(a0, x0) >= 0.5 * min(a1 - a0, x1 - x0) and min(b, bottom) - max(t, top) >= 0.5 * min(b - t, bottom - top):
+                return True
+            i += 1
+        insort(kept, (x0, x1, top, bottom))
+        self.widest[text] = max(self.widest[text], x1 - x0)
+        return False
+
+
+def words_as_drawn(glyphs: list[dict]) -> list[list[dict]]:
+    """Glyphs in the order of drawing as words: a blank, a gap of a quarter of the size, a step back or another line begins a new one."""
+    out: list[list[dict]] = []
+    last = None
+    for g in glyphs:
+        if not g["text"].strip():
+            last = None
+            continue
+        size = max(g["size"], 1.0)
+        if last is None or not -0.3 * size <= g["x0"] - last["x1"] <= 0.25 * size or abs(g["bottom"] - last["bottom"]) > 0.1 * size:
+            out.append([])
+        out[-1].append(g)
+        last = g
+    return out
+
+
+def without_repeated_words(glyphs: list[dict]) -> list[dict]:
+    """Glyphs (in the order of drawing) without the words that repeat an earlier one on top of it, as shadows do."""
+    found, gone = Repeats(), set()
+    for w in words_as_drawn(glyphs):
+        box = min(g["x0"] for g in w), max(g["x1"] for g in w), min(g["top"] for g in w), max(g["bottom"] for g in w)
+        if found.repeats("".join(g["text"] for g in w), *box):
+            gone.update(map(id, w))
+    return [g for g in glyphs if id(g) not in gone]
+
+
+def distinct_words(words: DataFrame) -> DataFrame:
+    """words (doc_id, page, word_no, text, x0, x1, top, bottom) without those that repeat an earlier one (by word_no) on top of it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields)
+
+    def one(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values("word_no")
+        found = Repeats()
+        return page[[not found.repeats(*w) for w in page[["text", "x0", "x1", "top", "bottom"]].itertuples(index=False, name=None)]]
+
+    return words.groupBy("doc_id", "page").applyInPandas(one, columns)
+
+
 LINES = "doc_id long, page int, line_no int, region int, text string, x0 double, x1 double, top double, bottom double, size double, bold boolean"
 
 
 def page_lines(page: pd.DataFrame, page_w: float = 600.0, page_h: float = 800.0) -> pd.DataFrame:
     """Lines of a page in reading order, by the recursive cut; overprints dropped, vertical text last, regions by their column path."""
     rows = page[page.x0.notna() & page.x1.notna() & page.top.notna() & page.bottom.notna() & ~page.text.fillna("").str.startswith("(cid:")].sort_values("si").to_dict("records")
-    glyphs = without_overprints([g for g in rows if g["text"]])
+    glyphs = without_repeated_words(without_overprints([g for g in rows if g["text"]]))
     turned = [g for g in glyphs if g.get("upright") is False]
     flat = [g for g in glyphs if g.get("upright") is not False]
     if len(flat) < 3 * len(turned):

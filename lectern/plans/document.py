@@ -174,10 +174,11 @@ def documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def record_texts(made: DataFrame, options: Options = Options()) -> DataFrame:
-    """made, of documents(), with json: the record's text, fields in the order below; report, its validation(), and schema_errors."""
+    """made, of documents(), with json: the record's text, fields in the order below ($schema if the options give its address); report, its validation(), and schema_errors."""
     year, publisher = F.lit(None).cast("int"), F.lit(None).cast("string")
-    columns = {
-        "$schema": F.lit(fixed.SCHEMA), "creators": F.col("creators"), "titles": F.filter(F.array(F.struct("title")), lambda t: t["title"] != ""), "publicationYear": year, "subjects": F.transform("subjects", lambda s: F.struct(s.alias("subject"))), "descriptions": F.col("descriptions"),
+    columns = {"$schema": F.lit(options.schema_address)} if options.schema_address else {}
+    columns |= {
+        "creators": F.col("creators"), "titles": F.filter(F.array(F.struct("title")), lambda t: t["title"] != ""), "publicationYear": year, "subjects": F.transform("subjects", lambda s: F.struct(s.alias("subject"))), "descriptions": F.col("descriptions"),
         "researchField": F.col("research_field"), "content": F.struct("sections"), "imageCaptions": F.col("images"), "tableCaptions": F.col("tables"), "fundingReferences": F.col("funding"), "language": F.col("language"), "publisher": publisher,
         "formats": F.array_compact(F.array("media")),
     }

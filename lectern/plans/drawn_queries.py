@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import attempts, stream
+from lectern.operators import attempts, pages, stream
 from lectern.plans import files, inputs
 from lectern.sources.adapters import GLYPHS, OBJECTS, Options
 
@@ -145,5 +145,20 @@ SPACED = """
     SELECT conv_id, turn, 'stream' AS engine, CASE WHEN c >= 6 AND n > 1 AND n < c AND (c - 2) // 4 < c - n THEN array_to_string(w, ' ')
         ELSE array_to_string(list_filter(string_split(array_to_string(w, ''), ''), lambda x: x <> ''), ' ') END AS text FROM n"""
 
-QUERIES = {"spaced_letters": spaced_letters, "attempt_ladder": attempt_ladder, "layout_fallback": layout_fallback, "drawn_pages": drawn_pages}
-ORACLE_SQL = {"spaced_letters": SPACED, "attempt_ladder": ATTEMPTS, "layout_fallback": FALLBACK, "drawn_pages": DRAWN}
\ No newline at end of file
+def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the conversations as a box on the page of its turn, every third drawn again a little beside it, and every fifth again too far off to be the same."""
+    talks = inputs.table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    words = talks.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.posexplode(F.expr(PLAIN)).alias("i", "text"))
+    box = lambda no, shift: words.selectExpr("doc_id", "page", f"3 * i + {no} AS word_no", "text", f"10.0D * (i % 8) + {shift} AS x0", f"10.0D * (i % 8) + {shift} + 8 AS x1", "12.0D * (i div 8) AS top", "12.0D * (i div 8) + 10 AS bottom", "i")
+    drawn = box(0, "0.0D").unionByName(box(1, "3.5D").where("i % 3 = 0")).unionByName(box(2, "200.0D").where("i % 5 = 0"))
+    return pages.distinct_words(drawn.drop("i")).select(F.col("doc_id").alias("conv_id"), F.col("page").cast("long").alias("turn"), F.col("word_no").cast("long").alias("word_no"), "text")
+
+
+# A word's neighbour is ten points on, so it never covers half of it, whatever its text.
+REPEATED = """
+    WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-zà-öø-ÿ]+') AS w FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    x AS (SELECT conv_id, turn, unnest(w) AS text, unnest(range(len(w))) AS i FROM w)
+    SELECT conv_id, turn::BIGINT AS turn, 3 * i AS word_no, text FROM x UNION ALL SELECT conv_id, turn, 3 * i + 2, text FROM x WHERE i % 5 = 0"""
+
+QUERIES = {"repeated_words": repeated_words, "spaced_letters": spaced_letters, "attempt_ladder": attempt_ladder, "layout_fallback": layout_fallback, "drawn_pages": drawn_pages}
+ORACLE_SQL = {"repeated_words": REPEATED, "spaced_letters": SPACED, "attempt_ladder": ATTEMPTS, "layout_fallback": FALLBACK, "drawn_pages": DRAWN}
\ No newline at end of file

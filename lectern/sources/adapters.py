@@ -149,6 +149,7 @@ class Options:
     orgs: DataFrame | None = None
     persons: DataFrame | None = None
     lookups: Step | None = None  # from names of affiliations and funders (name) to a registry, where orgs is not given
+    schema_address: str | None = None
     extract_identifiers: bool = False
     ground_headers: bool = True
     reclaim_lines: bool = True

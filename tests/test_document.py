@@ -53,7 +53,7 @@ def written(docs, **options):
 
 
 def test_record(docs):
-    got = written(docs)
+    got = written(docs, schema_address="https://example.org/schema.json")
     record, report, row = got[1]
     assert list(record) == ["$schema", "creators", "titles", "publicationYear", "subjects", "descriptions", "researchField", "content", "imageCaptions", "tableCaptions", "fundingReferences", "language", "publisher", "formats"]
     assert [(c["name"], c["nameType"], [a["name"] for a in c["affiliation"]]) for c in record["creators"]] == [("Doe, Jane", "Personal", ["University of Alder"]), ("A Lee", "Organizational", ["Institute of Boats"]), ("B Chan", "Organizational", ["Institute of Boats"])]

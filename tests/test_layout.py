@@ -131,3 +131,33 @@ def test_captions_beside_and_panels_equal_all_pairs(spark):
             g, i, side = min(found)
             want[k] = (i, side, round(g, 6))
     assert {p.block_no: (p.region_id, p.side, round(p.gap, 6)) for p in layout.beside(b, r).collect()} == want and want
+
+
+def plain_distinct(words):
+    kept = []
+    for w in words:
+        if not any(k[0] == w[0] and min(k[2], w[2]) - max(k[1], w[1]) >= 0.5 * min(k[2] - k[1], w[2] - w[1]) and min(k[4], w[4]) - max(k[3], w[3]) >= 0.5 * min(k[4] - k[3], w[4] - w[3]) for k in kept):
+            kept.append(w)
+    return kept
+
+
+def test_repeated_words_equal_all_pairs():
+    rng = random.Random(51)
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randrange(40)):
+            x, y = rng.uniform(0, 60), rng.choice([0.0, 4.0, 12.0])
+            words.append((rng.choice("ab"), x, x + rng.choice([0.0, 5.0, 12.0, 40.0]), y, y + rng.choice([8.0, 10.0])))
+        found = pages.Repeats()
+        assert [w for w in words if not found.repeats(*w)] == plain_distinct(words)
+
+
+def test_shadows_are_read_once():
+    glyph = lambda t, x, y, si: {"doc_id": 1, "page": 1, "si": si, "text": t, "x0": x, "x1": x + 5.0, "top": y, "bottom": y + 10.0, "size": 10.0, "fontname": "Sans", "upright": True}
+    rows, si = [], 0
+    for shift in (0.0, 2.4):
+        for word, x in (("River", 20.0), ("depth", 60.0)):
+            for i, t in enumerate(word):
+                rows.append(glyph(t, x + shift + 5 * i, 50.0 + shift / 2, si))
+                si += 1
+    assert pages.page_lines(pd.DataFrame(rows)).text.tolist() == ["River depth"]
