@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text with two headers and identifiers.
 HEADED = "concat('## Methods', chr(10), text, chr(10), '## Results', chr(10), 'word ', CAST(doc_id % 7 AS STRING), ' doi:10.', CAST(1000 + doc_id % 9000 AS STRING), '/x', CAST(doc_id AS STRING), '.')"
-#: A sentence with one identifier of each scheme, some twice.
+#: A whole text, then a sentence with one identifier of each scheme, some twice.
 CITED = (
-    "concat('See https://doi.org/10.', CAST(1000 + doc_id % 9000 AS STRING), '/ab.', CAST(doc_id AS STRING), '. and doi: 10.5555/z; arXiv:21', lpad(CAST(doc_id % 100 AS STRING), 2, '0'), '.', lpad(CAST(doc_id % 100000 AS STRING), 5, '0'), 'v2 by ',"
+    "concat(coalesce(text, ''), ' See https://doi.org/10.', CAST(1000 + doc_id % 9000 AS STRING), '/ab.', CAST(doc_id AS STRING), '. and doi: 10.5555/z; arXiv:21', lpad(CAST(doc_id % 100 AS STRING), 2, '0'), '.', lpad(CAST(doc_id % 100000 AS STRING), 5, '0'), 'v2 by ',"
     " CASE WHEN doc_id % 3 = 0 THEN 'https://orcid.org/0000-0002-1825-0097' WHEN doc_id % 3 = 1 THEN '0000-0002-1825-009X 0000-0001-5109-3700' ELSE 'nobody' END,"
     " ' at https://ror.org/03yrm5c', lpad(CAST(doc_id % 90 + 10 AS STRING), 2, '0'), ' https://isni.org/isni/000000012146438X https://grid.ac/grid.', CAST(doc_id % 500 AS STRING), '.a', CASE WHEN doc_id % 2 = 0 THEN ' funded by 10.13039/100000001' ELSE '' END)"
 )

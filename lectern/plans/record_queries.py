@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import text
+from lectern.functions import fixed, text
 from lectern.operators import copying, layout, pages, people, records, registry, stream
 from lectern.sources import files
 from lectern.sources.adapters import Options
@@ -126,12 +126,21 @@ def numbered_affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBERED = "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'University of Alder; University of Alder / Institute of Birch' END AS affiliations FROM documents"
 
 
+#: The first words of four letters or more of a text, as names.
+NAMES = "transform(slice(filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+', 0), w -> length(w) >= 4), 1, 6), w -> concat(upper(substr(w, 1, 1)), substr(w, 2)))"
+
+
 def joined_creators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.documents(spark, sf_dir, "CASE doc_id % 4 WHEN 0 THEN 'Hahn, Oliver & Lemke, Steffen' WHEN 1 THEN 'Ann Lee and Bo Chan' WHEN 2 THEN 'Institute of Boats and Nets' ELSE 'Solo Name' END AS name")
+    """Names made of a text's words, joined in three ways or not at all."""
+    name = "CASE doc_id % 4 WHEN 0 THEN concat(n[0], ', ', n[1], ' & ', n[2], ', ', n[3]) WHEN 1 THEN concat(n[0], ' ', n[1], ' and ', n[2], ' ', n[3]) WHEN 2 THEN concat('Institute of ', n[0], ' and ', n[1]) ELSE concat(n[0], ' ', n[1]) END AS name"
+    docs = inputs.documents(spark, sf_dir, f"{NAMES} AS n").where("size(n) = 6").selectExpr("doc_id", name)
     return docs.select("doc_id", F.posexplode(people.split_joined(F.col("name"))).alias("pos", "name")).select("doc_id", F.col("pos").cast("long").alias("pos"), "name")
 
 
-JOINED = """SELECT doc_id, (generate_subscripts(n, 1) - 1)::BIGINT AS pos, unnest(n) AS name FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['Hahn, Oliver', 'Lemke, Steffen'] WHEN 1 THEN ['Ann Lee', 'Bo Chan'] WHEN 2 THEN ['Institute of Boats and Nets'] ELSE ['Solo Name'] END AS n FROM documents)"""
+JOINED = """
+    WITH n AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda w: length(w) >= 4)[1:6], lambda w: upper(w[1]) || w[2:]) AS n FROM documents),
+    j AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN [n[1] || ', ' || n[2], n[3] || ', ' || n[4]] WHEN 1 THEN [n[1] || ' ' || n[2], n[3] || ' ' || n[4]] WHEN 2 THEN ['Institute of ' || n[1] || ' and ' || n[2]] ELSE [n[1] || ' ' || n[2]] END AS n FROM n WHERE len(n) = 6)
+    SELECT doc_id, (generate_subscripts(n, 1) - 1)::BIGINT AS pos, unnest(n) AS name FROM j"""
 
 
 def marker_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,65 +153,97 @@ MARKS = "SELECT doc_id, concat('1', doc_id % 9, ' ', doc_id % 9 + doc_id % 4, '
 
 # --- records ------------------------------------------------------------------------------------------------------------------------
 
-RESPONSE = (
-    "concat(CASE doc_id % 6 WHEN 0 THEN '```json' ELSE 'Here it is: ' END, chr(10), '{\"titles\": [{\"title\": \"', CASE doc_id % 6 WHEN 1 THEN 'The \"deep\" river' ELSE 'The river' END, '\"}], \"content\": {\"sections\": [{\"sectionTitle\": \"Methods\", \"sectionContent\": \"We went ', CAST(doc_id AS STRING), ' times\"',"
-    " CASE doc_id % 6 WHEN 2 THEN '' ELSE '}' END, CASE doc_id % 6 WHEN 3 THEN ',]' ELSE ']' END, CASE doc_id % 6 WHEN 4 THEN '' ELSE '}}' END, CASE doc_id % 6 WHEN 0 THEN concat(chr(10), '```') WHEN 5 THEN ' Hope this helps {x}' ELSE '' END)"
-)
+#: A whole text as an answer, damaged in five ways: fenced, with quotes inside a title and talk around it, without its last brackets, with commas before brackets, cut off within the text.
+ANSWERED = "to_json(named_struct('titles', array(named_struct('title', title)), 'content', named_struct('sections', array(named_struct('sectionTitle', 'All', 'sectionContent', concat(text, ' the end of it'))))))"
+DAMAGED = """CASE doc_id % 6 WHEN 0 THEN concat('```json', chr(10), a, chr(10), '```') WHEN 1 THEN concat('Here it is: ', replace(a, '{"title":"', '{"title":"The "deep" '), ' Hope this helps {x}')
+    WHEN 2 THEN substr(a, 1, length(a) - 2) WHEN 3 THEN concat(substr(a, 1, length(a) - 3), ',]', '},}') WHEN 4 THEN substr(a, 1, length(a) - 6) ELSE a END AS response"""
 
 
 def json_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.documents(spark, sf_dir, f"{RESPONSE} AS response")
+    docs = inputs.documents(spark, sf_dir, "coalesce(text, '') AS text", "split(coalesce(text, ''), chr(10))[0] AS title").selectExpr("doc_id", f"{ANSWERED} AS a").selectExpr("doc_id", DAMAGED)
     x = docs.withColumn("v", F.try_parse_json(records.repaired_json("response")))
     return x.select("doc_id", F.try_variant_get("v", "$.titles[0].title", "string").alias("title"), F.try_variant_get("v", "$.content.sections[0].sectionContent", "string").alias("content"))
 
 
-REPAIRS = """SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'The "deep" river' ELSE 'The river' END AS title, concat('We went ', doc_id, ' times') AS content FROM documents"""
+REPAIRS = """SELECT doc_id, concat(CASE doc_id % 6 WHEN 1 THEN 'The "deep" ' ELSE '' END, string_split(coalesce(text, ''), chr(10))[1]) AS title, concat(coalesce(text, ''), CASE doc_id % 6 WHEN 4 THEN ' the end of i' ELSE ' the end of it' END) AS content FROM documents"""
 
-CAPTION_JSON = "CASE doc_id % 5 WHEN 0 THEN '\"One caption\"' WHEN 1 THEN '[\"First\", {\"id\": \"f9\", \"caption\": \"Second \"}, \"first\"]' WHEN 2 THEN '[{\"captions\": [\"Part a\", \" part b \"]}, {\"captionParts\": []}]' WHEN 3 THEN '[]' ELSE '[{\"caption\": \"Only\"}, {\"caption\": \" \"}]' END"
+#: The lines of a text, each then again in capitals and blanks.
+TWICE = "concat(split(coalesce(text, ''), chr(10)), transform(split(coalesce(text, ''), chr(10)), l -> concat('  ', translate(l, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ')))"
+SQL_TWICE = "list_concat(string_split(coalesce(text, ''), chr(10)), list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: '  ' || translate(l, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' '))"
 
 
 def captions_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.documents(spark, sf_dir, f"try_parse_json({CAPTION_JSON}) AS v").select("doc_id", records.captions(F.col("v"), "fig").alias("c"))
-    return docs.select("doc_id", F.posexplode("c").alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), "x.id", "x.caption")
+    """All lines of a text as captions, every third with an id; then all again in capitals."""
+    docs = inputs.documents(spark, sf_dir, f"to_json(transform({TWICE}, (l, i) -> named_struct('id', CASE WHEN i % 3 = 0 THEN concat('own', i) END, 'caption', l))) AS j")
+    found = docs.select("doc_id", records.captions(F.try_parse_json("j"), "fig").alias("c"))
+    return found.select("doc_id", F.posexplode("c").alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), "x.id", "x.caption")
 
 
-CAPTION_ROWS = """
-    WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN [['fig1', 'One caption']] WHEN 1 THEN [['fig1', 'First'], ['f9', 'Second']] WHEN 2 THEN [['fig1', 'Part a part b']] WHEN 4 THEN [['fig1', 'Only']] ELSE [] END AS c FROM documents),
-    u AS (SELECT doc_id, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM r) SELECT doc_id, pos::BIGINT AS pos, x[1] AS id, x[2] AS caption FROM u"""
+CAPTION_ROWS = f"""
+    WITH l AS (SELECT doc_id, unnest(l) AS l, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, {SQL_TWICE} AS l FROM documents)),
+    f AS (SELECT doc_id, i, trim(l) AS caption FROM l WHERE trim(l) <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, substr(lower(trim(l)), 1, 100) ORDER BY i) = 1),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f)
+    SELECT doc_id, k - 1 AS pos, CASE WHEN i % 3 = 0 THEN concat('own', i) ELSE concat('fig', k) END AS id, caption FROM n"""
 
 
 def affiliations_coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.documents(spark, sf_dir, "try_parse_json(CASE doc_id % 3 WHEN 0 THEN '\"Alder\"' WHEN 1 THEN '[{\"name\": \"Birch\", \"affiliationIdentifier\": \"made up\"}, \" \", \"Cedar\"]' ELSE '{\"name\": \"Dogwood\"}' END) AS v")
+    """A text's first line, all its lines as strings and objects in turn, or the whole text in an object."""
+    quoted = "transform(split(coalesce(text, ''), chr(10)), (l, i) -> CASE WHEN i % 2 = 0 THEN substr(to_json(array(l)), 2, length(to_json(array(l))) - 2) ELSE to_json(named_struct('name', l, 'affiliationIdentifier', 'made up')) END)"
+    value = f"CASE doc_id % 3 WHEN 0 THEN ({quoted})[0] WHEN 1 THEN concat('[', array_join({quoted}, ','), ']') ELSE to_json(named_struct('name', coalesce(text, ''))) END"
+    docs = inputs.documents(spark, sf_dir, f"try_parse_json({value}) AS v")
     return docs.select("doc_id", F.array_join(F.transform(records.affiliations(F.col("v")), lambda a: a["name"]), "; ").alias("names"))
 
 
-AFFILIATIONS = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Alder' WHEN 1 THEN 'Birch; Cedar' ELSE 'Dogwood' END AS names FROM documents"
+AFFILIATIONS = """
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN trim(string_split(coalesce(text, ''), chr(10))[1])
+        WHEN 1 THEN array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l)), lambda l: l <> ''), '; ') ELSE trim(coalesce(text, '')) END AS names FROM documents"""
 
 
 def funding_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.documents(spark, sf_dir, "array(named_struct('funderName', concat('  Fund   of ', CAST(doc_id % 5 AS STRING)), 'funderIdentifier', 'https://ror.org/03yrm5c26', 'funderIdentifierType', CASE WHEN doc_id % 2 = 0 THEN 'ROR' ELSE 'Other' END, 'schemeUri', CAST(NULL AS STRING), 'awardTitle', CAST(NULL AS STRING), 'awardNumber', concat('( ab-', CAST(doc_id AS STRING), '. )'), 'awardUri', CASE WHEN doc_id % 3 = 0 THEN 'https://x.org' ELSE 'none' END)) AS refs")
-    return docs.select("doc_id", F.explode(records.funding(F.col("refs"))).alias("r")).select("doc_id", "r.funderName", "r.schemeUri", "r.awardNumber", "r.awardUri")
+    """Every line of a text as a funder, with an award of its length."""
+    refs = "transform(split(coalesce(text, ''), chr(10)), (l, i) -> named_struct('funderName', concat('  ', replace(l, ' ', '   ')), 'funderIdentifier', 'https://ror.org/03yrm5c26', 'funderIdentifierType', CASE WHEN i % 2 = 0 THEN 'ROR' ELSE 'Other' END, 'schemeUri', CAST(NULL AS STRING), 'awardTitle', CAST(NULL AS STRING), 'awardNumber', concat('( ab-', length(l), '. )'), 'awardUri', CASE WHEN i % 3 = 0 THEN 'https://x.org' ELSE 'none' END)) AS refs"
+    docs = inputs.documents(spark, sf_dir, refs).select("doc_id", F.posexplode(records.funding(F.col("refs"))).alias("pos", "r"))
+    return docs.select("doc_id", F.col("pos").cast("long").alias("pos"), "r.funderName", "r.schemeUri", "r.awardNumber", "r.awardUri")
 
 
-FUNDING = """SELECT doc_id, concat('Fund of ', doc_id % 5) AS funderName, CASE WHEN doc_id % 2 = 0 THEN 'https://ror.org' END AS schemeUri, concat('AB-', doc_id) AS awardNumber, CASE WHEN doc_id % 3 = 0 THEN 'https://x.org' END AS awardUri FROM documents"""
+FUNDING = r"""
+    WITH l AS (SELECT doc_id, unnest(l) AS l, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+    SELECT doc_id, pos::BIGINT AS pos, trim(regexp_replace(l, '\s+', ' ', 'g')) AS funderName, CASE WHEN pos % 2 = 0 THEN 'https://ror.org' END AS schemeUri, concat('AB-', length(l)) AS awardNumber, CASE WHEN pos % 3 = 0 THEN 'https://x.org' END AS awardUri FROM l"""
 
 
 def subjects_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.documents(spark, sf_dir, "array('  Rivers ', 'boats', 'RIVERS', '', concat('Topic  ', CAST(doc_id % 3 AS STRING)), 'Boats') AS s")
+    docs = inputs.documents(spark, sf_dir, f"{TWICE} AS s")
     return docs.select("doc_id", F.array_join(records.subjects(F.col("s")), "; ").alias("subjects"))
 
 
-SUBJECTS = "SELECT doc_id, concat('Rivers; boats; Topic ', doc_id % 3) AS subjects FROM documents"
+SUBJECTS = rf"""
+    WITH l AS (SELECT doc_id, unnest(l) AS l, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {SQL_TWICE} AS l FROM documents)),
+    f AS (SELECT doc_id, i, trim(regexp_replace(l, '\s+', ' ', 'g')) AS l FROM l),
+    k AS (SELECT * FROM f WHERE l <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, lower(l) ORDER BY i) = 1)
+    SELECT d.doc_id, coalesce((SELECT string_agg(l, '; ' ORDER BY i) FROM k WHERE k.doc_id = d.doc_id), '') AS subjects FROM documents AS d"""
 
 
 def sections_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of one line each; an untitled copy before a titled one takes the title."""
-    docs = inputs.documents(spark, sf_dir, "explode(arrays_zip(array(0, 1, 2, 3, 4), array(NULL, 'A', 'B', 'C', 'D'), array(concat('Some content here ', CAST(doc_id AS STRING)), 'short', concat('some  content here ', CAST(doc_id AS STRING)), 'Author Names and Affiliations:', 'Another piece of content'))) AS z")
-    rows = docs.select("doc_id", F.col("z.0").alias("pos"), F.col("z.1").alias("title"), F.col("z.2").alias("content"))
-    return records.sections(rows).select("doc_id", F.col("pos").cast("long").alias("pos"), "title", "content")
+    """Every line of a text as a section, every third with a title, then all again in capitals with titles; labels between them."""
+    rows = inputs.documents(spark, sf_dir, f"posexplode(concat({TWICE}, array('Author Names and Affiliations:', 'Poster Title', 'Materials and Methods'))) AS (pos, content)", "size(split(coalesce(text, ''), chr(10))) AS n")
+    titled = rows.select("doc_id", "pos", F.when((F.col("pos") % 3 == 1) | (F.col("pos") >= F.col("n")), F.concat(F.lit("T"), "pos")).alias("title"), "content")
+    return records.sections(titled).select("doc_id", F.col("pos").cast("long").alias("pos"), "title", "content")
+
 
+def _quoted_list(values: object) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 
-KEPT = """SELECT doc_id, 0::BIGINT AS pos, 'B' AS title, concat('some  content here ', doc_id) AS content FROM documents UNION ALL SELECT doc_id, 4, 'D', 'Another piece of content' FROM documents"""
+
+KEPT = rf"""
+    WITH l AS (SELECT doc_id, n, unnest(l) AS l, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, list_concat({SQL_TWICE}, ['Author Names and Affiliations:', 'Poster Title', 'Materials and Methods']) AS l, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)),
+    c AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 1 OR pos >= n THEN 'T' || pos END AS title, trim(l, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM l),
+    g AS (SELECT *, list_filter(regexp_split_to_array(lower(trim(regexp_replace(content, '[#*•:/\\\-–—]', ' ', 'g'))), '\s+'), lambda x: x <> '') AS tw, lower(trim(regexp_replace(content, '[#*•:/\\\-–—]', ' ', 'g'))) AS t FROM c WHERE length(content) > 10),
+    k AS (
+        SELECT doc_id, pos, title, content, lower(trim(regexp_replace(content, '\s+', ' ', 'g'))) AS k FROM g
+        WHERE NOT (length(content) <= 60 AND regexp_matches(content, '^[A-Za-z][A-Za-z0-9&,''()/\- ]{{0,58}}:$')) AND NOT (length(t) <= 45 AND len(tw) > 0 AND len(list_filter(tw, lambda x: x NOT IN {_quoted_list(fixed.SECTION_LABELS)})) = 0)
+            AND NOT (trim(regexp_replace(lower(content), '[.…]+$', '')) IN {_quoted_list(fixed.PLACEHOLDERS)} OR regexp_matches(trim(regexp_replace(lower(content), '[.…]+$', '')), '^keyword\s*\d*$'))
+    )
+    SELECT doc_id, (min(pos) OVER (PARTITION BY doc_id, k))::BIGINT AS pos, title, content FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY title IS NULL, pos) = 1"""
 
 RECORD = (
     "concat('{\"creators\": ', CASE doc_id % 4 WHEN 0 THEN '[{\"name\": \"Doe, Jane\"}]' WHEN 1 THEN '[{\"name\": \"Jane Doe\"}, 5]' WHEN 2 THEN '[]' ELSE '\"x\"' END, ', \"titles\": [{\"title\": \"', CASE WHEN doc_id % 3 = 0 THEN 'Abc' ELSE 'A long title' END, '\"}], \"publicationYear\": null, ',"
@@ -229,7 +270,7 @@ VALIDATIONS = f"""
 
 
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.documents(spark, sf_dir, "concat('/in/', CAST(doc_id AS STRING), CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.txt' ELSE '' END) AS path")
+    docs = inputs.documents(spark, sf_dir, "concat('/in/', coalesce(text, ''), CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.txt' ELSE '' END) AS path")
     return docs.select("doc_id", files.file_kind(F.col("path")).alias("kind"), files.media_type(F.col("path")).alias("media"), files.is_supported(F.col("path")).alias("supported"))
 
 
@@ -506,11 +547,16 @@ JSON = """SELECT doc_id, concat('{"publisher":null,"year":', doc_id % 3, ',"lang
 
 
 def better_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = inputs.documents(spark, sf_dir, "explode(array(1, 2)) AS attempt", "text").select("doc_id", "attempt", F.when(F.col("attempt") == 1, F.col("doc_id") % 3).otherwise(F.col("doc_id") % 2).cast("double").alias("score"))
-    return records.better_attempt(a).select("doc_id", F.col("attempt").cast("long").alias("attempt"), "score")
+    """Two attempts for each document, scored by the length of its text and by its lines."""
+    a = inputs.documents(spark, sf_dir, "explode(array(1, 2)) AS attempt", "coalesce(text, '') AS text")
+    score = F.when(F.col("attempt") == 1, F.length("text") % 7).otherwise(F.size(F.split("text", "\n")) % 5)
+    return records.better_attempt(a.select("doc_id", "attempt", score.cast("double").alias("score"))).select("doc_id", F.col("attempt").cast("long").alias("attempt"), "score")
+
 
+ATTEMPTS = """
+    WITH s AS (SELECT doc_id, length(coalesce(text, '')) % 7 AS a, len(string_split(coalesce(text, ''), chr(10))) % 5 AS b FROM documents)
+    SELECT doc_id, CASE WHEN a <= b THEN 1::BIGINT ELSE 2 END AS attempt, least(a, b)::DOUBLE AS score FROM s"""
 
-ATTEMPTS = "SELECT doc_id, CASE WHEN doc_id % 3 <= doc_id % 2 THEN 1::BIGINT ELSE 2 END AS attempt, least(doc_id % 3, doc_id % 2)::DOUBLE AS score FROM documents"
 
 def copied_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verbatim strings of responses against their texts; every third one invents its end."""
