@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed, text
-from lectern.operators import copying, layout, pages, people, records, registry, stream
+from lectern.operators import copying, layout, pages, people, records, registry, schema, stream
 from lectern.sources import files
 from lectern.sources.adapters import Options
 
@@ -245,28 +245,33 @@ KEPT = rf"""
     )
     SELECT doc_id, (min(pos) OVER (PARTITION BY doc_id, k))::BIGINT AS pos, title, content FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY title IS NULL, pos) = 1"""
 
+#: A record whose creators, titles and sections are the lines of a text; every tenth text is cut off.
 RECORD = (
-    "concat('{\"creators\": ', CASE doc_id % 4 WHEN 0 THEN '[{\"name\": \"Doe, Jane\"}]' WHEN 1 THEN '[{\"name\": \"Jane Doe\"}, 5]' WHEN 2 THEN '[]' ELSE '\"x\"' END, ', \"titles\": [{\"title\": \"', CASE WHEN doc_id % 3 = 0 THEN 'Abc' ELSE 'A long title' END, '\"}], \"publicationYear\": null, ',"
-    " CASE WHEN doc_id % 2 = 0 THEN '\"content\": {\"sections\": [{\"sectionTitle\": \"M\"}]}, ' ELSE '' END, '\"imageCaptions\": [{\"id\": \"fig1\"}]', CASE WHEN doc_id % 10 = 9 THEN '' ELSE '}' END)"
+    "to_json(named_struct('creators', transform(l, (x, i) -> CASE WHEN i % 4 = 3 THEN named_struct('given', x) ELSE named_struct('name', x) END), 'titles', transform(l, x -> named_struct('title', slice(split(x, ' '), 1, 1)[0])), "
+    "'content', named_struct('sections', transform(l, (x, i) -> CASE WHEN i % 2 = 0 THEN named_struct('sectionTitle', 'M', 'sectionContent', x) ELSE named_struct('sectionTitle', 'M', 'sectionContent', CAST(NULL AS STRING)) END)), 'imageCaptions', transform(l, (x, i) -> named_struct('caption', CASE WHEN i % 3 > 0 THEN x END))))"
 )
+# Structs of one array have one type: fields that a line does not have are null, and are not written.
+RECORD = RECORD.replace("named_struct('given', x) ELSE named_struct('name', x)", "named_struct('name', CAST(NULL AS STRING), 'given', x) ELSE named_struct('name', x, 'given', CAST(NULL AS STRING))")
 
 
 def validations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = inputs.documents(spark, sf_dir, f"{RECORD} AS record").select("doc_id", records.validation(F.col("record")).alias("v"))
+    docs = inputs.documents(spark, sf_dir, "split(coalesce(text, ''), chr(10)) AS l").selectExpr("doc_id", f"{RECORD} AS record")
+    cut = docs.select("doc_id", F.when(F.col("doc_id") % 10 == 9, F.expr("substr(record, 1, length(record) - 1)")).otherwise(F.col("record")).alias("record"))
+    x = cut.select("doc_id", records.validation(F.col("record")).alias("v"))
     return x.select("doc_id", "v.valid", F.array_join("v.field_issues", " | ").alias("issues"), F.array_join("v.warnings", " | ").alias("warnings"))
 
 
-def _issues() -> str:
-    missing = "'Missing required fields: subjects, descriptions, conference, formats'"
-    creators = "CASE doc_id % 4 WHEN 1 THEN ' | creators[0].name should be in ''Family, Given'' format: ''Jane Doe'' | creators[1] must be an object' WHEN 2 THEN ' | creators array must have at least one entry' WHEN 3 THEN ' | creators must be an array' ELSE '' END"
-    titles = "CASE WHEN doc_id % 3 = 0 THEN ' | titles[0].title appears too short: ''Abc''' ELSE '' END"
-    content = "CASE WHEN doc_id % 2 = 0 THEN ' | content.sections[0] missing ''sectionContent''' ELSE '' END"
-    return f"concat({missing}, {creators}, {titles}, {content})"
-
-
-VALIDATIONS = f"""
-    SELECT doc_id, doc_id % 10 <> 9 AS valid, CASE WHEN doc_id % 10 = 9 THEN 'Missing required fields: creators, titles, publicationYear, subjects, descriptions, conference, formats' ELSE {_issues()} END AS issues,
-        CASE WHEN doc_id % 10 = 9 THEN 'content is missing - no sections extracted' ELSE concat(CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'content is missing - no sections extracted | ' END, 'imageCaptions[0] missing required ''caption'' field') END AS warnings FROM documents"""
+VALIDATIONS = """
+    WITH d AS (SELECT doc_id, doc_id % 10 <> 9 AS valid, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    i AS (
+        SELECT doc_id, valid, list_transform(l, lambda x, i: CASE WHEN i % 4 = 0 THEN 'creators[' || (i - 1) || '] missing required ''name'' field' WHEN NOT contains(x, ',') THEN 'creators[' || (i - 1) || '].name should be in ''Family, Given'' format: ''' || x || '''' END) AS c,
+            list_transform(l, lambda x, i: CASE WHEN length(trim(string_split(x, ' ')[1])) < 5 THEN 'titles[' || (i - 1) || '].title appears too short: ''' || string_split(x, ' ')[1] || '''' END) AS t,
+            list_transform(l, lambda x, i: CASE WHEN i % 2 = 0 THEN 'content.sections[' || (i - 1) || '] missing ''sectionContent''' END) AS s,
+            list_transform(l, lambda x, i: CASE WHEN i % 3 = 1 THEN 'imageCaptions[' || (i - 1) || '] missing required ''caption'' field' END) AS w FROM d
+    )
+    SELECT doc_id, valid, CASE WHEN valid THEN array_to_string(list_prepend('Missing required fields: publicationYear, subjects, descriptions, conference, formats', list_filter(list_concat(c, t, s), lambda x: x IS NOT NULL)), ' | ')
+            ELSE 'Missing required fields: creators, titles, publicationYear, subjects, descriptions, conference, formats' END AS issues,
+        CASE WHEN valid THEN array_to_string(list_filter(w, lambda x: x IS NOT NULL), ' | ') ELSE 'content is missing - no sections extracted' END AS warnings FROM i"""
 
 
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,6 +551,35 @@ SCHEMA_ERRORS = """
 JSON = """SELECT doc_id, concat('{"publisher":null,"year":', doc_id % 3, ',"language":"', lang, '"}') AS json FROM documents"""
 
 
+#: Alternatives and references over a document's own columns.
+ALTERNATIVES = {
+    "type": "object", "required": ["id", "lang"], "additionalProperties": False,
+    "$defs": {"short": {"type": "string", "maxLength": 400}, "count": {"type": "integer", "minimum": 20, "maximum": 2000}},
+    "properties": {
+        "id": {"oneOf": [{"type": "integer", "maximum": 600}, {"type": "integer", "minimum": 400}]}, "lang": {"enum": ["en", "de", "fr"]}, "size": {"$ref": "#/$defs/count"},
+        "text": {"anyOf": [{"$ref": "#/$defs/short"}, {"type": "string", "pattern": "^[A-M]"}]}, "lines": {"type": "array", "minItems": 2, "maxItems": 12, "items": {"allOf": [{"$ref": "#/$defs/short"}, {"minLength": 4}]}},
+        "source": {"not": {"const": "src0"}},
+    },
+}
+
+
+def schema_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records against a schema with alternatives and references; some have a field too many."""
+    record = "to_json(named_struct('id', doc_id, 'lang', lang, 'size', length(text), 'text', text, 'lines', split(text, chr(10)), 'source', source, 'more', CASE WHEN doc_id % 7 = 0 THEN 1 END)) AS json"
+    x = inputs.table(spark, sf_dir, "documents").where("text is not null").selectExpr("doc_id", record).withColumn("e", schema.errors(F.col("json"), ALTERNATIVES))
+    return x.select("doc_id", F.array_join(F.transform("e", lambda y: F.concat_ws(" ", y["path"], y["message"])), "; ").alias("errors"))
+
+
+ALTERNATIVE_ROWS = """
+    WITH d AS (SELECT doc_id, lang, source, text, length(text) AS n, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, array_to_string(list_filter(list_concat([
+        CASE WHEN lang IS NULL THEN '(root) has no lang' END, CASE WHEN doc_id BETWEEN 400 AND 600 THEN 'id meets several alternatives' END, CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'lang is none of en, de, fr' END,
+        CASE WHEN n < 20 THEN 'size is less than 20' WHEN n > 2000 THEN 'size is more than 2000' END, CASE WHEN n > 400 AND NOT regexp_matches(text, '^[A-M]') THEN 'text meets none of the alternatives' END,
+        CASE WHEN len(l) < 2 THEN 'lines has fewer than 2 items' WHEN len(l) > 12 THEN 'lines has more than 12 items' END],
+        list_transform(l, lambda x, i: CASE WHEN length(x) > 400 THEN 'lines.' || (i - 1) || ' is longer than 400' WHEN length(x) < 4 THEN 'lines.' || (i - 1) || ' is shorter than 4' END),
+        [CASE WHEN source = 'src0' THEN 'source is what it must not be' END, CASE WHEN doc_id % 7 = 0 THEN '(root) has no place for more' END]), lambda x: x IS NOT NULL), '; ') AS errors FROM d"""
+
+
 def better_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two attempts for each document, scored by the length of its text and by its lines."""
     a = inputs.documents(spark, sf_dir, "explode(array(1, 2)) AS attempt", "coalesce(text, '') AS text")
@@ -574,6 +608,7 @@ def figure_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "schema_alternatives": schema_alternatives,
     "name_matches": name_matches,
     "numbered_affiliations": numbered_affiliations, "copied_strings": copied_strings, "figure_words": figure_words,
     "organisations": organisations, "persons": persons, "funders": funders, "headers": headers, "creators_grounded": creators_grounded, "joined_creators": joined_creators, "marker_runs": marker_runs, "json_repairs": json_repairs, "captions_normalised": captions_normalised,
@@ -583,6 +618,7 @@ QUERIES = {
     "record_json": record_json, "records_whole": records_whole, "stream_pages": stream_pages, "schema_errors": schema_errors, "better_attempts": better_attempts,
 }
 ORACLE_SQL = {
+    "schema_alternatives": ALTERNATIVE_ROWS,
     "name_matches": NAME_MATCHES,
     "numbered_affiliations": NUMBERED, "copied_strings": COPIED,
     "organisations": ORGANISATIONS, "persons": PERSONS, "funders": FUNDERS, "headers": HEADERS, "joined_creators": JOINED, "json_repairs": REPAIRS, "captions_normalised": CAPTION_ROWS, "affiliations_coerced": AFFILIATIONS, "funding_normalised": FUNDING,
