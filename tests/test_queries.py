@@ -98,9 +98,9 @@ def test_what_comes_late_in_a_text_is_read(spark, tmp_path):
         return registry.QUERIES[name](spark, str(tmp_path))
 
     assert {r.doc_id: r.n_parts for r in run("inline_splits").collect()} == {0: 6, 1: 4, 2: 4}
-    assert [(r.line_id, r.kind, r.num) for r in run("caption_labels_of_lines").collect()] == [("1:1", "figure", "4")]
-    assert [r.line_id for r in run("predicates_of_lines").where("header").collect()] == ["2:2"]
-    assert all(len(r.alphanumeric) > 700 for r in run("plain_forms_whole").collect())
+    assert {r.line_id: (r.kind, r.num, r.rest) for r in run("caption_labels").collect()}["1:1"] == ("table", "IV", "Figure 4. Boats and more boats")
+    assert [r.line_id for r in run("predicates").where("header").collect()] == ["2:2"]
+    assert all(len(r.alphanumeric) > 700 for r in run("plain_forms").collect())
     assert {r.doc_id: r.n_captions for r in run("merged_captions").collect()} == {0: 1, 1: 2, 2: 2}
     assert {r.doc_id: r.candidate for r in run("title_candidates").collect()}.get(0) is None
     from lectern.plans import record_queries
