@@ -66,7 +66,9 @@ def matches(asked: DataFrame, orgs: DataFrame, name: str = "name", alike: int =
     weigh = lambda count: F.floor(WEIGHT * F.log(1 + F.lit(float(n)) / count)).cast("long")
     weights = df.select("token", weigh(F.col("count")).alias("w"))
     most = int(WEIGHT * math.log(1 + n))
-    known = _weighted(entries, weights, most, "org_id", "display_name", "name").withColumnsRenamed({"tokens": "own", "total": "own_total", "name": "own_name"})
+    # A name that many organisations have is compared once, for the smallest id.
+    named = entries.groupBy("name", "words").agg(F.min(F.struct("org_id", "display_name")).alias("o")).select("o.org_id", "o.display_name", "name", "words")
+    known = _weighted(named, weights, most, "org_id", "display_name", "name").withColumnsRenamed({"tokens": "own", "total": "own_total", "name": "own_name"})
     before = lambda i: F.aggregate(F.slice("own", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["w"])
     filed = known.withColumn("token", F.explode(F.transform(F.filter("own", lambda x, i: before(i) * 100 <= (100 - alike) * F.col("own_total")), lambda x: x["token"])))
     keys = asked.select(F.col(name).alias("_raw")).where("_raw is not null").distinct().withColumn("key", text.match_key("_raw")).withColumn("words", name_tokens(F.col("key")))
