@@ -112,6 +112,8 @@ class _Counter:
 
     def slice(self, data: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> np.ndarray:
         special = self.pairs.special
+        if len(special) > 1:  # pieces are cut at one special string only
+            return np.array([self.pairs.count(data[a:b].tobytes().decode("utf-8")) for a, b in zip(offs[lo:hi], offs[lo + 1 : hi + 1], strict=True)], np.int64)
         p = Pieces(data, offs, lo, hi, special[0].encode() if special else b"")
         if self.index.n > MOST_KEPT:
             self.reset()
