@@ -68,16 +68,21 @@ def matches(asked: DataFrame, orgs: DataFrame, name: str = "name", alike: int =
     most = int(WEIGHT * math.log(1 + n))
     # A name that many organisations have is compared once, for the smallest id.
     named = entries.groupBy("name", "words").agg(F.min(F.struct("org_id", "display_name")).alias("o")).select("o.org_id", "o.display_name", "name", "words")
-    known = _weighted(named, weights, most, "org_id", "display_name", "name").withColumnsRenamed({"tokens": "own", "total": "own_total", "name": "own_name"})
+    spelled = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    tokens_of = lambda c: F.transform(c, lambda x: x["token"])
+    spelled_names = named.select("org_id", "name", spelled("words").alias("own_spelled"))
+    known = _weighted(named, weights, most, "org_id", "display_name", "name").join(spelled_names, ["org_id", "name"]).withColumnsRenamed({"tokens": "own", "total": "own_total", "name": "own_name"})
     before = lambda i: F.aggregate(F.slice("own", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["w"])
-    filed = known.withColumn("token", F.explode(F.transform(F.filter("own", lambda x, i: before(i) * 100 <= (100 - alike) * F.col("own_total")), lambda x: x["token"])))
+    filed = known.withColumn("token", F.explode(tokens_of(F.filter("own", lambda x, i: before(i) * 100 <= (100 - alike) * F.col("own_total")))))
     keys = asked.select(F.col(name).alias("_raw")).where("_raw is not null").distinct().withColumn("key", text.match_key("_raw")).withColumn("words", name_tokens(F.col("key")))
-    asking = _weighted(keys.select("key", "words").distinct(), weights, most, "key")
-    tried = asking.withColumn("token", F.explode(F.transform("tokens", lambda x: x["token"]))).join(_small(filed), "token").drop("token").dropDuplicates(["key", "org_id", "own_name"])
-    shared = F.aggregate(F.filter("own", lambda x: F.array_contains(F.transform("tokens", lambda y: y["token"]), x["token"])), F.lit(0).cast("long"), lambda a, x: a + x["w"])
-    spelled = lambda c: F.concat(F.lit(" "), F.array_join(name_tokens(F.col(c)), " "), F.lit(" "))
-    scored = tried.withColumns({"shared": shared, "phrase": F.contains(spelled("key"), spelled("own_name"))}).withColumn("all", F.col("total") + F.col("own_total") - F.col("shared"))
-    good = scored.where("phrase or shared * 100 >= " + f"{alike} * all").withColumn("score", F.col("shared") / F.col("all"))
+    distinct = keys.select("key", "words").distinct()
+    asking = _weighted(distinct, weights, most, "key").withColumn("have", tokens_of(F.col("tokens"))).drop("tokens").join(distinct.select("key", spelled("words").alias("spelled")), "key")
+    # A pair may share several of the tokens that a name is filed under; it is compared at the first of them.
+    met = asking.withColumn("token", F.explode("have")).join(_small(filed.withColumn("filed", F.collect_set("token").over(Window.partitionBy("org_id", "own_name")))), "token")
+    tried = met.where(F.col("token") == F.array_min(F.array_intersect("filed", "have"))).drop("token", "filed")
+    shared = F.aggregate(F.filter("own", lambda x: F.array_contains("have", x["token"])), F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    scored = tried.withColumns({"shared": shared, "phrase": F.contains("spelled", "own_spelled")}).withColumn("all", F.col("total") + F.col("own_total") - F.col("shared"))
+    good = scored.where(f"phrase or shared * 100 >= {alike} * all").withColumn("score", F.col("shared") / F.col("all"))
     order = Window.partitionBy("key").orderBy(F.desc("phrase"), F.when(F.col("phrase"), F.length("own_name")).desc_nulls_last(), F.desc("score"), "org_id")
     best = good.withColumn("_i", F.row_number().over(order)).where("_i = 1").select("key", "org_id", F.col("display_name").alias("org_name"), "score", "phrase")
     return keys.select(F.col("_raw").alias(name), "key").join(best, "key").drop("key")
