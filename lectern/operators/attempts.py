@@ -118,14 +118,17 @@ def with_fallback(texts: DataFrame, structure: Callable[[DataFrame], DataFrame],
 
     texts: doc_id, text of the first engine. Where its answer runs away (and only holds, if given), other(doc_id) gives the text of the second engine (doc_id, text),
     for those documents alone; one that is there and different is structured, too. The lower score wins, the first of equals."""
-    first = staged(judged(texts, structure(texts.select("doc_id", "text"))))
-    bad = first.where(F.size("reasons") > 0)
+    # Texts are not kept with the answers: they are read again from where they are.
+    own = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    first = staged(judged(own, structure(texts.select("doc_id", "text"))).drop("text"))
+    bad = first.where(F.size("reasons") > 0).select("doc_id")
     if only is not None:
         bad = bad.join(texts.where(only).select("doc_id"), "doc_id", "left_semi")
-    bad = staged(bad.select("doc_id", F.col("text").alias("was")))
-    again = other(bad.select("doc_id")).select("doc_id", "text").join(bad, "doc_id").where((F.coalesce("text", F.lit("")) != "") & (F.col("text") != F.col("was"))).drop("was")
-    again = staged(again)
-    second = judged(again, structure(again))
+    bad = staged(bad)
+    was = own.join(bad, "doc_id", "left_semi").withColumnRenamed("text", "was")
+    again = staged(other(bad).select("doc_id", "text").join(was, "doc_id").where((F.coalesce("text", F.lit("")) != "") & (F.col("text") != F.col("was"))).drop("was"))
+    second = staged(judged(again, structure(again)).drop("text"))
     both = first.withColumn("attempt", F.lit(0)).unionByName(second.withColumn("attempt", F.lit(1)))
     chosen = records.better_attempt(both)
-    return chosen.select("doc_id", "text", "response", F.when(F.col("attempt") == 0, "first").otherwise("second").alias("engine"), "reasons", "score")
+    every = chosen.where("attempt = 0").join(own, "doc_id").unionByName(chosen.where("attempt = 1").join(again, "doc_id"))
+    return every.select("doc_id", "text", "response", F.when(F.col("attempt") == 0, "first").otherwise("second").alias("engine"), "reasons", "score")
