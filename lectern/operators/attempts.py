@@ -1,7 +1,7 @@
 """Attempts of a text model as a plan: only documents without a good answer enter the next attempt; runaway answers get the text of another layout engine.
 
 A model is a step from doc_id, prompt, system, tokens to doc_id, response and, if it knows, capped (whether the answer used up its tokens).
-Its answers are checkpointed: a lost executor asks again only what was not answered yet."""
+Its answers are written down: a lost executor asks again only what was not answered yet."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text
 from lectern.operators import records
-from lectern.session import staged
+from lectern.session import written
 
 Model = Callable[[DataFrame], DataFrame]
 #: Where a prompt takes the document, and what a note goes before.
@@ -68,11 +68,11 @@ def attempted(docs: DataFrame, model: Model, ladder: tuple[Attempt, ...] = LADDE
     empty one. An attempt without an answer, or with one that no repair makes an object, leads to the next; the last one counts."""
     note = F.col("note") if "note" in docs.columns else F.lit(None)
     sized = docs.select("doc_id", text.for_model(F.coalesce("text", F.lit(""))).alias("text"), note.cast("string").alias("note")).withColumn("fits", size("text") <= most_input)
-    sized = staged(sized)
+    sized = written(sized)
     open_, done = sized.where("fits"), []
     for i, attempt in enumerate(ladder):
         said = open_.select("doc_id").join(model(prompts(open_, attempt)), "doc_id", "left")  # no answer is an answer without response
-        done.append(staged(_answers(said, i)))
+        done.append(written(_answers(said, i)))
         open_ = open_.join(done[-1].where("json is not null").select("doc_id"), "doc_id", "left_anti")
         if i + 1 == len(ladder) or not open_.limit(1).count():
             break
@@ -120,14 +120,14 @@ def with_fallback(texts: DataFrame, structure: Callable[[DataFrame], DataFrame],
     for those documents alone; one that is there and different is structured, too. The lower score wins, the first of equals."""
     # Texts are not kept with the answers: they are read again from where they are.
     own = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    first = staged(judged(own, structure(texts.select("doc_id", "text"))).drop("text"))
+    first = written(judged(own, structure(texts.select("doc_id", "text"))).drop("text"))
     bad = first.where(F.size("reasons") > 0).select("doc_id")
     if only is not None:
         bad = bad.join(texts.where(only).select("doc_id"), "doc_id", "left_semi")
-    bad = staged(bad)
+    bad = written(bad)
     was = own.join(bad, "doc_id", "left_semi").withColumnRenamed("text", "was")
-    again = staged(other(bad).select("doc_id", "text").join(was, "doc_id").where((F.coalesce("text", F.lit("")) != "") & (F.col("text") != F.col("was"))).drop("was"))
-    second = staged(judged(again, structure(again)).drop("text"))
+    again = written(other(bad).select("doc_id", "text").join(was, "doc_id").where((F.coalesce("text", F.lit("")) != "") & (F.col("text") != F.col("was"))).drop("was"))
+    second = written(judged(again, structure(again)).drop("text"))
     both = first.withColumn("attempt", F.lit(0)).unionByName(second.withColumn("attempt", F.lit(1)))
     chosen = records.better_attempt(both)
     every = chosen.where("attempt = 0").join(own, "doc_id").unionByName(chosen.where("attempt = 1").join(again, "doc_id"))

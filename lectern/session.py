@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,15 +20,31 @@ def session(cpus: int | str = 8, partitions: int | None = None, memory: str = "8
     )
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that spark.checkpoint.dir names, for plans that read it several times; a temporary folder in local mode only."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary folder in local mode only."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not found:
             found = tempfile.mkdtemp(prefix="lectern-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         context.setCheckpointDir(found)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df computed once and kept as a checkpoint, for plans that read it several times."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df computed once and kept as a compressed table, for whole texts. It is deleted when the session ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
