@@ -196,3 +196,16 @@ def test_language_profiles_fall_back():
     p = language.Profiles({"aa": "banana band", "bb": "zebra zoo"})
     total = sum(math.exp(p.logs("an" + c)[0]) for c in {*"abcdefghijklmnopqrstuvwxyz "})
     assert 0.5 < total <= 1.0 and p.logs("ana")[0] > p.logs("ana")[1] and language.best("") is None and language.best("12 34") is None
+
+
+def test_sections_after_the_authors_end_the_head():
+    """A body line that reads like a name with numbers is no author, whatever its section is called; sections of authors and affiliations go on."""
+    from lectern.operators import people
+
+    head = "A River\nJane Q. Doe1, Max van Dam1,2\n1 University of Alder, Alder, 2 Institute of Boats, Birch\n## {}\n{}"
+    for title, body in (("Abstract", "+1 (706) 555-3138 Therou haesst\nSh. Ndth. 4644348398010899"), ("Results", "Enaugeen der 103.6.105.89 nicht cherheit"), ("Our Boats", "Ana Lima7, Bo Roe8")):
+        got = people.scan_header(head.format(title, body), "A River")
+        assert [a["family"] for a in got["authors"]] == ["Doe", "van Dam"] and list(got["entries"]) == ["1", "2"]
+    split = "A River\n## Authors\nJane Q. Doe1, Max van Dam1,2\n## Affiliations\n1 University of Alder, Alder\n2 Institute of Boats, Birch\n## Abstract\nAna Lima3"
+    got = people.scan_header(split, "A River")
+    assert [a["family"] for a in got["authors"]] == ["Doe", "van Dam"] and list(got["entries"]) == ["1", "2"]
