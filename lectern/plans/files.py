@@ -101,11 +101,11 @@ class Drawn:
 def texts(drawn: Drawn, options: Options = Options()) -> DataFrame:
     """path, doc_id, media, text, text_source, error, candidate, found_captions, links of files (path, kind, media, content). kind text: the content itself as UTF-8.
 
-    A file's plain text is only asked for where its layout text is no good. Captions, title and links are those of the layout."""
+    A file's plain text is only asked for where its layout text is no good; a layout text that is short or long is still taken if there is no other. Captions, title and links are those of the layout."""
     keyed = drawn.files
     blocks = stream_blocks(drawn.lines)
     read = keyed.select("path", "doc_id", "kind", "media", F.when(F.col("kind") == "text", F.decode("content", "utf-8")).alias("own")).join(headed_text(blocks), "doc_id", "left")
-    good = staged(files.raw_text(read.withColumns(dict.fromkeys(("plain_text", "ocr_text", "cached_text"), F.lit(None).cast("string")))).where("text is not null").select("doc_id"))
+    good = staged(files.raw_text(read.withColumns(dict.fromkeys(("plain_text", "ocr_text", "cached_text"), F.lit(None).cast("string"))), any_length=False).where("text is not null").select("doc_id"))
     plain = options.plain(keyed.where("kind = 'pdf'").join(good, "doc_id", "left_anti")).select(F.xxhash64("path").alias("doc_id"), "plain_text")
     seen = options.ocr(keyed.where("kind != 'text'")).select("doc_id", "ocr_text")
     x = read.join(drawn.errors, "doc_id", "left").join(seen, "doc_id", "left").join(plain, "doc_id", "left")

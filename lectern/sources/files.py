@@ -34,11 +34,15 @@ def scan(spark: SparkSession, folder: str, patterns: str = "*.pdf,*.png,*.jpg,*.
     return files.select("path", "length", file_kind(F.col("path")).alias("kind"), media_type(F.col("path")).alias("media"), *(["content"] if content else []))
 
 
-def raw_text(df: DataFrame, layout: str = "layout_text", plain: str = "plain_text", ocr: str = "ocr_text", cached: str = "cached_text", most: int = 30_000, least: int = 200) -> DataFrame:
+def raw_text(df: DataFrame, layout: str = "layout_text", plain: str = "plain_text", ocr: str = "ocr_text", cached: str = "cached_text", most: int = 30_000, least: int = 200, any_length: bool = True) -> DataFrame:
     """df with text and text_source, by what the engines' columns hold: a PDF's layout text if it has between `least` and `most` characters, else plain
-    text, else recognised text; an image's cached text if over 500 characters, else recognised text."""
+    text, else recognised text; an image's cached text if over 500 characters, else recognised text. Where none of these is there, a text of any other length
+    is taken (any_length)."""
     n = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
-    source = F.when((F.col("kind") == "pdf") & n(layout).between(least, most), "layout").when((F.col("kind") == "pdf") & (n(plain) >= least), "plain").when((F.col("kind") == "image") & (n(cached) > 500), "cached").when(n(ocr) > 0, "ocr")
+    pdf, image = F.col("kind") == "pdf", F.col("kind") == "image"
+    source = F.when(pdf & n(layout).between(least, most), "layout").when(pdf & (n(plain) >= least), "plain").when(image & (n(cached) > 500), "cached").when(n(ocr) > 0, "ocr")
+    if any_length:
+        source = F.coalesce(source, F.when(pdf & (n(layout) > 0), "layout").when(pdf & (n(plain) > 0), "plain").when(image & (n(cached) > 0), "cached"))
     return df.withColumn("text_source", source).withColumn("text", F.when(source == "layout", F.col(layout)).when(source == "plain", F.col(plain)).when(source == "cached", F.col(cached)).when(source == "ocr", F.col(ocr)))
 
 

@@ -46,3 +46,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert results == {"b.txt": (True, None), "empty.png": (False, "no text could be read")}
     assert len([x for f in (tmp_path / "out" / "records").glob("*.txt") for x in f.read_text().splitlines()]) == 1
     assert cli.main(["validate", str(tmp_path / "b.json")]) == 0
+
+
+def test_short_and_long_texts_without_another(spark):
+    """A file whose only text is under or over the bounds keeps it; where there is another, that one is taken."""
+    from lectern.sources import files as sources
+
+    rows = [("pdf", "a few words", None, None, None), ("pdf", "x" * 30_001, None, None, None), ("pdf", "short", "y" * 200, None, None), ("pdf", "short", "plain", "seen", None), ("pdf", None, "plain", "", None), ("image", None, None, None, "cached"), ("pdf", "", None, "", None)]
+    got = sources.raw_text(spark.createDataFrame(rows, "kind string, layout_text string, plain_text string, ocr_text string, cached_text string")).collect()
+    assert [r.text_source for r in got] == ["layout", "layout", "plain", "ocr", "plain", "cached", None]
+    assert got[0].text == "a few words" and len(got[1].text) == 30_001 and got[6].text is None
+
+
+def test_short_drawn_pages_have_records(spark, tmp_path):
+    from lectern.plans import drawn_queries
+
+    rows = [(1, 0, "system", "Depth rivers nets of a boat."), (1, 1, "user", "We rowed over the river.")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = drawn_queries.drawn_pages(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(1, "depth rivers nets boat", "", 2)]
