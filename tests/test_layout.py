@@ -105,6 +105,24 @@ def test_pairs_in_cells_follow_the_overlaps(spark):
     assert met[2] < 2 * met[0]
 
 
+def test_long_pages_are_dealt_in_proportion(spark):
+    """Boxes below each other on a page that grows in length: four times as many make about four times as many meetings, and none goes into more than a few cells."""
+    met = []
+    for n in (500, 2_000, 8_000):
+        rows = spark.range(n).selectExpr("1 AS doc_id", "1 AS page", "CAST(id % 3 * 40 AS DOUBLE) AS x", "CAST(id * 100 AS DOUBLE) AS y")
+        left, right = rows.selectExpr("doc_id", "page", "x AS ax", "y AS ay"), rows.selectExpr("doc_id", "page", "x AS bx", "y AS by")
+        pairs, meet = layout._in_cells(left, right, layout.box("ax", "ay", F.col("ax") + 30, F.col("ay") + 10), layout.box("bx", "by", F.col("bx") + 60, F.col("by") + 40), ("doc_id", "page"))
+        assert pairs.where(meet).count() == n
+        met.append(pairs.count() / n)
+    assert met[2] < 1.5 * met[0] and met[2] < 10
+
+
+def test_side_labels_read_every_row_of_long_pages():
+    from lectern.plans import record_queries
+
+    assert record_queries.SIDE.count("doc_id % 50") == 3 and "floor(doc_id / 50)" in record_queries.SIDE
+
+
 def test_captions_beside_and_panels_equal_all_pairs(spark):
     rng = random.Random(32)
     blocks = [(i % 2, 1, i, rng.choice(["word " * 30, "a short one"]), rng.uniform(0, 500), rng.uniform(0, 700), rng.uniform(20, 300), rng.uniform(8, 90), rng.choice([8.0, 10.0, 14.0])) for i in range(60)]
