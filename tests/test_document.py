@@ -102,3 +102,18 @@ def test_reclaimed_runs(spark):
     got = sorted((r.title, r.content) for r in lines.reclaimed(marked, free).collect() if r.title)
     assert got == [("Found", "a free line here\nand one more")]
     assert sorted(r.content for r in lines.reclaimed(marked, free).collect() if not r.title) == ["no header above this"]
+
+
+def test_no_token_of_a_line_is_shuffled(spark):
+    """Lines and captured texts meet by document: what is dealt out are texts, not words or n-grams."""
+    docs = spark.createDataFrame([(i, "\n".join(f"the river {i} rose by {j} feet in the night of spring" for j in range(20))) for i in range(40)], "doc_id long, text string")
+    rows = lines.lines_of(docs)
+    found = lines.uncaptured(rows, rows.where("pos % 2 = 0").select("doc_id", F.col("line").alias("text")), rows.where("pos = 1").select("doc_id", F.col("line").alias("text")))
+    assert found.count() == 800 and found.where("uncaptured").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(doc_id") == 1 and "Join" not in plan
+
+
+def test_counts_of_lines():
+    got = lines.counts([["a", "b", "c", "a", "b", "c"], ["7", "x"], []], [["a", "b", "c"], ["b", "a"]], [["x"]], 3)
+    assert got == [(6, 6, 0, 4, 2), (2, 0, 2, 0, 0), (0, 0, 0, 0, 0)]
