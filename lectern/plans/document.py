@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed, text
 from lectern.operators import identifiers, language, lines, people, records, registry
-from lectern.session import staged
+from lectern.session import written
 from lectern.sources.adapters import Options
 
 _FUNDING = "array<struct<funderName:string,funderIdentifier:string,funderIdentifierType:string,schemeUri:string,awardTitle:string,awardNumber:string,awardUri:string>>"
@@ -151,8 +151,9 @@ def documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
         "ids": F.coalesce(identifiers.typed_identifiers(F.col("r.identifiers")), _none(_IDS)), "old": F.coalesce(identifiers.typed_related(F.col("r.relatedIdentifiers")), _none(_RELATED)),
     }).drop("r", "v", "json", "response")
     x = lines.grounded_title(x).withColumns({"title_action": F.when(F.col("candidate").isNull(), "keep").otherwise(F.col("action")), "title": F.when(F.col("candidate").isNull(), F.col("title")).otherwise(F.col("new_title"))}).drop("action", "new_title")
-    x = staged(x)  # the scan of headers reads a title that other Python workers have made
-    x = staged(people.grounded(x, "model", out="creators") if options.ground_headers else x.withColumn("creators", F.col("model")))
+    # Compressed tables, as these hold whole texts twice; the scan of headers reads a title that other Python workers have made.
+    x = written(x)
+    x = written(people.grounded(x, "model", out="creators") if options.ground_headers else x.withColumn("creators", F.col("model")), instead=x)
     x = _with_registries(x.join(sections_of(x, options), "doc_id", "left"), options)
     own = lambda c: F.flatten(F.transform(F.filter("given_ids", lambda g: g["name"] == c["name"]), lambda g: g["ids"]))
     looked_up = lambda i: F.array_compact(F.array(F.when(F.col("orcids").isNotNull(), F.concat(F.lit("https://orcid.org/"), F.col("orcids")[i]))))

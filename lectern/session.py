@@ -40,11 +40,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df computed once and kept as a compressed table, for whole texts. It is deleted when the session ends."""
+def written(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """df computed once and kept as a compressed table, for whole texts. It is deleted when the session ends; `instead`, a table written before that nothing
+    but df has to read, is deleted now."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    place = hadoop(path)
+    place.getFileSystem(conf).deleteOnExit(place)
+    for old in {f.rsplit("/", 1)[0] for f in (instead.inputFiles() if instead is not None else [])}:
+        if re.fullmatch("lectern-[0-9a-f]{32}", old.rsplit("/", 1)[-1]):
+            hadoop(old).getFileSystem(conf).delete(hadoop(old), True)
     return spark.read.schema(df.schema).parquet(path)

@@ -117,3 +117,21 @@ def test_no_token_of_a_line_is_shuffled(spark):
 def test_counts_of_lines():
     got = lines.counts([["a", "b", "c", "a", "b", "c"], ["7", "x"], []], [["a", "b", "c"], ["b", "a"]], [["x"]], 3)
     assert got == [(6, 6, 0, 4, 2), (2, 0, 2, 0, 0), (0, 0, 0, 0, 0)]
+
+
+def test_middle_tables_are_compressed_and_given_up(spark, tmp_path):
+    """A table that takes another's place deletes it; one that was not written by the plan stays."""
+    from pathlib import Path
+
+    from lectern.session import checkpoint_folder, written
+
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    tables = lambda: {x.name for x in folder.glob("lectern-*")}
+    before = tables()
+    first = written(spark.range(10).selectExpr("id", "repeat('river ', 1000) AS t"))
+    (name,) = tables() - before
+    second = written(first.selectExpr("id + 1 AS id", "t"), instead=first)
+    assert name not in tables() and len(tables() - before) == 1 and second.count() == 10
+    spark.range(3).write.parquet(str(tmp_path / "given"))
+    given = spark.read.parquet(str(tmp_path / "given"))
+    assert written(given, instead=given).count() == 3 == spark.read.parquet(str(tmp_path / "given")).count()
