@@ -179,3 +179,15 @@ def test_shadows_are_read_once():
                 rows.append(glyph(t, x + shift + 5 * i, 50.0 + shift / 2, si))
                 si += 1
     assert pages.page_lines(pd.DataFrame(rows)).text.tolist() == ["River depth"]
+
+
+def test_pages_are_read_from_sorted_rows(spark):
+    """Pages that go over several batches are whole and in order, and pages cost no grouped map each."""
+    rows = spark.range(25_000).selectExpr("id % 7 AS doc_id", "CAST(id % 2 AS INT) AS page", "id AS n")
+    got = pages.by_page(rows.repartition(5), lambda page: [(len(page), [r["n"] for r in page] == sorted(r["n"] for r in page))], "doc_id long, page int, rows int, sorted boolean", "n")
+    assert sorted((r.doc_id, r.page, r.rows) for r in got.collect()) == sorted((r.doc_id, r.page, r["count"]) for r in rows.groupBy("doc_id", "page").count().collect())
+    assert all(r.sorted for r in got.collect())
+    words = spark.createDataFrame([(1, 1, 0, "a", 0.0, 8.0, 0.0, 10.0), (1, 1, 1, "a", 1.0, 9.0, 0.0, 10.0), (1, 2, 0, "a", 0.0, 8.0, 0.0, 10.0)], "doc_id long, page int, word_no int, text string, x0 double, x1 double, top double, bottom double")
+    found = pages.distinct_words(words)
+    assert sorted((r.page, r.word_no) for r in found.collect()) == [(1, 0), (2, 0)] and found.columns == words.columns
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
