@@ -209,3 +209,14 @@ def test_sections_after_the_authors_end_the_head():
     split = "A River\n## Authors\nJane Q. Doe1, Max van Dam1,2\n## Affiliations\n1 University of Alder, Alder\n2 Institute of Boats, Birch\n## Abstract\nAna Lima3"
     got = people.scan_header(split, "A River")
     assert [a["family"] for a in got["authors"]] == ["Doe", "van Dam"] and list(got["entries"]) == ["1", "2"]
+
+
+def test_repairs_end_with_the_first_that_reads(monkeypatch):
+    """A response that reads as it is is not walked by any repair; steps look at brackets only, and long strings are passed over at once."""
+    from lectern.operators import records
+
+    assert list(records._outside('{"a\\"]": [1, "x"]} "open {')) == [(0, "{"), (9, "["), (16, "]"), (17, "}")]
+    assert records.quotes_escaped('{"a": "x "y" z\n\\q"}') == '{"a": "x \\"y\\" z\\n\\\\q"}'
+    for name in ("first_object", "closed_in_order", "quotes_escaped", "commas_dropped", "unicode_repaired", "completed"):
+        monkeypatch.setattr(records, name, lambda s: 1 / 0)
+    assert records.repaired('```json\n{"a": "b"}\n```') == '{"a": "b"}'
