@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixed
+from .arrow import by_row
 
 
 def col(c: Column | str) -> Column:
@@ -23,20 +23,22 @@ def one_of(c: Column, values: tuple[str, ...]) -> Column:
 # --- characters -------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+@by_row(T.StringType())
+def nfkc(s: str | None) -> str | None:
+    return None if s is None else unicodedata.normalize("NFKC", s)
 
 
-@F.pandas_udf(T.StringType())
-def unaccented(s: pd.Series) -> pd.Series:
+@by_row(T.StringType())
+def unaccented(s: str | None) -> str | None:
     """Without combining marks, after compatibility decomposition."""
-    return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)), na_action="ignore")
+    if s is None or s.isascii():
+        return s
+    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
-@F.pandas_udf(T.StringType())
-def casefolded(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+@by_row(T.StringType())
+def casefolded(s: str | None) -> str | None:
+    return None if s is None else unicodedata.normalize("NFKC", s).casefold()
 
 
 def spaced(c: Column | str) -> Column:
