@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Types of JSON Schema by how schema_of_variant() begins for them.
-TYPES = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DECIMAL|DOUBLE)", "boolean": "BOOLEAN", "null": "VOID"}
+TYPES = {"object": ("OBJECT",), "array": ("ARRAY",), "string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",), "null": ("VOID",)}
 ERRORS = "array<struct<path:string,message:string>>"
 ROOT = "(root)"
 
@@ -44,14 +44,18 @@ class Compiler:
 
     def below(self, v: Column, rule: dict | bool, path: Column, open_: tuple[str, ...] = ()) -> Column:
         """The errors of a variant and what is in it; open_: references on the way to the rule."""
+        # The array of one element binds the value and its type, so that they are made once and not for each keyword.
+        return F.flatten(F.transform(F.array(F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind"))), lambda x: self.bound(x["v"], x["kind"], rule, path, open_)))
+
+    def bound(self, v: Column, kind: Column, rule: dict | bool, path: Column, open_: tuple[str, ...]) -> Column:
+        """The errors of a variant whose type is known."""
         if isinstance(rule, bool):
             return self.none() if rule else self.error(F.lit(True), path, "is not allowed")
-        kind = F.schema_of_variant(v)
-        found = [self.none()]
-        for keyword, make in self.RULES.items():
-            if keyword in rule:
-                found += make(self, v, kind, rule, path, open_)
-        return F.concat(*found)
+        return F.concat(self.none(), *(e for keyword, make in self.RULES.items() if keyword in rule for e in make(self, v, kind, rule, path, open_)))
+
+    @staticmethod
+    def is_a(kind: Column, *types: str) -> Column:
+        return reduce(lambda a, b: a | b, (kind.startswith(begins) for t in types for begins in TYPES[t]))
 
     @staticmethod
     def none() -> Column:
@@ -76,14 +80,14 @@ class Compiler:
         if isinstance(value, bool):
             return (kind == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == value)
         if isinstance(value, (int, float)):
-            return kind.rlike("^" + TYPES["number"]) & (F.try_variant_get(v, "$", "double") == float(value))
+            return Compiler.is_a(kind, "number") & (F.try_variant_get(v, "$", "double") == float(value))
         if isinstance(value, str):
             return (kind == "STRING") & (F.try_variant_get(v, "$", "string") == value)
         return F.to_json(v) == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
     def _type(self, v: Column, kind: Column, rule: dict, path: Column, open_: tuple) -> list[Column]:
         allowed = [rule["type"]] if isinstance(rule["type"], str) else rule["type"]
-        return [self.error(~kind.rlike("^(" + "|".join(TYPES[t] for t in allowed) + ")"), path, "is not of type " + " or ".join(allowed))]
+        return [self.error(~self.is_a(kind, *allowed), path, "is not of type " + " or ".join(allowed))]
 
     def _enum(self, v: Column, kind: Column, rule: dict, path: Column, open_: tuple) -> list[Column]:
         among = reduce(lambda a, x: a | F.coalesce(self.equals(v, kind, x), F.lit(False)), rule["enum"], F.lit(False))
@@ -101,7 +105,7 @@ class Compiler:
 
     def _number(test: Callable[[Column, object], Column], keyword: str, what: str):  # noqa: N805
         def make(self: Compiler, v: Column, kind: Column, rule: dict, path: Column, open_: tuple) -> list[Column]:
-            x = F.when(kind.rlike("^" + TYPES["number"]), F.try_variant_get(v, "$", "double"))
+            x = F.when(self.is_a(kind, "number"), F.try_variant_get(v, "$", "double"))
             return [self.error(test(x, rule[keyword]), path, what.format(rule[keyword]))]
 
         return make
@@ -117,14 +121,15 @@ class Compiler:
         return [self.error(kind.startswith("OBJECT") & self.field(v, k).isNull(), path, f"has no {k}") for k in rule["required"]]
 
     def _properties(self, v: Column, kind: Column, rule: dict, path: Column, open_: tuple) -> list[Column]:
-        there = lambda k: F.coalesce(kind.startswith("OBJECT") & self.field(v, k).isNotNull(), F.lit(False))
-        return [F.when(there(k), self.below(self.field(v, k), r, self.inside(path, F.lit(k)), open_)).otherwise(self.none()) for k, r in rule["properties"].items()]
+        own = lambda k: F.when(kind.startswith("OBJECT"), self.field(v, k))
+        each = lambda k, r: F.flatten(F.transform(F.filter(F.array(own(k)), lambda x: x.isNotNull()), lambda x: self.below(x, r, self.inside(path, F.lit(k)), open_)))
+        return [each(k, r) for k, r in rule["properties"].items()]
 
     def _additional(self, v: Column, kind: Column, rule: dict, path: Column, open_: tuple) -> list[Column]:
         of = rule["additionalProperties"]
         if of is True or of == {}:
             return []
-        names = F.array_sort(F.json_object_keys(F.when(F.coalesce(kind.startswith("OBJECT"), F.lit(False)), F.to_json(v))))
+        names = F.array_sort(F.map_keys(F.when(F.coalesce(kind.startswith("OBJECT"), F.lit(False)), F.try_variant_get(v, "$", "map<string,variant>"))))
         more = F.filter(names, lambda k: ~k.isin(*rule.get("properties", {"": {}})))
         if of is False:
             return [F.coalesce(F.transform(more, lambda k: F.struct(path.alias("path"), F.concat(F.lit("has no place for "), k).alias("message"))), self.none())]
@@ -136,27 +141,27 @@ class Compiler:
         return [F.when(F.coalesce(kind.startswith("ARRAY"), F.lit(False)), each).otherwise(self.none())]
 
     def _all(self, v: Column, kind: Column, rule: dict, path: Column, open_: tuple) -> list[Column]:
-        return [self.below(v, r, path, open_) for r in rule["allOf"]]
+        return [self.bound(v, kind, r, path, open_) for r in rule["allOf"]]
 
-    def _met(self, v: Column, rules: list, path: Column, open_: tuple) -> Column:
+    def _met(self, v: Column, kind: Column, rules: list, path: Column, open_: tuple) -> Column:
         """How many of the rules hold."""
-        return reduce(lambda a, r: a + (F.size(self.below(v, r, path, open_)) == 0).cast("int"), rules, F.lit(0))
+        return reduce(lambda a, r: a + (F.size(self.bound(v, kind, r, path, open_)) == 0).cast("int"), rules, F.lit(0))
 
     def _any(self, v: Column, kind: Column, rule: dict, path: Column, open_: tuple) -> list[Column]:
-        return [self.error(self._met(v, rule["anyOf"], path, open_) == 0, path, "meets none of the alternatives")]
+        return [self.error(self._met(v, kind, rule["anyOf"], path, open_) == 0, path, "meets none of the alternatives")]
 
     def _one(self, v: Column, kind: Column, rule: dict, path: Column, open_: tuple) -> list[Column]:
-        n = self._met(v, rule["oneOf"], path, open_)
+        n = self._met(v, kind, rule["oneOf"], path, open_)
         return [self.error(n == 0, path, "meets none of the alternatives"), self.error(n > 1, path, "meets several alternatives")]
 
     def _not(self, v: Column, kind: Column, rule: dict, path: Column, open_: tuple) -> list[Column]:
-        return [self.error(self._met(v, [rule["not"]], path, open_) == 1, path, "is what it must not be")]
+        return [self.error(self._met(v, kind, [rule["not"]], path, open_) == 1, path, "is what it must not be")]
 
     def _ref(self, v: Column, kind: Column, rule: dict, path: Column, open_: tuple) -> list[Column]:
         reference = rule["$ref"]
         if reference in open_:
             raise ValueError("the schema refers to itself: " + " -> ".join((*open_, reference)))
-        return [self.below(v, resolved(self.schema, reference), path, (*open_, reference))]
+        return [self.bound(v, kind, resolved(self.schema, reference), path, (*open_, reference))]
 
     RULES = {  # in the order of their errors
         "$ref": _ref, "type": _type, "enum": _enum, "const": _const,
@@ -171,6 +176,5 @@ class Compiler:
 
 def errors(record: Column, schema: dict) -> Column:
     """array<struct<path, message>>: where a record's JSON text does not meet the schema, fields in the schema's order. A text that is no JSON, and a null, are one error at the root."""
-    v = F.try_parse_json(record)
     no_json = F.array(F.struct(F.lit(ROOT).alias("path"), F.lit("is no JSON").alias("message")))
-    return F.when(v.isNull(), no_json).otherwise(Compiler(schema).below(v, schema, F.lit(ROOT)))
+    return F.transform(F.array(F.try_parse_json(record)), lambda v: F.when(v.isNull(), no_json).otherwise(Compiler(schema).below(v, schema, F.lit(ROOT))))[0]

@@ -120,3 +120,12 @@ def test_no_json_and_null(spark):
 def test_references_that_are_refused(spark, rule, why):
     with pytest.raises(ValueError, match=why):
         schema.errors(F.lit("{}"), rule)
+
+
+def test_a_record_is_parsed_once_and_each_value_typed_once(spark):
+    """The expression names the record's parse once, and the type of a value once for each place of the schema, not once for each keyword."""
+    rule = {"type": "object", "required": ["a", "b"], "properties": {"a": {"allOf": [{"type": "string"}, {"minLength": 2, "maxLength": 3, "pattern": "^x"}]}, "b": {"type": "array", "items": {"type": "integer", "minimum": 1, "maximum": 2}}}}
+    df = spark.createDataFrame([('{"a": "y", "b": [3]}',)], "s string").select(schema.errors(F.col("s"), rule).alias("e"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json(") == 1 and plan.count("schema_of_variant(") == 4  # the record, a, b, an item of b
+    assert [x.path for x in df.first().e] == ["a", "a", "b.0"]
