@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lectern.operators import registry
 from lectern.plans import document
 from lectern.sources import lookups
 from lectern.sources.adapters import Budget, Options, Retry
@@ -110,3 +111,21 @@ def test_records_with_lookups(spark, tmp_path):
     assert asked(log) == sorted(["nowhere", "the university of alder", "university of alder", "university of alder, norway"])
     document.documents(docs, options).first()
     assert len(asked(log)) == 4
+
+
+def test_names_that_share_popular_words_make_no_pairs(spark):
+    """Names of popular words only: what is paired for comparison follows the matches, not the products of a word's names (before: 200 x 200 pairs and more)."""
+    words = ["alder", "birch", "cedar", "dogwood", "elm", "fir", "gorse", "hazel"]
+    names = [" ".join(words[(i // 8**k) % 8] for k in range(4)) + f" {words[i % 8]}x{i % 5}" for i in range(400)]
+    orgs = spark.createDataFrame([(f"o{i:03}", n, []) for i, n in enumerate(names)], "org_id string, display_name string, names array<string>")
+    asked = spark.createDataFrame([(" ".join(reversed(n.split())),) for n in names] + [("the " + names[7] + " of it",), ("alder",)], "name string")
+    got = registry.matches(asked, orgs)
+    rows = {r.name: r for r in got.collect()}
+    assert set(rows) == {r.name for r in asked.collect()} - {"alder"}
+    want = {}
+    for i, n in enumerate(names):
+        want.setdefault(" ".join(sorted(set(n.split()))), f"o{i:03}")
+    assert all(r.org_id == want[" ".join(sorted(set(k.split())))] for k, r in rows.items() if not r.phrase)
+    assert rows["the " + names[7] + " of it"].phrase
+    pairs = registry.candidates(asked, orgs)[0].count()
+    assert pairs < 10 * len(names), pairs
