@@ -40,6 +40,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a task of dealt() gets in the mean, at most.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to spark.sql.shuffle.partitions tasks, or as many more as keep each to TASK_ROWS rows. For rows that are cheap to count."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // TASK_ROWS)), *keys)
+
+
 def written(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
     """df computed once and kept as a compressed table, for whole texts. It is deleted when the session ends; `instead`, a table written before that nothing
     but df has to read, is deleted now."""

@@ -191,3 +191,22 @@ def test_pages_are_read_from_sorted_rows(spark):
     found = pages.distinct_words(words)
     assert sorted((r.page, r.word_no) for r in found.collect()) == [(1, 0), (2, 0)] and found.columns == words.columns
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_page_vocabulary_comes_with_its_blocks(spark):
+    """The same words as page_vocabulary() of the lines, and no join: the lines are in the plan once."""
+    from lectern.operators import layout
+
+    rows = spark.createDataFrame([(1, 1, 0, ["A well-known re-", "sult"]), (1, 1, 1, ["Result ", ""]), (2, 1, 0, ["ä b"])], "doc_id long, page int, block_no int, lines array<string>")
+    got = {(r.doc_id, r.block_no): sorted(r.vocabulary) for r in layout.with_vocabulary(rows).collect()}
+    lines = rows.selectExpr("doc_id", "page", "explode(lines) AS text")
+    want = {r.doc_id: sorted(r.vocabulary) for r in layout.page_vocabulary(lines).collect()}
+    assert got == {(1, 0): want[1], (1, 1): want[1], (2, 0): want[2]}
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark, monkeypatch):
+    from lectern import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    assert session.dealt(spark.range(5_000), "id").rdd.getNumPartitions() == 50
+    assert session.dealt(spark.range(5), "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
