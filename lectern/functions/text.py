@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,7 +44,8 @@ def casefolded(s: str | None) -> str | None:
 
 def spaced(c: Column | str) -> Column:
     """Runs of white space become one blank; trimmed."""
-    return F.btrim(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    # A blank that stands alone is left as it is.
+    return F.btrim(F.regexp_replace(col(c), r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def unified(c: Column | str) -> Column:
@@ -109,6 +111,21 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(col(c), r"(?U)\s+"), lambda w: w != "")
 
 
+def counted(c: Column, pattern: str) -> Column:
+    """How often the pattern is met."""
+    return F.size(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+
+
+def n_words(c: Column | str) -> Column:
+    """size(words(c)), without an array of words that a lambda goes through."""
+    return counted(col(c), r"(?U)\S+")
+
+
+def core_size(c: Column, around: str) -> Column:
+    """Characters of c without those of `around` at both ends: whether it can be one of a list of short values is told by this before a pattern reads all of it."""
+    return F.length(F.btrim(c, F.lit(around)))
+
+
 def gram_keys(toks: Column, n: int) -> Column:
     """A 64-bit key of each n-gram of tokens, in order and with repeats; none if there are fewer tokens. For comparisons within a document,
     where two n-grams share a key with a chance of 1e-9 even at 200,000 words."""
@@ -134,7 +151,9 @@ def containment(a: Column, b: Column) -> Column:
 
 def is_placeholder(c: Column | str) -> Column:
     v = F.btrim(F.regexp_replace(F.lower(F.btrim(col(c))), "[.…]+$", ""))
-    return F.coalesce(one_of(v, fixed.PLACEHOLDERS) | v.rlike(r"^keyword\s*\d*$"), F.lit(False))
+    short = (core_size(col(c), " .…") <= max(map(len, fixed.PLACEHOLDERS))) | (F.lower(F.substring(F.btrim(col(c)), 1, 7)) == "keyword")
+    # What AND joins may be computed ahead where it occurs twice; what WHEN guards is not.
+    return F.coalesce(F.when(short, one_of(v, fixed.PLACEHOLDERS) | v.rlike(r"^keyword\s*\d*$")), F.lit(False))
 
 
 def is_placeholder_person(name: Column, given: Column, family: Column) -> Column:
@@ -151,11 +170,13 @@ def is_section_label(c: Column | str) -> Column:
     """Nothing but section words, 45 characters at most."""
     t = F.lower(F.btrim(F.regexp_replace(F.coalesce(col(c), F.lit("")), "[#*•:/\\-–—]", " ")))
     toks = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    return (F.length(t) <= 45) & (F.size(toks) > 0) & F.forall(toks, lambda w: one_of(w, fixed.SECTION_LABELS))
+    short = core_size(F.coalesce(col(c), F.lit("")), " #*•:/-–—") <= 45  # lower case is never shorter
+    return F.when(short, (F.length(t) <= 45) & (F.size(toks) > 0) & F.forall(toks, lambda w: one_of(w, fixed.SECTION_LABELS))).otherwise(F.lit(False))
 
 
 def is_section_keyword(c: Column | str) -> Column:
-    return one_of(F.lower(F.btrim(F.regexp_replace(F.btrim(col(c)), r"[:.\s]+$", ""))), fixed.SECTION_KEYWORDS)
+    short = core_size(col(c), " :.\t\n\x0b\f\r") <= max(map(len, fixed.SECTION_KEYWORDS))
+    return short & one_of(F.lower(F.btrim(F.regexp_replace(F.btrim(col(c)), r"[:.\s]+$", ""))), fixed.SECTION_KEYWORDS)
 
 
 def is_bare_label(c: Column | str) -> Column:
@@ -166,38 +187,45 @@ def is_bare_label(c: Column | str) -> Column:
 def looks_like_header(c: Column | str) -> Column:
     """One to eight words, 60 characters at most, begins with a capital or digit, no sentence, no caption."""
     t = col(c)
-    n = F.size(words(t))
-    return (n >= 1) & (n <= 8) & (F.length(t) <= 60) & t.rlike(r"^[\p{Lu}\p{Nd}]") & ~t.rlike(r"[.,;]$") & ~t.rlike(r"(?i)^(?:fig(?:ure)?|table|tab)\.?\s*\d")
+    n = n_words(t)
+    return (F.length(t) <= 60) & (n >= 1) & (n <= 8) & t.rlike(r"^[\p{Lu}\p{Nd}]") & ~t.rlike(r"[.,;]$") & ~t.rlike(r"(?i)^(?:fig(?:ure)?|table|tab)\.?\s*\d")
 
 
 def looks_like_sentence(c: Column | str, least: int = 6) -> Column:
     t = col(c)
-    toks, alpha = words(t), letter_words(t)
-    letters = F.aggregate(alpha, F.lit(0), lambda n, w: n + F.length(w))
-    share = letters / F.greatest(F.length(F.replace(t, F.lit(" "), F.lit(""))), F.lit(1))
-    lower = F.exists(alpha, lambda w: (w == F.lower(w)) & (w != F.upper(w)))
-    return (F.size(toks) >= least) & (F.size(alpha) >= max(least - 1, 2)) & (share >= 0.6) & ~t.rlike(r"@\S+\.\S+|https?://|www\.") & lower
+    size = F.greatest(F.length(F.replace(t, F.lit(" "), F.lit(""))), F.lit(1))
+    # The array of one element binds the words, so that they are found once.
+    enough = F.exists(F.array(letter_words(t)), lambda a: (F.size(a) >= max(least - 1, 2)) & (F.length(F.array_join(a, "")) / size >= 0.6))
+    # A word of a-z tells it nearly always; without one, single words are looked at where some letter has a capital.
+    lower = t.rlike(r"(?<!\p{L})[a-z]{2,}(?!\p{L})") | ((t != F.upper(t)) & F.exists(letter_words(t), lambda w: (w == F.lower(w)) & (w != F.upper(w))))
+    address = (F.contains(t, F.lit("@")) | F.contains(t, F.lit("://")) | F.contains(t, F.lit("www."))) & t.rlike(r"@\S+\.\S+|https?://|www\.")
+    return (n_words(t) >= least) & lower & ~address & enough
 
 
 def is_author_line(c: Column | str) -> Column:
     """Heavy in digits, commas, initials or capitalised names."""
     t = col(c)
-    w = words(t)
-    n = F.size(w)
-    count = lambda p: F.size(F.filter(w, p))
+    # Each pattern begins where a word begins, so a line is read once for each, not word by word, and only where there are enough of its signs.
+    word = lambda p: rf"(?U)(?<!\S)(?:{p})"
     commas = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
-    digits = count(lambda x: x.rlike(r"\d|^[*†‡§¶,]+$"))
-    seps = count(lambda x: x.isin(",", "&", "and", ";"))
-    initials = count(lambda x: x.rlike(r"^(?:[A-Z]\.)+,?$"))
-    names = F.forall(w, lambda x: x.rlike(r"^(?:\p{Lu}|\P{L})") | (x == "and"))
-    rules = (digits / n > 0.25) | ((commas >= 3) & (commas / n > 0.3)) | ((initials >= 2) & ((initials + seps) / n >= 0.3)) | ((commas >= 2) & (commas / n >= 0.15) & names)
-    return F.when(n == 0, True).otherwise(rules)
+    signs, digits = counted(t, r"[0123456789*†‡§¶,]+"), counted(t, word(r"[^\s0-9]*+[0-9]|[*†‡§¶,]++(?!\S)"))
+    seps, initials = counted(t, word(r"(?:[,&;]|and)(?!\S)")), counted(t, word(r"(?:[A-Z]\.)++,?(?!\S)"))
+    names = ~t.rlike(word(r"(?!and(?!\S))[\p{L}&&[^\p{Lu}]]"))
+
+    def rules(n: Column) -> Column:
+        listed = ((commas >= 3) & (commas / n > 0.3)) | ((commas >= 2) & (commas / n >= 0.15) & names)
+        return F.when(n == 0, True).otherwise(listed | ((signs / n > 0.25) & (digits / n > 0.25)) | (t.rlike(r"[A-Z]\.") & (initials >= 2) & ((initials + seps) / n >= 0.3)))
+
+    # The array of one element binds the number of words, so that they are counted once.
+    return F.exists(F.array(n_words(t)), rules)
 
 
 def is_rights_junk(c: Column | str) -> Column:
     t = F.btrim(F.coalesce(col(c), F.lit("")))
-    pattern = "(?i)" + "|".join(f"(?:{p})" for p in fixed.RIGHTS_JUNK)
-    return (t == "") | (F.length(t) > 200) | t.rlike(pattern)
+    begins, within = ("|".join(f"(?:{p})" for p in fixed.RIGHTS_JUNK if p.startswith("^") == at) for at in (True, False))
+    low = F.lower(t)
+    marked = reduce(Column.__or__, (F.contains(low, F.lit(m)) for m in fixed.JUNK_MARKS))
+    return (t == "") | (F.length(t) > 200) | t.rlike(f"(?i)^(?:{begins})") | (marked & t.rlike(f"(?i){within}"))
 
 
 def ran_into_body(c: Column | str) -> Column:
@@ -208,7 +236,7 @@ def ran_into_body(c: Column | str) -> Column:
 def affiliation_like(c: Column | str) -> Column:
     """No bullet or quote, 24 words at most, no words of a sentence."""
     t = col(c)
-    return ~t.rlike("^[•▪●\\-–*\"“]") & (F.size(words(t)) <= 24) & ~t.rlike(r"(?i)\b(?:we|our|this|these|was|were|is|are|have|has|that|which)\b")
+    return ~t.rlike("^[•▪●\\-–*\"“]") & (n_words(t) <= 24) & ~t.rlike(r"(?i)\b(?:we|our|this|these|was|were|is|are|have|has|that|which)\b")
 
 
 def is_rotated(upright: Column, matrix: Column) -> Column:
