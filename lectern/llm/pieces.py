@@ -67,8 +67,8 @@ class Pieces:
     def text(self, row: int) -> str:
         return self.data[self.at[row] : self.at[row + 1]].tobytes().decode("utf-8", "replace")
 
-    def numbered(self, index: HashIndex) -> tuple[np.ndarray, list[str]]:
-        """Each piece's number in the index, and the strings of the numbers that this call added to it.
+    def numbered(self, index: HashIndex, strings: bool = True) -> tuple[np.ndarray, list[str]]:
+        """Each piece's number in the index, and the strings of the numbers that this call added to it (none if they are not asked for).
 
         Every piece is compared, byte for byte, with the string of its number; a text with a piece that only has the
         key of another joins those that are left whole."""
@@ -81,8 +81,8 @@ class Pieces:
             known, at = index.n, miss[first]
             index.add(new, self.data, self.start[at], self.end[at])
             found[miss] = known + back.astype(np.int32)
-            blob = self.data.tobytes()
-            texts = [blob[a:b].decode("utf-8", "replace") for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+            blob = self.data.tobytes() if strings else b""
+            texts = [] if not strings else [blob[a:b].decode("utf-8", "replace") for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
         same = index.same(found, self.data, self.start, self.end)
         if not same.all():
             self.whole = np.union1d(self.whole, self.row[~same])

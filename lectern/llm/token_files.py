@@ -79,6 +79,22 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return order[rank & _MASKS[code]] if n else np.zeros(0, np.uint32), lengths, keys, null
 
 
+class _Strings:
+    """Spans of bytes as strings, made when they are asked for."""
+
+    def __init__(self, blob: bytes, start: list[int], end: list[int]):
+        self.blob, self.start, self.end = blob, start, end
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, i: int) -> str:
+        return self.blob[self.start[i] : self.end[i]].decode("utf-8", "replace")
+
+    def joined(self, which: list[int]) -> str:
+        return b"".join([self.blob[self.start[i] : self.end[i]] for i in which]).decode("utf-8", "replace")
+
+
 class Encoder:
     """Ids of whole texts from the tokenizers library, which sees each distinct piece once."""
 
@@ -104,9 +120,12 @@ class Encoder:
         self.index, self.flat = HashIndex(), np.zeros(0, np.uint32)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        """Appends the ids of new pieces. Pieces are joined so that a call to the library has many of them: those that
-        begin with a blank as they are, for only their first id begins with one; others by line ends."""
+    def _learn(self, known: int) -> None:
+        """Appends the ids of the index's pieces from number `known` on. Pieces are joined so that a call to the library has many of them: those that
+        begin with a blank as they are, for only their first id begins with one; others by line ends. The first, nearly all, are joined as bytes."""
+        data, start, end_ = self.index.data, self.index.at[known:-1], self.index.at[known + 1 :]
+        blob = data[start[0] :].tobytes()
+        new = _Strings(blob, (start - start[0]).tolist(), (end_ - start[0]).tolist())
         flat: list[np.ndarray] = []
         at, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         end = len(self.flat)
@@ -117,11 +136,11 @@ class Encoder:
             flat.append(ids)
             end += len(ids)
 
-        joined: dict[str, list[int]] = {" ": [], "\n": []}
-        for i, p in enumerate(new):
-            if p[0] == " " and len(p) > 1:
-                joined[" "].append(i)
-            elif len(self.line) == 1 and p.split() == [p]:
+        blank = (data[start] == 0x20) & (end_ - start > 1)
+        joined: dict[str, list[int]] = {" ": np.flatnonzero(blank).tolist(), "\n": []}
+        for i in np.flatnonzero(~blank).tolist():
+            p = new[i]
+            if len(self.line) == 1 and p.split() == [p]:
                 joined["\n"].append(i)
             else:
                 ids = self.ids(p)
@@ -129,7 +148,7 @@ class Encoder:
         for by, which in joined.items():
             for lo in range(0, len(which), 8192):
                 part = which[lo : lo + 8192]
-                ids = self.ids("".join([new[i] for i in part]) if by == " " else by.join([new[i] for i in part]))
+                ids = self.ids(new.joined(part) if by == " " else by.join([new[i] for i in part]))
                 cut = np.flatnonzero(self.blank[ids] if by == " " else ids == self.line[0])
                 if len(cut) != len(part) - (by == "\n") or by == " " and cut[0]:
                     for i in part:
@@ -148,9 +167,10 @@ class Encoder:
         if self.index.n > MOST_KEPT:
             self.reset()
         p = Pieces(data, offs, lo, hi, self.special)
-        number, new = p.numbered(self.index)
-        if new:
-            self._learn(new)
+        known = self.index.n
+        number, _ = p.numbered(self.index, strings=False)
+        if self.index.n > known:
+            self._learn(known)
         size = self.size[number]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

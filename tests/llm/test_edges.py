@@ -81,3 +81,23 @@ def test_recall_of_line_candidates(spark):
     assert not any(i + 1 in gone for i, s in pairs if s < 0.8)
     assert len(near) > 60 and sum(near) / len(near) >= 0.9 and len(same) > 60 and sum(same) / len(same) >= 0.98
     assert brute.near(80)(frozenset("ab"), frozenset("ab"))
+
+
+def test_new_pieces_are_joined_without_a_string_for_each():
+    """op9_token_files: pieces that begin with a blank reach the library as joined bytes; ids are those of whole texts."""
+    import pyarrow as pa
+    import public_tokenizers
+    from lectern.llm import textnum, token_files
+
+    e = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["the river runs\nTwo  blanks é 中文 x", "", " ", "a b\tc", "the river again 😀 é\n", "  x y"]
+    data, offs = textnum.buffers(pa.array(texts))
+    asked = []
+    made = token_files._Strings.__getitem__
+    token_files._Strings.__getitem__ = lambda self, i: asked.append(made(self, i)) or asked[-1]
+    try:
+        flat, count = e.slice(data, offs, 0, len(texts))
+    finally:
+        token_files._Strings.__getitem__ = made
+    assert [flat[b - n : b].tolist() for b, n in zip(count.cumsum().tolist(), count.tolist(), strict=True)] == [e.ids(t).tolist() for t in texts]
+    assert asked and not any(len(p) > 1 and p[0] == " " for p in asked)
