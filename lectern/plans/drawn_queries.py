@@ -58,7 +58,7 @@ def layout_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         return docs.join(ids, "doc_id", "left_semi").select("doc_id", _with_headers("text", lambda i: i % 3 == 0))
 
     got = attempts.with_fallback(first, _pieces, other)
-    return got.select("doc_id", "engine", F.round("score", 6).alias("score"), F.length("text").cast("long").alias("n_chars"), F.array_join("reasons", ",").alias("reasons"))
+    return got.select("doc_id", "engine", F.round("score", 6).alias("score"), F.col("n_chars").cast("long").alias("n_chars"), F.array_join("reasons", ",").alias("reasons"))
 
 
 FALLBACK = """

@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from lectern import session
 from lectern.operators import attempts, records
-from lectern.plans import files
+from lectern.plans import drawn_queries as queries, files
 from lectern.sources.adapters import GLYPHS, OBJECTS, Options
 
 DOCS = [(1, "short", None), (2, "a longer text of some words", "Captions are marked."), (3, "cut off", None), (4, "never", None), (5, "word " * 300, None), (6, None, None), (7, "silent", None), (8, "list", None)]
@@ -87,6 +88,43 @@ def test_fallback_reads_runaway_documents_only(spark):
     assert attempts.with_fallback(df.limit(0), structure, other).count() == 0
 
 
+def test_fallback_joins_counts_and_not_texts(spark, monkeypatch):
+    """Only what other() gives meets ids with its text; answers stay where they were written."""
+    joined = []
+
+    def columns(plan):
+        for i in range(plan.children().size()):
+            child = plan.children().apply(i)
+            if plan.nodeName() == "Join":
+                joined.append({child.output().apply(k).name() for k in range(child.output().size())})
+            columns(child)
+
+    def watched(df, *args):
+        columns(df._jdf.queryExecution().optimizedPlan())
+        return session.written(df, *args)
+
+    monkeypatch.setattr(attempts, "written", watched)
+    texts = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("## a\nb\n"), 6), F.repeat(F.lit("long "), 200), F.col("id").cast("string")).alias("text"))
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("## c\nwords "), (F.col("id") % 10).cast("string"), F.lit("\n")), 9).alias("text"))
+    got = attempts.with_fallback(texts, queries._pieces, lambda ids: rows.join(ids, "doc_id", "left_semi"))
+    assert sum("text" in x for x in joined) == 2 and not any("response" in x for x in joined)
+    assert {(r.engine, r.n_chars, len(r.text)) for r in got.collect()} == {("second", 117, 117)}
+
+
+def test_sizes_of_sections_are_those_of_the_repaired_json(spark):
+    """By Python where the sections are plain, by the JSON otherwise: the same sizes."""
+    body = ['{"content":{"sections":[{"sectionContent":"a\U0001f600é"},{"sectionContent":""}]}}', '{"content":{"sections":[{"sectionContent":null},{"sectionContent":"ab"}]}}', '{"content":{"sections":[]}}', '{"content":{"sections":[{}]}}', '{"content":{"sections":[null]}}']
+    body += ['{"posterContent":{"sections":[{"sectionContent":"abc"}]}}', '{"content":{},"posterContent":{"sections":[{"sectionContent":"abc"}]}}', '{"content":"x"}', '{"content":{"sections":"x"}}', '{"content":{"sections":[{"sectionContent":5}]}}', '{"content":{"sections":[{"sectionContent":["a"]}]}}']
+    body += ['[1, {"content":{"sections":[{"sectionContent":"ab"}]}}]', '```json\n{"content":{"sections":[{"sectionContent":"ab"}]}}\n```', '{"content":{"sections":[{"sectionContent":"a "b" c"}', "{}", "none", "", None]
+    df = spark.createDataFrame(list(enumerate(body)), "doc_id int, response string")
+    r = F.from_json(records.repaired_json("response"), attempts._CONTENT)
+    sizes = F.transform(F.coalesce(r["content"]["sections"], r["posterContent"]["sections"]), lambda s: F.length(F.coalesce(s["sectionContent"], F.lit(""))))
+    want = {x.doc_id: (x.sizes, x.failed) for x in df.select("doc_id", sizes.alias("sizes"), records.repaired_json("response").isNull().alias("failed")).collect()}
+    assert {x.doc_id: (x.sizes, x.failed) for x in attempts._said(df).collect()} == want and want[0][0] == [3, 0]
+    lone = spark.createDataFrame([(0, '{"content":{"sections":[{"sectionContent":"a\\ud800"}]}}')], "doc_id int, response string")
+    assert [x.sizes for x in attempts._said(lone).collect()] == [[2]]  # half a character: has no bytes of its own, and stopped the job
+
+
 LINES = [("Depth of the River in Spring", 20, 40, 24, True), ("Methods", 20, 130, 10, True), ("we measured the depth of the river twice a day in the village", 20, 142, 10, False), ("and wrote it down in the parish book for all who came by", 20, 154, 10, False), ("the river rose by day and fell by night in every week", 20, 416, 9, False), ("Table 2. Boats by town and year", 20, 600, 9, False), ("Results", 20, 700, 10, True), ("the boats were all back in the autumn of the same year", 20, 712, 10, False)]
 
 
