@@ -13,7 +13,7 @@ documents stays, in all its documents but the first equal lines go too."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,11 @@ HOT = 16
 RARE = 24
 #: A long line with fewer distinct shingles than this in the quarter takes its minima over all shingles, too.
 SMALL = 8
+#: Shingles at the beginning of a line that tell, where enough of them are distinct, that it is long and its quarter not small.
+BEGINNING = 160
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(9, 14)]] = True
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 class Lines:
@@ -58,8 +61,16 @@ class Lines:
         np.cumsum(~_BLANK[raw], out=ink[1:])
         keep = ink[end] > ink[start]
         self.start, self.end, self.row, self.number = start[keep], end[keep], row[keep], self.number[keep]
-        self.count = np.bincount(self.row, minlength=self.rows)
-        self.hash = span_hashes(raw, self.start, self.end)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return span_hashes(self.data, self.start, self.end)
+
+
+@lru_cache
+def _codes() -> np.ndarray:
+    """Hashes of all code points."""
+    return mix(np.arange(1, 0x110001, dtype=U))
 
 
 def characters(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,28 +79,31 @@ def characters(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     place = np.zeros(len(lines.data) + 1, np.int64)
     np.cumsum((lines.data & 0xC0) != 0x80, out=place[1:])
     a, b = place[lines.start[which]], place[lines.end[which]]
-    x = mix(code.astype(U) + U(1))
+    x = _codes()[code]
     for k in (1, 2, 4):
-        x = x[:-k] * U((0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & 0xFFFFFFFFFFFFFFFF) + x[k:] if len(x) > k else x[:0]
+        right = x[k:]
+        x = x[:-k] * U((0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & 0xFFFFFFFFFFFFFFFF) if len(x) > k else x[:0]
+        x += right
     n = np.maximum(b - a - GRAM + 1, 0)
     bounds = np.concatenate([[0], np.cumsum(n)])
     pick = np.arange(int(bounds[-1])) + np.repeat(a - bounds[:-1], n)
     return mix(x[pick]), bounds
 
 
-def bands(h: np.ndarray, bounds: np.ndarray, salt: int, n_bands: int = BANDS, n_rows: int = ROWS) -> np.ndarray:
-    """Band signatures (lines x bands) of non-empty runs of hashes."""
+def bands(h: np.ndarray, bounds: np.ndarray, salt: np.ndarray, n_bands: int = BANDS, n_rows: int = ROWS) -> np.ndarray:
+    """Band signatures (lines x bands) of non-empty runs of hashes, each with its salt."""
     low = (h >> U(32)).astype(np.uint32)
-    rng = np.random.default_rng(29)
-    out = np.zeros((len(bounds) - 1, n_bands), U)
-    for band in range(n_bands):
-        key = np.full(len(bounds) - 1, U(salt * 1000 + band), U)
-        for _ in range(n_rows):
-            a, b = rng.integers(0, 1 << 31, 2)
-            least = np.minimum.reduceat((low ^ np.uint32(b)) * np.uint32(2 * a + 1), bounds[:-1])
-            key = mix(key * U(0x9E3779B97F4A7C15) + least.astype(U) + U(1))
-        out[:, band] = key
-    return out
+    n = len(bounds) - 1
+    own = np.empty_like(low)
+    least = np.empty((n_bands * n_rows, n), np.uint32)
+    for i, (a, b) in enumerate(np.random.default_rng(29).integers(0, 1 << 31, (n_bands * n_rows, 2)).tolist()):
+        np.bitwise_xor(low, np.uint32(b), out=own)
+        np.multiply(own, np.uint32(2 * a + 1), out=own)
+        np.minimum.reduceat(own, bounds[:-1], out=least[i])
+    key = salt.astype(U) * U(1000) + np.arange(n_bands, dtype=U)[:, None]
+    for row in range(n_rows):
+        key = mix(key * U(0x9E3779B97F4A7C15) + least[row::n_rows].astype(U) + U(1))
+    return np.ascontiguousarray(key.T)
 
 
 def _places_task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
@@ -105,11 +119,33 @@ def _places_task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
 
 def _runs(h: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the lines `own`, and their bounds."""
+    if len(own) == len(bounds) - 1:
+        return h, bounds
     size = bounds[own + 1] - bounds[own]
     at = np.concatenate([[0], np.cumsum(size)])
     return h[np.arange(int(at[-1])) + np.repeat(bounds[own] - at[:-1], size)], at
 
 
+def _scales(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles each line has, and how many in the quarter; of lines with 128 and SMALL of them or more, these may be less, down to that many."""
+    size = np.diff(bounds)
+    n, parts = size.copy(), np.zeros(len(size), np.int64)
+    long = size >= 96  # only these can have 96 distinct shingles
+    known = np.flatnonzero(size > BEGINNING)
+    if len(known):
+        x = np.sort(h[bounds[known][:, None] + np.arange(BEGINNING)], axis=1)
+        new = np.ones(x.shape, bool)
+        np.not_equal(x[:, 1:], x[:, :-1], out=new[:, 1:])
+        n[known], parts[known] = new.sum(1), (new & ((x & U(3)) == 0)).sum(1)
+        long[known] = (n[known] < 128) | (parts[known] < SMALL)
+    long = np.flatnonzero(long)
+    if len(long):
+        g, at = _runs(h, bounds, long)
+        g, row, at = distinct_sorted(g, np.repeat(np.arange(len(long)), np.diff(at)), len(long))
+        n[long], parts[long] = np.diff(at), np.bincount(row[(g & U(3)) == 0], minlength=len(long))
+    return n, parts
+
+
 def _bands_task(n_bands: int, n_rows: int, parts: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     seen: set[int] = set()
     packs = Packs(parts)
@@ -127,38 +163,41 @@ def _bands_task(n_bands: int, n_rows: int, parts: int) -> Callable[[pa.RecordBat
                     new.append(i)
             which = np.array(new, np.int64)
             h, bounds = characters(x, which)
-            size = np.diff(bounds)
-            n, parts = size.copy(), np.zeros(len(size), np.int64)
-            long = np.flatnonzero(size >= 96)
-            if len(long):  # only these can have 96 distinct shingles
-                g, at = _runs(h, bounds, long)
-                g, row, at = distinct_sorted(g, np.repeat(np.arange(len(long)), np.diff(at)), len(long))
-                n[long], parts[long] = np.diff(at), np.bincount(row[(g & U(3)) == 0], minlength=len(long))
+            n, parts = _scales(h, bounds)
             # A long line with a small quarter emits both, so it shares a salt with each line near its scale.
-            for salt, ok in ((1, (n > 0) & ((n < 128) | (parts < SMALL))), (2, (n >= 96) & (parts > 0))):
-                own = np.flatnonzero(ok)
-                if not len(own):
-                    continue
-                g, at = _runs(h, bounds, own)
-                if salt == 2:
-                    part = (g & U(3)) == 0
-                    g, at = g[part], np.concatenate([[0], np.cumsum(part)])[at]
-                sig = bands(g, at, salt, n_bands, n_rows)
-                yield from packs.add(sig.ravel(), np.repeat(x.hash[which[own]], n_bands))
+            all_, some = np.flatnonzero((n > 0) & ((n < 128) | (parts < SMALL))), np.flatnonzero((n >= 96) & (parts > 0))
+            if not len(all_) + len(some):
+                continue
+            quarter = np.flatnonzero((h & U(3)) == 0)
+            (g, at), (q, to) = _runs(h, bounds, all_), _runs(h[quarter], np.searchsorted(quarter, bounds), some)
+            sig = bands(np.concatenate([g, q]), np.concatenate([at, to[1:] + at[-1]]), np.repeat([1, 2], [len(all_), len(some)]), n_bands, n_rows)
+            yield from packs.add(sig.ravel(), np.repeat(x.hash[which[np.concatenate([all_, some])]], n_bands))
         yield from packs.flush()
 
     return run
 
 
+def _line_texts(x: Lines, which: np.ndarray) -> pa.Array:
+    """The lines `which` as strings, cut from the bytes of all; bytes that are no UTF-8 are replaced."""
+    if not len(which):
+        return pa.array([], pa.string())
+    edges = np.stack([x.start, x.end], 1).ravel().astype(np.int32)  # every other span is a line
+    spans = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(x.data))
+    try:
+        spans.validate(full=True)
+    except pa.ArrowInvalid:
+        blob = x.data.tobytes()
+        return pa.array([blob[a:b].decode("utf-8", "replace") for a, b in zip(x.start[which].tolist(), x.end[which].tolist(), strict=True)], pa.string())
+    return spans.take(pa.array(2 * which))
+
+
 def _texts_task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offs = buffers(batch.column(0))
         for lo, hi in slices(offs):
             x = Lines(data, offs, lo, hi)
             _, first = np.unique(x.hash, return_index=True)
-            blob = x.data.tobytes()
-            texts = [blob[a:b].decode("utf-8", "replace") for a, b in zip(x.start[first].tolist(), x.end[first].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.hash[first].astype(np.int64)), pa.array(texts, pa.string())], ["class", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.hash[first].astype(np.int64)), _line_texts(x, first)], ["class", "line"])
 
     return run
 
@@ -220,8 +259,8 @@ def _verify_task(percent: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordB
     return run
 
 
-def line_components(docs: DataFrame, percent: int = 80, n_bands: int = BANDS, n_rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The lines that are not blank: doc_id, mark (a hash of the text), line (from 0), kept.
+def kept_lines(docs: DataFrame, percent: int = 80, n_bands: int = BANDS, n_rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The lines that stay, of those that are not blank: doc_id, mark (a hash of the text), line (from 0).
 
     One line of each component is kept: that of the smallest doc_id (nulls last), then mark, then line."""
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
@@ -245,24 +284,23 @@ def line_components(docs: DataFrame, percent: int = 80, n_bands: int = BANDS, n_
     reached = connected(near, large, texts, elements, verified, percent, RARE)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark", "line")
     first = places.groupBy("class").agg(F.min(order).alias("first")).join(reached, "class", "left")
-    first = first.select("class", "first", F.coalesce("component", "class").alias("component"))
-    lowest = first.groupBy("component").agg(F.min("first").alias("lowest"))
-    heads = first.join(lowest, "component").where(F.col("first") == F.col("lowest")).select("class", "first")
-    kept = heads.select(F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"), F.col("first.line").alias("line"), F.lit(True).alias("kept"))
-    same = places.alias("p").join(kept.alias("k"), F.col("p.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("p.mark") == F.col("k.mark")) & (F.col("p.line") == F.col("k.line")), "left")
-    return same.select("p.doc_id", "p.mark", "p.line", F.coalesce("k.kept", F.lit(False)).alias("kept"))
+    lowest = first.groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("first").alias("lowest"))
+    return lowest.select("lowest.doc_id", "lowest.mark", "lowest.line")
 
 
 def _rewrite_task() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, total, kept = [], [], []
-        for text, gone, n, k in zip(batch.column(1), batch.column(2), batch.column(3), batch.column(4), strict=True):
-            text, gone = text.as_py(), set(gone.as_py() or ())
-            if text is not None and gone:
-                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+        for text, stay in zip(batch.column(1), batch.column(2), strict=True):
+            text, stay = text.as_py(), set(stay.as_py() or ())
+            lines = text.split("\n") if text else []
+            filled = [i for i, x in enumerate(lines) if x.strip(_BLANKS)]
+            if len(stay) < len(filled):
+                gone = set(filled) - stay
+                text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
             texts.append(text)
-            total.append(n.as_py() or 0)
-            kept.append(k.as_py() or 0)
+            total.append(len(filled))
+            kept.append(len(stay))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(kept, pa.int64())], ["doc_id", "text", "n_lines", "n_kept"])
 
     return run
@@ -282,13 +320,12 @@ def deduped_lines(docs: DataFrame, percent: int = 80, text: str = "text", key: s
 
     A null text stays null and has no lines. Rows that repeat a doc_id are documents of their own if their texts
     differ; equal rows are one document, and each shows its result. Other columns are ignored; an empty table
-    gives an empty result. Texts are shuffled once, to meet the numbers of their lines that go."""
-    per_line = line_components(docs, percent, text=text, key=key, **options)
+    gives an empty result. Texts are shuffled once, to meet the numbers of their lines that stay."""
     of = F.xxhash64("doc_id", "mark")
-    per_doc = per_line.distinct().groupBy(of.alias("of")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("kept").cast("long")).alias("n_kept"), F.collect_list(F.when(~F.col("kept"), F.col("line"))).alias("gone"))
+    per_doc = kept_lines(docs, percent, text=text, key=key, **options).groupBy(of.alias("of")).agg(F.collect_list("line").alias("stay"))
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     rows = arrow_map(rows, _marked_task, "doc_id long, text string, mark long").withColumn("of", of)
-    return arrow_map(rows.join(per_doc, "of", "left").select("doc_id", "text", "gone", "n_lines", "n_kept"), _rewrite_task, "doc_id long, text string, n_lines long, n_kept long")
+    return arrow_map(rows.join(per_doc, "of", "left").select("doc_id", "text", "stay"), _rewrite_task, "doc_id long, text string, n_lines long, n_kept long")
 
 
 def line_digest(docs: DataFrame, **options) -> DataFrame:

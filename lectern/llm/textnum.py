@@ -15,13 +15,19 @@ import xxhash
 
 SLICE_BYTES = 1 << 19
 U = np.uint64
+_BLOCK = 1 << 14
 #: Spans up to this many bytes are hashed together, longer ones each on its own.
 _SHORT = 64
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Spreads the bits of 64-bit integers."""
+    """Spreads the bits of 64-bit integers; long arrays part by part, so that what is between stays in the cache."""
+    if x.ndim == 1 and len(x) > _BLOCK:
+        out = np.empty_like(x)
+        for at in range(0, len(x), _BLOCK):
+            out[at : at + _BLOCK] = mix(x[at : at + _BLOCK])
+        return out
     x = x ^ (x >> U(30))
     x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)

@@ -357,6 +357,43 @@ def test_line_dedup(spark):
     assert line_dedup.line_digest(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_joins_no_lines_to_what_stays(spark):
+    """The plan of the texts joins components and, once, texts; lines do not meet their components' first lines."""
+    rows = [(1, "a line that is here twice\n\nanother line, of its own"), (2, "a line that is here twice\n \nthe last one"), (3, None), (4, ""), (2, "a line that is here twice\n \nthe last one")]
+    out = line_dedup.deduped_lines(frame(spark, rows))
+
+    def joins(plan):
+        return (plan.nodeName() == "Join") + sum(joins(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    assert joins(out._jdf.queryExecution().optimizedPlan()) == 2
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_kept) for r in out.collect()), key=lambda r: r[0])
+    assert got == [(1, rows[0][1], 2, 2), (2, " \nthe last one", 2, 1), (2, " \nthe last one", 2, 1), (3, None, 0, 0), (4, "", 0, 0)]
+
+
+def test_scales_of_lines_are_exact_where_they_decide():
+    """Counts from a line's beginning lead to the same signatures as counts of the whole line."""
+    rng = np.random.default_rng(5)
+    runs = [rng.integers(0, most, n).astype(np.uint64) * np.uint64(step) for n in (0, 1, 95, 96, 127, 128, 160, 161, 162, 400, 3000) for most in (3, 100, 130, 1 << 40) for step in (1, 4)]
+    runs += [np.concatenate([np.full(200, 7, np.uint64), rng.integers(0, 1 << 40, 300).astype(np.uint64)]), np.arange(1, 4001, 4, dtype=np.uint64), np.concatenate([np.arange(1, 1001, 4), np.arange(0, 400, 4)]).astype(np.uint64)]
+    n, parts = line_dedup._scales(np.concatenate(runs), np.concatenate([[0], np.cumsum([len(x) for x in runs])]))
+    for a, b, x in zip(n.tolist(), parts.tolist(), runs, strict=True):
+        own = set(x.tolist())
+        quarter = sum(k % 4 == 0 for k in own)
+        if len(x) < 96:
+            assert a == len(x)
+        else:
+            assert (a < 96, a < 128, b > 0, b < line_dedup.SMALL) == (len(own) < 96, len(own) < 128, quarter > 0, quarter < line_dedup.SMALL)
+
+
+def test_lines_are_cut_from_the_bytes_of_all():
+    texts = pa.array(["ä\n\n  \nb c\U0001f600\n", None, "", "\nz", "one"])
+    data, offs = textnum.buffers(texts)
+    x = line_dedup.Lines(data, offs, 0, 5)
+    assert line_dedup._line_texts(x, np.array([3, 0, 1, 2])).to_pylist() == ["one", "ä", "b c\U0001f600", "z"]
+    x = line_dedup.Lines(np.frombuffer(b"a\xff\nb", np.uint8), np.array([0, 4]), 0, 1)
+    assert line_dedup._line_texts(x, np.array([0, 1])).to_pylist() == ["a\ufffd", "b"]
+
+
 def test_line_dedup_with_repetitive_lines(spark):
     """Lines with the same few shingles are found at any lengths: rulers, and phrases repeated."""
     rng = random.Random(8)
